@@ -28,46 +28,59 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     return rest.select("source", "source_size", F.least(cap * F.col("source_size"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
+def _sized(docs: DataFrame, seed: str, weight: str | None) -> DataFrame:
+    due = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+    return docs.withColumns({"__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "__u": u, "__due": due})
+
+
+def _ranked(sized: DataFrame, aims: DataFrame, cap: float) -> DataFrame:
+    rows = sized.join(aims, F.col("source").eqNullSafe(F.col("__of")))
+    each = F.least(F.lit(cap), F.when(F.col("__total") > 0, F.col("__target") / F.col("__total")).otherwise(0.0) * F.col("__due"))
+    rows = rows.withColumn("__each", each).withColumn("__whole", F.floor("__each")).withColumn("__p", F.col("__each") - F.col("__whole"))
+    rank = F.col("__u") * (1 - F.col("__p")) / (F.col("__u") * (1 - F.col("__p")) + (1 - F.col("__u")) * F.col("__p"))
+    rows = rows.withColumn("__rank", rank).withColumn("__bucket", F.floor(F.col("__rank") * BUCKETS).cast("int"))
+    rows = rows.withColumn("__extra", F.when(F.col("__whole") + 1 <= cap, F.col("__size")).otherwise(0))
+    return rows.withColumn("__key", F.struct(F.col("__rank").alias("r"), F.col("__u").alias("u"), F.coalesce("doc_id", F.lit(-(2**62))).alias("d"), F.col("__size").alias("s")))
+
+
 def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS, seed: str = SEED, weight: str | None = None) -> DataFrame:
-    """Rows doc_id, source, size, source_size, target, copies, taken: one for each row of docs.
+    """Each row of docs (doc_id, source, text, more if wanted) with size, source_size, target, copies, taken in place of text if
+    docs has no more than those three, else beside it.
 
     A document is due target / source_size copies, times its `weight` over 1 if such a column is named. Whole copies are
     certain. The fraction p is its inclusion probability: documents of a source are ranked by the Pareto order
     (u / (1 - u)) / (p / (1 - p)), u being uniform and fixed by seed and doc_id, and one more copy each is taken in this order
-    until the source's words are nearest to its target. Ranks are cut in two steps (sums of rank buckets, then the
-    one bucket that holds the cut), so a source with most of the rows is not sorted in one task.
+    until the source's words are nearest to its target. The cut is found in two steps (sums of rank buckets, then the one
+    bucket that holds it), so a source with most of the rows is not sorted in one task, and then is one rank per
+    source that each row is held against where it lies: texts do not move.
 
     Null text or no words: size 0, taken 0. Null source: a source of its own, the last. Null doc_id: as an id of its own.
-    Repeated rows: each counts; equal ids share their rank and ties go by id and size. Empty table: no rows. Other columns don't matter.
+    Repeated rows: each counts; rows equal in id and size are taken alike. Empty table: no rows. Columns named as the added ones are replaced.
     """
-    due = F.col(weight).cast("double") if weight else F.lit(1.0)
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    sized = saved(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), u.alias("u"), F.coalesce(due, F.lit(1.0)).alias("due")), "sized")
-    aims = small(saved(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights), "targets"))
-    aims = aims.withColumnRenamed("source", "of")
-    each = F.least(F.lit(cap), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("due"))
-    ranked = (
-        sized.join(aims, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("each", each)
-        .withColumn("whole", F.floor("each"))
-        .withColumn("p", F.col("each") - F.col("whole"))
-        .withColumn("rank", F.col("u") * (1 - F.col("p")) / (F.col("u") * (1 - F.col("p")) + (1 - F.col("u")) * F.col("p")))
-        .withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int"))
-        .withColumn("extra", F.when(F.col("whole") + 1 <= cap, F.col("size")).otherwise(0))
-    )
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("extra").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.min("target").alias("goal"))
+    skinny = saved(_sized(docs, seed, weight).select("doc_id", "source", "__size", "__u", "__due"), "sized")
+    sizes = skinny.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    aims = small(saved(targets(sizes, share, cap, weights), "targets")).withColumnsRenamed({"source": "__of", "source_size": "__total", "target": "__target"})
+    ranked = _ranked(skinny, aims, cap)
+    sums = ranked.groupBy("source", "__bucket").agg(F.sum("__extra").alias("words"), F.sum(F.col("__whole") * F.col("__size")).alias("certain"), F.min("__target").alias("goal"))
     by = Window.partitionBy("source")
     cut = (
         sums.withColumn("need", F.col("goal") - F.sum("certain").over(by))
-        .withColumn("before", F.sum("words").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+        .withColumn("before", F.sum("words").over(by.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
         .filter(F.col("before") < F.col("need"))
         .groupBy("source")
-        .agg(F.max("bucket").alias("last"), F.max("before").alias("before"), F.max("need").alias("need"))
-        .withColumnRenamed("source", "cut_of")
+        .agg(F.max("__bucket").alias("__last"), F.max("before").alias("__before"), F.max("need").alias("__need"))
+        .withColumnRenamed("source", "__cut_of")
     )
-    placed = ranked.join(small(saved(cut, "cut")), F.col("source").eqNullSafe(F.col("cut_of")), "left")
-    inside = Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.filter(F.col("bucket") == F.col("last")).withColumn("more", (F.col("before") + F.sum("extra").over(inside) - F.col("extra") / 2 <= F.col("need")) & (F.col("extra") > 0))
-    rest = placed.filter(F.coalesce(F.col("bucket") != F.col("last"), F.lit(True))).withColumn("more", F.coalesce(F.col("bucket") < F.col("last"), F.lit(False)) & (F.col("extra") > 0))
-    copies = (F.col("whole") + F.col("more").cast("long")).alias("copies")
-    return rest.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    cut = saved(cut, "cut")
+    inside = Window.partitionBy("source").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = ranked.join(small(cut), F.col("source").eqNullSafe(F.col("__cut_of")) & (F.col("__bucket") == F.col("__last")))
+    edge = edge.filter("__extra > 0").withColumn("upto", F.sum("__extra").over(inside)).filter(F.col("__before") + F.col("upto") - F.col("__extra") / 2 <= F.col("__need"))
+    upto = edge.groupBy("source").agg(F.max("__key").alias("__upto")).withColumnRenamed("source", "__upto_of")
+    cut = small(saved(cut.join(upto, F.col("__cut_of").eqNullSafe(F.col("__upto_of")), "left").select("__cut_of", "__last", "__upto"), "cut"))
+    whole = set(docs.columns) > {"doc_id", "source", "text"}
+    rows = _ranked(_sized(docs, seed, weight) if whole else skinny, aims, cap).join(cut, F.col("source").eqNullSafe(F.col("__cut_of")), "left")
+    more = (F.col("__extra") > 0) & F.coalesce((F.col("__bucket") < F.col("__last")) | ((F.col("__bucket") == F.col("__last")) & (F.col("__key") <= F.col("__upto"))), F.lit(False))
+    added = {"size": F.col("__size"), "source_size": F.col("__total"), "target": F.col("__target"), "copies": F.col("__whole") + more.cast("long"), "taken": (F.col("__whole") + more.cast("long")) * F.col("__size")}
+    own = [c for c in (docs.columns if whole else ("doc_id", "source")) if c not in added]
+    return rows.select(*own, *[v.alias(k) for k, v in added.items()])

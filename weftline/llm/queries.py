@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets
+from . import decontaminate, minhash, mixing, secrets, toxicity
 from .common import read
 
 
@@ -60,8 +60,31 @@ r as (select *, row_number() over (partition by id, item_id order by n_same desc
 select d.doc_id, item_id, s::int doc_start, n_item::int n_item, n_same::int n_same, n_same / n_item share from r join d using (id) where rn = 1"""
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+_OP5_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) g from d),
+n as (select doc_id, count(*) n from s group by doc_id),
+e as (select a.doc_id x, b.doc_id y from s a join s b using (g) join n p on p.doc_id = a.doc_id join n q on q.doc_id = b.doc_id where a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, p.n, q.n having 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+l as (select x, y from e union all select y, x from e),
+r as (select doc_id a, doc_id z from d union select l.y, r.z from r join l on l.x = r.a where r.z < l.y),
+c as (select a, min(z) z from r group by a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, z component_id, z = doc_id kept from d left join n using (doc_id) join c on c.a = doc_id"""
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = toxicity.grade(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    chance = F.col("__at_least")[0]
+    return graded.select("doc_id", F.col("__severity").alias("expected_severity"), chance.alias("p_toxic"), F.col("__at_least")[1].alias("p_severe"), (chance >= toxicity.REJECT).alias("toxic"))
+
+
 def op10_source_mixing(spark, sf_dir):
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _op10_sql():
@@ -81,5 +104,5 @@ c as (select *, target - sum(whole * size) over (partition by source) need, sum(
 select doc_id, size::bigint size, source_size, target, (size * (whole + case when extra > 0 and upto - extra / 2 <= need then 1 else 0 end))::bigint taken from c"""
 
 
-QUERIES = {"op2_secret_scans": op2_secret_scans, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op10_source_mixing": op10_source_mixing}
-SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op10_source_mixing": _op10_sql()}
+QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup, "op7_toxicity": op7_toxicity, "op2_secret_scans": op2_secret_scans, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op10_source_mixing": op10_source_mixing}
+SQL = {"op5_minhash_near_dedup": _OP5_SQL, "op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op10_source_mixing": _op10_sql()}
