@@ -9,7 +9,7 @@ from .common import WORD, saved, small
 
 SHARE, CAP, WEIGHTS, SEED = 1.5, 2.0, (3, 1, 2), "mix-1"
 #: Rank buckets of a source: the cut is found on their sums, and only the bucket that it falls into is sorted.
-BUCKETS = 65536
+BUCKETS = 4096
 
 
 def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS) -> DataFrame:
@@ -17,14 +17,15 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     `share` of all sizes; none gets more than cap times its size, and what is over goes to the others by weight.
 
     That is min(cap * size, level * weight) with one level for all, found from running sums over the sources in order
-    of the level at which each is full. One row per source, so the one-partition window is as small as the sources are.
+    of the level at which each is full: the first source that what is left doesn't fill gives the level. One row per source, so the one-partition window is as small as the sources are.
     """
     k = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
     weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (k % len(weights) + 1).cast("int"))).withColumn("full_at", cap * F.col("source_size") / F.col("weight"))
     upto = Window.orderBy("full_at", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("full_at")
     rest = weighed.withColumn("left", share * F.sum("source_size").over(every) - F.coalesce(cap * F.sum("source_size").over(upto), F.lit(0.0))).withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-    level = F.min(F.when(F.col("full_at") * F.col("open") >= F.col("left"), F.col("left") / F.col("open"))).over(every)
+    first = F.min(F.when(F.col("full_at") * F.col("open") >= F.col("left"), F.struct("full_at", (F.col("left") / F.col("open")).alias("level")))).over(every)
+    level = first["level"]
     return rest.select("source", "source_size", F.least(cap * F.col("source_size"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 

@@ -93,10 +93,10 @@ def _op10_sql():
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
     (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint + 0.5::double) / 4503599627370496::double u from documents),
 s as (select source, sum(size)::bigint source_size, case (row_number() over (order by source is null, source) - 1) % {len(w)} when 0 then {w[0]}.0 when 1 then {w[1]}.0 else {w[2]}.0 end::double wt from d group by source),
-f as (select *, {mixing.CAP}::double * source_size / wt at_, {mixing.SHARE}::double * sum(source_size) over () total from s),
-l as (select *, total - coalesce({mixing.CAP}::double * sum(source_size) over o, 0) rest, sum(wt) over () - coalesce(sum(wt) over o, 0) open from f
-  window o as (order by at_, source is null, source rows between unbounded preceding and 1 preceding)),
-t as (select source, source_size, least({mixing.CAP}::double * source_size, coalesce((select min(rest / open) from l where at_ * open >= rest), 'infinity'::double) * wt) target from l),
+f as (select *, {mixing.CAP}::double * source_size full_, {mixing.SHARE}::double * sum(source_size) over () total from s),
+v as (select distinct (a.total - coalesce((select sum(b.full_) from f b where b.full_ / b.wt < a.full_ / a.wt), 0)) / (select sum(b.wt) from f b where b.full_ / b.wt >= a.full_ / a.wt) level, a.total from f a),
+x as (select level from v order by abs(total - (select sum(least(full_, level * wt)) from f)), level limit 1),
+t as (select source, source_size, least(full_, coalesce((select level from x), 0) * wt) target from f),
 e as (select d.*, source_size, target, least({mixing.CAP}::double, case when source_size > 0 then target / source_size else 0 end) e from d join t on d.source is not distinct from t.source),
 p as (select *, floor(e) whole, e - floor(e) p from e),
 r as (select *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) rank, case when whole + 1 <= {mixing.CAP} then size else 0 end extra from p),
