@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, secrets, toxicity
+from . import decontaminate, licenses, minhash, mixing, pages, scoring, secrets, topk, toxicity
 from .common import read
 
 
+def op1_html_extraction(spark, sf_dir):
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_exact_topk(spark, sf_dir):
+    return topk.nearest(read(spark, sf_dir, "embeddings"))
+
+
+_OP4_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)) q from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
+def op8_license_scans(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_lm_scoring(spark, sf_dir):
+    return scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op2_secret_scans(spark, sf_dir):
     spans = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("__spans", lambda s: s["kind"] < len(secrets.BASE))
@@ -104,5 +128,5 @@ c as (select *, target - sum(whole * size) over (partition by source) need, sum(
 select doc_id, size::bigint size, source_size, target, (size * (whole + case when extra > 0 and upto - extra / 2 <= need then 1 else 0 end))::bigint taken from c"""
 
 
-QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup, "op7_toxicity": op7_toxicity, "op2_secret_scans": op2_secret_scans, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op10_source_mixing": op10_source_mixing}
-SQL = {"op5_minhash_near_dedup": _OP5_SQL, "op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op10_source_mixing": _op10_sql()}
+QUERIES = {"op9_lm_scoring": op9_lm_scoring, "op1_html_extraction": op1_html_extraction, "op4_exact_topk": op4_exact_topk, "op8_license_scans": op8_license_scans, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op7_toxicity": op7_toxicity, "op2_secret_scans": op2_secret_scans, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op10_source_mixing": op10_source_mixing}
+SQL = {"op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op10_source_mixing": _op10_sql()}
