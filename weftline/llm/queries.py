@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, minhash, mixing, pages, scoring, secrets, topk, toxicity
+from . import decontaminate, licenses, minhash, mixing, pages, repeats, scoring, secrets, topk, toxicity
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op9_lm_scoring(spark, sf_dir):
     return scoring.score(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_secret_scans(spark, sf_dir):
     spans = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("__spans", lambda s: s["kind"] < len(secrets.BASE))
@@ -128,5 +132,5 @@ c as (select *, target - sum(whole * size) over (partition by source) need, sum(
 select doc_id, size::bigint size, source_size, target, (size * (whole + case when extra > 0 and upto - extra / 2 <= need then 1 else 0 end))::bigint taken from c"""
 
 
-QUERIES = {"op9_lm_scoring": op9_lm_scoring, "op1_html_extraction": op1_html_extraction, "op4_exact_topk": op4_exact_topk, "op8_license_scans": op8_license_scans, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op7_toxicity": op7_toxicity, "op2_secret_scans": op2_secret_scans, "op3_benchmark_decontamination": op3_benchmark_decontamination, "op10_source_mixing": op10_source_mixing}
-SQL = {"op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op10_source_mixing": _op10_sql()}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing)}
+SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op10_source_mixing": _op10_sql()}
