@@ -1,0 +1,161 @@
+"""Link graph, sitemap, duplicates and site-wide checks."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .findings import chain, findings, rule
+
+BROADCAST_ROWS = 500_000
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it back, so loops keep a short lineage and lost executors cost little."""
+    spark = df.sparkSession
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def inlinks(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links that lead to each page, itself included. pages: key; edges: src, dst."""
+    counts = edges.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("n"))
+    return pages.select("key").join(counts, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("inlinks"))
+
+
+def link_findings(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Checks 42 to 45 for links to crawled pages, once for each (source, check, target). edges: src, dst, nofollow,
+    anchor; targets: key, status_code, redirects. A broken target is not said to redirect as well."""
+    met = edges.join(targets.withColumnRenamed("key", "dst"), "dst")
+    rules = [
+        chain(
+            ("links", "Broken internal link", "fail", "high", (F.col("status_code") >= 400) | (F.col("status_code") == 0), F.col("status_code")),
+            ("links", "Internal link redirects", "warn", "medium", F.col("redirects") > 0, F.col("redirects")),
+        ),
+        rule("links", "Nofollow internal link", "warn", "low", F.col("nofollow")),
+        rule("links", "Empty internal anchor", "warn", "low", F.trim("anchor") == ""),
+    ]
+    return findings(met, rules, ["src", "dst"]).dropDuplicates(["src", "dst", "check"])
+
+
+def depths(edges: DataFrame, start: DataFrame, limit: int) -> DataFrame:
+    """Fewest links from the start pages to each page, up to `limit`. edges: src, dst; start: node. Each round joins the
+    new frontier alone, and is written to the checkpoint folder."""
+    edges = edges.select("src", "dst").distinct()
+    seen = frontier = saved(start.select("node", F.lit(0).alias("depth")).distinct())
+    for depth in range(1, limit + 1):
+        reached = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = saved(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = saved(seen.union(frontier))
+    return seen
+
+
+def duplicates(pages: DataFrame, field: Column, key: str = "key") -> DataFrame:
+    """Pages whose field, if it has a value, another page has as well: key, value, n. The count goes over (value) sums, which combine before the shuffle."""
+    rows = pages.select(key, field.alias("value")).filter("value is not null and value <> ''")
+    shared = rows.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(shared, "value").select(key, "value", "n")
+
+
+def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs (left, right, similarity) of rows (key, tokens: distinct, hash) with other hashes and a token-set Jaccard of `least` or more.
+
+    Prefix filtering: tokens are ordered from rare to frequent, and two sets that similar share one of their first
+    n - ceil(least * n) + 1. So only those are joined, rare ones first, together with a length filter; full
+    sets confirm. Rows with equal token sets are one side of the join: their copies come back by a join on the set."""
+    sets = saved(rows.select("key", "hash", F.array_sort("tokens").alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", F.sha2(F.to_json(F.struct("tokens")), 256)))
+    nodes = sets.groupBy("set").agg(F.first("tokens").alias("tokens"))
+    frequency = nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
+    ranked = nodes.select("set", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(frequency, "token")
+    ordered = ranked.groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("list"))
+    keep = F.col("size") - F.ceil(F.round(F.lit(least) * F.col("size"), 6)) + 1
+    prefix = saved(ordered.select("set", "size", F.explode(F.slice("list", F.lit(1), keep.cast("int"))).alias("x")).select("set", "size", F.col("x.token").alias("token")))
+    a, b = (prefix.select(*[F.col(c).alias(f"{c}_{s}") for c in prefix.columns]) for s in "ab")
+    fits = (F.col("size_a") >= F.lit(least) * F.col("size_b") - 1e-9) & (F.col("size_b") >= F.lit(least) * F.col("size_a") - 1e-9)
+    found = a.join(b, (F.col("token_a") == F.col("token_b")) & (F.col("set_a") < F.col("set_b")) & fits).select("set_a", "set_b").distinct()
+    full = nodes.select("set", "tokens")
+    both = found.join(full.select(F.col("set").alias("set_a"), F.col("tokens").alias("ta")), "set_a").join(full.select(F.col("set").alias("set_b"), F.col("tokens").alias("tb")), "set_b")
+    common = F.size(F.array_intersect("ta", "tb"))
+    close = both.withColumn("similarity", common / (F.size("ta") + F.size("tb") - common)).filter(F.col("similarity") >= least).select("set_a", "set_b", "similarity")
+    same = nodes.select(F.col("set").alias("set_a"), F.col("set").alias("set_b"), F.lit(1.0).alias("similarity"))
+    own = sets.select("key", "hash", "set")
+    x, y = (own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns]) for s in "xy")
+    pairs = close.union(same).join(x, F.col("set_a") == F.col("set_x")).join(y, F.col("set_b") == F.col("set_y"))
+    pairs = pairs.filter((F.col("hash_x") != F.col("hash_y")) & ((F.col("set_a") != F.col("set_b")) | (F.col("key_x") < F.col("key_y"))))
+    return pairs.select(F.least("key_x", "key_y").alias("left"), F.greatest("key_x", "key_y").alias("right"), "similarity")
+
+
+def sitemap_rules() -> list[Column]:
+    """Checks 31 to 36 over depth (null or negative: never linked), inlinks, in_sitemap, in_sitemap_as_listed, indexable, html, status_code, redirects."""
+    c = F.col
+    good = c("indexable") & c("html")
+    return [
+        rule("sitemap", "Sitemap-only page", "warn", "medium", (F.coalesce("depth", F.lit(-1)) < 0) & c("in_sitemap") & good),
+        rule("links", "Deep page", "warn", "low", (c("depth") > 3) & good, c("depth")),
+        rule("links", "No internal inlinks", "warn", "medium", (c("depth") > 0) & (c("inlinks") == 0) & good),
+        rule("sitemap", "Non-success URL in sitemap", "fail", "high", c("in_sitemap") & ~c("status_code").between(200, 299), c("status_code")),
+        rule("sitemap", "Non-indexable URL in sitemap", "fail", "high", c("in_sitemap") & c("status_code").between(200, 299) & ~c("indexable")),
+        rule("sitemap", "Redirecting URL in sitemap", "fail", "high", c("in_sitemap_as_listed") & (c("redirects") > 0), c("redirects")),
+    ]
+
+
+def canonical_findings(pages: DataFrame) -> DataFrame:
+    """Check 37: the page that a canonical names was crawled and cannot be indexed. pages: key, canonical (a key or null), indexable."""
+    named = pages.select(F.col("key").alias("canonical"), F.col("indexable").alias("good"))
+    return pages.filter("canonical is not null and canonical <> key").join(named, "canonical").filter("not good").select("key", "canonical")
+
+
+def hreflang_findings(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Checks 51 to 53. links: src, dst, language; pages: key, status_code, indexable. A link back is one to the source from any language."""
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("returns")).distinct()
+    met = links.join(pages.select(F.col("key").alias("dst"), "status_code", "indexable", F.lit(True).alias("crawled")), "dst", "left").join(back, ["src", "dst"], "left")
+    rules = [
+        chain(
+            ("international", "Hreflang target not crawled", "warn", "medium", F.col("crawled").isNull()),
+            ("international", "Invalid hreflang target", "fail", "high", (F.col("status_code") != 200) | ~F.col("indexable"), F.col("status_code")),
+        ),
+        rule("international", "Missing hreflang return link", "fail", "high", F.col("crawled").isNotNull() & F.col("returns").isNull()),
+    ]
+    return findings(met, rules, ["src", "dst", "language"])
+
+
+def summary(pages: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of counters. pages: indexable, in_sitemap; edges: dst, internal; found: status, check."""
+    p = pages.agg(F.count("*").alias("pages"), F.count_if("indexable").alias("indexable"), F.count_if(~F.col("indexable")).alias("non_indexable"), F.count_if("in_sitemap").alias("sitemap_urls"))
+    e = edges.agg(F.count_distinct(F.when(F.col("internal"), F.col("dst"))).alias("internal_links"), F.count_distinct(F.when(~F.col("internal"), F.col("dst"))).alias("external_links"))
+    f = found.agg(F.count_if(F.col("status") == "fail").alias("failures"), F.count_if(F.col("status") == "warn").alias("warnings"), F.count_if(F.col("check") == "Broken internal link").alias("broken_internal"), F.count_if(F.col("check") == "Internal link redirects").alias("redirected_internal"))
+    return p.join(F.broadcast(e), how="cross").join(F.broadcast(f), how="cross")  # one row each
+
+
+def robots_rules(files: DataFrame) -> DataFrame:
+    """Lines of robots files (site, body) as rules: site, grp, agents, pos, allow, path. A user-agent line after rules opens a
+    group; comments and lines without a value go."""
+    lines = files.select("site", F.posexplode(F.split("body", r"\r?\n")).alias("line", "raw")).withColumn("raw", F.trim(F.regexp_replace("raw", "#.*$", ""))).filter(F.contains("raw", F.lit(":")))
+    lines = lines.select("site", "line", F.lower(F.trim(F.regexp_extract("raw", "^([^:]*):", 1))).alias("field"), F.trim(F.regexp_extract("raw", "^[^:]*:(.*)$", 1)).alias("value"))
+    told = lines.filter("field = 'user-agent' or field in ('allow', 'disallow') and value <> ''")
+    by = Window.partitionBy("site").orderBy("line")
+    opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(by), F.lit("allow")) != "user-agent")
+    grouped = told.withColumn("grp", F.sum(opens.cast("int")).over(by)).filter("grp > 0")
+    agents = grouped.filter("field = 'user-agent'").groupBy("site", "grp").agg(F.collect_list(F.lower("value")).alias("agents"))
+    return grouped.filter("field <> 'user-agent'").select("site", "grp", F.col("line").alias("pos"), (F.col("field") == "allow").alias("allow"), F.col("value").alias("path")).join(agents, ["site", "grp"], "right")
+
+
+def robots_access(rules: DataFrame, asked: DataFrame, compat: bool = False) -> DataFrame:
+    """asked (site, agent, path) with allowed and rule. The groups with the longest agent name inside the asked one apply (* counts
+    as length 0); of their rules with a matching prefix (up to a *, without a final $) the longest decides, ties allow.
+
+    Without a matching group everything is allowed; with compat all groups apply then, as some crawlers' checkers do."""
+    fits = F.transform("agents", lambda a: F.when(a == "*", 0).when(F.contains(F.lower("agent"), a), F.length(a)).otherwise(-1))
+    met = asked.join(rules.withColumnRenamed("path", "of"), "site", "left").withColumn("fit", F.coalesce(F.array_max(fits), F.lit(-1)))
+    met = met.withColumn("best", F.max("fit").over(Window.partitionBy("site", "agent", "path"))).filter("fit = best")
+    if not compat:
+        met = met.withColumn("of", F.when(F.col("best") >= 0, F.col("of")))
+    prefix = F.regexp_replace(F.regexp_replace("of", r"\$$", ""), r"\*.*$", "")
+    top = F.max(F.when(F.startswith("path", prefix), F.struct(F.length(prefix).alias("n"), F.col("allow").alias("allow"), F.when(F.col("allow"), F.col("pos")).otherwise(-F.col("pos")).alias("late"), F.col("of").alias("of"))))
+    out = met.groupBy("site", "agent", "path").agg(top.alias("top"))
+    return out.select("site", "agent", "path", F.coalesce("top.allow", F.lit(True)).alias("allowed"), F.when(F.col("top").isNull(), "no matching rule").otherwise(F.concat(F.when(F.col("top.allow"), "Allow: ").otherwise("Disallow: "), F.col("top.of"))).alias("rule"))
