@@ -17,7 +17,7 @@ BANDS = K // ROWS
 #: 57 with a deviation of 9, at 0.4 it is 116, for unrelated sets 162.
 NEAR = 112
 #: Sketches that one task compares with as many others at a time.
-BLOCK = 512
+BLOCK, ELEMENTS = 256, 400_000
 SLICE = 4_000_000
 _RNG = np.random.RandomState(20240501)
 _A, _B = ((_RNG.randint(0, 2**32, K, dtype=np.uint64) | 1).astype(np.uint32) for _ in range(2))
@@ -104,17 +104,89 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([s.view(np.int64) for s, g in zip(sets, good) if g], pa.list_(pa.int64()))], ["node", "grams"])
 
 
-def _rated(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block with another whose sketches are near and whose labels differ."""
+def _candidates(left: pd.DataFrame, right: pd.DataFrame):
+    """(i, j) of the pairs of both blocks whose sketches are near and whose labels differ; each pair comes from one side alone."""
     names = [f"s{k}" for k in range(BITS // 64)]
-    x, y = left[names].to_numpy(np.int64).view(np.uint64), right[names].to_numpy(np.int64).view(np.uint64)
-    out = []
+    x, y = (d[names].to_numpy(np.int64).view(np.uint64) for d in (left, right))
+    a, b, la, lb, rest = left["node"].to_numpy(), right["node"].to_numpy(), left["label"].to_numpy(), right["label"].to_numpy(), right["rest"].to_numpy().astype(bool)
+    rows, cols = [], []
     for i in range(len(x)):
-        d = np.bitwise_count(y ^ x[i]).sum(axis=1)
-        a, b = left["node"].iat[i], right["node"].to_numpy()
-        keep = (d <= NEAR) & (right["label"].to_numpy() != left["label"].iat[i]) & (~right["rest"].to_numpy() | (a < b))
-        out.append(pd.DataFrame({"a": np.maximum(b[keep], a), "b": np.minimum(b[keep], a), "apart": d[keep].astype(np.int32)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "apart": []}).astype({"a": "int64", "b": "int64", "apart": "int32"})
+        j = np.flatnonzero((np.bitwise_count(y ^ x[i]).sum(axis=1) <= NEAR) & (lb != la[i]) & (~rest | (a[i] < b)))
+        rows.append(np.full(len(j), i))
+        cols.append(j)
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _pairs(left, right, i, j) -> pd.DataFrame:
+    a, b = left["node"].to_numpy()[i], right["node"].to_numpy()[j]
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).astype("int64")
+
+
+def _near(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    return _pairs(left, right, *_candidates(left, right))
+
+
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, by products of 0-1 matrices over runs of the shared elements."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(shared), 4096):
+        run = shared[at : at + 4096]
+        m = []
+        for side in (x, y):
+            z = np.zeros((len(side), len(run)), np.float32)
+            for k, s in enumerate(side):
+                part = s[np.searchsorted(s, run[0]) : np.searchsorted(s, run[-1], side="right")]
+                p = np.searchsorted(run, part)
+                z[k, p[run[p] == part]] = 1
+            m.append(z)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _linked(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Confirmed links between two blocks, of which only those are told that join labels not yet joined here."""
+    i, j = _candidates(left, right)
+    if not len(i):
+        return _pairs(left, right, i, j)
+    x, y = left["grams"].to_numpy(), right["grams"].to_numpy()
+    if len(i) < 2000:
+        c = np.array([len(np.intersect1d(x[p], y[q], assume_unique=True)) for p, q in zip(i, j)])
+    else:
+        us, ui = np.unique(i, return_inverse=True)
+        vs, vj = np.unique(j, return_inverse=True)
+        c = common([np.sort(x[p]) for p in us], [np.sort(y[q]) for q in vs])[ui, vj].astype(np.int64)
+    t = np.array([len(s) for s in x])[i] + np.array([len(s) for s in y])[j]
+    ok = np.flatnonzero(c * 100 >= percent * (t - c))
+    up: dict = {}
+
+    def top(n):
+        while up.get(n, n) != n:
+            up[n] = up.get(up[n], up[n])
+            n = up[n]
+        return n
+
+    la, lb, told = left["label"].to_numpy(), right["label"].to_numpy(), []
+    for k in ok:
+        p, q = top(la[i[k]]), top(lb[j[k]])
+        if p != q:
+            up[p] = q
+            told.append(k)
+    return _pairs(left, right, i[told], j[told])
+
+
+def blocks_of(n, size):
+    """Blocks so that each has about BLOCK sets and ELEMENTS shingles at most."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / ELEMENTS), F.lit(1)).cast("long")
+
+
+def tiled(rows: DataFrame, key: str, run, columns: list[str], percent: int) -> DataFrame:
+    """(a, b) that `run` finds between the blocks of a key's `rest` rows and the blocks of all its rows. rows: key, node, label, rest, left and right (numbers of blocks), columns."""
+    keys, kept = [key, "i", "j"], [key, "i", "j", "node", "label", "rest", *columns]
+    one = rows.filter("rest").withColumn("i", F.pmod(F.xxhash64("node"), "left")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("right") - 1)))
+    two = rows.withColumn("j", F.pmod(F.xxhash64("node"), "right")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)))
+    one, two = (x.select(*[F.col(c).alias(f"{c}{n}") for c in kept]).toDF(*kept) for n, x in enumerate((one, two)))
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(lambda x, y: run(x, y, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -123,17 +195,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Texts with the same shingle set are one node, so copies never meet in pairs. Nodes that share one of 32 bands of 4
     MinHash samples are candidates (a pair at 0.75 shares none with a chance of 5e-6). Inside a band's bucket each node is
     held against the bucket's first node, a number of pairs that follows the number of nodes; odd sketches, the parity bitmaps of the 128
-    samples, rate the pairs by the popcount of their XOR, and full sets confirm them: first each node's best pair, then those that
-    still join two components. Nodes that stay apart from their bucket's first node are then held against the whole
-    bucket, block by block and by their sketches, so no link within a bucket is lost, whatever its size.
-
-    Null or empty text, or no words: 0 shingles, linked with nothing, kept. Null doc_id: component null, kept; such a
-    text still links others. Repeated rows: equal rows give equal results (both are kept, as they are one id). Empty table: no rows.
+    samples, rate the pairs by the popcount of their XOR, and full sets confirm each node's best pair. Nodes that near
+    pairs hold together are a cluster; one that the confirmed links leave in several parts is searched whole, block
+    against block, where candidates by sketch are confirmed on full sets in place and a block tells only links
+    that join parts, never all its pairs. Last, pairs of different clusters in one bucket get the same test.
+    So a link within a bucket is lost only where a sketch is off by six deviations, whatever the bucket's size.
+
+    Null or empty text, or no words: 0 shingles, linked with nothing, kept. Null doc_id: component null, kept, links
+    nothing. Repeated rows: equal rows give equal results (both are kept, as they are one id). Empty table: no rows.
     Other columns don't matter.
     """
     names = [f"s{k}" for k in range(BITS // 64)]
     base = saved(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, mark binary, bands array<long>, " + ", ".join(f"{s} long" for s in names)), "signed")
-    firsts = base.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in names])
+    firsts = base.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in names])
     nodes = saved(firsts.filter("doc is not null").withColumn("node", F.monotonically_increasing_id()), "nodes")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("in"), "head", "n")
@@ -174,23 +248,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = full(either(star))
     best = star.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     labels = components(confirmed(best, sets))
-    open_ = saved(labelled(labelled(star, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b").join(best, ["a", "b"], "left_anti"), "open")
-    if open_.limit(1).count():
-        links = saved(confirmed(open_, sets), "links")
+
+    # Clusters: nodes that near pairs hold together. Those that fell into several components are searched whole.
+    clusters = components(star).withColumnRenamed("label", "cluster")
+    parts = labelled(clusters, labels, "node", "label").join(nodes.select(F.col("node").alias("of"), F.col("size")), F.col("node") == F.col("of")).drop("of")
+    counts = parts.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    split = counts.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("n").alias("m"), F.count("*").alias("k")).filter("k > 1")
+    tiles = saved(split.select(F.col("cluster").alias("in"), "main", blocks_of(F.col("n"), F.col("s")).alias("right"), blocks_of(F.col("n") - F.col("m"), F.col("s")).alias("left")), "clusters")
+    if tiles.limit(1).count():
+        rest = parts.join(tiles, F.col("cluster") == F.col("in")).select("cluster", "node", "label", (F.col("label") != F.col("main")).alias("rest"), "left", "right")
+        rest = saved(rest.join(sketch, "node").join(sets, "node"), "rest")
+        links = saved(tiled(rest, "cluster", _linked, [*names, "grams"], percent), "links")
         if links.limit(1).count():
             labels = joined(labels, links)
 
-    rest = labelled(labelled(member, labels, "node", "label"), labels, "head", "head_label").withColumn("rest", F.col("label") != F.col("head_label"))
-    sizes = rest.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")).filter("n_rest > 0 and n_all > 2").select(F.col("bucket").alias("in"), F.ceil(F.col("n_rest") / BLOCK).alias("left"), F.ceil(F.col("n_all") / BLOCK).alias("right"))
+    # Buckets that several clusters share: pairs across clusters are near by their sketches, if at all, and are few.
+    rest = labelled(labelled(member, clusters.withColumnRenamed("cluster", "label"), "node", "label"), clusters.withColumnRenamed("cluster", "label"), "head", "head_label").withColumn("rest", F.col("label") != F.col("head_label"))
+    sizes = rest.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")).filter("n_rest > 0 and n_all > 2")
+    sizes = sizes.select(F.col("bucket").alias("in"), F.ceil(F.col("n_rest") / BLOCK).alias("left"), F.ceil(F.col("n_all") / BLOCK).alias("right"))
     rest = saved(rest.join(sizes, F.col("bucket") == F.col("in")).select("bucket", "node", "label", "rest", "left", "right"), "rest")
     if rest.limit(1).count():
-        rest = rest.join(sketch, "node")
-        one = rest.filter("rest").withColumn("i", F.pmod(F.xxhash64("node"), "left")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("right") - 1)))
-        two = rest.withColumn("j", F.pmod(F.xxhash64("node"), "right")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)))
-        keys, kept = ["bucket", "i", "j"], ["bucket", "i", "j", "node", "label", "rest", *names]
-        one, two = (x.select(*[F.col(c).alias(f"{c}{n}") for c in kept]).toDF(*kept) for n, x in enumerate((one, two)))
-        pairs = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(_rated, "a long, b long, apart int")
-        pairs = saved(pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+        pairs = saved(tiled(rest.join(sketch, "node"), "bucket", _near, names, percent).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             links = saved(confirmed(pairs, full(either(pairs))), "links")
             if links.limit(1).count():
