@@ -12,19 +12,30 @@ from pyspark.sql import functions as F
 from .common import saved, schema_of
 from .decontaminate import tokens
 
-#: Labelled rows that the model is fitted on, at most, and words that it may weigh.
-SAMPLE, WORDS = 8000, 1500
+#: Labelled rows that the model is fitted on, at most, words that it may weigh, and deviations by which a word's share must differ between classes.
+SAMPLE, WORDS, SURE = 12000, 1500, 5.0
 #: A document is toxic if the chance of grade 1 or more reaches this.
 REJECT = 0.5
 _SPACED = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 97 + c - 65 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+#: Word beginnings of these lengths are features as well, as compounds and endings hide a stem.
+STEMS = (4, 5, 6, 7)
+
+
 def words_of(text: bytes | None) -> set:
-    """Distinct runs of letters and digits, A-Z lower-cased; all bytes beyond ASCII count as letters."""
-    return set((text or b"").translate(_SPACED).split())
+    """Distinct runs of letters and digits, lower-cased (all beyond ASCII count as letters), and their beginnings, marked ^."""
+    out = set((text or b"").translate(_SPACED).decode("utf-8", "replace").lower().split())
+    return out | {"^" + w[:n] for w in out for n in STEMS if len(w) >= n}
+
 
+def features_of():
+    """The same as a column of distinct features, from an array of tokens."""
+    stems = F.transform(F.array_distinct("all"), lambda w: F.concat(F.array(w), *[F.when(F.length(w) >= n, F.array(F.concat(F.lit("^"), F.substring(w, 1, n)))).otherwise(F.array().cast("array<string>")) for n in STEMS]))
+    return F.array_distinct(F.flatten(stems))
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, rate: float = 0.5, decay: float = 1e-3):
+
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 800, rate: float = 0.5, decay: float = 1e-4):
     """(weights, thresholds) of P(y <= j) = s(threshold_j - x w): one set of weights for all thresholds, which stay in order.
 
     Full-batch Adam on the mean log-likelihood; thresholds are a first value and positive steps."""
@@ -58,30 +69,36 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 400, ra
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> dict:
     """{"words": {word: weight}, "cuts": [thresholds]} from at most `sample` labelled rows (those with the smallest hash of the id).
 
-    Grades: 0 not toxic; the toxic rows are 1, or 2 where the words that tell toxic rows apart make up more of the text
-    than in their median row, as labels give no degree. Features are the words with the largest gap in document share
-    between both classes, of those in 5 rows at least. Null labels or ids don't count; an id labelled twice is toxic if any of its
+    Grades: 0 not toxic; the toxic rows are 1, or 2 where more of the words that tell toxic rows apart stand in the text
+    than in their median row, as labels give no degree. Features are the words whose document shares differ most
+    between both classes, by SURE deviations, of those in 5 rows at least; near copies count once (of the rows with
+    one smallest or largest shingle hash one is used), else a copied text would lend its words its class. Null labels or ids don't count; an id labelled twice is toxic if any of its
     labels is. Without rows of both classes: no words, and nothing is toxic."""
     rows = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "of")
-    seen = saved(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"), F.array_distinct(tokens(F.col("text"))).alias("words")), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select((F.col("toxic") > 0).cast("int").alias("y"), tokens(F.col("text")).alias("all"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("all") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("all", i, 5)))
+    rows = rows.select("y", features_of().alias("words"), F.array_min(runs).alias("low"), F.array_max(runs).alias("high"))
+    seen = saved(rows.dropDuplicates(["low"]).dropDuplicates(["high"]).drop("low", "high"), "labelled")
     n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return {"words": {}, "cuts": [30.0, 31.0]}
     share = seen.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
-    gap = F.col("c1") / n[1] - F.col("c0") / n[0]
-    sure = F.abs(gap) / F.sqrt((F.col("c1") + F.col("c0") + 1) / (n[0] + n[1]))
-    top = share.filter(F.col("c1") + F.col("c0") >= 5).select("word", gap.alias("gap"), sure.alias("sure")).orderBy(F.desc("sure"), "word").limit(words).collect()
+    gap, pooled = F.col("c1") / n[1] - F.col("c0") / n[0], (F.col("c1") + F.col("c0")) / (n[0] + n[1])
+    sure = F.abs(gap) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
+    top = share.filter(F.col("c1") + F.col("c0") >= 5).select("word", gap.alias("gap"), sure.alias("sure")).filter(F.col("sure") >= SURE).orderBy(F.desc("sure"), "word").limit(words).collect()
+    if not top:
+        return {"words": {}, "cuts": [30.0, 31.0]}
     place = {r["word"]: k for k, r in enumerate(top)}
     lead = F.array(*[F.lit(r["word"]) for r in top])
-    kept = seen.select("y", F.size("words").alias("n"), F.array_intersect("words", lead).alias("words")).toPandas()
+    kept = seen.select("y", F.array_intersect("words", lead).alias("words")).toPandas()
     x = np.zeros((len(kept), len(top)))
     for i, ws in enumerate(kept["words"]):
         x[i, [place[w] for w in ws]] = 1
     y = kept["y"].to_numpy().astype(int)
     toward = np.array([max(0.0, r["gap"]) for r in top])
-    dense = (x @ toward) / np.maximum(1, kept["n"].to_numpy())
-    y = y + ((y == 1) & (dense > np.median(dense[y == 1])))
+    told = x @ toward
+    y = y + ((y == 1) & (told > np.median(told[y == 1])))
     w, cuts = fit_ordinal(x, y, 3)
     return {"words": {word: float(w[k]) for word, k in place.items()}, "cuts": [float(c) for c in cuts]}
 
@@ -90,7 +107,7 @@ def grade(docs: DataFrame, model: dict) -> DataFrame:
     """docs with __at_least (array: chance of grade 1 or more, 2 or more, ...) and __severity, their sum: the expected grade.
 
     Whole texts; each row by itself, so keys and skew don't matter. Null or empty text: no word speaks for any grade."""
-    weights, cuts = {k.encode(): v for k, v in model["words"].items()}, model["cuts"]
+    weights, cuts = model["words"], model["cuts"]
     known = set(weights)
 
     def scored(batches):
