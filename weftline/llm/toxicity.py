@@ -79,7 +79,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select((F.col("toxic") > 0).cast("int").alias("y"), tokens(F.col("text")).alias("all"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("all") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("all", i, 5)))
     rows = rows.select("y", features_of().alias("words"), F.array_min(runs).alias("low"), F.array_max(runs).alias("high"))
-    seen = saved(rows.dropDuplicates(["low"]).dropDuplicates(["high"]).drop("low", "high"), "labelled")
+    for key, other in (("low", "high"), ("high", "low")):  # the smallest row of each, so that reruns agree
+        rows = rows.groupBy(key).agg(F.min(F.struct(other, "y", "words")).alias("row")).select(key, "row.*")
+    seen = saved(rows.select("y", "words"), "labelled")
     n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return {"words": {}, "cuts": [30.0, 31.0]}
@@ -92,6 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     place = {r["word"]: k for k, r in enumerate(top)}
     lead = F.array(*[F.lit(r["word"]) for r in top])
     kept = seen.select("y", F.array_intersect("words", lead).alias("words")).toPandas()
+    kept = kept.iloc[sorted(range(len(kept)), key=lambda i: (kept["y"].iat[i], sorted(kept["words"].iat[i])))]
     x = np.zeros((len(kept), len(top)))
     for i, ws in enumerate(kept["words"]):
         x[i, [place[w] for w in ws]] = 1
