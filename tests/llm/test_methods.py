@@ -178,6 +178,30 @@ def test_leaks_with_substitutions(spark):
     assert got == {(0, 0): (50, 10), (1, 1): (0, 25), (2, 2): (20, 36)}
 
 
+def test_leaks_against_all_alignments(spark):
+    rng = random.Random(11)
+    sizes = [1, 2, 3, 4, 5, 6, 7, 9, 11, 15, 15, 20, 25, 59]
+    items = [[f"q{i}x{rng.randrange(60)}" for _ in range(n)] for i, n in enumerate(sizes)]
+    texts = []
+    for w in items:
+        for every in (4, 5):
+            for offset in range(every):
+                texts.append([t if (k + offset) % every else "other" for k, t in enumerate(w)])
+        for share in (0.2, 0.3, 0.4):
+            for _ in range(6):
+                gone = set(rng.sample(range(len(w)), int(share * len(w) + 1e-9)))
+                texts.append([f"n{rng.randrange(99)}" for _ in range(rng.randrange(12))] + ["other" if k in gone else t for k, t in enumerate(w)] + ["end"] * rng.randrange(3))
+    want = {}
+    for d, t in enumerate(texts):
+        for i, w in enumerate(items):
+            n, back = max((sum(0 <= s + j < len(t) and t[s + j] == x for j, x in enumerate(w)), -s) for s in range(-len(w), len(t)))
+            if n >= 0.6 * len(w):
+                want[d, i] = (-back, n)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.doc_start, r.n_same) for r in decontaminate.leaks(frame(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert got == want
+
+
 def test_mix_targets(spark):
     sizes = {None: 400, "a": 1000, "b": 10, "c": 300, "d": 0}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")

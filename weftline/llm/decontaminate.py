@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, saved, small
 
-#: 1: the token counts, 0: it may be any. All begin and end with 1 and have one span, so a window is tried under each.
+#: The SQL twin's masks of one span: 1: the token counts, 0: it may be any. They miss copies that TRIPLES find.
 MASKS = ("1101101101", "1011011011", "1110010111")
+#: All ways in which three of five tokens in a row can agree. An item of four tokens or more parts into blocks of 5 to 9 (or is one of 4);
+#: if LEAST of its tokens agree, so does that share of some block, and then three of five in a row: no such pair is missed.
+TRIPLES = ("111", "1101", "1011", "11001", "10101", "10011")
+#: Items too short for a triple are tried by each of their tokens.
+SINGLE, SHORT = ("1",), 4
 #: Share of an item's tokens that must stand in the document on one alignment.
 LEAST = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,30 +34,35 @@ def _seeds(hashes: Column, at: Column, masks: tuple[str, ...]) -> Column:
 
 
 def _windows(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    span = len(masks[0])
-    at = rows.filter(F.size("hashes") >= span).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("hashes") - span)))
+    """Seeds at each place; near the end, where a mask reaches beyond the text, of the tokens that are there."""
+    at = rows.filter(F.size("hashes") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)))
     return at.select(*rows.columns, "at", F.inline(_seeds(F.col("hashes"), F.col("at"), masks)))
 
 
-def leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS, least: float = LEAST) -> DataFrame:
+def _seeded(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    return saved(_windows(items, masks).select("mask", "seed", F.col("at").alias("item_at"), "item_id").distinct(), "seeds")
+
+
+def leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = TRIPLES, least: float = LEAST) -> DataFrame:
     """Rows doc_id, text_hash, item_id, doc_start, n_item, n_same, share: a document and an item whose tokens stand in it.
 
     Every window of each text is hashed under each mask, so a pair of windows meets when they agree on one mask's
-    tokens, whatever stands at the others. A hit fixes an alignment; there all of the item's tokens are compared, and the pair
+    tokens, whatever stands at the others; items of fewer than SHORT tokens meet by single tokens. With TRIPLES and a `least` of
+    0.6 or more every pair is found. A hit fixes an alignment; there all of the item's tokens are compared, and the pair
     counts if at least `least` of them agree. One row a pair: the alignment with most agreement, then the first. The items' hashes are broadcast
     after a check of their number; beyond BROADCAST_ROWS both sides shuffle by the hash.
 
-    Null or short text (fewer tokens than the masks span, 10): no rows; likewise items. Repeated documents: one row for each
+    Null text or text without tokens: no rows; likewise items. Repeated documents: one row for each
     (id, text); equal items under two ids: each counts. Null ids stay null. Empty tables: no rows. Other columns don't matter.
     """
-    if len({len(m) for m in masks}) != 1:
-        raise ValueError("masks of one span are needed")
     items = bench.select("item_id", _hashed(F.col("text")).alias("hashes"))
-    seeds = saved(_windows(items, masks).select("mask", "seed", F.col("at").alias("item_at"), "item_id").distinct(), "seeds")
+    seeds, brief = (_seeded(items.filter(fits), m) for fits, m in ((F.size("hashes") >= SHORT, masks), (F.size("hashes") < SHORT, SINGLE)))
     whole = items.select(F.col("item_id").alias("of_item"), F.col("hashes").alias("item")).distinct()
     few = whole.count() <= BROADCAST_ROWS // 100
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hashed(F.col("text")).alias("hashes"))
     hits = _windows(rows, masks).join(small(seeds), ["mask", "seed"])
+    if not brief.isEmpty():
+        hits = hits.unionByName(_windows(rows, SINGLE).join(small(brief), ["mask", "seed"]))
     begin = F.col("at") - F.col("item_at")
     aligned = (
         hits.withColumn("doc_start", begin)
@@ -66,7 +76,7 @@ def leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS, lea
     return out.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("doc_start"), "n_item", F.col("best.n_same").alias("n_same"), (F.col("best.n_same") / F.col("n_item")).alias("share"))
 
 
-def clean(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS, least: float = LEAST) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = TRIPLES, least: float = LEAST) -> DataFrame:
     """docs without the rows that hold a benchmark item. A row is told by its id and its text, so a null id is no special case."""
     bad = saved(leaks(docs, bench, masks, least).select("doc_id", "text_hash").distinct(), "leaks").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
