@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from weftline.operators import extract, findings, identity, market, performance, site, store
+from weftline.plans.queries import QUERIES
 from weftline.sources import files
+from weftline.sources.tables import derived
 
 PAGE = """<!DOCTYPE html><html lang="en-GB"><head><title>Dental implants in London | Smile Clinic</title><meta name="description" content="A useful summary">
 <meta name=viewport content="width=device-width"><link rel="canonical" href="https://x.example/implants"><meta property="article:published_time" content="2026-01-02">
@@ -71,6 +73,22 @@ def test_depths(spark):
     assert {r.node: r.depth for r in site.depths(edges, spark.range(1).withColumnRenamed("id", "node"), 2).collect()} == {0: 0, 1: 1, 2: 2}
 
 
+def test_depths_beyond_six(spark, tmp_path):
+    """Pages 0 to 2499 link to three times their id and on; found by a plain search."""
+    spark.range(2500).selectExpr("id page_id", "'u' url", "'' html").write.parquet(str(tmp_path / "pages.parquet"))
+    links = {}
+    for r in derived(spark, str(tmp_path), "site_edges").select("src", "dst").collect():
+        links.setdefault(r.src, set()).add(r.dst)
+    want, front, depth = {0: 0}, {0}, 0
+    while front:
+        depth += 1
+        front = {d for s in front for d in links.get(s, ())} - set(want)
+        want |= dict.fromkeys(front, depth)
+    assert max(want.values()) > 6
+    got = {r.node: r.depth for r in QUERIES["q_bfs_depth"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_grid(spark):
     points = spark.createDataFrame([("a", p, False) for p in range(1, 10)] + [("b", 1, False), ("b", 5, False), ("b", 0, False)] + [("b", 0, True)] * 6 + [("c", 0, True)], "k string, position int, failed boolean")
     got = {r.k: tuple(r)[1:] for r in market.grid_summary(points, ["k"]).collect()}

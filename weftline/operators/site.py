@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,12 +42,12 @@ def link_findings(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return findings(met, rules, ["src", "dst"]).dropDuplicates(["src", "dst", "check"])
 
 
-def depths(edges: DataFrame, start: DataFrame, limit: int) -> DataFrame:
-    """Fewest links from the start pages to each page, up to `limit`. edges: src, dst; start: node. Each round joins the
+def depths(edges: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
+    """Fewest links from the start pages to each page, up to `limit` if one is given. edges: src, dst; start: node. Each round joins the
     new frontier alone, and is written to the checkpoint folder."""
     edges = edges.select("src", "dst").distinct()
     seen = frontier = saved(start.select("node", F.lit(0).alias("depth")).distinct())
-    for depth in range(1, limit + 1):
+    for depth in count(1) if limit is None else range(1, limit + 1):
         reached = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = saved(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

@@ -205,7 +205,7 @@ def q_broken_links(spark, sf_dir):
 @query("with recursive b as (select 0::bigint node, 0 depth union select dst, depth + 1 from b join site_edges on src = node where depth < 6) select node, min(depth)::int depth from b group by node", "site_edges")
 def q_bfs_depth(spark, sf_dir):
     start = spark.range(1).select(F.col("id").alias("node"))
-    return site.depths(derived(spark, sf_dir, "site_edges"), start, 6)
+    return site.depths(derived(spark, sf_dir, "site_edges"), start)
 
 
 @query(
