@@ -287,6 +287,16 @@ def test_automata_accept_what_templates_say():
             assert not a.accepts(broken, 0)
 
 
+def test_scan_finds_what_templates_say():
+    for a, (label, markup) in zip(licenses.AUTOMATA, licenses.TEMPLATES):
+        for words in expansions(markup)[:40]:
+            _, _, labels, score = licenses.scan_text(b"x " + " ".join(words).encode() + b" y")
+            assert label in labels and score == 1.0, (label, words)
+        needs = sorted(a.needs)
+        some = needs[: (len(needs) + 1) // 2]
+        assert licenses.scan_text(b" ".join(some))[3] >= 0.5 * len(some) / len(needs), label
+
+
 def test_license_places(spark):
     texts = ["Under the MIT-License; under the\nmit license under the mit license", "CC BY-NC 4.0 and Apache License, Version 2.0", "permission is hereby granted", None, "Übersunder the mit license"]
     got = {r.doc_id: r for r in licenses.scan(frame(spark, texts)).collect()}

@@ -104,6 +104,8 @@ class Automaton:
 
 
 AUTOMATA = tuple(Automaton(*t) for t in TEMPLATES)
+#: Mandatory words of any template: a text with none of them fits no template.
+NEEDED = frozenset().union(*(a.needs for a in AUTOMATA))
 
 
 def words_of(text: bytes | None) -> list:
@@ -120,7 +122,7 @@ def scan_text(text: bytes | None) -> tuple:
         while (at := line.find(probe, at + 1)) >= 0:
             places.append((line.count(b" ", 0, at), label))
     labels, score = set(), 0.0
-    have = set(words) if b" license " in line or b" software " in line or b" licensed " in line else set()
+    have = NEEDED.intersection(words)
     for a in AUTOMATA if have else ():
         share = len(a.needs & have) / len(a.needs)
         if share == 1 and any(a.accepts(words, i) for i, w in enumerate(words) if w in a.first or None in a.first):
