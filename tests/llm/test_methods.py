@@ -397,3 +397,31 @@ def test_mix_predicts_held_out_texts(spark):
     held, seen = ([r.bits_per_byte for r in got if r.held_out == h] for h in (True, False))
     assert np.mean(held) < 3.2 and np.mean(held) < np.mean(seen) + 0.5
     assert all(r.score < 0 and abs(r.score) > 0.1 * r.n_tokens for r in got)
+
+
+def test_contexts_grow_with_the_corpus(spark):
+    """200,000 distinct words have more contexts than a table of fixed size has slots; texts seen before are still told well."""
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(500)) for _ in range(400)]
+    rows = list(enumerate(texts)) + [(10**6 + i, t) for i, t in enumerate(texts[:20])]
+    got = scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 10**6)
+    assert got.filter("held_out").agg(F.avg("bits_per_byte")).first()[0] < 2.5
+
+
+def test_word_counts_are_exact(spark):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abé", k=rng.randrange(1, 7))) for _ in range(rng.randrange(9))) for _ in range(60)]
+    df = frame(spark, texts).withColumn("held_out", F.col("doc_id") % 5 == 0)
+    _, said, code, _ = scoring.train(df)
+    counts = Counter()
+    for i, t in enumerate(texts):
+        for k in scoring.keys(t.lower().encode().split()) if i % 5 else ():
+            for j in range(1, len(k)):
+                counts.update((k[:j], code.node[s], code.bit[s]) for s in range(code.start[k[j]], code.start[k[j]] + code.length[k[j]]))
+    rows = said.collect()
+    assert {bytes(r.key) for r in rows} == {k for t in texts for k in scoring.keys(t.encode().split())}
+    for r in rows:
+        k = bytes(r.key)
+        steps = [(k[:j], code.node[s]) for j in range(1, len(k)) for s in range(code.start[k[j]], code.start[k[j]] + code.length[k[j]])]
+        want = scoring._stretched(np.array([[counts[(*x, 0)], counts[(*x, 1)]] for x in steps]))
+        assert bytes(r.said) == want.tobytes()
