@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -18,17 +20,33 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast; every broadcast table here has at most 48 bytes a row, so 24 MB.
 BROADCAST_ROWS = 500_000
+PER_FILE = 250_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str = "part") -> DataFrame:
-    """Writes df into the shared checkpoint folder and reads it back: cuts the lineage, survives lost executors."""
+def shared(spark: SparkSession) -> str:
+    """The folder for intermediate tables: spark.checkpoint.dir, which all executors see. Where it is unset, a local run gets
+    a folder of its own; on a cluster that would leave parts on single machines, so it is an error there."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/weftline-checkpoints"
+
+
+def saved(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame:
+    """Writes df into the shared checkpoint folder and reads it back: cuts the lineage, survives lost executors.
+
+    rows: for tables of a few numbers a row, about how many there are; they go to files of PER_FILE rows, or one for each core,
+    instead of one for each shuffle partition, as loops write many such tables."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/weftline-{name}-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // PER_FILE + 1))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -18,7 +18,9 @@ BANDS = K // ROWS
 NEAR = 112
 #: Sketches that one task compares with as many others at a time.
 BLOCK, ELEMENTS = 256, 400_000
-SLICE = 4_000_000
+SLICE = 1_000_000
+#: Bands of the first round.
+FIRST = 3
 _RNG = np.random.RandomState(20240501)
 _A, _B = ((_RNG.randint(0, 2**32, K, dtype=np.uint64) | 1).astype(np.uint32) for _ in range(2))
 _C = _RNG.randint(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,12 +195,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Texts with the same shingle set are one node, so copies never meet in pairs. Nodes that share one of 32 bands of 4
-    MinHash samples are candidates (a pair at 0.75 shares none with a chance of 5e-6). Inside a band's bucket each node is
-    held against the bucket's first node, a number of pairs that follows the number of nodes; odd sketches, the parity bitmaps of the 128
-    samples, rate the pairs by the popcount of their XOR, and full sets confirm each node's best pair. Nodes that near
-    pairs hold together are a cluster; one that the confirmed links leave in several parts is searched whole, block
+    MinHash samples are candidates (a pair at 0.75 shares none with a chance of 5e-6). Labels spread over the incidence of nodes
+    and buckets, in two rounds: in each bucket the least node of every label is held against the bucket's least label, odd
+    sketches, the parity bitmaps of the 128 samples, rate the pairs by the popcount of their XOR, full sets confirm each
+    node's best pair, and labels that are linked become one. The first round has FIRST bands, in which every node is its own label; the second has
+    the others, where a family that the first has joined is one row a bucket, so rows follow the nodes and not the families'
+    incidences. Labels that near pairs hold together are a cluster; one that keeps several labels is searched whole, block
     against block, where candidates by sketch are confirmed on full sets in place and a block tells only links
-    that join parts, never all its pairs. Last, pairs of different clusters in one bucket get the same test.
+    that join labels, never all its pairs. Last, pairs of different clusters in one bucket get the same test.
     So a link within a bucket is lost only where a sketch is off by six deviations, whatever the bucket's size.
 
     Null or empty text, or no words: 0 shingles, linked with nothing, kept. Null doc_id: component null, kept, links
@@ -209,10 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     base = saved(docs.select("doc_id", "text").mapInArrow(_signed, "doc_id long, n_shingles long, mark binary, bands array<long>, " + ", ".join(f"{s} long" for s in names)), "signed")
     firsts = base.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in names])
     nodes = saved(firsts.filter("doc is not null").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("in"), "head", "n")
-    member = saved(member.join(shared, F.col("bucket") == F.col("in")).select("bucket", "node", "head", "n"), "members")
-    sketch = nodes.select("node", *names)
+    sketch, count = nodes.select("node", *names), nodes.count()
 
     def apart(pairs):
         x, y = (sketch.select(F.col("node").alias(f"{p}_node"), *[F.col(s).alias(f"{p}_{s}") for s in names]) for p in "xy")
@@ -221,8 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     def full(wanted):
         """Shingle sets of the nodes in `wanted` (column node)."""
-        who = saved(nodes.select("node", "doc", "mark").join(wanted, "node", "left_semi"), "wanted")
-        return saved(docs.select("doc_id", "text").join(small(who), F.col("doc_id") == F.col("doc")).select("node", "mark", "text").dropDuplicates(["node", "text"]).mapInArrow(_only_sets, "node long, grams array<long>"), "sets")
+        who = saved(nodes.select("node", "doc", "mark").join(wanted, "node", "left_semi"), "wanted", count)
+        return saved(docs.select("doc_id", "text").join(small(who), F.col("doc_id") == F.col("doc")).select("node", "mark", "text").dropDuplicates(["node", "text"]).mapInArrow(_sets, "node long, grams array<long>"), "sets")
 
     def confirmed(pairs, sets):
         x, y = (sets.select(F.col("node").alias(p), F.col("grams").alias(f"{p}_grams")) for p in "xy")
@@ -234,43 +235,65 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
     def labelled(rows, labels, by, name):
+        if labels is None:
+            return rows.withColumn(name, F.col(by))
         got = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
         return rows.join(got, F.col(by) == F.col("__node"), "left").withColumn(name, F.coalesce("__label", by)).drop("__node", "__label")
 
     def joined(labels, links):
         """labels after the links between components."""
+        if labels is None:
+            return components(links, count)
         over = labelled(labelled(links, labels, "a", "la"), labels, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
-        up = components(over).select(F.col("node").alias("was"), F.col("label").alias("is"))
+        up = components(over, count).select(F.col("node").alias("was"), F.col("label").alias("is"))
         every = labels.union(up.select(F.col("was").alias("node"), F.col("was").alias("label")).join(labels.select("node"), "node", "left_anti"))
-        return saved(every.join(up, F.col("label") == F.col("was"), "left").select("node", F.coalesce("is", "label").alias("label")), "labels")
-
-    star = saved(apart(member.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()), "star")
-    sets = full(either(star))
-    best = star.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    labels = components(confirmed(best, sets))
-
-    # Clusters: nodes that near pairs hold together. Those that fell into several components are searched whole.
-    clusters = components(star).withColumnRenamed("label", "cluster")
-    parts = labelled(clusters, labels, "node", "label").join(nodes.select(F.col("node").alias("of"), F.col("size")), F.col("node") == F.col("of")).drop("of")
-    counts = parts.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    split = counts.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("n").alias("m"), F.count("*").alias("k")).filter("k > 1")
-    tiles = saved(split.select(F.col("cluster").alias("in"), "main", blocks_of(F.col("n"), F.col("s")).alias("right"), blocks_of(F.col("n") - F.col("m"), F.col("s")).alias("left")), "clusters")
-    if tiles.limit(1).count():
-        rest = parts.join(tiles, F.col("cluster") == F.col("in")).select("cluster", "node", "label", (F.col("label") != F.col("main")).alias("rest"), "left", "right")
-        rest = saved(rest.join(sketch, "node").join(sets, "node"), "rest")
-        links = saved(tiled(rest, "cluster", _linked, [*names, "grams"], percent), "links")
+        return saved(every.join(up, F.col("label") == F.col("was"), "left").select("node", F.coalesce("is", "label").alias("label")), "labels", count)
+
+    def seen(labels, first, bands, *more):
+        """(bucket, label, least node) of some bands: a label is one row in a bucket, however many nodes it has there."""
+        rows = labelled(nodes.select("node", "bands"), labels, "node", "label").select("node", "label", F.explode(F.slice("bands", first, bands)).alias("bucket"))
+        return rows.groupBy("bucket", "label").agg(F.min("node").alias("node"), *more)
+
+    labels, star, sets = None, None, None
+    for first, bands in ((1, FIRST), (FIRST + 1, BANDS - FIRST)):
+        rows = seen(labels, first, bands)
+        heads = rows.groupBy("bucket").agg(F.min(F.struct("label", "node")).alias("head"), F.count("*").alias("k")).filter("k > 1").select(F.col("bucket").alias("in"), F.col("head.label").alias("least"), F.col("head.node").alias("b"))
+        pairs = rows.join(heads, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("least"))).select(F.col("node").alias("a"), "b").distinct()
+        near = saved(apart(pairs), "star", count)
+        if not near.limit(1).count():
+            continue
+        wanted = either(near)
+        got = full(wanted.join(sets, "node", "left_anti") if sets is not None else wanted)
+        star, sets = (near, got) if star is None else (star.union(near), sets.union(got))
+        best = near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        links = saved(confirmed(best, sets), "links", count)
         if links.limit(1).count():
             labels = joined(labels, links)
 
+    # Clusters: labels that near pairs hold together. Those with several labels are searched whole.
+    clusters = joined(labels, star) if star is not None else None
+    if clusters is not None:
+        parts = labelled(clusters.withColumnRenamed("label", "cluster"), labels, "node", "label").join(nodes.select(F.col("node").alias("of"), F.col("size")), F.col("node") == F.col("of")).drop("of")
+        counts = parts.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+        split = counts.groupBy("cluster").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("n").alias("m"), F.count("*").alias("k")).filter("k > 1")
+        tiles = saved(split.select(F.col("cluster").alias("in"), "main", blocks_of(F.col("n"), F.col("s")).alias("right"), blocks_of(F.col("n") - F.col("m"), F.col("s")).alias("left")), "clusters", count)
+        if tiles.limit(1).count():
+            rest = parts.join(tiles, F.col("cluster") == F.col("in")).select("cluster", "node", "label", (F.col("label") != F.col("main")).alias("rest"), "left", "right")
+            rest = saved(rest.join(sketch, "node").join(sets, "node"), "rest")
+            links = saved(tiled(rest, "cluster", _linked, [*names, "grams"], percent), "links")
+            if links.limit(1).count():
+                labels = joined(labels, links)
+
     # Buckets that several clusters share: pairs across clusters are near by their sketches, if at all, and are few.
-    rest = labelled(labelled(member, clusters.withColumnRenamed("cluster", "label"), "node", "label"), clusters.withColumnRenamed("cluster", "label"), "head", "head_label").withColumn("rest", F.col("label") != F.col("head_label"))
-    sizes = rest.groupBy("bucket").agg(F.count_if("rest").alias("n_rest"), F.count("*").alias("n_all")).filter("n_rest > 0 and n_all > 2")
-    sizes = sizes.select(F.col("bucket").alias("in"), F.ceil(F.col("n_rest") / BLOCK).alias("left"), F.ceil(F.col("n_all") / BLOCK).alias("right"))
-    rest = saved(rest.join(sizes, F.col("bucket") == F.col("in")).select("bucket", "node", "label", "rest", "left", "right"), "rest")
-    if rest.limit(1).count():
-        pairs = saved(tiled(rest.join(sketch, "node"), "bucket", _near, names, percent).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    sizes = seen(clusters, 1, BANDS, F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n_all"), F.count("*").alias("k")).filter("k > 1 and n_all > 2")
+    sizes = saved(sizes.select(F.col("bucket").alias("in"), F.col("main.label").alias("most"), F.ceil((F.col("n_all") - F.col("main.n")) / BLOCK).alias("left"), F.ceil(F.col("n_all") / BLOCK).alias("right")), "mixed", count)
+    if sizes.limit(1).count():
+        rest = labelled(nodes.select("node", "bands"), clusters, "node", "label").select("node", "label", F.explode("bands").alias("bucket")).join(small(sizes), F.col("bucket") == F.col("in"))
+        rest = rest.select("bucket", "node", "label", (F.col("label") != F.col("most")).alias("rest"), "left", "right")
+        pairs = tiled(rest.join(sketch, "node"), "bucket", _near, names, percent).distinct()
+        pairs = saved(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti") if star is not None else pairs, "pairs")
         if pairs.limit(1).count():
-            links = saved(confirmed(pairs, full(either(pairs))), "links")
+            links = saved(confirmed(pairs, full(either(pairs))), "links", count)
             if links.limit(1).count():
                 labels = joined(labels, links)
 
@@ -282,13 +305,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _only_sets(batches):
-    def two(batch):
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2)], ["node", "mark", "text"])
-
-    return _sets(map(two, batches))
-
-
 def unique(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs that stay: of each group the document with the smallest id, and all without an id."""
     gone = saved(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("__id"), F.lit(1).alias("__gone")).distinct(), "gone")
