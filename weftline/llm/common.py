@@ -21,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that may be broadcast; every broadcast table here has at most 48 bytes a row, so 24 MB.
 BROADCAST_ROWS = 500_000
 PER_FILE = 250_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,8 @@ def shared(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFrame:
-    """Writes df into the shared checkpoint folder and reads it back: cuts the lineage, survives lost executors.
+    """Writes df into the shared checkpoint folder and reads it back: cuts the lineage, survives lost executors. The write's own
+    shuffle files go when it ends.
 
     rows: for tables of a few numbers a row, about how many there are; they go to files of PER_FILE rows, or one for each core,
     instead of one for each shuffle partition, as loops write many such tables."""
@@ -47,7 +49,12 @@ def saved(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFra
     path = f"{shared(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // PER_FILE + 1))
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
