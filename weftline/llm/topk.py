@@ -5,14 +5,15 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Vectors of a shard and queries of a block, about; both bound what one task holds.
-SHARD, QUERIES, LEAF = 8192, 1024, 64
+#: Vectors of a shard, about, and queries of a block; both bound what one task holds.
+SHARD, QUERIES, LEAF = 32768, 512, 64
+_LONG = 2**63
 
 
 class Tree:
@@ -44,15 +45,20 @@ class Tree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
-def search(tree: Tree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int) -> list:
-    """(query, id, score) of each query's k best. floors: a score that k others are known to reach; boxes below it are passed over."""
+def search(tree: Tree, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, own: np.ndarray, floors: list, k: int) -> list:
+    """(query's row, id, score) of each query's k best, the query's own row left out. floors: a score that k others are known to
+    reach; boxes below it are passed over, as are those below the kth best so far."""
     bounds, out = tree.bounds(queries), []
     for q in range(len(queries)):
-        best: list[tuple] = []  # a heap of (score, -id), the worst first
+        best: list[tuple] = []  # a heap of (score, -id, place), the worst first
         heap = [(-bounds[q, 0], 0)]
+
+        def limit():
+            return max(floors[q], best[0][0]) if len(best) == k else floors[q]
+
         while heap:
             bound, node = heapq.heappop(heap)
-            if -bound < (max(floors[q], best[0][0]) if len(best) == k else floors[q]):
+            if -bound < limit():
                 break
             left, right = tree.kids[node]
             if left >= 0:
@@ -60,74 +66,96 @@ def search(tree: Tree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray,
                 heapq.heappush(heap, (-bounds[q, right], right))
                 continue
             at, to = tree.span[node]
-            rows = tree.order[at:to]
-            scores = points[rows] @ queries[q]
-            limit = max(floors[q], best[0][0]) if len(best) == k else floors[q]
-            hit = np.flatnonzero(scores >= limit)
+            of = tree.order[at:to]
+            scores = points[of] @ queries[q]
+            hit = [j for j in np.flatnonzero(scores >= limit()) if rows[of[j]] != own[q]]
             if len(hit) > k:  # of many equals only the smallest ids can stay
-                hit = hit[np.lexsort((ids[rows[hit]], -scores[hit]))[: k + 1]]
+                hit = sorted(hit, key=lambda j: (-scores[j], ids[of[j]]))[:k]
             for j in hit:
-                i = int(ids[rows[j]])
-                if i != own[q]:
-                    heapq.heappush(best, (scores[j], -i)) if len(best) < k else heapq.heappushpop(best, (scores[j], -i))
-        out += [(int(own[q]), -i, s) for s, i in best]
+                new = (scores[j], -int(ids[of[j]]), int(of[j]))
+                heapq.heappush(best, new) if len(best) < k else heapq.heappushpop(best, new)
+        out += [(int(own[q]), -i, max(-_LONG, min(_LONG - 1, int(s)))) for s, i, _ in best]
     return out
 
 
-def _matrix(column) -> np.ndarray:
-    m = np.array(column.tolist(), dtype=np.int64)
-    big = int(np.abs(m).max(initial=0)) ** 2 * m.shape[1]
-    return m.astype(np.float64) if big < 2**52 else m.astype(object)  # floats are exact up to there
+def _exact(points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as they are if floats hold all their products exactly, else as whole numbers of any size."""
+    if float(np.abs(points).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, points.shape[1]) < 2.0**52:
+        return points, queries
+    return tuple(np.array([[int(v) for v in row] for row in m], dtype=object).reshape(m.shape) for m in (points, queries))
 
 
 def _searcher(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        points, queries = _matrix(left["q"]), _matrix(right["q"])
-        if points.dtype != queries.dtype:
-            points, queries = points.astype(object), queries.astype(object)
-        floors = right["floor"].fillna(-np.inf).to_numpy(dtype=np.float64)
-        found = search(Tree(points), points, left["vec_id"].to_numpy(np.int64), queries, right["vec_id"].to_numpy(np.int64), floors, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+    def run(batches):
+        """Of each shard its vectors come first, then its queries, which pass by in blocks: a task holds one shard and one block."""
+        key, held, tree = None, [], None
+        for batch in batches:
+            dim, shard, asks, row, vec, floor = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 3, 4, 6))
+            values, ends = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.cumsum(dim)
+            cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(asks) != 0)) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(dim)]):
+                if to <= at:
+                    continue
+                if (dim[at], shard[at]) != key:
+                    key, held, tree = (dim[at], shard[at]), [], None
+                q = values[ends[at] - dim[at] : ends[to - 1]].reshape(to - at, dim[at])
+                if not asks[at]:
+                    held.append((q.copy(), vec[at:to].copy(), row[at:to].copy()))
+                    continue
+                if not held:
+                    continue
+                if tree is None:
+                    points, ids, rows = (np.concatenate(x) for x in zip(*held))
+                    held, tree = [(points, ids, rows)], Tree(points)
+                for b in range(at, to, QUERIES):
+                    part = slice(b - at, min(b + QUERIES, to) - at)
+                    p, x = _exact(points, q[part])
+                    known = [int(f) if f == f and f is not None else -np.inf for f in floor[at:to][part]]
+                    found = search(tree if p is points else Tree(p), p, ids, rows, x, row[at:to][part], known, k)
+                    cols = list(zip(*found)) if found else [[], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["of", "vec_id", "score"])
 
     return run
 
 
 def quantized(embeddings: DataFrame) -> DataFrame:
-    """vec_id, q: floor(256 x) of each component as long. Null ids and vectors null, empty or with null or non-finite components take no part; of rows with one id the smallest vector counts."""
-    ok = F.col("vec_id").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 3e13))
-    return embeddings.select("vec_id", "embedding").filter(ok).select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("q")).groupBy("vec_id").agg(F.min("q").alias("q"))
+    """row, vec_id, q: floor(256 x) of each component, as a double, which holds it exactly. Null ids and vectors null, empty or with null or
+    non-finite components take no part."""
+    ok = F.col("vec_id").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    most = F.lit(1.7e308)
+    scaled = F.transform("embedding", lambda x: F.greatest(F.least(F.lit(256.0) * x.cast("double"), most), -most))
+    q = F.transform(scaled, lambda x: F.rint(x) - F.when(F.rint(x) > x, 1.0).otherwise(0.0))  # floor() would give a long
+    return embeddings.select("vec_id", "embedding").filter(ok).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
 
 
 def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k rows (not itself) with the largest
     inner product of quantized vectors, ties to the smaller vec_id.
 
-    Vectors are dealt by a hash of the id to shards of about SHARD, queries to blocks of about QUERIES, and each block
-    meets each shard; both counts grow with the table, so a task's memory doesn't. A first pass over one shard gives each query a
-    kth score, which the others start from; the shards' best meet in a last top-k by query.
+    Vectors are dealt by a hash of the row to shards of about SHARD, each of which gets a KD-tree in one task; the queries come to the
+    shard and stream by in blocks, so vectors move once and a task's memory doesn't grow. A first pass over one shard gives each
+    query a kth score, which the others start from; the shards' best meet in a last top-k by query.
 
-    Vectors of other lengths never meet. Ids divisible by `every` include 0 and negative ones. Components of 3e13 or more count as
-    non-finite, as their product has no long. Fewer than k others: all. Empty table: no rows. Other columns don't matter.
+    Vectors of other lengths never meet. Ids divisible by `every` include 0 and negative ones. Repeated rows: each is a candidate, and a
+    query of its own if its id is divisible; only the query's own row is left out. Scores are exact; those beyond a long
+    are told as the largest or smallest long. Fewer than k others: all. Null ids, vectors null or empty or with components null or
+    non-finite: no part. Empty table: no rows. Other columns don't matter.
     """
     vectors = saved(quantized(embeddings), "vectors")
-    n, asked = vectors.count(), vectors.filter(F.col("vec_id") % every == 0).count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // QUERIES))
-    dealt = vectors.withColumn("dim", F.size("q")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    blocked = dealt.filter(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    keys = ["dim", "shard", "block"]
-
-    def meet(points, queries, over):
-        points = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "vec_id", "q")
-        queries = queries.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in over]) if len(over) < 50 else F.sequence(F.lit(over[0]), F.lit(over[-1])))).select(*keys, "vec_id", "q", "floor")
-        points, queries = (x.select(*[F.col(c).alias(f"{c}{i}") for c in x.columns]).toDF(*x.columns) for i, x in enumerate((points, queries)))
-        return points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_searcher(k), "query_id long, vec_id long, score long")
-
-    first = saved(meet(dealt.filter("shard = 0"), blocked.drop("shard").withColumn("floor", F.lit(None).cast("double")), [0]), "first")
+    shards = max(1, -(-vectors.count() // SHARD))
+    dealt = vectors.select(F.size("q").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "row", "vec_id", "q", F.lit(None).cast("long").alias("floor"))
+    asked = vectors.filter(F.col("vec_id") % every == 0)
+
+    def meet(points, queries, first, to):
+        over = F.explode(F.sequence(F.lit(first), F.lit(to)))
+        both = points.union(queries.select(F.size("q").alias("dim"), over.alias("shard"), F.lit(True).alias("asks"), "row", "vec_id", "q", "floor"))
+        both = both.repartition(max(1, to - first + 1), "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+        return both.mapInArrow(_searcher(k), "of long, vec_id long, score long")
+
+    found = saved(meet(dealt.filter("shard = 0"), asked.withColumn("floor", F.lit(None).cast("long")), 0, 0), "first")
     if shards > 1:
-        floors = first.groupBy(F.col("query_id").alias("of")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-        rest = meet(dealt.filter("shard > 0"), blocked.drop("shard").join(floors, F.col("vec_id") == F.col("of"), "left"), range(1, shards))
-        first = first.union(rest)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return first.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        floors = found.groupBy(F.col("of").alias("its")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        found = found.union(meet(dealt.filter("shard > 0"), asked.join(floors, F.col("row") == F.col("its"), "left"), 1, shards - 1))
+    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("score"), "vec_id"))
+    best = found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
+    return best.join(asked.select(F.col("row").alias("its"), F.col("vec_id").alias("query_id")), F.col("of") == F.col("its")).select("query_id", "rank", "vec_id", "score")
