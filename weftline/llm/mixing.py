@@ -17,13 +17,20 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     `share` of all sizes; none gets more than cap times its size, and what is over goes to the others by weight.
 
     That is min(cap * size, level * weight) with one level for all, found from running sums over the sources in order
-    of the level at which each is full: the first source that what is left doesn't fill gives the level. One row per source, so the one-partition window is as small as the sources are.
+    of the level at which each is full: the first source that what is left doesn't fill gives the level. Sources that are full at
+    one level enter the sums together. One row per source, so the one-partition window is as small as the sources are.
     """
     k = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
     weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (k % len(weights) + 1).cast("int"))).withColumn("full_at", cap * F.col("source_size") / F.col("weight"))
-    upto = Window.orderBy("full_at", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("full_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    level_with = Window.partitionBy("full_at")
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("full_at")
-    rest = weighed.withColumn("left", share * F.sum("source_size").over(every) - F.coalesce(cap * F.sum("source_size").over(upto), F.lit(0.0))).withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
+
+    def below(column):
+        """Sum over the sources that are full at a lower level; exact, as sizes and weights are whole numbers."""
+        return F.sum(column).over(upto) - F.sum(column).over(level_with)
+
+    rest = weighed.withColumn("left", share * F.sum("source_size").over(every) - cap * below("source_size")).withColumn("open", F.sum("weight").over(every) - below("weight"))
     first = F.min(F.when(F.col("full_at") * F.col("open") >= F.col("left"), F.struct("full_at", (F.col("left") / F.col("open")).alias("level")))).over(every)
     level = first["level"]
     return rest.select("source", "source_size", F.least(cap * F.col("source_size"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
@@ -40,7 +47,10 @@ def _ranked(sized: DataFrame, aims: DataFrame, cap: float) -> DataFrame:
     each = F.least(F.lit(cap), F.when(F.col("__total") > 0, F.col("__target") / F.col("__total")).otherwise(0.0) * F.col("__due"))
     rows = rows.withColumn("__each", each).withColumn("__whole", F.floor("__each")).withColumn("__p", F.col("__each") - F.col("__whole"))
     rank = F.col("__u") * (1 - F.col("__p")) / (F.col("__u") * (1 - F.col("__p")) + (1 - F.col("__u")) * F.col("__p"))
-    rows = rows.withColumn("__rank", rank).withColumn("__bucket", F.floor(F.col("__rank") * BUCKETS).cast("int"))
+    rows = rows.withColumn("__rank", rank)
+    # Ranks crowd at 0 or 1 where p is near 1 or 0; held against the source's mean odds they are spread as u is.
+    spread = F.col("__rank") * F.col("__p0") / (F.col("__rank") * F.col("__p0") + (1 - F.col("__rank")) * (1 - F.col("__p0")))
+    rows = rows.withColumn("__bucket", F.floor(spread * BUCKETS).cast("int"))
     rows = rows.withColumn("__extra", F.when(F.col("__whole") + 1 <= cap, F.col("__size")).otherwise(0))
     return rows.withColumn("__key", F.struct(F.col("__rank").alias("r"), F.col("__u").alias("u"), F.coalesce("doc_id", F.lit(-(2**62))).alias("d"), F.col("__size").alias("s")))
 
@@ -57,11 +67,14 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple
     source that each row is held against where it lies: texts do not move.
 
     Null text or no words: size 0, taken 0. Null source: a source of its own, the last. Null doc_id: as an id of its own.
-    Repeated rows: each counts; rows equal in id and size are taken alike. Empty table: no rows. Columns named as the added ones are replaced.
+    Repeated rows: each counts; rows equal in id and size are taken alike, all or none at the cut. Empty table: no rows. Columns named as the added ones are replaced.
     """
     skinny = saved(_sized(docs, seed, weight).select("doc_id", "source", "__size", "__u", "__due"), "sized")
-    sizes = skinny.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    aims = small(saved(targets(sizes, share, cap, weights), "targets")).withColumnsRenamed({"source": "__of", "source_size": "__total", "target": "__target"})
+    sizes = saved(skinny.groupBy("source").agg(F.sum("__size").alias("source_size"), F.avg("__due").alias("__mean")), "sizes")
+    aims = targets(sizes.drop("__mean"), share, cap, weights).join(sizes.select(F.col("source").alias("__of"), "__mean"), F.col("source").eqNullSafe(F.col("__of")))
+    mean = F.least(F.lit(cap), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("__mean"))
+    aims = aims.select("__of", F.col("source_size").alias("__total"), F.col("target").alias("__target"), F.least(F.greatest(mean - F.floor(mean), F.lit(1e-6)), F.lit(1 - 1e-6)).alias("__p0"))
+    aims = small(saved(aims, "targets"))
     ranked = _ranked(skinny, aims, cap)
     sums = ranked.groupBy("source", "__bucket").agg(F.sum("__extra").alias("words"), F.sum(F.col("__whole") * F.col("__size")).alias("certain"), F.min("__target").alias("goal"))
     by = Window.partitionBy("source")
@@ -76,7 +89,8 @@ def mix(docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple
     cut = saved(cut, "cut")
     inside = Window.partitionBy("source").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = ranked.join(small(cut), F.col("source").eqNullSafe(F.col("__cut_of")) & (F.col("__bucket") == F.col("__last")))
-    edge = edge.filter("__extra > 0").withColumn("upto", F.sum("__extra").over(inside)).filter(F.col("__before") + F.col("upto") - F.col("__extra") / 2 <= F.col("__need"))
+    edge = edge.filter("__extra > 0").groupBy("source", "__key").agg(F.sum("__extra").alias("__extra"), F.min("__before").alias("__before"), F.min("__need").alias("__need"))  # rows with one key are one, however many
+    edge = edge.withColumn("upto", F.sum("__extra").over(inside)).filter(F.col("__before") + F.col("upto") - F.col("__extra") / 2 <= F.col("__need"))
     upto = edge.groupBy("source").agg(F.max("__key").alias("__upto")).withColumnRenamed("source", "__upto_of")
     cut = small(saved(cut.join(upto, F.col("__cut_of").eqNullSafe(F.col("__upto_of")), "left").select("__cut_of", "__last", "__upto"), "cut"))
     whole = set(docs.columns) > {"doc_id", "source", "text"}
