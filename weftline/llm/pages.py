@@ -4,57 +4,146 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, schema_of, small
+from .common import saved, schema_of
 
-RAW = "script|style|noscript|template|svg|textarea|iframe|title|select|button|object|canvas|audio|video|math"
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z""",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Elements whose content is no markup. A page may end inside the first two; the others need their end tag.
+RAW = ("script", "style", "textarea", "title", "iframe")
+#: Elements inside a line whose content is no text of the page.
+SKIPPED = frozenset("noscript template svg select button object canvas audio video".split())
 BOXES = frozenset("body div article section main nav header footer aside form ul ol dl table blockquote figure center details fieldset menu dialog".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements, and words of class, id and role, whose content is no article.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("mi mn mo mrow ms mspace msqrt mroot mfrac msub msup msubsup mtext munder mover munderover mtable mtr mtd mstyle semantics annotation merror mpadded mphantom".split())
+#: Elements, roles, and words of class and id whose content is no article.
 OFF_TAGS = frozenset("nav footer aside form menu dialog".split())
-OFF_WORDS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe subscription signup share sharing social comment comments disqus reply replies respond discussion related recommended recommendations widget login search pagination pager toolbar complementary contentinfo skip hidden".split())
+OFF_ROLES = frozenset("navigation complementary contentinfo search dialog alertdialog alert menu menubar toolbar".split())
+OFF_WORDS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe subscription signup share sharing social comment comments disqus reply replies respond discussion related recommended recommendations widget login search pagination pager toolbar skip".split())
+#: A class that begins with one of these tells how a container is laid out, not what it holds: has-sidebar, no-comments.
+ABOUT = frozenset("has have no not non with without is hide show hides shows hidden enable enabled disable disabled open opened closed single page post entry layout theme js two one left right full".split())
 HEAD_WORDS = frozenset(["header", "masthead"])
 #: Share of a container's good text that a child must hold to be the better container.
 DEEPER = 0.6
-#: Winning paths kept of a host; a page that has none of them decides for itself.
-WINNERS = 8
+#: Share of its host's votes that a winning path has, so a host has 1 / SHARE of them at most; a page that has none of them decides for itself.
+SHARE = 0.02
+#: Characters that the paths of all hosts may have to be broadcast.
+BROADCAST_CHARS = 16_000_000
+#: A page keeps at least this share of its good text, or boilerplate marks are taken back, if what they hide has so many characters or a heading.
+KEPT, PLENTY = 0.1, 250
+#: Containers inside each other; deeper ones count as part of the last.
+DEPTH = 200
+_CONTENT = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STEP = re.compile(r"""=\s*(["'])|>""")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
 class Box:
-    __slots__ = ("tag", "path", "off", "head", "up", "kids", "good")
+    __slots__ = ("tag", "path", "marked", "off", "head", "up", "kids", "good", "size", "heads")
 
-    def __init__(self, tag, path, off, head, up):
-        self.tag, self.path, self.off, self.head, self.up, self.kids, self.good = tag, path, off, head, up, [], 0.0
+    def __init__(self, tag, path, marked, head, up):
+        self.tag, self.path, self.marked, self.head, self.up, self.kids, self.good, self.size, self.heads = tag, path, marked, head, up, [], 0.0, 0.0, 0
+        self.off = marked or up is not None and up.off
         if up is not None:
             up.kids.append(self)
 
 
+def _marks(said: str):
+    """The words of each class or id, split at what is no letter and at humps; none of those that only tell the layout."""
+    for token in said.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", token)]
+        if words and not (words[0] in ABOUT and len(words) > 1):
+            yield words
+
+
 def _box(tag: str, attrs: str, up: Box) -> Box:
-    found = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _ATTR.finditer(attrs)} if attrs else {}
-    said = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    words = set(re.findall(r"[a-z]+", said))
-    mark = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(found.get("class", "").split())) or ("#" + re.sub(r"\d+", "0", found["id"]) if found.get("id") else "")
-    off = up.off or tag in OFF_TAGS or bool(words & OFF_WORDS) and tag != "body" or "hidden" in found
-    head = up.head or tag == "header" or bool(words & HEAD_WORDS)
-    return Box(tag, f"{up.path}/{tag}{mark}" if up.path else tag + mark, off, head, up)
+    found = {}
+    for m in _ATTR.finditer(attrs) if attrs else ():
+        found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    classes, name = found.get("class", ""), found.get("id", "")
+    words = {w for said in (classes, name) for ws in _marks(said) for w in ws}
+    mark = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(classes.lower().split())) or ("#" + re.sub(r"\d+", "0", name.lower()) if name else "")
+    style = found.get("style", "").replace(" ", "").lower()
+    unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style
+    marked = (tag in OFF_TAGS or found.get("role", "").lower() in OFF_ROLES or unseen or bool(words & OFF_WORDS)) and tag != "body"
+    head = up.head or tag == "header" or found.get("role", "").lower() == "banner" or bool(words & HEAD_WORDS)
+    return Box(tag, f"{up.path}/{tag}{mark}" if up.path else tag + mark, marked, head, up)
+
+
+def scan(source: str):
+    """(start, end, tag, is it an end tag, attributes) of each piece of markup in order; tag "" for what is only dropped.
+
+    Each character is looked at a bounded number of times: a quote opens only after "=", and once one has no partner, all later
+    tags end at their next ">"; an end tag that was searched in vain is not searched again."""
+    at, plain, missing, size = 0, False, set(), len(source)
+    while True:
+        i = source.find("<", at)
+        if i < 0:
+            return
+        c = source[i + 1 : i + 2]
+        if c in "!?" or c == "/" and not source[i + 2 : i + 3].isalpha():
+            if not c or c == "/" and i + 2 >= size:
+                at = i + 1
+                continue
+            if source.startswith("<!--", i):
+                short = 5 if source.startswith("<!-->", i) else 6 if source.startswith("<!--->", i) else 0
+                j = i + short if short else source.find("-->", i + 4) + 3
+                at = j if j > i else size
+            else:
+                close = "]]>" if source.startswith("<![CDATA[", i) and "cdata" not in missing else ">"
+                j = source.find(close, i)
+                if j < 0 and close == "]]>":
+                    missing.add("cdata")
+                    j, close = source.find(">", i), ">"
+                at = j + len(close) if j >= 0 else size
+            yield i, at, "", False, ""
+            continue
+        end = c == "/"
+        m = _NAME.match(source, i + 1 + end)
+        if not m or not m[0][0].isascii():
+            at = i + 1
+            continue
+        j = source.find(">", m.end())
+        if j < 0:
+            if "<" not in source[i + 1 :]:
+                yield i, size, "", False, ""  # the page ends inside a tag
+            return
+        if not plain and ('"' in (part := source[m.end() : j]) or "'" in part):
+            p = m.end()
+            while step := _STEP.search(source, p):
+                if step[0] == ">":
+                    j = step.start()
+                    break
+                p = source.find(step[1], step.end()) + 1
+                if not p:
+                    break
+            else:
+                p = 0
+            plain = not p
+        at, tag = j + 1, m[0].lower()
+        yield i, at, tag, end, source[m.end() : j]
+        if tag in _CONTENT and not end and tag not in missing:
+            close = _CONTENT[tag].search(source, at)
+            if close or tag in RAW[:2]:
+                if (to := close.start() if close else size) > at:
+                    yield at, to, "", False, ""
+                at = to
+            else:
+                missing.add(tag)
 
 
-def read_page(source: str) -> tuple[Box, list[tuple[Box, str, float, bool]]]:
+def read_page(source: str, seen: frozenset = frozenset()) -> tuple[Box, list[tuple[Box, str, float, bool]]]:
     """(root, blocks): a block is its container, its text, the share of it in links, and if it is a heading. A forgiving
-    scan: raw elements and comments go, unknown end tags are passed over, an end tag closes what is open inside it."""
+    scan: raw elements and comments go, unknown end tags are passed over, an end tag closes what is open inside it. What stands in
+    SKIPPED elements goes too, unless that is more than the rest of the page (an element that was never closed): then its tags alone do."""
     root = box = Box("", "", False, False, None)
     blocks, text, linked, depth, heading, in_head = [], [], 0, 0, False, False
-    at = 0
+    at, inside, nested, hidden, shown = 0, "", 0, dict.fromkeys(SKIPPED, 0), 0
+    last: dict = {}
+    level, flat = 0, Counter()
 
     def close():
         nonlocal text, linked
@@ -63,17 +152,34 @@ def read_page(source: str) -> tuple[Box, list[tuple[Box, str, float, bool]]]:
             blocks.append((box, whole, min(1.0, linked / len(whole)), heading))
         text, linked = [], 0
 
-    for m in _TOKEN.finditer(source):
-        if m.start() > at and not in_head:
-            piece = source[at : m.start()]
+    def add(piece):
+        nonlocal linked, shown
+        if inside:
+            hidden[inside] += len(piece.strip())
+        elif not in_head:
             text.append(piece)
+            shown += len(piece.strip())
             if depth:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+
+    for start, end_at, tag, end, attrs in scan(source):
+        if start > at:
+            add(source[at:start])
+        at = end_at
+        if not tag:
+            continue
+        if tag in SKIPPED and tag not in seen:
+            if inside == tag:
+                nested += -1 if end else 0 if tag in ("button", "select") else 1
+                inside = inside if nested else ""
+            elif not inside and not end and not attrs.endswith("/"):
+                if tag not in last:
+                    last[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", source, re.I)), default=-1)
+                if last[tag] >= at:
+                    inside, nested = tag, 1
+            continue
+        if inside or tag in seen:
             continue
-        tag, end = tag.lower(), bool(m["end"])
         if tag == "a":
             depth = max(0, depth - 1) if end else depth + 1
         if tag in INLINE:
@@ -85,35 +191,79 @@ def read_page(source: str) -> tuple[Box, list[tuple[Box, str, float, bool]]]:
             in_head = False
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             heading = not end
-        elif tag in BOXES:
+            if heading:
+                box.heads += 1
+        elif tag in BOXES or "-" in tag:
             heading = False
             if not end:
-                if tag not in INLINE and not m[0].endswith("/>"):
-                    box = _box(tag, m["attrs"], box)
+                if attrs.endswith("/") and tag not in BOXES:
+                    continue
+                if level < DEPTH:
+                    box, level = _box(tag, attrs, box), level + 1
+                else:
+                    flat[tag] += 1
+            elif flat[tag]:
+                flat[tag] -= 1
             else:
-                b = box
+                b, up = box, 0
                 while b is not None and b.tag != tag:
-                    b = b.up
+                    b, up = b.up, up + 1
                 if b is not None and b.up is not None:
-                    box = b.up
-    if at < len(source) and not in_head:
-        text.append(source[at:])
+                    box, level = b.up, level - up - 1
+    if at < len(source):
+        add(source[at:])
     close()
-    return root, blocks
+    over = frozenset(t for t, n in hidden.items() if n > max(shown, PLENTY))
+    return read_page(source, seen | over) if over else (root, blocks)
 
 
-def judge(root: Box, blocks: list) -> tuple[str, float]:
-    """(path of the best container, its share of the page's good text). Good text is what links and boilerplate leave, a
-    short block counting less; from the top, the child that holds most of it is entered for as long as one does."""
-    total = 0.0
+def _good(blocks: list) -> None:
+    """Sums up each container's good text: what links and boilerplate leave, a short block counting less."""
     for box, text, linked, _ in blocks:
-        if not box.off:
-            good = len(text) * (1 - linked) * min(1.0, len(text) / 40)
-            total += good
-            b = box
-            while b is not None:
+        good = len(text) * (1 - linked) * min(1.0, len(text) / 40)
+        b, kept = box, not box.off
+        while b is not None:
+            b.size += good
+            if kept:
                 b.good += good
-                b = b.up
+            b = b.up
+
+
+def _every(root: Box) -> list:
+    out, stack = [], [root]
+    while stack:
+        b = stack.pop()
+        out.append(b)
+        stack += reversed(b.kids)
+    return out
+
+
+def settle(root: Box, blocks: list) -> None:
+    """Takes back boilerplate marks that leave next to nothing of the page, as of a form or a dialog around all of it."""
+    boxes = _every(root)
+    while True:
+        for b in boxes:
+            b.good = b.size = 0.0
+            b.off = b.marked or b.up is not None and b.up.off
+        _good(blocks)
+        if not root.size or root.good >= KEPT * root.size:
+            return
+        heads = {id(b): b.heads + (b.tag in ("article", "main")) for b in boxes}
+        for b in reversed(boxes[1:]):  # children stand behind their parents
+            heads[id(b.up)] += heads[id(b)]
+        outer = [b for b in boxes if b.marked and not (b.up is not None and b.up.off) and b.size > KEPT * root.size and (heads[id(b)] or b.size >= PLENTY)]
+        if not outer:
+            return
+        # Whatever hides nearly all must go; it is one inside the other. Else the largest.
+        for b in [b for b in boxes if b.marked and b.size > (1 - KEPT) * root.size and (heads[id(b)] or b.size >= PLENTY)] or [max(outer, key=lambda b: b.size)]:
+            b.marked = False
+
+
+def judge(root: Box, blocks: list) -> tuple[str, float]:
+    """(path of the best container, its share of the page's good text). From the top, the child that holds most good text is
+    entered for as long as one does."""
+    settle(root, blocks)
+    total = root.good
     if not total:
         return "", 0.0
     best = root
@@ -145,11 +295,9 @@ def main_text(source: str | None, paths: list[str] | None) -> tuple[str, str]:
                 out.append(text)
         return out
 
-    boxes, stack = {}, [root]
-    while stack:
-        b = stack.pop()
+    boxes = {}
+    for b in _every(root):
         boxes[b.path] = boxes.get(b.path, 0) + b.good
-        stack += b.kids
     for path in [p for p in paths or [] if boxes.get(p, 0) >= 0.5 * boxes.get(own, 0)] + [own]:
         if boxes.get(path, 0) > 0 or path == own:
             return " ".join(under(path)), path
@@ -182,9 +330,9 @@ def winners(pages: DataFrame) -> DataFrame:
     sums combine before the shuffle, so a host with most pages is no hot key."""
     votes = pages.filter("html is not null and html <> ''").select(host_of(F.col("url")).alias("host"), "html").filter("host is not null").mapInArrow(_votes, "host string, path string, share double")
     summed = votes.filter("path <> ''").groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    kept = summed.withColumn("rank", rank).filter(F.col("rank") <= WINNERS)
-    return kept.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    of_host = summed.groupBy(F.col("host").alias("of")).agg(F.sum("votes").alias("all"))
+    kept = summed.join(of_host, F.col("host") == F.col("of")).filter(F.col("votes") >= SHARE * F.col("all"))
+    return kept.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))), lambda x: x["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -199,7 +347,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Other columns don't matter. Pages do not move while the hosts' paths fit a checked broadcast.
     """
     rows = pages.select("page_id", "url", "html")
-    wins = small(saved(winners(rows), "paths").withColumnRenamed("host", "__host"), 50_000)
+    wins = saved(winners(rows), "paths").withColumnRenamed("host", "__host")
+    chars = wins.agg(F.sum(F.length("__host") + F.length(F.array_join("paths", "")))).first()[0] or 0
+    wins = F.broadcast(wins) if chars <= BROADCAST_CHARS else wins
     joined = rows.withColumn("__h", host_of(F.col("url"))).join(wins, F.col("__h") == F.col("__host"), "left").select("page_id", "url", F.col("html").alias("__html"), F.col("paths").alias("__paths"))
     out = joined.mapInArrow(_texts, schema_of(rows.select("page_id", "url")) + ", text string, path string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
