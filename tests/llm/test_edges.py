@@ -54,10 +54,17 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, float("nan")]), (2, None), (3, [1.0, None]), (4, [1.0, 2.0]), (4, [1.0, 2.0]), (None, [1.0, 1.0]), (5, []), (6, [1.0]), (50, [float("inf"), 1.0]), (7, [-1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("q", "dim", "shard", "score", "rank")})
     got = [tuple(r) for r in topk.nearest(df).orderBy("rank").collect()]
-    assert got == [(0, 1, 4, 256 * 256 * 5), (0, 2, 7, 0)]
+    assert got == [(0, 1, 4, 256 * 256 * 5), (0, 2, 4, 256 * 256 * 5), (0, 3, 7, 0)]
     assert topk.nearest(df.filter("vec_id > 100")).collect() == []
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 5.0]), (1, [2.0, 5.0]), (2, [1e14, 0.0]), (3, [1e300, -1e300]), (4, [-1e300, 0.0]), (50, [3.1e12, 1.0]), (50, [3.1e12, 1.0])]
+    got = sorted(tuple(r) for r in topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert [r for r in got if r[0] == 0] == [(0, 1, 3, 2**63 - 1), (0, 2, 2, 256 * 256 * 10**14), (0, 3, 50, 256 * 256 * 31 * 10**11), (0, 4, 50, 256 * 256 * 31 * 10**11), (0, 5, 1, 131072)]
+    assert len(got) == 15 and [r[2] for r in got if r[0] == 50 and r[1] <= 2] == [2, 2, 3, 3]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, "<p>a</p>"), (2, "http://h/x", None), (3, "http://h/y", ""), (3, "http://h/y", ""), (None, "nonsense", "<article>Text<b>bold</b> &amp; more"), (4, "http://h/z", "<p>" + LONG)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "text", "path", "__html")})

@@ -202,11 +202,11 @@ def test_leaks_against_all_alignments(spark):
     assert got == want
 
 
-def test_mix_targets(spark):
-    sizes = {None: 400, "a": 1000, "b": 10, "c": 300, "d": 0}
+@pytest.mark.parametrize("sizes", [{None: 400, "a": 1000, "b": 10, "c": 300, "d": 0}, {"a": 1000, "b": 100, "c": 100, "d": 1000}, {"a": 300, "b": 100, "c": 200, "d": 300, None: 100}, {"a": 0, None: 0}, {"a": 100, "b": 100, "c": 100, "d": 0, "e": 0, "f": 0, "g": 600}])
+def test_mix_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     order = sorted((s for s in sizes if s is not None)) + [None]
-    weight, total = dict(zip(order, (3, 1, 2, 3, 1))), 1.5 * sum(sizes.values())
+    weight, total = dict(zip(order, (3, 1, 2) * 3)), 1.5 * sum(sizes.values())
     want, fixed = {}, set()
     while True:  # share, stop the ones above, share again
         left, w = total - sum(2 * sizes[s] for s in fixed), sum(weight[s] for s in sizes if s not in fixed)
@@ -230,6 +230,33 @@ def test_mix_comes_near(spark):
     assert {r.doc_id: r.taken for r in out} == {r.doc_id: r.taken for r in again}
 
 
+def test_mix_with_tied_sources_and_its_sql(spark, duck):
+    """Two sources that are full at one level, one without words, and a repeated row."""
+    sizes = {"a": 1000, "b": 100, "c": 100, "d": 1000, "e": 0}
+    rows = [(1000 * k + i, "w " * 10, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n // 10)] + [(9000, None, "e"), (9001, "w " * 10, "d"), (9001, "w " * 10, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(df).collect())
+    frame = df.toPandas()  # noqa: F841  read by the SQL
+    con = duck.cursor()
+    con.register("docs_here", frame)
+    want = con.execute(queries.SQL["op10_source_mixing"].replace("from documents)", "from docs_here)")).fetchall()
+    assert got == sorted((a, b, c, round(d, 6), e) for a, b, c, d, e in want)
+    assert {r[3] for r in got} == {1465.0, 200.0, 0.0}
+
+
+@pytest.mark.parametrize("share", [0.99999, 1.0, 0.00001])
+def test_rank_buckets_are_even(spark, monkeypatch, share):
+    """Inclusion odds near 0 or 1 don't crowd the rows into one bucket."""
+    rows = [(i, "w " * 10, "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = [r.taken for r in mixing.mix(df, share=share).collect()]
+    assert abs(sum(taken) - share * 30_000) <= 10
+    seen, plain = [], mixing._ranked
+    monkeypatch.setattr(mixing, "_ranked", lambda *a: seen.append(plain(*a)) or seen[-1])
+    mixing.mix(df, share=share)
+    assert share == 1.0 or seen[0].groupBy("__bucket").count().agg(F.max("count")).first()[0] < 20
+
+
 def test_pareto_order_has_its_odds(spark):
     """Documents with more weight are taken more often."""
     rows = [(i, "w w", "s", 1.6 if i % 2 else 0.4) for i in range(4000)]
@@ -315,6 +342,57 @@ def test_main_text():
     assert pages.judge(*pages.read_page(ARTICLE))[0] == "body.x0/div#main-0/article.p0.post"
 
 
+BODY = "<h1>The title</h1><p>" + "The story goes on in plain words that are no links at all. " * 6 + "</p><p>It ends here.</p>"
+WANT = "The title " + " ".join(["The story goes on in plain words that are no links at all."] * 6) + " It ends here."
+WRAPPED = {
+    "other attributes": '<div style="overflow:hidden" aria-hidden="false" data-role="menu" data-id="nav">{}</div>',
+    "layout classes": '<div class="page has-sidebar no-comments with_ads">{}</div>',
+    "a form around all": "<form id=aspnetForm><div class=menu><a href=/>Home</a></div><div id=text>{}</div></form>",
+    "a dialog class around all": '<div class="modal-page">{}</div>',
+    "a custom element": "<title-card>{}</title-card><select-list></select-list>",
+    "an open iframe": "<iframe src=x><div>{}</div>",
+    "an open button": "<button>Menu<div>{}</div><button>More</button>",
+    "an open video and object": "<video src=x><object data=y><article>{}</article>",
+    "an open title": "<title>Site<article>{}</article>",
+    "an unclosed quote": '<div title="a><p></p><article>{}</article>',
+    "a stray quote": '<div "><a "><article>{}</article></div>',
+    "odd comments": "<!--><!---><!x><?y></ z></><article>{}</article><!-- open",
+    "a lone sign": "<article>{}</article><footer>1 < 2 <3</footer>",
+    "a cut tag": "<article>{}</article><div class='x",
+    "no end tags": "<main><article>{}",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WRAPPED))
+def test_pages_keep_their_article(name):
+    page = "<html><head><title>T</title></head><body><nav><a>x</a></nav>" + WRAPPED[name].format(BODY) + "<footer>The footer</footer></body></html>"
+    if name == "odd comments" or name in ("a cut tag", "an open title"):
+        page = WRAPPED[name].format(BODY)
+    assert pages.main_text(page, None)[0].startswith(WANT) and "footer" not in pages.main_text(page, None)[0].lower(), pages.main_text(page, None)
+
+
+def test_parts_that_go():
+    parts = ["<div class='site-footer'>No one reads this here.</div>", "<div id=cookieNotice>We use cookies.</div>", "<ul class=navMenu><li>Menu item</ul>", "<div hidden>Unseen text</div>", "<div aria-hidden=true>Unseen text</div>", "<section class='comment-list'><p>" + "A reader says something here. " * 40 + "</p></section>", "<div role=search>Find it</div>", "<button>Press</button>", "<select><option>One</select>"]
+    page = "<body>" + "".join(parts[:4]) + "<article>" + BODY + "</article>" + "".join(parts[4:]) + "</body>"
+    assert pages.main_text(page, None)[0] == WANT
+    assert pages.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p></article>", None)[0] == "Let x=1 hold."
+
+
+def test_scan_is_linear():
+    """Unclosed quotes, tags and elements: four times the page takes about four times as long."""
+    import time
+
+    def took(unit, n):
+        began = time.perf_counter()
+        pages.main_text("<body>" + unit * n + BODY, None)
+        return time.perf_counter() - began
+
+    for unit in ('<a "', '<a x="', "<p title='x", "<title>", "<button>a", "<!--", "<![CDATA[", "<div><form>", "<iframe>x", "<", "</", "<b"):
+        took(unit, 100)
+        small, large = took(unit, 4000), took(unit, 16000)
+        assert large < 10 * small + 0.2, (unit, small, large)
+
+
 def test_hosts_decide(spark):
     """On a page whose own best container is another, the host's path wins."""
     good = "<body><div class=c><p>{}</p></div><div class=z><p>{}</p></div></body>"

@@ -17,10 +17,10 @@ def op4_exact_topk(spark, sf_dir):
 
 
 _OP4_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)) q from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select a.vec_id query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+with v as (select row_number() over () id, vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)) q from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id, a.vec_id query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint score from v a join v b on a.vec_id % 50 = 0 and a.id <> b.id and len(a.q) = len(b.q)),
+r as (select *, row_number() over (partition by id order by score desc, vec_id)::int rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 
 
@@ -128,8 +128,8 @@ t as (select source, source_size, least(full_, coalesce((select level from x), 0
 e as (select d.*, source_size, target, least({mixing.CAP}::double, case when source_size > 0 then target / source_size else 0 end) e from d join t on d.source is not distinct from t.source),
 p as (select *, floor(e) whole, e - floor(e) p from e),
 r as (select *, u * (1 - p) / (u * (1 - p) + (1 - u) * p) rank, case when whole + 1 <= {mixing.CAP} then size else 0 end extra from p),
-c as (select *, target - sum(whole * size) over (partition by source) need, sum(extra) over (partition by source order by rank, u, doc_id, size rows unbounded preceding) upto from r)
-select doc_id, size::bigint size, source_size, target, (size * (whole + case when extra > 0 and upto - extra / 2 <= need then 1 else 0 end))::bigint taken from c"""
+c as (select *, target - sum(whole * size) over (partition by source) need, sum(extra) over (partition by source order by rank, u, doc_id, size range unbounded preceding) upto, sum(extra) over (partition by source, rank, u, doc_id, size) alike from r)
+select doc_id, size::bigint size, source_size, target, (size * (whole + case when extra > 0 and upto - alike / 2 <= need then 1 else 0 end))::bigint taken from c"""
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing)}
