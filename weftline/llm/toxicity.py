@@ -35,7 +35,21 @@ def features_of():
     return F.array_distinct(F.flatten(stems))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 800, rate: float = 0.5, decay: float = 1e-4):
+class Sparse:
+    """A matrix of zeros and ones by the places of its ones."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int]):
+        self.rows, self.cols, self.shape = rows, cols, shape
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, v[self.cols], self.shape[0]) if len(self.rows) else np.zeros(self.shape[0])
+
+    @property
+    def T(self) -> Sparse:
+        return Sparse(self.cols, self.rows, self.shape[::-1])
+
+
+def fit_ordinal(x: np.ndarray | Sparse, y: np.ndarray, grades: int, rounds: int = 800, rate: float = 0.5, decay: float = 1e-4):
     """(weights, thresholds) of P(y <= j) = s(threshold_j - x w): one set of weights for all thresholds, which stay in order.
 
     Full-batch Adam on the mean log-likelihood; thresholds are a first value and positive steps."""
@@ -69,8 +83,9 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, rounds: int = 800, ra
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> dict:
     """{"words": {word: weight}, "cuts": [thresholds]} from at most `sample` labelled rows (those with the smallest hash of the id).
 
-    Grades: 0 not toxic; the toxic rows are 1, or 2 where more of the words that tell toxic rows apart stand in the text
-    than in their median row, as labels give no degree. Features are the words whose document shares differ most
+    Grades: 0 not toxic; the toxic rows are 1, or 2 where the words that tell toxic rows apart weigh more than in the median toxic row,
+    as labels give no degree. The rows are in two halves, and a row's words are weighed by what the other half's labels say, so no
+    row's grade is made from its own label. Features are the words whose document shares differ most
     between both classes, by SURE deviations, of those in 5 rows at least; near copies count once (of the rows with
     one smallest or largest shingle hash one is used), else a copied text would lend its words its class. Null labels or ids don't count; an id labelled twice is toxic if any of its
     labels is. Without rows of both classes: no words, and nothing is toxic."""
@@ -81,29 +96,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     rows = rows.select("y", features_of().alias("words"), F.array_min(runs).alias("low"), F.array_max(runs).alias("high"))
     for key, other in (("low", "high"), ("high", "low")):  # the smallest row of each, so that reruns agree
         rows = rows.groupBy(key).agg(F.min(F.struct(other, "y", "words")).alias("row")).select(key, "row.*")
-    seen = saved(rows.select("y", "words"), "labelled")
-    n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
+    seen = saved(rows.select("y", F.pmod(F.xxhash64("low", "high"), F.lit(2)).cast("int").alias("half"), F.xxhash64("low", "high").alias("row"), "words"), "labelled")
+    n = np.zeros((2, 2))
+    for r in seen.groupBy("half", "y").agg(F.count("*").alias("n")).collect():
+        n[r["half"], r["y"]] = r["n"]
+    n0, n1 = (float(v) for v in n.sum(axis=0))
+    if not n0 or not n1:
         return {"words": {}, "cuts": [30.0, 31.0]}
-    share = seen.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
-    gap, pooled = F.col("c1") / n[1] - F.col("c0") / n[0], (F.col("c1") + F.col("c0")) / (n[0] + n[1])
-    sure = F.abs(gap) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
-    top = share.filter(F.col("c1") + F.col("c0") >= 5).select("word", gap.alias("gap"), sure.alias("sure")).filter(F.col("sure") >= SURE).orderBy(F.desc("sure"), "word").limit(words).collect()
-    if not top:
+    each = seen.select("y", "half", "row", F.explode("words").alias("word"))
+    counts = [F.count_if((F.col("half") == h) & (F.col("y") == y)).alias(f"c{h}{y}") for h in (0, 1) for y in (0, 1)]
+    share = each.groupBy("word").agg(*counts).withColumn("c0", F.col("c00") + F.col("c10")).withColumn("c1", F.col("c01") + F.col("c11"))
+    gap, pooled = F.col("c1") / n1 - F.col("c0") / n0, (F.col("c1") + F.col("c0")) / (n0 + n1)
+    sure = F.abs(gap) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n0 + 1 / n1))
+    top = share.filter(F.col("c1") + F.col("c0") >= 5).withColumn("sure", sure).filter(F.col("sure") >= SURE).orderBy(F.desc("sure"), "word").limit(words).toPandas()
+    if not len(top):
         return {"words": {}, "cuts": [30.0, 31.0]}
-    place = {r["word"]: k for k, r in enumerate(top)}
-    lead = F.array(*[F.lit(r["word"]) for r in top])
-    kept = seen.select("y", F.array_intersect("words", lead).alias("words")).toPandas()
-    kept = kept.iloc[sorted(range(len(kept)), key=lambda i: (kept["y"].iat[i], sorted(kept["words"].iat[i])))]
-    x = np.zeros((len(kept), len(top)))
-    for i, ws in enumerate(kept["words"]):
-        x[i, [place[w] for w in ws]] = 1
-    y = kept["y"].to_numpy().astype(int)
-    toward = np.array([max(0.0, r["gap"]) for r in top])
-    told = x @ toward
-    y = y + ((y == 1) & (told > np.median(told[y == 1])))
+    place = top[["word"]].assign(place=range(len(top)))
+    met = each.join(F.broadcast(docs.sparkSession.createDataFrame(place)), "word").groupBy("row").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    kept = seen.select("row", "half", "y").join(met, "row", "left").toPandas().sort_values("row", kind="stable")
+    sizes = np.array([0 if p is None else len(p) for p in kept["places"]])
+    x = Sparse(np.repeat(np.arange(len(kept)), sizes), np.concatenate([np.asarray(p, np.int64) for p in kept["places"] if p is not None] or [np.zeros(0, np.int64)]), (len(kept), len(top)))
+    y, half = kept["y"].to_numpy().astype(int), kept["half"].to_numpy()
+    for h in (0, 1):
+        other = np.maximum(n[1 - h], 1)
+        told = x @ np.maximum(0.0, (top[f"c{1 - h}1"] / other[1] - top[f"c{1 - h}0"] / other[0]).to_numpy())
+        mine = (half == h) & (y > 0)
+        if mine.any():
+            y = np.where(mine & (told > np.median(told[mine])), 2, y)
     w, cuts = fit_ordinal(x, y, 3)
-    return {"words": {word: float(w[k]) for word, k in place.items()}, "cuts": [float(c) for c in cuts]}
+    return {"words": {word: float(v) for word, v in zip(top["word"], w)}, "cuts": [float(c) for c in cuts]}
 
 
 def grade(docs: DataFrame, model: dict) -> DataFrame:
