@@ -165,6 +165,40 @@ def test_secrets(spark):
     assert red[0] == "ü [secret]" and all(not brute_spans(t) for t in red.values())
 
 
+def test_postings_are_intersected(spark):
+    """Candidates are the texts that satisfy a rule's query; copies are one posting."""
+
+    def holds(q, low):
+        return q in low if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, low) for x in q[1])
+
+    texts = ["token", "tok oken", "api_key api-key", "apikey", "passwd", "pass ssw swd wd", "xoxb-1", "", None, "AKIA", "aki kia", "token", "-----BEGIN PRIVATE KEY-----"]
+    grams = secrets.vocabulary(secrets.trigram_query(r.pattern) for r in secrets.RULES)
+    df = frame(spark, texts)
+    postings = secrets.index(df)
+    assert {(grams[r.gram], bytes(r.key)) for r in postings.collect()} == {(g, hashlib.md5(t.encode()).digest()) for t in texts if t for g in grams if g in t.lower()}
+    got = {bytes(r.key): r.rules for r in secrets.candidates(postings).collect()}
+    want = {hashlib.md5(t.encode()).digest(): sum(1 << k for k, r in enumerate(secrets.RULES) if (q := secrets.trigram_query(r.pattern)) is not True and holds(q, t.lower())) for t in texts if t}
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_many_secrets_in_a_text(spark):
+    """A text of thousands of secrets is found, and made clean, in time that follows its length."""
+    import time
+
+    def took(n):
+        text = "é" + "".join(f" token=abcdefgh{k:06d} und 𝄞 {'0a' * 20}" for k in range(n))
+        began = time.perf_counter()
+        row = secrets.scan(frame(spark, [text])).first()
+        assert [tuple(x) for x in row["__spans"]] == brute_spans(text)
+        red = secrets.redact(frame(spark, [text])).first().text
+        assert red == "é" + " [secret] und 𝄞 [secret]" * n
+        return time.perf_counter() - began
+
+    took(10)
+    small, large = took(2500), took(10000)
+    assert large < 8 * small + 1
+
+
 def test_leaks_with_substitutions(spark):
     rng = random.Random(6)
     items = [[f"q{rng.randrange(400)}" for _ in range(n)] for n in (10, 25, 40)]
@@ -300,6 +334,7 @@ def expansions(markup):
                 forms = [f + " " + " ".join(["zz"] * k) for f in forms for k in range(1, int(n[1]) + 1)] if n else [f + " " + w for f in forms]
             out += forms
         parts = [p + " " + o for p in parts for o in out]
+        parts = parts[:: max(1, len(parts) // 60)]  # some of very many
     return [p.split() for p in parts]
 
 
@@ -324,6 +359,30 @@ def test_scan_finds_what_templates_say():
         assert licenses.scan_text(b" ".join(some))[3] >= 0.5 * len(some) / len(needs), label
 
 
+def test_scan_equals_its_sql(duck):
+    """The automata and the same wording as regular expressions agree, on whole, broken and joined wordings."""
+    import pandas as pd
+
+    rng = random.Random(12)
+    texts = [None, "", "under the MIT-license", "under the mit license under the mit license"]
+    for _, markup in licenses.TEMPLATES:
+        for words in expansions(markup)[:6]:
+            texts.append("x " + " ".join(words).title() + ". y")
+            texts.append(" ".join(w for w in words if rng.random() > 0.02))
+            texts.append(" ".join(words + words[: rng.randrange(len(words))]))
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841  read by the SQL
+    con = duck.cursor()
+    con.register("docs_here", frame)
+    rows = con.execute(queries.SQL["op8_license_scans"].replace("from documents)", "from docs_here)")).fetchall()
+    assert len(rows) == len(texts)
+    for doc, *got in rows:
+        n, places, labels, score = licenses.scan_text((texts[doc] or "").encode())
+        starts, base = [p[0] for p in places], {p[1] for p in places}
+        assert got == [n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score], texts[doc]
+    assert {x for r in rows for x in r[6].split(",")} > {"lgpl", "agpl", "gpl", "bsd-3-clause", "mit-text"}
+    assert "gpl" not in licenses.scan_text(b"licensed under the gnu affero general public license")[2]
+
+
 def test_license_places(spark):
     texts = ["Under the MIT-License; under the\nmit license under the mit license", "CC BY-NC 4.0 and Apache License, Version 2.0", "permission is hereby granted", None, "Übersunder the mit license"]
     got = {r.doc_id: r for r in licenses.scan(frame(spark, texts)).collect()}

@@ -14,18 +14,71 @@ _SPACED = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 97 + c - 65
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 # Markup: [[a|b]] for wording that may be absent, ((a|b)) for wording of which one must stand, {{n}} for 1 to n words of any kind;
-# all else must stand as it is.
+# all else must stand as it is. First grants and notices, which are enough to name a license, then whole texts.
+_BSD_HEAD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1|a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2|b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_NAMES = "[[3|c]] neither the ((name|names)) of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+_BSD_TAIL = (
+    "this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {{8}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_GNU = "is free software you can redistribute it and or modify it under the terms of the gnu {0} general public license as published by the free software foundation ((either version|version)) {{{{2}}}} [[of the license]]"
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
     ("mit", "[[this {{3}} is]] [[released|licensed|distributed]] under the [[terms of the]] mit license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("apache-2", "licensed under the apache license version 2 [[0]] [[the license]]"),
-    ("gpl", "licensed under the [[terms of the]] gnu [[lesser|affero]] general public license [[version {{1}}]]"),
-    ("gpl", "under the terms of the gnu [[lesser|affero]] general public license as published by the free software foundation"),
+    ("gpl", "licensed under the [[terms of the]] gnu general public license [[version {{1}}]]"),
+    ("gpl", "under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "licensed under the [[terms of the]] gnu ((lesser|library)) general public license [[version {{1}}]]"),
+    ("lgpl", "under the terms of the gnu ((lesser|library)) general public license as published by the free software foundation"),
+    ("agpl", "licensed under the [[terms of the]] gnu affero general public license [[version {{1}}]]"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
     ("mpl-2", "subject to the terms of the mozilla public license [[v {{2}}|version {{2}}]]"),
     ("cc-by-nc", "licensed under [[a]] ((cc by nc|creative commons attribution noncommercial)) [[{{1}} {{1}}]] [[international]] [[license]]"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    ("bsd-2-clause", _BSD_HEAD + _BSD_TAIL),
+    ("bsd-3-clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
+    (
+        "zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "[[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "apache-2-notice",
+        "licensed under the apache license version 2 [[0]] [[the license]] you may not use this file except in compliance with the license you may obtain a copy of the license at [[http|https]] www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("gpl-notice", _GNU.replace("{0} ", "").format() + " [[or at your option any later version]]"),
+    ("lgpl-notice", _GNU.format("((lesser|library))") + " [[or at your option any later version]]"),
+    ("agpl-notice", _GNU.format("affero") + " [[or at your option any later version]]"),
+    ("mpl-2-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http|https]] [[www]] mozilla org mpl 2 0"),
+    (
+        "unlicense-text",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
 )
 
 
@@ -81,6 +134,15 @@ def _closure(edges, states):
     return out
 
 
+def as_regex(markup: str) -> str:
+    """The same wording as a regular expression over words that follow a space each."""
+    out = ""
+    for m in re.finditer(r"\[\[(.*?)\]\]|\(\((.*?)\)\)|(\S+)", markup):
+        ways = ["".join(rf"(?: [^ ]+){{1,{n[1]}}}" if (n := re.fullmatch(r"\{\{(\d+)\}\}", w)) else " " + w for w in way.split()) for way in ([m[3]] if m[3] else (m[1] or m[2]).split("|"))]
+        out += ways[0] if m[3] else f"(?:{'|'.join(ways)})" + "?" * (m[1] is not None)
+    return out + " "
+
+
 class Automaton:
     def __init__(self, label: str, markup: str):
         self.label, (self.edges, self.end, self.length) = label, compiled(markup)
@@ -91,7 +153,8 @@ class Automaton:
 
     def accepts(self, words: list, at: int) -> bool:
         states = frozenset(_closure(self.edges, {0}))
-        for w in words[at:]:
+        for k in range(at, len(words)):  # no longer than the template
+            w = words[k]
             key = (states, w if any(w == x for s in states for x, _ in self.edges[s]) else None)
             if key not in self.moves:
                 self.moves[key] = frozenset(_closure(self.edges, {n for s in states for x, n in self.edges[s] if x is None or x == key[1] and x is not False}))
@@ -118,9 +181,11 @@ def scan_text(text: bytes | None) -> tuple:
     line = b" " + b" ".join(words) + b" "
     places = []
     for phrase, label in PHRASES:
-        probe, at = b" " + phrase.encode() + b" ", -1
-        while (at := line.find(probe, at + 1)) >= 0:
-            places.append((line.count(b" ", 0, at), label))
+        probe, at, word = b" " + phrase.encode() + b" ", 0, 0
+        while (to := line.find(probe, at)) >= 0:
+            word += line.count(b" ", at, to)
+            places.append((word, label))
+            at, word = to + 1, word + 1
     labels, score = set(), 0.0
     have = NEEDED.intersection(words)
     for a in AUTOMATA if have else ():

@@ -28,6 +28,21 @@ def op8_license_scans(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def _op8_sql():
+    """Phrases by position; templates as regular expressions over the words; score from the share of mandatory words."""
+    phrases = ", ".join(f"list_transform(list_filter(range(len(w) - {len(p.split()) - 1}), lambda i: w[i + 1:i + {len(p.split())}] = [{', '.join(f"'{x}'" for x in p.split())}]), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in licenses.PHRASES)
+    accepted = ", ".join(f"case when regexp_matches(line, '{licenses.as_regex(markup)}') then '{label}' end" for label, markup in licenses.TEMPLATES)
+    shares = ", ".join(f"len(list_intersect(w, [{', '.join(f"'{x.decode()}'" for x in sorted(a.needs))}])) / {len(a.needs)}" for a in licenses.AUTOMATA)
+    return rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+l as (select *, ' ' || array_to_string(w, ' ') || ' ' line from d),
+p as (select *, flatten([{phrases}]) places, list_filter([{accepted}], lambda x: x is not null) found, list_max([{shares}]) share from l)
+select doc_id, len(w)::bigint n_words, len(places)::bigint n_base, list_min(list_transform(places, lambda x: x.at))::bigint first_word, list_max(list_transform(places, lambda x: x.at))::bigint last_word,
+  array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x.label))), ',') base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda x: x.label), found))), ',') labels,
+  case when len(places) > 0 or len(found) > 0 then 1.0::double when share >= 0.5 then 0.5 * share else 0.0::double end score from p"""
+
+
 def op9_lm_scoring(spark, sf_dir):
     return scoring.score(read(spark, sf_dir, "documents"))
 
@@ -133,4 +148,4 @@ select doc_id, size::bigint size, source_size, target, (size * (whole + case whe
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing)}
-SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op10_source_mixing": _op10_sql()}
+SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op8_license_scans": _op8_sql(), "op10_source_mixing": _op10_sql()}
