@@ -212,7 +212,10 @@ def test_leaks_with_substitutions(spark):
     assert got == {(0, 0): (50, 10), (1, 1): (0, 25), (2, 2): (20, 36)}
 
 
-def test_leaks_against_all_alignments(spark):
+@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 10])
+def test_leaks_against_all_alignments(spark, monkeypatch, rows):
+    """In one pass over the texts, and, where items are too many to be sent, by a shuffle."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     rng = random.Random(11)
     sizes = [1, 2, 3, 4, 5, 6, 7, 9, 11, 15, 15, 20, 25, 59]
     items = [[f"q{i}x{rng.randrange(60)}" for _ in range(n)] for i, n in enumerate(sizes)]
@@ -487,37 +490,36 @@ def test_prefix_code_round_trip():
 
 def plain_model(texts, held, model):
     """Bits of each text, one decision after the other: counts by context in dictionaries, a sum of products, an exponential."""
-    _, _, code, tables, _, weights = model
-    sizes = [len(t).bit_length() - 1 for t in tables]
+    _, _, _, code, tables, _, weights = model
+    sizes = tuple(len(t).bit_length() - 1 for t in tables)
     words = [t.lower().encode().split() for t in texts]
-    steps, counts = {}, Counter()
+    counts = Counter()
 
-    def decisions(key):
-        if key not in steps:
-            out, said = [], b" " + key[1:]
-            x, _, _, back = scoring.laid([key])
+    def decisions(ws):
+        """Of each word of a text (contexts, bit, place) of its decisions."""
+        out = []
+        for key, pair in zip(scoring.keys(ws), scoring.pairs(ws)):
+            x, _, place, back = scoring.laid([key], np.array([pair >> 8]))
             _, of, node, bit = code.spread(x)
-            places = list(zip(*scoring.slots(back, of, node, tuple(sizes))))
-            for d in range(len(of)):
-                out.append(([(k, int(p)) for k, p in enumerate(places[d])] + [("word", key[1 : of[d] + 1], int(node[d])), ("with", key[: of[d] + 1], int(node[d]))], int(bit[d])))
-            assert len(said) == len(key)
-            steps[key] = out
-        return steps[key]
-
-    for ws, out in zip(words, held):
-        for key in [] if out else scoring.keys(ws):
-            for contexts, bit in decisions(key):
+            slots = list(zip(*scoring.slots(back, of, node, sizes)))
+            out.append([([*((k, int(p)) for k, p in enumerate(slots[d])), ("word", key[: of[d]], int(node[d]))], int(bit[d]), int(of[d])) for d in range(len(of))])
+        return out
+
+    steps = [decisions(ws) for ws in words]
+    for text, out in zip(steps, held):
+        for word in [] if out else text:
+            for contexts, bit, _ in word:
                 counts.update((c, bit) for c in contexts)
     total = []
-    for ws in words:
+    for text in steps:
         bits = []
-        for key in scoring.keys(ws):
+        for word in text:
             cost = [0.0, 0.0]
-            for contexts, bit in decisions(key):
+            for contexts, bit, place in word:
                 s = [math.log((counts[c, bit] + 0.4) / (counts[c, 1 - bit] + 0.4)) for c in contexts]
-                for m, c in enumerate(contexts[-2:]):
-                    gate = min(7, int(math.log2(counts[c, 0] + counts[c, 1] + 1)))
-                    cost[m] += math.log2(1 + math.exp(-sum(w * x for w, x in zip(weights[m][gate], s))))
+                seen = int(math.log2(counts[contexts[-1], 0] + counts[contexts[-1], 1] + 1))
+                for m, gate in enumerate((seen, place)):
+                    cost[m] += math.log2(1 + math.exp(-sum(w * x for w, x in zip(weights[m][min(7, gate)], s))))
             bits.append(cost)
         share, whole = [0.5, 0.5], 0.0
         for at in range(0, len(bits), scoring.SPAN):
@@ -543,20 +545,17 @@ def test_score_equals_a_plain_model(spark, monkeypatch):
 
 
 def test_probabilities_add_up_to_one():
-    """Over all bytes that can follow a context, by each mixer."""
+    """Over all bytes that can follow a context, by each mixer: after a letter, and inside a word."""
     rng = np.random.RandomState(9)
     code = scoring.Code(rng.randint(0, 50, 256))
-    of_keys = [b"k" + bytes([b]) + b" " for b in range(256)]
-    n = rng.randint(0, 9, 256).astype(float)
     tables = [rng.randint(0, 60, (1 << t, 2)).astype(np.float32) for t in scoring.TABLES]
-    lead = scoring.lead_table(of_keys, n, code)
-    features, gates, lens = scoring.told(of_keys, n, code, tables, lead)
-    first = np.cumsum(lens) - lens
-    for gate in gates:
-        w = rng.rand(scoring.GATES, 5).astype(np.float32)
-        p = 1 / (1 + np.exp(-scoring.mixed(features, gate, w).astype(float)))
-        whole = [np.prod(p[a : a + code.length[b]]) for b, a in enumerate(first)]
-        assert abs(sum(whole) - 1) < 1e-4
+    for letters, of_keys in ((np.full(256, 107), [bytes([b]) for b in range(256)]), (None, [b"k" + bytes([b]) for b in range(256)])):
+        n = rng.randint(0, 9, 256).astype(float)
+        features, gates, key = scoring.told(of_keys, n, code, tables, scoring.lead_table(of_keys, n, code), letters=letters)
+        for gate in gates:
+            w = rng.rand(scoring.GATES, 4).astype(np.float32)
+            bits = scoring.costs(features, [gate], key, 256, [w])[0]
+            assert abs((2.0**-bits).sum() - 1) < 1e-4
 
 
 def test_learned_weights_follow_the_better_predictor():
