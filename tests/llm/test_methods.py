@@ -498,7 +498,7 @@ def plain_model(texts, held, model):
     def decisions(ws):
         """Of each word of a text (contexts, bit, place) of its decisions."""
         out = []
-        for key, pair in zip(scoring.keys(ws), scoring.pairs(ws)):
+        for key, pair in zip(scoring.keys(ws), scoring.pairs([ws])):
             x, _, place, back = scoring.laid([key], np.array([pair >> 8]))
             _, of, node, bit = code.spread(x)
             slots = list(zip(*scoring.slots(back, of, node, sizes)))
@@ -558,6 +558,11 @@ def test_probabilities_add_up_to_one():
             assert abs((2.0**-bits).sum() - 1) < 1e-4
 
 
+def test_pairs_stay_in_their_text():
+    texts = [[b"ab", b"c"], [], [b"q"], ["é".encode(), b"z"], []]
+    assert scoring.pairs(texts).tolist() == [97, 98 << 8 | 99, 10, 113, 0xC3, 0xA9 << 8 | 122, 10]
+
+
 def test_learned_weights_follow_the_better_predictor():
     rng = np.random.RandomState(3)
     good, bad = rng.normal(1.5, 1.0, 20_000), rng.normal(0.0, 1.0, 20_000)

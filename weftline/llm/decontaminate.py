@@ -14,8 +14,6 @@ MASKS = ("1101101101", "1011011011", "1110010111")
 TRIPLES = ("111", "1101", "1011", "11001", "10101", "10011")
 #: Items too short for a triple are tried by each of their tokens.
 SINGLE, SHORT = ("1",), 4
-#: Windows of a text that are hashed together.
-CHUNK = 64
 #: Share of an item's tokens that must stand in the document on one alignment.
 LEAST = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,14 +34,9 @@ def _seeds(hashes: Column, at: Column, masks: tuple[str, ...]) -> Column:
 
 
 def _windows(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """Seeds at each place; near the end, where a mask reaches beyond the text, of the tokens that are there. Texts are cut into chunks that
-    overlap by a mask's span, so a window's row carries its chunk alone and no row grows with the text."""
-    span, n = max(map(len, masks)), F.size("hashes")
-    keep = [c for c in rows.columns if c != "hashes"]
-    cuts = F.transform(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)), lambda c: F.struct(c.alias("first"), F.slice("hashes", c + 1, F.lit(CHUNK + span - 1)).alias("part"), F.least(F.lit(CHUNK), n - c).alias("n")))
-    chunks = rows.filter(n > 0).select(*keep, F.explode(cuts).alias("chunk")).select(*keep, "chunk.*")
-    each = chunks.select(*keep, "first", "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return each.select(*keep, (F.col("first") + F.col("i")).alias("at"), F.inline(_seeds(F.col("part"), F.col("i"), masks)))
+    """Seeds at each place; near the end, where a mask reaches beyond the text, of the tokens that are there."""
+    at = rows.filter(F.size("hashes") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)))
+    return at.select(*rows.columns, "at", F.inline(_seeds(F.col("hashes"), F.col("at"), masks)))
 
 
 def _seeded(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
@@ -55,35 +48,35 @@ def leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = TRIPLES, l
 
     Every window of each text is hashed under each mask, so a pair of windows meets when they agree on one mask's
     tokens, whatever stands at the others; items of fewer than SHORT tokens meet by single tokens. With TRIPLES and a `least` of
-    0.6 or more every pair is found. A hit fixes an alignment, which counts once however many windows hit it; only alignments and the texts
-    that have one go on. There all of the item's tokens are compared, and the pair
-    counts if at least `least` of them agree. One row a pair: the alignment with most agreement, then the first. The items' seeds and tokens are broadcast
-    after a check of their number; beyond it both sides shuffle, windows as rows of a few numbers.
+    0.6 or more every pair is found. A hit fixes an alignment; there all of the item's tokens are compared, and the pair
+    counts if at least `least` of them agree. One row a pair: the alignment with most agreement, then the first. While the items' seeds and
+    tokens fit a checked broadcast, all that is done where the text lies, in one pass. Beyond it both sides shuffle by the seed, windows as rows of a
+    few numbers; alignments count once however many windows hit them, and only texts that have one meet them with their tokens.
 
     Null text or text without tokens: no rows; likewise items. Repeated documents: one row for each
     (id, text); equal items under two ids: each counts. Null ids stay null. Empty tables: no rows. Other columns don't matter.
     """
     items = bench.select("item_id", _hashed(F.col("text")).alias("hashes"))
     seeds, brief = (_seeded(items.filter(fits), m) for fits, m in ((F.size("hashes") >= SHORT, masks), (F.size("hashes") < SHORT, SINGLE)))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    hashed = rows.select("doc_id", "text_hash", _hashed(F.col("text")).alias("hashes"))
-    hits = _windows(hashed, masks).join(small(seeds), ["mask", "seed"])
-    if not brief.isEmpty():
-        hits = hits.unionByName(_windows(hashed, SINGLE).join(small(brief), ["mask", "seed"]))
-    aligned = saved(hits.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("doc_start")).distinct(), "alignments")
-
-    its = aligned.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    mine = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    texts = rows.join(small(its), mine, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), _hashed(F.col("text")).alias("hashes"))
     whole = items.select(F.col("item_id").alias("of_item"), F.col("hashes").alias("item")).distinct()
-    few = (whole.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_ROWS
-    # Counts agreement by the alignment's shift: both arrays are laid side by side and compared place by place.
+    few = (whole.agg(F.sum(F.size("item"))).first()[0] or 0) <= BROADCAST_ROWS and seeds.union(brief).count() <= BROADCAST_ROWS
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hashed(F.col("text")).alias("hashes"))
+    hits = _windows(rows, masks).join(F.broadcast(seeds) if few else seeds, ["mask", "seed"])
+    if not brief.isEmpty():
+        hits = hits.unionByName(_windows(rows, SINGLE).join(F.broadcast(brief) if few else brief, ["mask", "seed"]))
+    aligned = hits.withColumn("doc_start", F.col("at") - F.col("item_at"))
+    if not few:
+        aligned = saved(aligned.select("doc_id", "text_hash", "item_id", "doc_start").distinct(), "alignments")
+        its = aligned.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+        mine = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+        texts = rows.join(its, mine, "left_semi").dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+        aligned = aligned.join(texts, mine).drop("__id", "__hash")
+    # Both arrays are laid side by side by the alignment's shift and compared place by place.
     there = F.slice("hashes", F.greatest(F.col("doc_start") + 1, F.lit(1)), F.greatest(F.size("item") + F.least(F.col("doc_start"), F.lit(0)), F.lit(0)))
     here = F.slice("item", F.greatest(1 - F.col("doc_start"), F.lit(1)), F.size("item"))
     same = F.size(F.filter(F.zip_with(there, here, lambda x, y: x == y), lambda z: F.coalesce(z, F.lit(False))))
     checked = (
-        aligned.join(texts, mine)
-        .join(F.broadcast(whole) if few else whole, F.col("item_id").eqNullSafe(F.col("of_item")))
+        aligned.join(F.broadcast(whole) if few else whole, F.col("item_id").eqNullSafe(F.col("of_item")))
         .select("doc_id", "text_hash", "item_id", F.size("item").alias("n_item"), F.struct(same.alias("n_same"), (-F.col("doc_start")).alias("back")).alias("best"))
         .filter(F.col("best.n_same") >= F.lit(least) * F.col("n_item"))
     )
