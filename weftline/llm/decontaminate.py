@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, saved, small
+from .common import BROADCAST_ROWS, fresh, saved, small
 
 #: The SQL twin's masks of one span: 1: the token counts, 0: it may be any. They miss copies that TRIPLES find.
 MASKS = ("1101101101", "1011011011", "1110010111")
@@ -86,5 +86,6 @@ def leaks(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = TRIPLES, l
 
 def clean(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = TRIPLES, least: float = LEAST) -> DataFrame:
     """docs without the rows that hold a benchmark item. A row is told by its id and its text, so a null id is no special case."""
-    bad = saved(leaks(docs, bench, masks, least).select("doc_id", "text_hash").distinct(), "leaks").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    of, its = fresh(docs, "__id", "__hash")
+    bad = saved(leaks(docs, bench, masks, least).select(F.col("doc_id").alias(of), F.col("text_hash").alias(its)).distinct(), "leaks")
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(its)), "left_anti")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import fresh, saved, small
 from .graph import components
 
 K, ROWS, BITS = 128, 4, 512
@@ -307,5 +307,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def unique(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of docs that stay: of each group the document with the smallest id, and all without an id."""
-    gone = saved(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("__id"), F.lit(1).alias("__gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("__id"), "left_anti")
+    (of,) = fresh(docs, "__id")
+    gone = saved(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias(of)).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id") == F.col(of), "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, schema_of
+from .common import fresh, saved, schema_of
 from .decontaminate import tokens
 
 #: Labelled rows that the model is fitted on, at most, words that it may weigh, and deviations by which a word's share must differ between classes.
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
 
 
 def grade(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with __at_least (array: chance of grade 1 or more, 2 or more, ...) and __severity, their sum: the expected grade.
+    """docs with __at_least (array: chance of grade 1 or more, 2 or more, ...) and __severity, their sum: the expected grade. Columns of docs with these two names are replaced.
 
     Whole texts; each row by itself, so keys and skew don't matter. Null or empty text: no word speaks for any grade."""
     weights, cuts = model["words"], model["cuts"]
@@ -136,13 +136,15 @@ def grade(docs: DataFrame, model: dict) -> DataFrame:
 
     def scored(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text")).cast(pa.binary()).to_pylist()
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             z = np.array([sum(weights[w] for w in words_of(t) & known) for t in texts]).reshape(-1, 1)
             p = 1 / (1 + np.exp(np.clip(np.array(cuts) - z, -30, 30)))
             rest = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(list(p), pa.list_(pa.float64())), pa.array(p.sum(axis=1))], [*batch.schema.names[:-1], "__at_least", "__severity"])
 
-    return docs.withColumn("__text", F.col("text")).mapInArrow(scored, schema_of(docs) + ", __at_least array<double>, __severity double")
+    docs = docs.drop("__at_least", "__severity")
+    (last,) = fresh(docs, "__text")
+    return docs.withColumn(last, F.col("text")).mapInArrow(scored, schema_of(docs) + ", __at_least array<double>, __severity double")
 
 
 def clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
