@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -85,17 +81,6 @@ def is_followed(href) -> Column:
     return (F.trim(href) != "") & ~F.lower(F.trim(href)).rlike("^(#|mailto:|tel:|javascript:|data:)")
 
 
-@pandas_udf(StringType())
-def _joined(base: pd.Series, ref: pd.Series) -> pd.Series:
-    def one(b, r):
-        try:
-            return urljoin(b, r.strip())
-        except ValueError:
-            return None
-
-    return pd.Series([None if b is None or r is None else one(b, r) for b, r in zip(base, ref)])
-
-
 def resolve_rooted(base, href) -> Column:
     """The absolute URL of an absolute, //-, /-, ?- or #-reference, all on the JVM; null for what needs the base's folder."""
     h, origin = F.trim(href), F.concat(scheme(base), F.lit("://"), authority(base))
@@ -108,9 +93,23 @@ def resolve_rooted(base, href) -> Column:
     return F.when(is_followed(href), full)
 
 
+def _settled(p) -> Column:
+    """A path without . and .. segments: each .. takes away the segment before it, and one that has none goes."""
+    parts = F.split(F.regexp_replace(p, "^/", ""), "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def resolve(base, href) -> Column:
-    """The absolute URL of any reference; only those relative to a folder go through Python, in Arrow batches."""
-    return F.coalesce(resolve_rooted(base, href), F.when(is_followed(href), _joined(base, href)))
+    """The absolute URL of any reference, on the JVM: one relative to a folder stands after the base's path up to its last slash, and dots in paths are settled."""
+    h, origin = F.trim(href), F.concat(scheme(base), F.lit("://"), authority(base))
+    p, rest = F.regexp_extract(h, "^[^?#]*", 0), F.regexp_extract(h, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(F.when(path(base) == "", "/").otherwise(path(base)), "^.*/", 0)
+    rooted = resolve_rooted(base, href)
+    near = F.concat(origin, _settled(F.when(h.startswith("/"), p).otherwise(F.concat(folder, p))), rest)
+    dotted = h.startswith("/") & ~h.startswith("//") & p.rlike(r"(^|/)\.\.?(/|$)")
+    return F.when(is_followed(href), F.when(rooted.isNotNull() & ~dotted, rooted).otherwise(near))
 
 
 # Parts of paths that don't earn keywords.

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import clean_text, is_booking, tokenize
-from ..functions.urls import crawl_url, host_key, is_followed, resolve_rooted
+from ..functions.urls import crawl_url, host_key, is_followed, resolve
 
 HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript|svg|template)\b[^>]*>.*?</(script|style|noscript|svg|template)\s*>"
 ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -21,11 +21,29 @@ ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&
 PAGE_BYTES = 5 << 20
 
 
+#: Character references by number: decimal or hexadecimal.
+NUMBERED = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _numbered(c) -> Column:
+    """The text with numbered references in place of what they name, where there are any: what stands between them and the characters, in turn."""
+    between = F.split(c, NUMBERED, -1)
+
+    def named(x):
+        n = F.when(x.rlike("(?i)^&#x"), F.conv(F.regexp_extract(x, "(?i)^&#x([0-9a-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+);", 1)).cast("int")
+        good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        # A code point as UTF-32, which becomes text.
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    signs = F.concat(F.transform(F.regexp_extract_all(c, F.lit(NUMBERED), F.lit(0)), named), F.array(F.lit("")))
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.zip_with(between, signs, lambda a, b: F.concat(a, b)), "")).otherwise(c)
+
+
 def decoded(c) -> Column:
-    """The common character references; & comes last, so what it spells out stays text."""
-    for name, value in ENTITIES:
+    """The common character references and numbered ones; & comes last, so what it spells out stays text."""
+    for name, value in ENTITIES[:-1]:
         c = F.replace(c, F.lit(name), F.lit(value))
-    return c
+    return F.replace(_numbered(c), F.lit("&amp;"), F.lit("&"))
 
 
 def shown(source) -> Column:
@@ -67,7 +85,7 @@ def _nonempty(c) -> Column:
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """pages (url, html, more if wanted) with one column per extracted fact; null html counts as empty, too long as null."""
+    """pages (url, html, more if wanted) with one column per extracted fact; null html and one of more than PAGE_BYTES, which the crawl refuses, count as empty."""
     clean = pages.withColumn("__s", F.regexp_replace(F.coalesce(F.when(F.octet_length("html") <= PAGE_BYTES, F.col("html")), F.lit("")), HIDDEN, " "))
     clean = clean.withColumn("__t", F.lower(stripped(F.col("__s"))))
     s, t = F.col("__s"), F.col("__t")
@@ -113,15 +131,19 @@ def header_canonicals(header) -> Column:
     return F.regexp_extract_all(header, F.lit(r"(?i)<([^>]*)>\s*;[^,]*\brel=\"?canonical\b"), F.lit(1))
 
 
+def canonical(html_canonicals, header) -> Column:
+    """The first canonical of the markup, else of the Link headers; '' without one."""
+    return F.coalesce(F.try_element_at(F.array_union(html_canonicals, header_canonicals(F.coalesce(header, F.lit("")))), F.lit(1)), F.lit(""))
+
+
 def anchors(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row per link of each page: keys, url, pos, target, text, internal, nofollow, booking. References that need the base's
-    folder are resolved by `resolve` where wanted; here they are left out, as on the JVM alone."""
+    """One row per link of each page: keys, url, pos, target, text, internal, nofollow, booking. References are resolved against the page's address."""
     s = shown(F.coalesce("html", F.lit("")))
     found = pages.select(*keys, "url", F.posexplode(F.regexp_extract_all(s, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))).alias("pos", "a"))
     href = attribute(F.regexp_extract("a", r"(?is)^<a\b[^>]*>", 0), "href")
     rows = found.withColumn("href", href).filter(is_followed(F.col("href")))
     label = F.coalesce(F.nullif(attribute(F.regexp_extract("a", r"(?is)^<a\b[^>]*>", 0), "aria-label"), F.lit("")), F.nullif(stripped(F.col("a")), F.lit("")), clean_text(F.array_join(F.transform(tags(F.col("a"), "img"), lambda t: attribute(t, "alt")), " ")))
-    target = resolve_rooted(F.col("url"), F.col("href"))
+    target = resolve(F.col("url"), F.col("href"))
     rows = rows.withColumn("target", target).withColumn("text", label).filter(F.col("target").rlike("(?i)^https?://") & ~F.contains(F.col("target"), F.lit("/cdn-cgi/l/email-protection")))
     rel = F.lower(attribute(F.regexp_extract("a", r"(?is)^<a\b[^>]*>", 0), "rel"))
     internal = host_key(F.col("target")) == host_key(F.col("url"))
