@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
+
+from ..operators.extract import decoded
 
 RANKED = T.StructType([T.StructField("keyword", T.StringType()), T.StructField("search_volume", T.IntegerType()), T.StructField("cpc", T.DoubleType()), T.StructField("position", T.IntegerType()), T.StructField("url", T.StringType())])
 PLACE = T.StructType(
@@ -25,18 +31,63 @@ PLACE = T.StructType(
 )
 
 
+#: Bytes of a sitemap that are read, and documents of a site.
+SITEMAP_BYTES, SITEMAPS = 10 << 20, 25
+
+
+def unpacked(body, url, content_type):
+    """Text of a fetched body (binary): unzipped where the type or the address says so; null where that fails."""
+    zipped = F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("gzip")) | F.lower(url).endswith(".gz")
+    return F.when(zipped, _gunzipped(body)).otherwise(F.decode(F.substring(body, 1, SITEMAP_BYTES), "UTF-8"))
+
+
+@pandas_udf(T.StringType())
+def _gunzipped(body: pd.Series) -> pd.Series:
+    def one(b):
+        try:
+            return zlib.decompressobj(31).decompress(bytes(b), SITEMAP_BYTES).decode("utf-8", "replace")
+        except zlib.error:
+            return None
+
+    return body.map(one, na_action="ignore")
+
+
 def sitemap_urls(documents: DataFrame) -> DataFrame:
     """Locations of sitemap texts (url, body): source, kind (page or sitemap), loc; each once for its source, limited to 10 MiB as they are read."""
-    body = F.when(F.octet_length("body") <= 10 << 20, F.col("body"))
+    body = F.when(F.octet_length("body") <= SITEMAP_BYTES, F.col("body"))
     nested = body.rlike(r"(?i)<sitemapindex\b")
-    loc = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<loc\b[^>]*>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))))
-    return documents.select(F.col("url").alias("source"), F.when(nested, "sitemap").otherwise("page").alias("kind"), loc.alias("loc"))
+    loc = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<loc\b[^>]*>\s*(.*?)\s*</loc>"), F.lit(1)), decoded)))
+    rows = documents.select(F.col("url").alias("source"), F.when(nested, "sitemap").otherwise("page").alias("kind"), loc.alias("loc"))
+    return rows.filter("loc <> ''")
+
+
+def sitemap_walk(documents: DataFrame, start: DataFrame, limit: int = SITEMAPS) -> tuple[DataFrame, DataFrame]:
+    """(sources with the round in which they were read, distinct page locations) of the sitemaps that can be reached from start (site, url).
+
+    documents: url, body (null where the fetch failed). Each round reads the documents that the last one named and that were not read, as long as a
+    site has fewer than `limit`; of a round that goes beyond it those with smaller addresses are read. One join a round."""
+    from ..operators.site import saved
 
+    found = saved(sitemap_urls(documents.filter("body is not null")))
+    todo = saved(start.select("site", "url").distinct().withColumn("round", F.lit(0)))
+    read = todo.limit(0)
+    step = 0
+    while not todo.isEmpty():
+        used = read.groupBy(F.col("site").alias("__site")).agg(F.count("*").alias("__used"))
+        place = F.row_number().over(Window.partitionBy("site").orderBy("url"))
+        taken = todo.join(used, F.col("site") == F.col("__site"), "left").withColumn("__place", place).filter(F.col("__place") + F.coalesce("__used", F.lit(0)) <= limit).select("site", "url", "round")
+        read = saved(read.union(taken))
+        step += 1
+        named = read.filter(F.col("round") == step - 1).join(found.filter("kind = 'sitemap'"), F.col("url") == F.col("source")).select("site", F.col("loc").alias("url")).distinct()
+        todo = saved(named.join(read.select("site", "url"), ["site", "url"], "left_anti").withColumn("round", F.lit(step)))
+    pages = read.join(found.filter("kind = 'page'"), F.col("url") == F.col("source")).select("site", "loc").distinct()
+    return read, pages
 
-def ranked_items(payloads: DataFrame) -> DataFrame:
-    """Rows of captured ranking payloads (payload: a JSON array) with ord, their place."""
-    rows = payloads.select(F.posexplode(F.from_json("payload", T.ArrayType(RANKED))).alias("ord", "r"))
-    return rows.select("r.*", "ord")
+
+def ranked_items(payloads: DataFrame, *keys: str) -> DataFrame:
+    """keys and rows of captured ranking payloads (payload: a JSON array) with ord, their place."""
+    rows = payloads.select(*keys, F.posexplode(F.from_json("payload", T.ArrayType(RANKED))).alias("ord", "r"))
+    return rows.select(*keys, "r.*", "ord")
 
 
 def places(payloads: DataFrame) -> DataFrame:
@@ -49,11 +100,13 @@ def places(payloads: DataFrame) -> DataFrame:
 
         return F.coalesce(*[one(k) for k in kinds])
 
-    market = F.concat_ws(", ", part("locality", "postal_town", "administrative_area_level_2"), part("country"))
+    place = F.coalesce(part("postal_town", "locality", "administrative_area_level_2", "administrative_area_level_1"), F.lit(""))
+    country = F.coalesce(part("country"), F.lit(""))
+    market = F.when(place == "", country).when((country == "") | (place == country), place).otherwise(F.concat_ws(", ", place, country))
     return p.select(
         F.col("p.id").alias("place_id"), F.col("p.displayName.text").alias("name"), F.col("p.businessStatus").alias("business_status"), F.col("p.primaryTypeDisplayName.text").alias("category"),
         F.col("p.formattedAddress").alias("address"), F.col("p.internationalPhoneNumber").alias("phone"), F.col("p.websiteUri").alias("website"), F.col("p.regularOpeningHours.weekdayDescriptions").alias("hours"),
-        F.col("p.userRatingCount").alias("reviews"), F.when(F.col("p.photos").isNotNull(), F.size("p.photos")).alias("photos"), F.col("p.location.latitude").alias("latitude"), F.col("p.location.longitude").alias("longitude"), market.alias("market"),
+        F.col("p.userRatingCount").alias("reviews"), F.when(F.col("p.photos").isNotNull(), F.size("p.photos")).alias("photos"), F.col("p.location.latitude").alias("latitude"), F.col("p.location.longitude").alias("longitude"), market.alias("market"), country.alias("country"),
     )
 
 
@@ -62,6 +115,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def report_text(df: DataFrame) -> DataFrame:
+    """The same objects as rows of text, for a console or an answer."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def report_name(at, url):
     """<UTC time in milliseconds>-<host>.json, which sorts by time."""
     from ..functions.urls import host_key

@@ -36,7 +36,15 @@ RESOURCES = """select concat('https://cdn', cast(l_suppkey % 7 as varchar(20)),
   max(case when l_partkey % 31 = 4 then 404 when l_partkey % 43 = 6 then 0 else 200 end) status, max(case when l_partkey % 3 = 0 then 'image/png' else 'text/css' end) type,
   cast(max(l_extendedprice * 10) as bigint) size, l_suppkey % 7 < 3 internal from lineitem group by 1, 5"""
 
-DERIVED = {"site_pages": SITE_PAGES, "site_edges": EDGES, "hreflang": HREFLANG, "candidates": CANDIDATES, "grid_results": GRID, "perf_samples": SAMPLES, "profiles": PROFILES, "resources": RESOURCES}
+PAGE_FACTS = """select page_id, url, case when page_id % 31 = 30 then 404 else 200 end status_code, cast(page_id % 29 % 3 as int) redirects, case when page_id % 27 = 26 then 'application/pdf' else 'text/html' end content_type, page_id % 10 <> 9 indexable,
+  case when page_id % 3 = 0 then concat('https://h.example/blog/', cast(page_id as varchar(20))) else concat('https://h.example/p/', cast(page_id as varchar(20))) end final_url,
+  cast(case page_id % 11 when 0 then 0 when 1 then 70 when 2 then 12 else 40 end as int) title_len, cast(case when page_id % 11 = 3 then 2 else 1 end as int) n_titles,
+  cast(case page_id % 13 when 0 then 0 when 1 then 200 when 2 then 30 else 100 end as int) desc_len, cast(case when page_id % 13 = 3 then 2 else 1 end as int) n_desc, cast(page_id % 7 % 4 as int) n_h1, cast(page_id % 2 as int) n_h2,
+  case when page_id % 5 = 4 then '1 3' when page_id % 5 = 3 then '2 1 2 4' else '1 2 3 2' end levels, cast(page_id % 6 % 3 as int) n_canon, case when page_id % 8 = 1 then 'index, NoFollow' else 'index' end robots, case when page_id % 8 = 2 then 'nofollow' else '' end x_robots,
+  page_id % 9 <> 5 viewport, case when page_id % 9 = 6 then '' else 'en' end lang, cast(page_id % 4 as int) missing_alt, cast(page_id % 14 % 2 as int) invalid, page_id % 12 <> 7 has_main, cast(case page_id % 15 when 0 then 10 when 1 then 600 when 2 then 700 else 300 end as int) words,
+  cast(case when page_id % 16 = 3 then 151 else 150 end as int) longest, page_id % 17 = 4 is_article, case when page_id % 18 < 9 then 'A' else '' end author, case when page_id % 19 = 5 then '2026' else '' end published, cast(page_id % 20 % 2 as int) n_external, page_id % 21 = 8 plain_resource from pages"""
+
+DERIVED = {"page_facts": PAGE_FACTS, "site_pages": SITE_PAGES, "site_edges": EDGES, "hreflang": HREFLANG, "candidates": CANDIDATES, "grid_results": GRID, "perf_samples": SAMPLES, "profiles": PROFILES, "resources": RESOURCES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
