@@ -145,6 +145,17 @@ def indexability(status, content_type, robots, x_robots, canonical, final_url) -
     )
 
 
+def other_indexability(status, x_robots) -> Column:
+    """Can a response that is no HTML be indexed?"""
+    return status.between(200, 299) & ~has_directive(F.coalesce(x_robots, F.lit("")), "noindex")
+
+
+def identity_findings(verified: DataFrame) -> DataFrame:
+    """Check 77: profiles (place_id, identity, evidence) that belong to another business."""
+    rules = [rule("identity", "Business identity mismatch", "fail", "high", F.col("identity") == "mismatch", F.col("evidence"))]
+    return findings(verified, rules, ["place_id"])
+
+
 def issue_groups(found: DataFrame) -> DataFrame:
     """Findings by priority, category and check: how many, and the url of the first; in order of weight. found: FINDING, url."""
     groups = found.groupBy("priority", "category", "check").agg(F.count("*").alias("n"), F.min("url").alias("example"))

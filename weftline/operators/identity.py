@@ -41,4 +41,18 @@ def verify(profiles: DataFrame, hosts: DataFrame, phones: DataFrame) -> DataFram
         .when((F.coalesce("phone", F.lit("")) != "") & (F.coalesce("n_phones", F.lit(0)) > 0), "mismatch")
         .otherwise("unverified")
     )
-    return out.select("place_id", identity.alias("identity"))
+    site = F.coalesce(F.col("start"), F.lit(""))
+    first = hosts.groupBy(F.col("site").alias("__site")).agg(F.min("host").alias("start"))
+    out = out.join(first, F.col("site") == F.col("__site"), "left").withColumn("identity", identity)
+    evidence = (
+        F.when(F.col("identity") == "unverified", "no comparable website domain and no matching public website phone")
+        .when(F.coalesce(F.col("host"), F.lit("")) != "", F.concat(F.lit("website host "), F.col("host"), F.when(F.col("identity") == "matched", " matches the audited site").otherwise(F.concat(F.lit(" differs from audited host "), site))))
+        .otherwise(F.concat(F.lit("phone "), F.col("phone"), F.when(F.col("identity") == "matched", " matches a public website phone").otherwise(F.concat(F.lit(" differs from "), F.coalesce("n_phones", F.lit(0)).cast("string"), F.lit(" public website phone numbers")))))
+    )
+    return out.select("place_id", "identity", evidence.alias("evidence"))
+
+
+def audited_hosts(start, pages: DataFrame) -> DataFrame:
+    """host: the distinct hosts of a site's start address and its pages' final addresses."""
+    every = pages.select(F.col("final_url").alias("url")).union(pages.sparkSession.range(1).select(start.alias("url")))
+    return every.select(domain(F.col("url")).alias("host")).filter("host <> ''").distinct()

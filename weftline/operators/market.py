@@ -125,6 +125,7 @@ def opportunities(rows: DataFrame) -> DataFrame:
         "; ",
         F.when(c("position") > 0, F.concat(F.lit("organic #"), c("position").cast("string"))).otherwise("organic not found in top 100"),
         F.when(c("maps_checked"), F.when(c("maps_position") > 0, F.concat(F.lit("Maps #"), c("maps_position").cast("string"))).otherwise("Maps not found in top 20")),
+        F.when(c("maps_checked") & (c("grid_points") > 0), F.concat(F.format_string("Maps top-three coverage %.1f%% across ", c("top_three")), c("grid_points").cast("string"), F.lit(" grid points"))),
     )
     actions = F.array_compact(
         F.array(
@@ -182,5 +183,15 @@ def competitors(results: DataFrame, keys: list[str], count: int = 3) -> DataFram
     return results.filter(~F.col("is_target")).withColumn("rank", rank).filter(F.col("rank") <= count).select(*keys, "rank", "place", "position")
 
 
+def check_limit(wanted: int | None, default: int = 8, most: int = 10) -> int:
+    """How many keywords are checked: the default without a wish, never more than `most`. Fixed values."""
+    return default if not wanted or wanted < 1 else min(wanted, most)
+
+
+def search_place(latitude, longitude, name):
+    """Where a search is made: at coordinates of seven places, unless both are 0, else by name."""
+    return F.when((latitude != 0) | (longitude != 0), F.format_string("%.7f,%.7f", latitude, longitude)).otherwise(name)
+
+
 def top_countries(counts: DataFrame, limit: int = 5) -> DataFrame:
     return counts.orderBy(F.desc("n"), "country").limit(limit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_html
@@ -40,6 +40,21 @@ def resource_totals(requests: DataFrame, key: str) -> DataFrame:
     return requests.groupBy(key).agg(F.count("*").alias("requests"), F.sum("bytes").alias("bytes"), F.count_if("third_party").alias("third_party"), *[F.sum(F.when(F.col("type") == k, F.col("bytes")).otherwise(0)).alias(f"{k}_bytes") for k in kinds])
 
 
+def finished_requests(responses: DataFrame, ends: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Responses (keys, request, at, url, type) with the bytes of the load that ended them (keys, request, at, bytes). An end takes the last response
+    before it that no earlier end took; ends without one go."""
+    events = responses.select(*keys, "request", "at", F.lit(0).alias("__end"), "url", "type", F.lit(None).cast("double").alias("bytes")).unionByName(ends.select(*keys, "request", "at", F.lit(1).alias("__end"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("type"), F.col("bytes").cast("double").alias("bytes")))
+    by = Window.partitionBy(*keys, "request").orderBy("at", "__end")
+    before = events.withColumns({"__was": F.lag("__end").over(by), "__url": F.lag("url").over(by), "__type": F.lag("type").over(by)})
+    good = before.filter("__end = 1 and __was = 0")
+    return good.select(*keys, "request", F.col("__url").alias("url"), F.col("__type").alias("type"), F.round("bytes").cast("long").alias("bytes"))
+
+
+def largest_paint(entries: DataFrame, key: str) -> DataFrame:
+    """key, lcp: the latest of its paint entries (at)."""
+    return entries.groupBy(key).agg(F.max("at").alias("lcp"))
+
+
 def select_pages(pages: DataFrame, limit: int = 6) -> DataFrame:
     """The root, then the shallowest page of each first path segment, larger sections first: url, rank. pages: url, status_code, content_type, indexable, depth."""
     good = pages.filter(F.col("indexable") & F.col("status_code").between(200, 299) & is_html(F.col("content_type")))

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_text
+from ..functions.urls import crawl_url, host_key
 from .findings import chain, findings, rule
 
-BROADCAST_ROWS = 500_000
-
-
 def saved(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back, so loops keep a short lineage and lost executors cost little."""
+    """Writes df to spark.checkpoint.dir and reads it back, so loops keep a short lineage and lost executors cost little. Where that is
+    unset a local run has a folder of its own; on a cluster it would leave parts on single machines, so it is an error there."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/weftline-checkpoints"
+    path = f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,7 +54,11 @@ def depths(edges: DataFrame, start: DataFrame, limit: int | None = None) -> Data
     new frontier alone, and is written to the checkpoint folder."""
     edges = edges.select("src", "dst").distinct()
     seen = frontier = saved(start.select("node", F.lit(0).alias("depth")).distinct())
-    for depth in count(1) if limit is None else range(1, limit + 1):
+    return _spread(edges, seen, frontier, 1, limit)
+
+
+def _spread(edges: DataFrame, seen: DataFrame, frontier: DataFrame, first: int, limit: int | None) -> DataFrame:
+    for depth in count(first) if limit is None else range(first, limit + 1):
         reached = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = saved(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -56,6 +67,85 @@ def depths(edges: DataFrame, start: DataFrame, limit: int | None = None) -> Data
     return seen
 
 
+def crawl(edges: DataFrame, start: DataFrame, sitemap: DataFrame, pages: int | None = None) -> DataFrame:
+    """node, depth of both phases of a crawl: what links reach from start (node), then, from the addresses of the sitemap (node) that were not reached,
+    which have depth -1, what their links reach, at depth 0 and on. With `pages`, that many are kept: those of the first phase, by depth, come before the others."""
+    edges = edges.select("src", "dst").distinct()
+    first = depths(edges, start)
+    left = saved(sitemap.select("node").distinct().join(first.select("node"), "node", "left_anti").withColumn("depth", F.lit(-1)))
+    every = first
+    if not left.isEmpty():
+        every = _spread(edges, saved(first.union(left)), left, 0, None)
+    if pages is None:
+        return every
+    phase = every.join(first.select("node", F.lit(0).alias("phase")), "node", "left").withColumn("phase", F.coalesce("phase", F.lit(1)))
+    return phase.orderBy("phase", "depth", "node").limit(pages).select("node", "depth")
+
+
+def in_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
+    """pages (url, final_url, more) with in_sitemap: one of both addresses is listed. sitemap: loc, as crawl addresses."""
+    listed = sitemap.select(crawl_url(F.col("loc")).alias("__loc")).distinct()
+    one, two = (listed.select(F.col("__loc").alias(f"__{k}"), F.lit(True).alias(f"__in{k}")) for k in "ab")
+    met = pages.join(one, F.col("url") == F.col("__a"), "left").join(two, F.col("final_url") == F.col("__b"), "left")
+    return met.withColumn("in_sitemap", F.coalesce("__ina", F.lit(False)) | F.coalesce("__inb", F.lit(False))).drop("__a", "__b", "__ina", "__inb")
+
+
+def unseen(sitemap: DataFrame, seen: DataFrame) -> DataFrame:
+    """Addresses (loc) of the sitemap that the crawl (url) has not met."""
+    return sitemap.join(seen.select(F.col("url").alias("loc")), "loc", "left_anti")
+
+
+def resource_targets(pages: DataFrame, start, external: bool = False) -> DataFrame:
+    """url: resources of pages (resources, external_links), each once, by url; other hosts' and external links only if `external`."""
+    rows = pages.select(F.explode("resources").alias("url"))
+    if external:
+        rows = rows.unionByName(pages.select(F.explode("external_links").alias("url")))
+    rows = rows.distinct()
+    return (rows if external else rows.filter(host_key(F.col("url")) == host_key(start))).orderBy("url")
+
+
+def crawl_rules() -> list[Column]:
+    """Checks 29 and 30 over error (null: the page was fetched), path and robots_allowed."""
+    return [
+        rule("response", "Fetch failed", "fail", "high", F.col("error").isNotNull(), F.col("error")),
+        rule("crawlability", "Blocked by robots.txt", "fail", "high", F.col("error").isNull() & ~F.col("robots_allowed"), F.col("path")),
+    ]
+
+
+def robots_file_rules() -> list[Column]:
+    """Check 54 over robots_status."""
+    s = F.col("robots_status")
+    return [rule("crawlability", "Robots.txt unavailable", "warn", "medium", (s == 0) | (s == 429) | (s >= 500), F.concat(F.lit("HTTP "), s.cast("string")))]
+
+
+def sitemap_error_rules() -> list[Column]:
+    """Checks 55 and 56 over error of each failed sitemap and sources, the number of those that its site has."""
+    lone = F.contains("error", F.lit("/sitemap.xml returned 404")) & (F.col("sources") == 1)
+    return [chain(("sitemap", "No XML sitemap found", "warn", "medium", lone, F.col("error")), ("sitemap", "Sitemap error", "fail", "high", F.lit(True), F.col("error")))]
+
+
+def duplicate_findings(pages: DataFrame) -> DataFrame:
+    """Checks 46 to 49, a row for each page that shares a value: key, check, category, n. pages: key, indexable, title, description, h1, word_count, content_hash."""
+    good = pages.filter("indexable")
+    told = (
+        ("Duplicate title", "on-page", F.lower(clean_text(F.col("title")))),
+        ("Duplicate meta description", "on-page", F.lower(clean_text(F.col("description")))),
+        ("Duplicate H1", "headings", F.lower(clean_text(F.coalesce(F.try_element_at("h1", F.lit(1)), F.lit(""))))),
+        ("Exact duplicate content", "content", F.when(F.col("word_count") >= 50, F.col("content_hash")).otherwise("")),
+    )
+    said = F.array(*[F.struct(F.lit(check).alias("check"), F.lit(category).alias("category"), value.alias("value")) for check, category, value in told])
+    rows = good.select("key", F.inline(said)).filter("value <> ''")
+    shared = rows.groupBy("check", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(shared, ["check", "value"]).select("key", "check", "category", "n")
+
+
+def near_duplicate_findings(pages: DataFrame, least: float = 0.9) -> DataFrame:
+    """Check 50: key, other, evidence, told at the page that comes first. pages: key, indexable, word_count, tokens, content_hash."""
+    good = pages.filter("indexable and word_count >= 100").select("key", F.col("content_hash").alias("hash"), F.array_distinct("tokens").alias("tokens"))
+    pairs = near_duplicates(good, least)
+    return pairs.select(F.col("left").alias("key"), F.col("right").alias("other"), F.concat(F.round(F.col("similarity") * 100).cast("int").cast("string"), F.lit("% similar")).alias("evidence"))
+
+
 def duplicates(pages: DataFrame, field: Column, key: str = "key") -> DataFrame:
     """Pages whose field, if it has a value, another page has as well: key, value, n. The count goes over (value) sums, which combine before the shuffle."""
     rows = pages.select(key, field.alias("value")).filter("value is not null and value <> ''")
@@ -83,12 +173,15 @@ def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
     both = found.join(full.select(F.col("set").alias("set_a"), F.col("tokens").alias("ta")), "set_a").join(full.select(F.col("set").alias("set_b"), F.col("tokens").alias("tb")), "set_b")
     common = F.size(F.array_intersect("ta", "tb"))
     close = both.withColumn("similarity", common / (F.size("ta") + F.size("tb") - common)).filter(F.col("similarity") >= least).select("set_a", "set_b", "similarity")
-    same = nodes.select(F.col("set").alias("set_a"), F.col("set").alias("set_b"), F.lit(1.0).alias("similarity"))
-    own = sets.select("key", "hash", "set")
-    x, y = (own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns]) for s in "xy")
-    pairs = close.union(same).join(x, F.col("set_a") == F.col("set_x")).join(y, F.col("set_b") == F.col("set_y"))
-    pairs = pairs.filter((F.col("hash_x") != F.col("hash_y")) & ((F.col("set_a") != F.col("set_b")) | (F.col("key_x") < F.col("key_y"))))
-    return pairs.select(F.least("key_x", "key_y").alias("left"), F.greatest("key_x", "key_y").alias("right"), "similarity")
+    # Copies with one hash are one group: groups are paired, and keys come back last.
+    groups = sets.select("set", "hash").distinct()
+    x, y = (groups.select(F.col("set").alias(f"set_{p}"), F.col("hash").alias(f"hash_{p}")) for p in "xy")
+    apart = close.join(x, F.col("set_a") == F.col("set_x")).join(y, F.col("set_b") == F.col("set_y")).filter("hash_x <> hash_y")
+    same = x.join(y, (F.col("set_x") == F.col("set_y")) & (F.col("hash_x") < F.col("hash_y"))).withColumn("similarity", F.lit(1.0))
+    pairs = apart.select("set_x", "hash_x", "set_y", "hash_y", "similarity").unionByName(same)
+    one, two = (sets.select(F.col("key").alias(f"key_{p}"), F.col("set").alias(f"of_{p}"), F.col("hash").alias(f"its_{p}")) for p in "xy")
+    told = pairs.join(one, (F.col("set_x") == F.col("of_x")) & (F.col("hash_x") == F.col("its_x"))).join(two, (F.col("set_y") == F.col("of_y")) & (F.col("hash_y") == F.col("its_y")))
+    return told.select(F.least("key_x", "key_y").alias("left"), F.greatest("key_x", "key_y").alias("right"), "similarity")
 
 
 def sitemap_rules() -> list[Column]:
@@ -146,6 +239,16 @@ def robots_rules(files: DataFrame) -> DataFrame:
     return grouped.filter("field <> 'user-agent'").select("site", "grp", F.col("line").alias("pos"), (F.col("field") == "allow").alias("allow"), F.col("value").alias("path")).join(agents, ["site", "grp"], "right")
 
 
+# The agents that a site's robots file is read for.
+AGENTS = ("Googlebot", "Bingbot", "OAI-SearchBot", "GPTBot", "PerplexityBot", "Claude-SearchBot", "ClaudeBot")
+
+
+def agents_access(rules: DataFrame, sites: DataFrame, path: str = "/") -> DataFrame:
+    """What each of AGENTS may read of each site (site)."""
+    asked = sites.select("site", F.explode(F.array(*[F.lit(a) for a in AGENTS])).alias("agent"), F.lit(path).alias("path"))
+    return robots_access(rules, asked)
+
+
 def robots_access(rules: DataFrame, asked: DataFrame, compat: bool = False) -> DataFrame:
     """asked (site, agent, path) with allowed and rule. The groups with the longest agent name inside the asked one apply (* counts
     as length 0); of their rules with a matching prefix (up to a *, without a final $) the longest decides, ties allow.
