@@ -135,3 +135,59 @@ def test_files(spark, tmp_path):
     assert found == {"Business status", "Missing primary category", "Missing address", "Missing phone", "Missing website", "Missing hours", "No reviews"}
     files.write_report(docs, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_options():
+    import pytest
+
+    from weftline import audit
+
+    assert audit.checked_options("", 1, 120)["steps"] == "all" and audit.STEPS[1:] == ("website", "performance", "visibility", "backlinks", "profile")
+    for bad in ({"steps": "map"}, {"limit": 0}, {"limit": 5001}, {"timeout": 0}, {"timeout": 121}):
+        with pytest.raises(ValueError):
+            audit.checked_options(**bad)
+    assert [audit.stage_of(m) for m in ("[crawl] x", "[market] y", "[places]", "[done]", "[odd] z", "crawl", "[]")] == ["website", "visibility", "profile", "done", "", "", ""]
+    assert [market.check_limit(n) for n in (None, 0, 5, 50)] == [8, 8, 5, 10]
+
+
+def test_links_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    from weftline.functions import urls
+
+    bases = ["https://x.example/a/b/c?q=1", "https://x.example", "https://x.example/a/"]
+    refs = ["d.html", "../t", "./u/", "../../../v", "/r/../s", "?k=2", "//y.example/z", "http://w.example/", "e/../f?g=../h#i", "..", ".", "/"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string").select("b", "r", urls.resolve(F.col("b"), F.col("r")).alias("u"))
+    for row in df.collect():
+        assert row.u == urljoin(row.b, row.r), (row.b, row.r)
+
+
+def test_sitemaps_unzip(spark):
+    import gzip
+
+    body = b"<urlset><url><loc> https://x.example/?a=1&amp;b=2 </loc></url></urlset>"
+    rows = [("https://x.example/s.xml.gz", gzip.compress(body), ""), ("https://x.example/t", gzip.compress(body), "application/x-GZIP"), ("https://x.example/u", body, "text/xml"), ("https://x.example/bad.gz", b"no", "")]
+    docs = spark.createDataFrame(rows, "url string, raw binary, kind string").select("url", files.unpacked(F.col("raw"), F.col("url"), F.col("kind")).alias("body"))
+    got = {r.source: r.loc for r in files.sitemap_urls(docs).collect()}
+    assert got == {u: "https://x.example/?a=1&b=2" for u, *_ in rows[:3]}
+
+
+def test_sitemap_walk_stops_at_its_limit(spark):
+    docs = spark.createDataFrame([(f"s{i}", f"<sitemapindex><loc>s{i + 1}</loc><loc>s{i + 2}</loc></sitemapindex>" if i < 60 else "<urlset><loc>p</loc></urlset>") for i in range(70)], "url string, body string")
+    read, pages = files.sitemap_walk(docs, spark.createDataFrame([("a", "s0"), ("b", "s60")], "site string, url string"), 25)
+    assert read.filter("site = 'a'").count() == 25 and [r.loc for r in pages.collect()] == ["p"]
+
+
+def test_report_text(spark):
+    assert files.report_text(spark.createDataFrame([(1, None)], "a int, b string")).first().value == '{"a":1,"b":null}'
+
+
+def test_workflow_finds_what_the_rules_say(spark):
+    from weftline import audit
+
+    pages = spark.createDataFrame([("https://x.example/", "<title>T</title><a href=a>A</a><a href='gone.html'></a>"), ("https://x.example/a", "<title>T</title>"), ("https://x.example/gone.html", "x"), ("https://x.example/lone", "<title>Lone</title>")], "url string, html string")
+    responses = pages.select("url", F.col("url").alias("final_url"), F.when(F.col("url").endswith("html"), 404).otherwise(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.lit(0).alias("redirects"), F.lit("").alias("x_robots"), F.lit("").alias("link_header"))
+    out = audit.audit(spark, {"pages": pages, "responses": responses, "sitemap": pages.select(F.col("url").alias("loc"))}, "website", 50, "https://x.example/")
+    found = {(r.url.split("example")[1], r.check) for r in out["findings"].collect()}
+    assert {("/", "Broken internal link"), ("/", "Empty internal anchor"), ("/", "Duplicate title"), ("/a", "Duplicate title"), ("/gone.html", "Non-success response"), ("/lone", "Sitemap-only page"), ("/gone.html", "Non-success URL in sitemap")} <= found
+    assert {r.url.split("example")[1]: r.depth for r in out["pages"].collect()} == {"/": 0, "/a": 1, "/gone.html": 1, "/lone": -1}

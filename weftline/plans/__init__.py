@@ -1 +1,3 @@
+"""Registered queries."""
 
+from . import more, queries  # noqa: F401  more adds its own to those of queries

@@ -78,12 +78,17 @@ def q_page_language(spark, sf_dir):
 
 
 @query(
-    f"""{_PAGES}, a as (select page_id, {_HOST} h, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) o, unnest(regexp_extract_all(s, '(?is)<a\\b[^>]*>.*?</a\\s*>')) a from p),
-    b as (select page_id, o, {_strip('a')} t, trim(regexp_extract(a, '(?is)\\shref\\s*=\\s*"([^"]*)"', 1)) r from a)
-    select page_id, o || r target, t link_text, true internal, false nofollow, regexp_matches(lower(t || ' ' || o || r), '{"|".join(T.BOOKING)}') booking from b where r like '/%'"""
+    f"""with p as (select page_id, url, {_PATH} w, coalesce({_SHOWN.replace('html', 'h')}, '') s from (select page_id, url, case page_id % 3 when 1 then replace(html, 'href="/', 'href="') when 2 then replace(html, 'href="/', 'href="../') else html end h from pages)),
+    a as (select page_id, w, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) o, unnest(regexp_extract_all(s, '(?is)<a\\b[^>]*>.*?</a\\s*>')) a from p),
+    b as (select page_id, o, case when w = '' then '/' else regexp_extract(w, '^.*/', 0) end d, {_strip('a')} t, trim(regexp_extract(a, '(?is)\\shref\\s*=\\s*"([^"]*)"', 1)) r from a),
+    c as (select page_id, o, t, case when r like '/%' then r when r like '../%' then regexp_replace(d, '[^/]+/$', '') || r[4:] else d || r end r from b where r <> '' and r not like '#%' and not regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*:'))
+    select page_id, o || r target, t link_text, true internal, false nofollow, regexp_matches(lower(t || ' ' || o || r), '{"|".join(T.BOOKING)}') booking from c"""
 )
 def q_page_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    """A third of the pages has its links relative to the folder, another third to the folder above."""
+    i, h = F.col("page_id") % 3, F.col("html")
+    moved = F.when(i == 1, F.replace(h, F.lit('href="/'), F.lit('href="'))).when(i == 2, F.replace(h, F.lit('href="/'), F.lit('href="../'))).otherwise(h)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", moved.alias("html"))
     links = extract.anchors(pages, keys=("page_id",))
     return links.select("page_id", "target", F.col("text").alias("link_text"), "internal", "nofollow", "booking")
 
@@ -202,14 +207,14 @@ def q_broken_links(spark, sf_dir):
     return site.link_findings(derived(spark, sf_dir, "site_edges"), targets).select("src", "dst", "check", "status")
 
 
-@query("with recursive b as (select 0::bigint node, 0 depth union select dst, depth + 1 from b join site_edges on src = node where depth < 6) select node, min(depth)::int depth from b group by node", "site_edges")
+@query("with recursive b as (select 0::bigint node, 0 depth union select dst, depth + 1 from b join site_edges on src = node where depth < 24) select node, min(depth)::int depth from b group by node", "site_edges")
 def q_bfs_depth(spark, sf_dir):
     start = spark.range(1).select(F.col("id").alias("node"))
     return site.depths(derived(spark, sf_dir, "site_edges"), start)
 
 
 @query(
-    """with recursive b as (select 0::bigint node, 0 depth union select dst, depth + 1 from b join site_edges on src = node where depth < 6), d as (select node, min(depth) depth from b group by node),
+    """with recursive b as (select 0::bigint node, 0 depth union select dst, depth + 1 from b join site_edges on src = node where depth < 24), d as (select node, min(depth) depth from b group by node),
     i as (select dst, count(*) n from site_edges group by dst),
     x as (select page_id, coalesce(depth, -1) depth, coalesce(n, 0) inlinks, in_sitemap, indexable, contains(content_type, 'html') html, status_code, redirects from site_pages left join d on node = page_id left join i on dst = page_id)
     select page_id, 'Sitemap-only page' "check" from x where depth < 0 and in_sitemap and indexable and html union all select page_id, 'Deep page' from x where depth > 3 and indexable and html
@@ -243,23 +248,21 @@ def q_canonical_targets(spark, sf_dir):
     return site.canonical_findings(pages).select(F.col("key").alias("page_id"), F.col("canonical").alias("canonical_id"))
 
 
-ROBOTS = "User-agent: GPTBot\nDisallow: /\n\nUser-agent: *\nDisallow: /private # no\nAllow: /private/open\nDisallow:\nDisallow: /*.tmp$\n\nUser-agent: Google\nUser-agent: Bing\nAllow: /\nDisallow: /admin$\nDisallow: /a"
-ASKED = [(a, p) for a in ("GPTBot", "Googlebot", "Bingbot", "Other") for p in ("/", "/private", "/private/open/x", "/admin", "/about", "/x.tmp")]
+ASKED = ("/", "/a/x", "/a/b/c", "/p.tmp", "/q", "/q/open")
 
 
 @query(
-    "select * from (values "
-    + ", ".join(
-        f"('{a}', '{p}', {str(ok).lower()})"
-        for a, p in ASKED
-        for ok in [False if a == "GPTBot" else (not p.startswith("/a") if a in ("Googlebot", "Bingbot") else p == "/private/open/x" or False)]
-    )
-    + ") t(agent, path, allowed)"
+    "with x as (select page_id site, page_id % 5 k, agent, path from pages, (select unnest(['GPTBot', 'Googlebot', 'Other']) agent) a, (select unnest([" + ", ".join(f"'{p}'" for p in ASKED) + "]) path) b) "
+    "select site, agent, path, case when agent = 'GPTBot' and k = 0 then not path like '/q%' or path like '/q/open%' when agent = 'GPTBot' then not path like '/a%' or path like '/a/b%' when agent = 'Googlebot' and k < 3 then not path like '/q%' or path like '/q/open%' and k <> 2 else not (path like '/p%' and k <> 4) end allowed from x"
 )
 def q_robots_access(spark, sf_dir):
-    files = spark.createDataFrame([("s", ROBOTS)], "site string, body string")
-    asked = spark.createDataFrame([("s", a, p) for a, p in ASKED], "site string, agent string, path string")
-    return site.robots_access(site.robots_rules(files), asked).select("agent", "path", "allowed")
+    """Each page stands for a site with a robots file of its own. A group without rules, as an empty Disallow leaves it, is one with the next."""
+    k = F.col("page_id") % 5
+    gpt = F.when(k == 0, "User-agent: GPTBot\nDisallow:\n").otherwise("# all but one folder\nUser-agent: GPTBot\nDisallow: /a # no\nAllow: /a/b\n")
+    google = F.when(k < 3, F.concat(F.lit("\nUser-agent: Google\nUser-Agent: bing\nDisallow: /q$\n"), F.when(k != 2, "Allow: /q/open\n").otherwise(""))).otherwise("")
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("site"), F.concat(gpt, google, F.when(k == 4, "\nUser-agent: *\nAllow: /\n").otherwise("\nUser-agent: *\nDisallow: /p*.tmp\n")).alias("body"))
+    asked = files.select("site", F.explode(F.array(*[F.lit(a) for a in ("GPTBot", "Googlebot", "Other")])).alias("agent")).select("site", "agent", F.explode(F.array(*[F.lit(p) for p in ASKED])).alias("path"))
+    return site.robots_access(site.robots_rules(files), asked).select("site", "agent", "path", "allowed")
 
 
 @query(
@@ -317,13 +320,13 @@ def _terms_sql(c: str) -> str:
 
 
 @query(
-    f"""with w as (select url page, unnest(list_distinct(list_concat({_terms_sql('url')}, {_terms_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}))) t from pages where page_id % 5 = 0),
+    f"""with w as (select url page, unnest(list_distinct(list_concat({_terms_sql('url')}, {_terms_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}))) t from pages),
     k as (select keyword, unnest({_terms_sql('keyword')}) t from (select distinct p_type || ' thing example' keyword from part)), s as (select keyword, page, count(*) n from k join w using (t) group by all),
     b as (select keyword, arg_min(page, (-n, page)) target_url from s group by keyword) select keyword, coalesce(target_url, '') target_url from (select distinct p_type || ' thing example' keyword from part) left join b using (keyword)"""
 )
 def q_assign_pages(spark, sf_dir):
     none = F.array().cast("array<string>")
-    pages = table(spark, sf_dir, "pages").filter("page_id % 5 = 0").select("url", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), none.alias("h1"), none.alias("seeds"))
+    pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), none.alias("h1"), none.alias("seeds"))
     asked = table(spark, sf_dir, "part").select(F.concat("p_type", F.lit(" thing example")).alias("keyword"), F.lit("").alias("target_url"))
     return market.assign_pages(asked, pages)
 
@@ -346,7 +349,7 @@ _OPP = f"""{_MERGED}, o as (select *, search_volume % 3 <> 0 maps_checked, (sear
 @query(
     f"""with {_OPP} select keyword, importance::int importance, effort::int effort, importance / effort ratio, case when ow and mw then 'weak-organic-and-maps' when ow then 'weak-organic' when mw then 'weak-maps' else 'visible' end status,
     case when not ow and not mw then 'low' when importance >= 4 then 'high' else 'medium' end priority,
-    case when position > 0 then 'organic #' || position else 'organic not found in top 100' end || case when not maps_checked then '' when maps_position > 0 then '; Maps #' || maps_position else '; Maps not found in top 20' end evidence,
+    case when position > 0 then 'organic #' || position else 'organic not found in top 100' end || case when not maps_checked then '' when maps_position > 0 then '; Maps #' || maps_position else '; Maps not found in top 20' end || case when maps_checked then '; Maps top-three coverage ' || printf('%.1f', top_three) || '% across 9 grid points' else '' end evidence,
     array_to_string(list_filter([case when ow and target_url <> '' then 'improve-target-page' when ow and url = '' then 'create-page' when ow then 'improve-ranking-page' end, case when mw then 'improve-profile' end, case when not ow and not mw then 'protect' end,
       case when search_volume % 2 = 0 then 'add-booking' end], lambda x: x is not null), ',') actions from w""",
     "candidates",
@@ -475,7 +478,7 @@ def q_identity(spark, sf_dir):
     k = F.col("s_suppkey")
     hosts = s.filter(k % 2 == 0).select((k % 25).alias("site"), F.concat(F.lit("biz"), ((k * 3) % 20).cast("string"), F.lit(".example")).alias("host"))
     phones = s.filter(k % 3 != 1).select((k % 25).alias("site"), F.concat(F.lit("020 "), (7000000 + k * 13).cast("string")).alias("phone"))
-    return identity.verify(derived(spark, sf_dir, "profiles").select("place_id", "site", "website", "phone"), hosts, phones)
+    return identity.verify(derived(spark, sf_dir, "profiles").select("place_id", "site", "website", "phone"), hosts, phones).select("place_id", "identity")
 
 
 @query("select n_name country, count(*) n from customer join nation on n_nationkey = c_nationkey group by 1 order by n desc, country limit 5")
@@ -514,16 +517,23 @@ def q_page_search(spark, sf_dir):
     return store.search_pages(pages, " EN/ ").select("page_id", "url")
 
 
-LD = """<article><script type="application/ld+json">{"@graph":[{"@type":["Article","WebPage"],"author":{"name":"Ann Lee"},"datePublished":"2026-01-02"},{"@type":"Organization"}]}</script>
-<script type="application/ld+json">{broken</script><time itemprop="dateModified" datetime="2026-03-04">March</time><time>5 May</time></article>"""
+def _marked(spark, sf_dir):
+    """Pages with structured data and dates after their ids."""
+    i = F.col("page_id").cast("string")
+    good = F.concat(F.lit('{"@graph":[{"@type":["Article","T'), (F.col("page_id") % 3).cast("string"), F.lit('"],"author":[{"name":""},{"name":"Ann  '), i, F.lit('"}],"datePublished":"2026-01-'), i, F.lit('"},{"@type":"Organization"}]}'))
+    block = F.concat(F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 4 == 3, "{broken").otherwise(good), F.lit("</script>"))
+    time = F.when(F.col("page_id") % 5 == 1, F.concat(F.lit('<time itemprop="dateModified" datetime="m'), i, F.lit('">March</time>'))).when(F.col("page_id") % 5 == 2, F.concat(F.lit("<article><time>t"), i, F.lit("</time></article>"))).otherwise("<time>5 May</time>")
+    return table(spark, sf_dir, "pages").select("page_id", extract.metadata(F.concat(block, F.lit("<script>var x</script>"), F.when(F.col("page_id") % 2 == 0, block).otherwise(""), time)).alias("m"))
 
 
-@query("select 1::bigint id, 2 blocks, 1 invalid, 'Article,Organization,WebPage' schema_types, 'Ann Lee' author, '2026-01-02' published")
+@query(
+    """select page_id, case when page_id % 2 = 0 then 2 else 1 end::int blocks, case when page_id % 4 = 3 then case when page_id % 2 = 0 then 2 else 1 end else 0 end::int invalid, case when page_id % 4 = 3 then '' else 'Article,Organization,T' || page_id % 3 end schema_types,
+    case when page_id % 4 = 3 then '' else 'Ann ' || page_id end author, case when page_id % 4 <> 3 then '2026-01-' || page_id when page_id % 5 = 2 then 't' || page_id else '' end published from pages"""
+)
 def q_jsonld(spark, sf_dir):
-    rows = spark.range(1, 2).select("id", extract.metadata(F.lit(LD)).alias("m"))
-    return rows.select("id", "m.blocks", "m.invalid", F.array_join("m.schema_types", ",").alias("schema_types"), "m.author", "m.published")
+    return _marked(spark, sf_dir).select("page_id", "m.blocks", "m.invalid", F.array_join("m.schema_types", ",").alias("schema_types"), "m.author", "m.published")
 
 
-@query("select 1::bigint id, '2026-03-04' modified")
+@query("select page_id, case when page_id % 5 = 1 then 'm' || page_id else '' end modified from pages")
 def q_time_meta(spark, sf_dir):
-    return spark.range(1, 2).select("id", extract.metadata(F.lit(LD))["modified"].alias("modified"))
+    return _marked(spark, sf_dir).select("page_id", "m.modified")
