@@ -45,12 +45,12 @@ def edited(rng, words, share):
     return [rng.choice("abcdefgh") * 3 + str(rng.randrange(10**6)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("share", [0.01, 0.025, 0.04])
-def test_near_duplicates_in_a_family(spark, share):
+@pytest.mark.parametrize("share,size", [(0.01, 160), (0.025, 500), (0.04, 160)])
+def test_near_duplicates_in_a_family(spark, share, size):
     """A large family around the threshold: many pairs are linked and many are not."""
     rng = random.Random(share)
     base = [f"w{i}" for i in range(240)]
-    texts = [" ".join(edited(rng, base, share)) for _ in range(160)] + [" ".join(f"z{rng.randrange(999)}" for _ in range(80)) for _ in range(40)]
+    texts = [" ".join(edited(rng, base, share)) for _ in range(size)] + [" ".join(f"z{rng.randrange(999)}" for _ in range(80)) for _ in range(40)]
     texts += texts[:10] + [None, "", "A b", "a B"]
     got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts)).collect()}
     sets = [shingle_set(t) for t in texts]
