@@ -609,3 +609,42 @@ def test_contexts_grow_with_the_corpus(spark):
     texts = [" ".join(rng.choices(known, k=500)) for _ in range(400)]
     got = scoring.score(frame(spark, texts), F.col("doc_id") >= 380)
     assert got.filter("held_out").agg(F.avg("bits_per_byte")).first()[0] < 2.3
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_repeats_of_the_table(spark, monkeypatch, crowd):
+    """Every document of the table against every 100-byte string."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    got = {r.doc_id: tuple(r)[1:5] for r in repeats.remove_repeats(docs).collect()}
+    assert [got[r.doc_id] for r in rows] == brute_repeats([r.text for r in rows])
+    assert sum(v[1] for v in got.values()) > 1000
+
+
+def test_buckets_are_equal_strings():
+    rng = random.Random(13)
+    for _ in range(60):
+        data = bytes(rng.choice(rng.choice([b"a", b"ab", b"abcdef"])) for _ in range(rng.randrange(300))) * rng.randrange(1, 3)
+        depth = rng.choice([1, 3, 8, 9, 16, 33, 100])
+        ids, named = repeats.buckets(np.frombuffer(data, np.uint8), depth).tolist(), {}
+        for i, b in enumerate(ids):
+            assert named.setdefault(data[i : i + depth], b) == b if i + depth <= len(data) else b == -1
+        assert len(set(named.values())) == len(named)
+
+
+def test_ties_of_votes_go_to_the_smaller_path(spark):
+    part = "<div class={}><p>" + "plain words of a story that goes on and on " * 5 + "</p></div>"
+    one, two = ("<body>" + part.format(c) + "</body>" for c in "za")
+    rows = spark.createDataFrame([(1, "http://h.example/1", one), (2, "http://h.example/2", two)], "page_id long, url string, html string")
+    assert pages.winners(rows).first().paths == ["body/div.a", "body/div.z"]
+    assert {r.page_id: r.path for r in pages.extract(rows).collect()} == {1: "body/div.z", 2: "body/div.a"}
+    assert pages.main_text("<body>" + part.format("z") + part.format("a") + "</body>", ["body/div.a", "body/div.z"])[1] == "body/div.a"
+
+
+def test_odd_labels_change_nothing(spark):
+    """Null labels and ids count for nothing; an id that is labelled twice is toxic if one label says so."""
+    docs, labels = (spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    odd = labels.union(labels.filter("toxic = 1")).union(labels.filter("toxic = 1").withColumn("toxic", F.lit(0))).union(labels.limit(5).withColumn("toxic", F.lit(None).cast("int"))).union(labels.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    assert toxicity.train(docs, odd) == toxicity.train(docs, labels)
