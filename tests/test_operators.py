@@ -137,6 +137,12 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).count() == 2
 
 
+def test_agents(spark):
+    rules = site.robots_rules(spark.createDataFrame([("s", "User-agent: *\nDisallow: /x\nUser-agent: GPTBot\nDisallow: /")], "site string, body string"))
+    got = {r.agent: r.allowed for r in site.agents_access(rules, spark.createDataFrame([("s",), ("t",)], "site string"), "/a").filter("site = 's'").collect()}
+    assert got == {a: a != "GPTBot" for a in site.AGENTS} and site.agents_access(rules, spark.createDataFrame([("t",)], "site string")).filter("allowed").count() == len(site.AGENTS)
+
+
 def test_options():
     import pytest
 

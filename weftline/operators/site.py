@@ -158,8 +158,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
     Prefix filtering: tokens are ordered from rare to frequent, and two sets that similar share one of their first
     n - ceil(least * n) + 1. So only those are joined, rare ones first, together with a length filter; full
-    sets confirm. Rows with equal token sets are one side of the join: their copies come back by a join on the set."""
-    sets = saved(rows.select("key", "hash", F.array_sort("tokens").alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", F.sha2(F.to_json(F.struct("tokens")), 256)))
+    sets confirm. Tokens are told by 64-bit hashes, which move and compare as numbers. Rows with equal token sets are one side of the join: their copies come back by a join on the set."""
+    hashed = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))))
+    name = F.concat(F.hex(F.xxhash64("tokens")), F.hex(F.xxhash64(F.lit(1), "tokens")))
+    sets = saved(rows.select("key", "hash", hashed.alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", name))
     nodes = sets.groupBy("set").agg(F.first("tokens").alias("tokens"))
     frequency = nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
     ranked = nodes.select("set", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(frequency, "token")

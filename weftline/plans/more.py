@@ -235,6 +235,16 @@ def q_crawl_limit(spark, sf_dir):
     return _crawled(spark, sf_dir, 60)
 
 
+@query("""select page_id, case when status_code not between 200 and 299 then 'HTTP ' || status_code when content_type not like '%html%' then 'non-HTML response' when noindex then 'noindex directive' when canonical_id <> page_id then 'canonicalised to another URL' end reason,
+  status_code between 200 and 299 and page_id % 2 = 0 as_file from site_pages""", "site_pages")
+def q_indexability(spark, sf_dir):
+    i = F.col("page_id")
+    rows = derived(spark, sf_dir, "site_pages")
+    robots = F.when(F.col("noindex") & (i % 2 == 0), "follow, NOINDEX").otherwise("index")
+    reason = findings.indexability(F.col("status_code"), F.col("content_type"), robots, F.when(F.col("noindex") & (i % 2 == 1), "noindex").otherwise(""), F.concat(F.lit("https://x.example/"), F.col("canonical_id").cast("string"), F.lit("/")), F.concat(F.lit("https://X.example/"), i.cast("string"), F.lit("?a=b")))
+    return rows.select("page_id", reason.alias("reason"), findings.other_indexability(F.col("status_code"), F.when(i % 2 == 1, "none, noindex")).alias("as_file"))
+
+
 @query("""select page_id, 'Fetch failed' "check", 'status ' || status_code evidence from site_pages where status_code >= 500 union all select page_id, 'Blocked by robots.txt', '/p/' || page_id from site_pages where status_code < 500 and page_id % 12 = 5""", "site_pages")
 def q_crawl_findings(spark, sf_dir):
     i = F.col("page_id")
