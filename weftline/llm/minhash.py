@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         rows = seen(labels, first, bands)
         heads = rows.groupBy("bucket").agg(F.min(F.struct("label", "node")).alias("head"), F.count("*").alias("k")).filter("k > 1").select(F.col("bucket").alias("in"), F.col("head.label").alias("least"), F.col("head.node").alias("b"))
         pairs = rows.join(heads, (F.col("bucket") == F.col("in")) & (F.col("label") != F.col("least"))).select(F.col("node").alias("a"), "b").distinct()
-        near = saved(apart(pairs), "star", count)
+        near = saved(apart(pairs), "star")
         if not near.limit(1).count():
             continue
         wanted = either(near)
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # Buckets that several clusters share: pairs across clusters are near by their sketches, if at all, and are few.
     sizes = seen(clusters, 1, BANDS, F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n_all"), F.count("*").alias("k")).filter("k > 1 and n_all > 2")
-    sizes = saved(sizes.select(F.col("bucket").alias("in"), F.col("main.label").alias("most"), F.ceil((F.col("n_all") - F.col("main.n")) / BLOCK).alias("left"), F.ceil(F.col("n_all") / BLOCK).alias("right")), "mixed", count)
+    sizes = saved(sizes.select(F.col("bucket").alias("in"), F.col("main.label").alias("most"), F.ceil((F.col("n_all") - F.col("main.n")) / BLOCK).alias("left"), F.ceil(F.col("n_all") / BLOCK).alias("right")), "mixed")
     if sizes.limit(1).count():
         rest = labelled(nodes.select("node", "bands"), clusters, "node", "label").select("node", "label", F.explode("bands").alias("bucket")).join(small(sizes), F.col("bucket") == F.col("in"))
         rest = rest.select("bucket", "node", "label", (F.col("label") != F.col("most")).alias("rest"), "left", "right")
