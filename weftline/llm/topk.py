@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Vectors of a shard, about, and queries of a block; both bound what one task holds.
-SHARD, QUERIES, LEAF = 32768, 512, 64
+#: Vectors of a shard, at most about, and at least while there are fewer shards than cores; queries of a block. They bound what one task holds.
+SHARD, LEAST, QUERIES, LEAF = 32768, 2048, 512, 256
 _LONG = 2**63
 
 
@@ -142,7 +142,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     non-finite: no part. Empty table: no rows. Other columns don't matter.
     """
     vectors = saved(quantized(embeddings), "vectors")
-    shards = max(1, -(-vectors.count() // SHARD))
+    count = vectors.count()
+    shards = max(1, -(-count // SHARD), min(embeddings.sparkSession.sparkContext.defaultParallelism, count // LEAST))
     dealt = vectors.select(F.size("q").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "row", "vec_id", "q", F.lit(None).cast("long").alias("floor"))
     asked = vectors.filter(F.col("vec_id") % every == 0)
 
