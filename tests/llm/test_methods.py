@@ -490,7 +490,7 @@ def test_prefix_code_round_trip():
 
 def plain_model(texts, held, model):
     """Bits of each text, one decision after the other: counts by context in dictionaries, a sum of products, an exponential."""
-    _, _, _, code, tables, _, weights = model
+    _, _, code, tables, _, weights = model
     sizes = tuple(len(t).bit_length() - 1 for t in tables)
     words = [t.lower().encode().split() for t in texts]
     counts = Counter()
@@ -581,6 +581,8 @@ def test_texts_refine_which_mixer_they_trust():
 def test_base_score(spark, monkeypatch):
     monkeypatch.setattr(scoring, "HEAD", 40)  # most tokens go the other way
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(120).collect()] + [(7777, None), (7778, "Zebra zebra")]
+    rng = random.Random(14)  # short words, many of them at ends
+    rows += [(8000 + i, " ".join("".join(rng.choices("ABé", k=rng.randrange(1, 5))) for _ in range(rng.randrange(1, 4)))) for i in range(60)]
     got = {r.doc_id: r for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
     words = {d: (t or "").encode().lower().split() for d, t in rows}
