@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         got = full(wanted.join(sets, "node", "left_anti") if sets is not None else wanted)
         star, sets = (near, got) if star is None else (star.union(near), sets.union(got))
         best = near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        links = saved(confirmed(best, sets), "links", count)
+        links = saved(confirmed(best, sets), "links")
         if links.limit(1).count():
             labels = joined(labels, links)
 
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         pairs = tiled(rest.join(sketch, "node"), "bucket", _near, names, percent).distinct()
         pairs = saved(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti") if star is not None else pairs, "pairs")
         if pairs.limit(1).count():
-            links = saved(confirmed(pairs, full(either(pairs))), "links", count)
+            links = saved(confirmed(pairs, full(either(pairs))), "links")
             if links.limit(1).count():
                 labels = joined(labels, links)
 
