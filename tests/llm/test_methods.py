@@ -530,9 +530,10 @@ def plain_model(texts, held, model):
     return total
 
 
-def test_score_equals_a_plain_model(spark, monkeypatch):
+@pytest.mark.parametrize("at_a_time", [15, 2])
+def test_score_equals_a_plain_model(spark, monkeypatch, at_a_time):
     monkeypatch.setattr(scoring, "HEAD", 30)  # most keys go the other way
-    monkeypatch.setattr(scoring, "TOLD", 15)
+    monkeypatch.setattr(scoring, "TOLD", at_a_time)  # with 2 leads of more than 8 keys are parted
     rng = random.Random(2)
     texts = [" ".join("".join(rng.choices("abé", k=rng.randrange(1, 7))) for _ in range(rng.randrange(40))) for _ in range(40)] + ["", "Zebra zebra", "q" * 90]
     df = frame(spark, texts)
@@ -551,7 +552,7 @@ def test_probabilities_add_up_to_one():
     tables = [rng.randint(0, 60, (1 << t, 2)).astype(np.float32) for t in scoring.TABLES]
     for letters, of_keys in ((np.full(256, 107), [bytes([b]) for b in range(256)]), (None, [b"k" + bytes([b]) for b in range(256)])):
         n = rng.randint(0, 9, 256).astype(float)
-        features, gates, key = scoring.told(of_keys, n, code, tables, scoring.lead_table(of_keys, n, code), letters=letters)
+        features, gates, key = scoring.told(of_keys, n, code, tables, [(scoring.LEAD, scoring.lead_table(of_keys, n, code))], letters=letters)
         for gate in gates:
             w = rng.rand(scoring.GATES, 4).astype(np.float32)
             bits = scoring.costs(features, [gate], key, 256, [w])[0]
