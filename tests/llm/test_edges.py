@@ -1,11 +1,13 @@
 """Empty tables, nulls, repeats, long texts and clashing columns for every operator."""
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, licenses, minhash, mixing, pages, repeats, scoring, secrets, topk, toxicity
+from weftline.llm import decontaminate, licenses, minhash, mixing, pages, repeats, scoring, secrets, tokens, topk, toxicity
 
 LONG = "word " * 30_000
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 ROWS = [(1, None, None), (2, "", "a"), (3, "one two", "a"), (3, "one two", "a"), (None, "x y z one two three four", None), (4, LONG, "b"), (5, "token = abcdefgh12 under the MIT License", "b")]
 CLASH = ["size", "of", "n", "node", "label", "bucket", "hashes", "words", "gram", "row", "held_out", "spans", "host", "target", "copies", "__x"]
 
@@ -34,6 +36,7 @@ RUNS = {
     "toxicity": lambda s, d: toxicity.clean(d, labels(s)),
     "licenses": lambda s, d: licenses.scan(d),
     "scoring": lambda s, d: scoring.score(d),
+    "tokens": lambda s, d: tokens.token_counts(d, VOCABULARY),
     "mixing": lambda s, d: mixing.mix(d),
 }
 #: Rows out of the seven in ROWS.

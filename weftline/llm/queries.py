@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, minhash, mixing, pages, repeats, scoring, secrets, topk, toxicity
+from . import decontaminate, licenses, minhash, mixing, pages, repeats, scoring, secrets, tokens, topk, toxicity
 from .common import read
 
 
@@ -126,6 +126,12 @@ def op7_toxicity(spark, sf_dir):
     return graded.select("doc_id", F.col("__severity").alias("expected_severity"), chance.alias("p_toxic"), F.col("__at_least")[1].alias("p_severe"), (chance >= toxicity.REJECT).alias("toxic"))
 
 
+def op13_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_source_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -147,5 +153,5 @@ c as (select *, target - sum(whole * size) over (partition by source) need, sum(
 select doc_id, size::bigint size, source_size, target, (size * (whole + case when extra > 0 and upto - alike / 2 <= need then 1 else 0 end))::bigint taken from c"""
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing, op13_token_counts)}
 SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op8_license_scans": _op8_sql(), "op10_source_mixing": _op10_sql()}
