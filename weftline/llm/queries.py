@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, minhash, mixing, pages, repeats, scoring, secrets, tokens, topk, toxicity
+from . import decontaminate, licenses, manifest, minhash, mixing, pages, repeats, scoring, secrets, tokens, topk, toxicity
 from .common import read
 
 
@@ -126,6 +126,49 @@ def op7_toxicity(spark, sf_dir):
     return graded.select("doc_id", F.col("__severity").alias("expected_severity"), chance.alias("p_toxic"), F.col("__at_least")[1].alias("p_severe"), (chance >= toxicity.REJECT).alias("toxic"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", *manifest.FIELDS[1:], "text")
+    halved = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    proved = manifest.manifest(docs, F.when(halved, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    told = proved.withColumns({"proof_sha256": F.sha2(siblings, 256), "folded_root": manifest.fold(F.col("seen_leaf"), F.col("path"))})
+    return told.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _op12_sql():
+    """The tree level by level as lists of digests, a row's path by its place in them; crc32 bit by bit."""
+    plain = "'-'"
+    told = " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}, {plain})" for c in manifest.FIELDS)
+
+    def leaf(text):
+        return f"sha256({told} || coalesce(strlen({text}) || ':' || {text}, {plain}))"
+
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda s: ascii(s)::bigint)), lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295)"
+
+    def tree(name, start):
+        up = "list_transform(range((len(l) + 2) // 3), lambda i: sha256(array_to_string(l[3 * i + 1:3 * i + 3], '')))"
+        return f"{name} as ({start} union all select g, h + 1, {up} from {name} where len(l) > 1)"
+
+    def path(name, start, of):
+        node = f"select p.row, p.g, p.i, p.h, t.l[3 * (p.i // 3) + 1:p.i] a, t.l[p.i + 2:3 * (p.i // 3) + 3] z from {{}} p join {of} t on t.g is not distinct from p.g and t.h = p.h where len(t.l) > 1"
+        return f"{name} as ({node.format('(' + start + ')')} union all {node.format(f'(select row, g, i // 3 i, h + 1 h from {name})')})"
+
+    return rf"""
+with recursive d as (select *, {leaf("text")} leaf, case when {crc} % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end seen from documents),
+e as (select *, row_number() over (order by source nulls first, doc_id nulls first, leaf) row, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 i from d),
+{tree("t", "select source g, 0 h, list(leaf order by i) l from e group by source")},
+{path("p", "select row, source g, i, 0 h from e", "t")},
+s as (select g, l[1] subroot, row_number() over (order by g nulls first) - 1 i from t where len(l) = 1),
+{tree("u", "select 0 g, 0 h, list(subroot order by i) l from s")},
+{path("q", "select i row, 0 g, i, 0 h from s", "u")},
+w as (select p.row, p.h, a, z from p union all select e.row, 1000 + q.h, a, z from q join s on s.i = q.row join e on e.source is not distinct from s.g),
+y as (select row, list({{'a': array_to_string(a, ''), 'z': array_to_string(z, '')}} order by h) steps from w group by row),
+f as (select e.*, coalesce(steps, []) steps from e left join y using (row)),
+k as (select *, list_reduce(list_prepend({{'a': seen, 'z': ''}}, steps), lambda x, n: {{'a': sha256(n.a || x.a || n.z), 'z': ''}}).a folded_root, (select l[1] from u where len(l) = 1) root from f)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x.a || x.z), '')) proof_sha256, folded_root, folded_root = root verified
+from k join s on s.g is not distinct from k.source"""
+
+
 def op13_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -153,5 +196,5 @@ c as (select *, target - sum(whole * size) over (partition by source) need, sum(
 select doc_id, size::bigint size, source_size, target, (size * (whole + case when extra > 0 and upto - alike / 2 <= need then 1 else 0 end))::bigint taken from c"""
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing, op13_token_counts)}
-SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op8_license_scans": _op8_sql(), "op10_source_mixing": _op10_sql()}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing, op12_merkle_manifest, op13_token_counts)}
+SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op8_license_scans": _op8_sql(), "op10_source_mixing": _op10_sql(), "op12_merkle_manifest": _op12_sql()}
