@@ -58,6 +58,15 @@ def saved(df: DataFrame, name: str = "part", rows: int | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table that saved() wrote and returned as df, which nothing will read again."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df as a broadcast side if it has at most `rows` rows, which are counted, else as it is for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

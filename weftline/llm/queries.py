@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, manifest, minhash, mixing, pages, repeats, scoring, secrets, tokens, topk, toxicity
+from . import decontaminate, licenses, lloyd, manifest, minhash, mixing, pages, repeats, scoring, secrets, tokens, topk, toxicity
 from .common import read
 
 
@@ -126,6 +126,37 @@ def op7_toxicity(spark, sf_dir):
     return graded.select("doc_id", F.col("__severity").alias("expected_severity"), chance.alias("p_toxic"), F.col("__at_least")[1].alias("p_severe"), (chance >= toxicity.REJECT).alias("toxic"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    codes, books = lloyd.compress(read(spark, sf_dir, "embeddings"))
+    told = lloyd.with_label_errors(codes).withColumn("codebooks_sha256", F.lit(lloyd.digest(books)))
+    return told.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op11_sql():
+    """Every distance in every round. Entries are lists by part; the first of the nearest is the one with the least (distance, entry)."""
+    apart = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) ** 2))::bigint"
+
+    def assigned(k):
+        return f"a{k} as materialized (select row, p, any_value(x) x, min({{'d': {apart}, 'e': e}}) n from v join c{k} using (p) group by row, p)"
+
+    def replaced(k):
+        return f"""s{k} as (select p, e, i, floor(sum(y)::double / count(*))::bigint y from (select p, n.e e, generate_subscripts(x, 1) i, unnest(x) y from a{k}) group by p, e, i),
+c{k + 1} as materialized (select p, e, coalesce(m, c) c from c{k} left join (select p, e, list(y order by i) m from s{k} group by p, e) using (p, e))"""
+
+    rounds = ", ".join(f"{assigned(k)}, {replaced(k)}" for k in range(lloyd.ROUNDS))
+    return rf"""
+with k as (select row_number() over (order by vec_id nulls last, embedding) row, vec_id, label, list_transform(embedding, lambda x: floor({lloyd.SCALE} * x::double)::bigint) x from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+w as (select * from k where len(x) = (select len(x) from k where len(x) % {lloyd.PARTS} = 0 order by row limit 1)),
+v as (select row, p, x[p * len(x) // {lloyd.PARTS} + 1:(p + 1) * len(x) // {lloyd.PARTS}] x from w, range({lloyd.PARTS}) t(p)),
+c0 as (select p, row_number() over (partition by p order by row) - 1 e, x c from v qualify e < {lloyd.ENTRIES}),
+{rounds}, {assigned(lloyd.ROUNDS)},
+o as (select row, string_agg(lpad(lower(to_hex(n.e)), 2, '0'), '' order by p) code, sum(n.d)::bigint error from a{lloyd.ROUNDS} group by row)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error,
+  sha256((select string_agg(y::varchar, ',' order by p, e, i) from (select p, e, generate_subscripts(c, 1) i, unnest(c) y from c{lloyd.ROUNDS}))) codebooks_sha256
+from o join w using (row)"""
+
+
 def op12_merkle_manifest(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", *manifest.FIELDS[1:], "text")
     halved = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -196,5 +227,5 @@ c as (select *, target - sum(whole * size) over (partition by source) need, sum(
 select doc_id, size::bigint size, source_size, target, (size * (whole + case when extra > 0 and upto - alike / 2 <= need then 1 else 0 end))::bigint taken from c"""
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing, op12_merkle_manifest, op13_token_counts)}
-SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op8_license_scans": _op8_sql(), "op10_source_mixing": _op10_sql(), "op12_merkle_manifest": _op12_sql()}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing, op11_vector_codes, op12_merkle_manifest, op13_token_counts)}
+SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op8_license_scans": _op8_sql(), "op10_source_mixing": _op10_sql(), "op11_vector_codes": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
