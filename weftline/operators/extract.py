@@ -12,118 +12,96 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import clean_text, is_booking, tokenize
+from ..functions.text import clean_text, has_token, is_booking, tokenize
 from ..functions.urls import crawl_url, host_key, is_followed, resolve
+from .markup import BLOCKS, TOKEN, attributes, decoded, elements, has, inside, let, marked, shown_text, spans, value
 
-HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript|svg|template)\b[^>]*>.*?</(script|style|noscript|svg|template)\s*>"
-ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: Largest page that is read.
 PAGE_BYTES = 5 << 20
-
-
-#: Character references by number: decimal or hexadecimal.
-NUMBERED = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-
-
-def _numbered(c) -> Column:
-    """The text with numbered references in place of what they name, where there are any: what stands between them and the characters, in turn."""
-    between = F.split(c, NUMBERED, -1)
-
-    def named(x):
-        n = F.when(x.rlike("(?i)^&#x"), F.conv(F.regexp_extract(x, "(?i)^&#x([0-9a-f]+);", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+);", 1)).cast("int")
-        good = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-        # A code point as UTF-32, which becomes text.
-        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
-
-    signs = F.concat(F.transform(F.regexp_extract_all(c, F.lit(NUMBERED), F.lit(0)), named), F.array(F.lit("")))
-    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.zip_with(between, signs, lambda a, b: F.concat(a, b)), "")).otherwise(c)
-
-
-def decoded(c) -> Column:
-    """The common character references and numbered ones; & comes last, so what it spells out stays text."""
-    for name, value in ENTITIES[:-1]:
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return F.replace(_numbered(c), F.lit("&amp;"), F.lit("&"))
-
-
-def shown(source) -> Column:
-    """The markup without hidden parts."""
-    return F.regexp_replace(source, HIDDEN, " ")
+#: Elements with attributes that are read.
+READ = ("html", "meta", "link", "img", "script", "source", "iframe", "video", "audio", "a")
 
 
 def stripped(source) -> Column:
     """Text of markup: each tag parts words."""
-    return clean_text(decoded(F.regexp_replace(source, r"(?s)<[^>]*>", " ")))
-
-
-def visible_text(source) -> Column:
-    return F.lower(stripped(shown(source)))
+    return clean_text(decoded(F.regexp_replace(source, TOKEN, " ")))
 
 
-def inner(source, tag: str) -> Column:
-    """Text of each element of this tag."""
-    return F.transform(F.regexp_extract_all(source, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1)), stripped)
+def _nonempty(c) -> Column:
+    return F.filter(c, lambda x: x != "")
 
 
-def attribute(tag, name: str) -> Column:
-    """Value of an attribute of a tag's source, in double, single or no quotes; '' if absent."""
-    value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
-    return F.trim(decoded(F.regexp_replace(value, r"""^["']|["']$""", "")))
+def _first(c) -> Column:
+    return F.coalesce(F.try_element_at(_nonempty(c), F.lit(1)), F.lit(""))
 
 
-def tags(source, tag: str) -> Column:
-    return F.regexp_extract_all(source, F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0))
+def _last(c) -> Column:
+    return F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(""))
 
 
-def _metas(source, key: str, name: str) -> Column:
-    wanted = F.filter(tags(source, "meta"), lambda t: F.lower(attribute(t, key)) == name)
-    return F.transform(wanted, lambda t: attribute(t, "content"))
+def _named(*names: str) -> Column:
+    return F.filter("__els", lambda x: x["name"].isin(*names))
 
 
-def _nonempty(c) -> Column:
-    return F.filter(c, lambda x: x != "")
+def _metas(key: str, *names: str) -> Column:
+    """Contents of meta elements with one of these names, in their order."""
+    wanted = F.filter(_named("meta"), lambda x: F.lower(F.trim(value(x["attributes"], key))).isin(*names))
+    return F.transform(wanted, lambda x: clean_text(value(x["attributes"], "content")))
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """pages (url, html, more if wanted) with one column per extracted fact; null html and one of more than PAGE_BYTES, which the crawl refuses, count as empty."""
-    clean = pages.withColumn("__s", F.regexp_replace(F.coalesce(F.when(F.octet_length("html") <= PAGE_BYTES, F.col("html")), F.lit("")), HIDDEN, " "))
-    clean = clean.withColumn("__t", F.lower(stripped(F.col("__s"))))
-    s, t = F.col("__s"), F.col("__t")
-    levels = F.transform(F.regexp_extract_all(s, F.lit(r"(?i)<h([1-6])\b"), F.lit(1)), lambda x: x.cast("int"))
-    paragraphs = F.transform(F.slice(F.split(s, r"(?i)<p\b[^>]*>"), 2, 1 << 20), lambda x: stripped(F.regexp_replace(x, r"(?is)</p\s*>.*$", "")))
-    images = tags(s, "img")
-    links = tags(s, "link")
-    resources = F.array_distinct(F.concat(*[_nonempty(F.transform(tags(s, tag), lambda x: attribute(x, "src"))) for tag in ("img", "source", "iframe", "video", "audio")], _nonempty(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<script\b[^>]*>"), F.lit(0)), lambda x: attribute(x, "src")))))
-    return clean.withColumns(
+    """pages (url, html, more if wanted) with one column per extracted fact; null html and one of more than PAGE_BYTES, which the crawl refuses, count as empty.
+
+    References of canonicals, hreflang and resources are resolved against url. Of descriptions and titles the first that says something counts, of
+    robots, authors and dates the last."""
+    rows = marked(pages, F.coalesce(F.when(F.octet_length("html") <= PAGE_BYTES, F.col("html")), F.lit("")))
+    rows = rows.withColumns({"__els": elements(*READ), "__t": F.lower(shown_text())})
+    rows = rows.withColumns({"__paragraphs": F.transform(spans("p", ends=BLOCKS), inside), "__headings": F.transform(spans("h1", "h2", "h3", "h4", "h5", "h6"), lambda x: F.struct(x["name"].alias("name"), inside(x).alias("text")))})
+    rows = rows.withColumn("__paragraphs", F.filter(F.transform("__paragraphs", lambda x: F.struct(x.alias("text"), F.size(tokenize(x)).alias("words"))), lambda x: x["words"] > 0))
+    url = F.col("url")
+
+    def headed(name):
+        return _nonempty(F.transform(F.filter("__headings", lambda x: x["name"] == name), lambda x: x["text"]))
+
+    def linked(*rels):
+        return F.filter(_named("link"), lambda x: F.arrays_overlap(F.split(F.lower(F.trim(value(x["attributes"], "rel"))), r"\s+"), F.array(*[F.lit(r) for r in rels])))
+
+    fetched = F.filter("__els", lambda x: x["name"].isin("img", "script", "source", "iframe", "video", "audio") | ((x["name"] == "link") & F.arrays_overlap(F.split(F.lower(F.trim(value(x["attributes"], "rel"))), r"\s+"), F.array(*[F.lit(r) for r in ("stylesheet", "preload", "modulepreload")]))))
+    sources = F.transform(F.transform(fetched, lambda x: F.when(x["name"] == "link", value(x["attributes"], "href")).otherwise(value(x["attributes"], "src"))), lambda x: resolve(url, x))
+    named = F.transform(linked("alternate"), lambda x: F.struct(F.lower(value(x["attributes"], "hreflang")).alias("language"), value(x["attributes"], "href").alias("href")))
+    hreflang = F.transform(F.filter(named, lambda x: x["language"] != ""), lambda x: F.struct(x["language"].alias("language"), resolve(url, x["href"]).alias("url")))
+    images = _named("img")
+    phones = F.transform(F.filter(_named("a"), lambda x: F.lower(F.trim(value(x["attributes"], "href"))).startswith("tel:")), lambda x: F.trim(F.regexp_replace(F.trim(value(x["attributes"], "href")), "(?i)^tel:", "")))
+    return rows.withColumns(
         {
-            "language": F.trim(attribute(F.regexp_extract(s, r"(?is)<html\b[^>]*>", 0), "lang")),
-            "titles": inner(s, "title"),
-            "h1": _nonempty(inner(s, "h1")),
-            "h2": _nonempty(inner(s, "h2")),
-            "heading_levels": levels,
-            "descriptions": _nonempty(_metas(s, "name", "description")),
-            "robots": F.coalesce(F.try_element_at(_metas(s, "name", "robots"), F.lit(-1)), F.lit("")),
-            "meta_author": F.coalesce(F.try_element_at(_nonempty(_metas(s, "name", "author")), F.lit(1)), F.lit("")),
-            "published": F.coalesce(F.try_element_at(_nonempty(_metas(s, "property", "article:published_time")), F.lit(1)), F.lit("")),
-            "modified": F.coalesce(F.try_element_at(_nonempty(_metas(s, "property", "article:modified_time")), F.lit(1)), F.lit("")),
-            "has_viewport": F.size(_nonempty(_metas(s, "name", "viewport"))) > 0,
-            "has_main": s.rlike(r"(?i)<main\b"),
-            "has_article": s.rlike(r"(?i)<article\b"),
-            "canonicals": F.array_distinct(_nonempty(F.transform(F.filter(links, lambda x: F.lower(attribute(x, "rel")) == "canonical"), lambda x: attribute(x, "href")))),
-            "hreflang": F.transform(F.filter(links, lambda x: (F.lower(attribute(x, "rel")) == "alternate") & (attribute(x, "hreflang") != "")), lambda x: F.struct(attribute(x, "hreflang").alias("language"), attribute(x, "href").alias("url"))),
-            "resources": resources,
+            "language": F.trim(_last(F.transform(_named("html"), lambda x: value(x["attributes"], "lang")))),
+            "titles": F.transform(spans("title"), inside),
+            "h1": headed("h1"),
+            "h2": headed("h2"),
+            "heading_levels": F.transform("__headings", lambda x: F.substring(x["name"], 2, 1).cast("int")),
+            "descriptions": _metas("name", "description"),
+            "robots": _last(_metas("name", "robots")),
+            "meta_author": _last(_metas("name", "author")),
+            "published": _last(_metas("property", "article:published_time", "og:published_time")),
+            "modified": _last(_metas("property", "article:modified_time", "og:updated_time")),
+            "has_viewport": F.size(_metas("name", "viewport")) > 0,
+            "has_main": F.array_contains("__names", "main"),
+            "has_article": F.array_contains("__names", "article"),
+            "canonicals": F.array_distinct(_nonempty(F.transform(F.transform(linked("canonical"), lambda x: value(x["attributes"], "href")), lambda x: resolve(url, x)))),
+            "hreflang": F.filter(hreflang, lambda x: x["url"].isNotNull()),
+            "resources": F.array_distinct(_nonempty(sources)),
             "image_count": F.size(images),
-            "images_missing_alt": F.size(F.filter(images, lambda x: ~x.rlike(r"(?i)\salt(\s|=|/|>)"))),
-            "images_empty_alt": F.size(F.filter(images, lambda x: x.rlike(r"(?i)\salt(\s|=|/|>)") & (attribute(x, "alt") == ""))),
-            "phone_links": F.array_distinct(F.transform(F.filter(tags(s, "a"), lambda x: F.lower(attribute(x, "href")).startswith("tel:")), lambda x: F.substring(attribute(x, "href"), 5, 1000))),
-            "paragraph_count": F.size(paragraphs),
-            "longest_paragraph": F.coalesce(F.array_max(F.transform(paragraphs, lambda x: F.size(tokenize(x)))), F.lit(0)),
-            "first_paragraph": F.coalesce(F.try_element_at(F.filter(paragraphs, lambda x: F.size(tokenize(x)) >= 5), F.lit(1)), F.lit("")),
-            "tokens": tokenize(t),
-            "word_count": F.size(tokenize(t)),
-            "content_hash": F.sha2(t, 256),
+            "images_missing_alt": F.size(F.filter(images, lambda x: ~has(x["attributes"], "alt"))),
+            "images_empty_alt": F.size(F.filter(images, lambda x: has(x["attributes"], "alt") & (F.trim(value(x["attributes"], "alt")) == ""))),
+            "phone_links": F.array_distinct(_nonempty(phones)),
+            "paragraph_count": F.size("__paragraphs"),
+            "longest_paragraph": F.coalesce(F.array_max(F.transform("__paragraphs", lambda x: x["words"])), F.lit(0)),
+            "first_paragraph": _first(F.transform(F.filter("__paragraphs", lambda x: x["words"] >= 5), lambda x: x["text"])),
+            "tokens": tokenize(F.col("__t")),
+            "word_count": F.size(tokenize(F.col("__t"))),
+            "content_hash": F.sha2("__t", 256),
         }
-    ).withColumn("title", F.coalesce(F.try_element_at(_nonempty(F.col("titles")), F.lit(1)), F.lit(""))).withColumn("description", F.coalesce(F.try_element_at("descriptions", F.lit(1)), F.lit(""))).drop("__s", "__t")
+    ).withColumns({"title": _first(F.col("titles")), "description": _first(F.col("descriptions"))}).drop("__source", "__tags", "__texts", "__names", "__els", "__t", "__paragraphs", "__headings")
 
 
 def header_canonicals(header) -> Column:
@@ -137,17 +115,25 @@ def canonical(html_canonicals, header) -> Column:
 
 
 def anchors(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row per link of each page: keys, url, pos, target, text, internal, nofollow, booking. References are resolved against the page's address."""
-    s = shown(F.coalesce("html", F.lit("")))
-    found = pages.select(*keys, "url", F.posexplode(F.regexp_extract_all(s, F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))).alias("pos", "a"))
-    href = attribute(F.regexp_extract("a", r"(?is)^<a\b[^>]*>", 0), "href")
-    rows = found.withColumn("href", href).filter(is_followed(F.col("href")))
-    label = F.coalesce(F.nullif(attribute(F.regexp_extract("a", r"(?is)^<a\b[^>]*>", 0), "aria-label"), F.lit("")), F.nullif(stripped(F.col("a")), F.lit("")), clean_text(F.array_join(F.transform(tags(F.col("a"), "img"), lambda t: attribute(t, "alt")), " ")))
-    target = resolve(F.col("url"), F.col("href"))
-    rows = rows.withColumn("target", target).withColumn("text", label).filter(F.col("target").rlike("(?i)^https?://") & ~F.contains(F.col("target"), F.lit("/cdn-cgi/l/email-protection")))
-    rel = F.lower(attribute(F.regexp_extract("a", r"(?is)^<a\b[^>]*>", 0), "rel"))
+    """One row per link of each page: keys, url, pos, target, text, internal, nofollow, booking. References are resolved against the page's address. A link
+    that is never closed ends with the block that holds it, or where the next begins."""
+
+    def read(span):
+        names, tags = (F.slice(c, span["first"] + 2, span["last"] - span["first"] - 1) for c in ("__names", "__tags"))
+        images = F.transform(F.filter(F.zip_with(names, tags, lambda n, t: F.struct(n.alias("name"), t.alias("tag"))), lambda x: x["name"] == "img"), lambda x: x["tag"])
+        return let(
+            attributes(F.get("__tags", span["first"])),
+            lambda a: F.struct(value(a, "href").alias("href"), F.lower(value(a, "rel")).alias("rel"), clean_text(value(a, "aria-label")).alias("label"), inside(span).alias("text"), images.alias("images")),
+        )
+
+    rows = marked(pages.select(*keys, "url", "html"), F.coalesce("html", F.lit("")))
+    rows = rows.withColumn("__spans", spans("a", unless_closed=BLOCKS)).select(*keys, "url", F.posexplode(F.transform("__spans", read)).alias("pos", "a"))
+    rows = rows.filter(is_followed(F.col("a.href")))
+    alts = F.array_join(_nonempty(F.transform("a.images", lambda t: clean_text(value(attributes(t), "alt")))), " ")
+    label = F.coalesce(F.nullif(F.col("a.label"), F.lit("")), F.nullif(F.col("a.text"), F.lit("")), alts)
+    rows = rows.withColumn("target", resolve(F.col("url"), F.col("a.href"))).withColumn("text", label).filter(F.col("target").rlike("(?i)^https?://") & ~F.contains(F.col("target"), F.lit("/cdn-cgi/l/email-protection")))
     internal = host_key(F.col("target")) == host_key(F.col("url"))
-    return rows.select(*keys, "url", "pos", F.when(internal, crawl_url(F.col("target"))).otherwise(F.col("target")).alias("target"), "text", internal.alias("internal"), F.array_contains(F.split(rel, r"\s+"), "nofollow").alias("nofollow"), is_booking(F.col("text"), F.col("target")).alias("booking"))
+    return rows.select(*keys, "url", "pos", F.when(internal, crawl_url(F.col("target"))).otherwise(F.col("target")).alias("target"), "text", internal.alias("internal"), has_token(F.col("a.rel"), "nofollow").alias("nofollow"), is_booking(F.col("text"), F.col("target")).alias("booking"))
 
 
 class _Metadata(HTMLParser):

@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import more, queries  # noqa: F401  more adds its own to those of queries
+from . import crawl, more, queries  # noqa: F401  the others add their own to those of queries

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import extract, findings, identity, market, performance, site, store
+from ..operators import extract, findings, identity, market, markup, performance, site, store
 from ..sources.tables import DERIVED, derived, table
 
 QUERIES: dict = {}
@@ -38,17 +38,37 @@ def query(sql: str | None = None, *uses: str):
     return put
 
 
-# What the SQL of page queries shares: text of markup, as DuckDB says it.
-def _strip(c: str) -> str:
-    c = f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')"
-    for a, b in extract.ENTITIES:
+# What the SQL of page queries shares: markup as DuckDB's patterns say it. Values may hold > in quotes.
+_REST = """[^>=]*(?:=\\s*(?:"[^"]*"|''[^'']*''|[^\\s>]*)[^>=]*)*"""
+_TAG = f"</?[a-zA-Z]{_REST}>|<[!?/][^>]*>"
+_HIDDEN = f"(?is)<!--.*?-->|<(?:script|style|noscript|svg|template)(?:\\s{_REST})?>.*?</(?:script|style|noscript|svg|template)\\s*>"
+
+
+def _strip(c: str, part: str = " ") -> str:
+    """Text of markup, with `part` in place of tags."""
+    c = f"regexp_replace({c}, '(?s){_TAG}', '{part}', 'g')"
+    for a, b in markup.ENTITIES:
         c = f"replace({c}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     return f"trim(regexp_replace({c}, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g'))"
 
 
-_SHOWN = f"regexp_replace(html, '{extract.HIDDEN}', ' ', 'g')"
+def _inner(name: str, source: str = "s") -> str:
+    """Texts of elements of this name."""
+    return f"list_transform(regexp_extract_all({source}, '(?is)<{name}(?:\\s{_REST})?>(.*?)</{name}\\s*>', 1), lambda x: {_strip('x', '')})"
+
+
+def _full(texts: str) -> str:
+    return f"list_filter({texts}, lambda x: x <> '')"
+
+
+_SHOWN = f"regexp_replace(html, '{_HIDDEN}', ' ', 'g')"
 _PAGES = f"with p as (select page_id, url, coalesce({_SHOWN}, '') s from pages)"
+# Markup as browsers write it: some pages with > in quoted values, others with links that are never closed.
+_DESCRIBED = "More > less: a page whose description is of fair length, neither too short nor too long"
+_ODD = f"""case page_id % 5 when 1 then replace(html, '<a href', '<a title="a>b" href') when 2 then replace(html, '</a>', '') when 3 then replace(html, '<head>', '<head><meta name="description" content="{_DESCRIBED}">') when 4 then replace(html, '<h1>', '<h1 data-x=''1 > 0''>') else html end"""
+_ODD_PAGES = f"with p as (select page_id, url, coalesce({_SHOWN.replace('html', 'h')}, '') s from (select page_id, url, {_ODD} h from pages))"
 _TOKENS = "regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+')"
+_PARAGRAPHS = f"""list_filter(list_transform(regexp_split_to_array(s, '(?i)<p(?:\\s{_REST})?>')[2:], lambda x: {_strip(f"regexp_replace(x, '(?is)</?(?:p|{'|'.join(markup.BLOCKS)})(?:[\\s/>]).*$', '')", "")}), lambda x: len({_TOKENS.format('x')}) > 0)"""
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
@@ -57,16 +77,20 @@ def _features(spark, sf_dir):
     return extract.features(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def _odd_pages(spark, sf_dir):
+    """page_id, url, html as _ODD has it."""
+    k, h = F.col("page_id") % 5, F.col("html")
+    odd = F.when(k == 1, F.replace(h, F.lit("<a href"), F.lit('<a title="a>b" href'))).when(k == 2, F.replace(h, F.lit("</a>"), F.lit("")))
+    odd = odd.when(k == 3, F.replace(h, F.lit("<head>"), F.lit(f'<head><meta name="description" content="{_DESCRIBED}">'))).when(k == 4, F.replace(h, F.lit("<h1>"), F.lit("<h1 data-x='1 > 0'>"))).otherwise(h)
+    return table(spark, sf_dir, "pages").select("page_id", "url", odd.alias("html"))
+
+
 @query(f"{_PAGES}, t as (select page_id, lower({_strip('s')}) t from p) select page_id, len({_TOKENS.format('t')})::int word_count, sha256(t) content_hash from t")
 def q_page_text_stats(spark, sf_dir):
     return _features(spark, sf_dir).select("page_id", "word_count", "content_hash")
 
 
-@query(
-    f"""{_PAGES} select page_id, coalesce(list_filter(list_transform(regexp_extract_all(s, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), lambda x: {_strip('x')}), lambda x: x <> '')[1], '') title,
-    array_to_string(list_filter(list_transform(regexp_extract_all(s, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), lambda x: {_strip('x')}), lambda x: x <> ''), '|') h1,
-    array_to_string(regexp_extract_all(s, '(?i)<h([1-6])\\b', 1), ',') heading_levels from p"""
-)
+@query(f"""{_PAGES} select page_id, coalesce({_full(_inner('title'))}[1], '') title, array_to_string({_full(_inner('h1'))}, '|') h1, array_to_string(regexp_extract_all(s, '(?i)<h([1-6])\\b', 1), ',') heading_levels from p""")
 def q_page_titles_h1(spark, sf_dir):
     levels = F.array_join(F.transform("heading_levels", lambda x: x.cast("string")), ",")
     return _features(spark, sf_dir).select("page_id", "title", F.array_join("h1", "|").alias("h1"), levels.alias("heading_levels"))
@@ -78,18 +102,17 @@ def q_page_language(spark, sf_dir):
 
 
 @query(
-    f"""with p as (select page_id, url, {_PATH} w, coalesce({_SHOWN.replace('html', 'h')}, '') s from (select page_id, url, case page_id % 3 when 1 then replace(html, 'href="/', 'href="') when 2 then replace(html, 'href="/', 'href="../') else html end h from pages)),
-    a as (select page_id, w, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) o, unnest(regexp_extract_all(s, '(?is)<a\\b[^>]*>.*?</a\\s*>')) a from p),
-    b as (select page_id, o, case when w = '' then '/' else regexp_extract(w, '^.*/', 0) end d, {_strip('a')} t, trim(regexp_extract(a, '(?is)\\shref\\s*=\\s*"([^"]*)"', 1)) r from a),
+    f"""with h as (select page_id, url, {_PATH} w, {_ODD} o from pages), p as (select page_id, url, w, coalesce(regexp_replace(h, '{_HIDDEN}', '', 'g'), '') s from (select page_id, url, w, case page_id % 3 when 1 then replace(o, 'href="/', 'href="') when 2 then replace(o, 'href="/', 'href="../') else o end h from h)),
+    a as (select page_id, w, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) o, unnest(regexp_split_to_array(s, '(?i)<a\\s')[2:]) a from p), g as (select *, regexp_extract(a, '^{_REST}>') g from a),
+    b as (select page_id, o, case when w = '' then '/' else regexp_extract(w, '^.*/', 0) end d, {_strip(f"case when regexp_matches(a, '(?i)</a\\s*>') then regexp_replace(a[len(g) + 1:], '(?is)</a\\s*>.*$', '') else regexp_replace(a[len(g) + 1:], '(?is)</?(?:{'|'.join(markup.BLOCKS)})(?:[\\s/>]).*$', '') end", '')} t, trim(regexp_extract(g, '(?is)href\\s*=\\s*"([^"]*)"', 1)) r from g),
     c as (select page_id, o, t, case when r like '/%' then r when r like '../%' then regexp_replace(d, '[^/]+/$', '') || r[4:] else d || r end r from b where r <> '' and r not like '#%' and not regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*:'))
     select page_id, o || r target, t link_text, true internal, false nofollow, regexp_matches(lower(t || ' ' || o || r), '{"|".join(T.BOOKING)}') booking from c"""
 )
 def q_page_links(spark, sf_dir):
-    """A third of the pages has its links relative to the folder, another third to the folder above."""
+    """Links of pages as browsers write them: > in quoted values, links that are never closed; a third of the pages has its links relative to the folder, another third to the folder above."""
     i, h = F.col("page_id") % 3, F.col("html")
     moved = F.when(i == 1, F.replace(h, F.lit('href="/'), F.lit('href="'))).when(i == 2, F.replace(h, F.lit('href="/'), F.lit('href="../'))).otherwise(h)
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", moved.alias("html"))
-    links = extract.anchors(pages, keys=("page_id",))
+    links = extract.anchors(_odd_pages(spark, sf_dir).withColumn("html", moved), keys=("page_id",))
     return links.select("page_id", "target", F.col("text").alias("link_text"), "internal", "nofollow", "booking")
 
 
@@ -114,23 +137,21 @@ def q_url_format_findings(spark, sf_dir):
 
 def _page_findings(spark, sf_dir):
     meta = derived(spark, sf_dir, "site_pages").select("page_id", "status_code", "redirects", "content_type", "indexable")
-    facts = _features(spark, sf_dir).join(meta, "page_id")
+    facts = extract.features(_odd_pages(spark, sf_dir)).join(meta, "page_id")
     none = F.array().cast("array<string>")
     facts = facts.withColumns({"x_robots": F.lit(""), "final_url": F.col("url"), "external_links": none, "schema_types": none, "author": F.col("meta_author"), "invalid_structured": F.lit(0)})
     return findings.findings(facts, findings.page_rules(), ["page_id", "url"])
 
 
 _FOUND = f"""f as (select p.page_id, p.url, status_code, redirects, contains(content_type, 'html') html, indexable, s, {_PATH.replace('url', 'p.url')} pa,
-    len(regexp_extract_all(s, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)) nt, coalesce(list_filter(list_transform(regexp_extract_all(s, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1), lambda x: {_strip('x')}), lambda x: x <> '')[1], '') title,
-    len(list_filter(list_transform(regexp_extract_all(s, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1), lambda x: {_strip('x')}), lambda x: x <> '')) h1, len({_TOKENS.format('lower(' + _strip('s') + ')')}) words,
-    coalesce(list_max(list_transform(regexp_split_to_array(s, '(?i)<p\\b[^>]*>')[2:], lambda x: len({_TOKENS.format(_strip("regexp_replace(x, '(?is)</p\\s*>.*$', '')"))}))), 0) longest
-    from p join site_pages m on m.page_id = p.page_id),
+    len({_inner('title')}) nt, coalesce({_full(_inner('title'))}[1], '') title, len({_full(_inner('h1'))}) h1, len({_TOKENS.format('lower(' + _strip('s') + ')')}) words, contains(s, '{_DESCRIBED}') described,
+    coalesce(list_max(list_transform({_PARAGRAPHS}, lambda x: len({_TOKENS.format('x')}))), 0) longest from p join site_pages m on m.page_id = p.page_id),
   c as (select *, unnest([
     case when status_code not between 200 and 299 then {{'c': 'Non-success response', 's': 'fail', 'p': 'high', 'e': status_code::varchar}} end,
     case when redirects > 1 then {{'c': 'Redirect chain', 's': 'warn', 'p': 'medium', 'e': redirects::varchar}} end,
     case when html and title = '' then {{'c': 'Missing title', 's': 'fail', 'p': 'high', 'e': ''}} when html and nt > 1 then {{'c': 'Multiple titles', 's': 'warn', 'p': 'medium', 'e': nt::varchar}}
       when html and length(title) > 60 then {{'c': 'Long title', 's': 'warn', 'p': 'low', 'e': length(title)::varchar}} when html and length(title) < 20 then {{'c': 'Short title', 's': 'warn', 'p': 'low', 'e': length(title)::varchar}} end,
-    case when html then {{'c': 'Missing meta description', 's': 'warn', 'p': 'medium', 'e': ''}} end,
+    case when html and not described then {{'c': 'Missing meta description', 's': 'warn', 'p': 'medium', 'e': ''}} end,
     case when html and h1 = 0 then {{'c': 'Missing H1', 's': 'fail', 'p': 'high', 'e': ''}} when html and h1 > 1 then {{'c': 'Multiple H1s', 's': 'warn', 'p': 'medium', 'e': h1::varchar}} end,
     case when html then {{'c': 'Missing canonical', 's': 'warn', 'p': 'medium', 'e': ''}} end, case when html then {{'c': 'Missing viewport', 's': 'fail', 'p': 'high', 'e': ''}} end,
     case when html then {{'c': 'Missing main landmark', 's': 'warn', 'p': 'low', 'e': ''}} end,
@@ -139,13 +160,13 @@ _FOUND = f"""f as (select p.page_id, p.url, status_code, redirects, contains(con
     case when html and longest > 150 and indexable then {{'c': 'Very long paragraph', 's': 'warn', 'p': 'low', 'e': longest::varchar}} end]) x from f)"""
 
 
-@query(f"{_PAGES}, {_FOUND} select page_id, x.c \"check\", x.s status, x.p priority, x.e evidence from c where x is not null", "site_pages")
+@query(f"{_ODD_PAGES}, {_FOUND} select page_id, x.c \"check\", x.s status, x.p priority, x.e evidence from c where x is not null", "site_pages")
 def q_page_findings(spark, sf_dir):
     return _page_findings(spark, sf_dir).select("page_id", "check", "status", "priority", "evidence")
 
 
 @query(
-    f"""{_PAGES}, {_FOUND} select x.p priority, x.c "check", count(*) n, min(url) example from c where x is not null group by 1, 2""",
+    f"""{_ODD_PAGES}, {_FOUND} select x.p priority, x.c "check", count(*) n, min(url) example from c where x is not null group by 1, 2""",
     "site_pages",
 )
 def q_issue_groups(spark, sf_dir):
@@ -153,8 +174,8 @@ def q_issue_groups(spark, sf_dir):
 
 
 @query(
-    f"""{_PAGES}, x as (select page_id, list_transform(regexp_split_to_array(s, '(?i)<p\\b[^>]*>')[2:], lambda x: {_strip("regexp_replace(x, '(?is)</p\\s*>.*$', '')")}) a from p)
-    select page_id, len(a)::int paragraph_count, coalesce(list_max(list_transform(a, lambda x: len({_TOKENS.format('x')}))), 0)::int longest_paragraph, coalesce(list_filter(a, lambda x: len({_TOKENS.format('x')}) >= 5)[1], '') first_paragraph from x"""
+    f"""{_PAGES}, x as (select page_id, {_PARAGRAPHS} a from p) select page_id, len(a)::int paragraph_count, coalesce(list_max(list_transform(a, lambda x: len({_TOKENS.format('x')}))), 0)::int longest_paragraph,
+    coalesce(list_filter(a, lambda x: len({_TOKENS.format('x')}) >= 5)[1], '') first_paragraph from x"""
 )
 def q_paragraph_stats(spark, sf_dir):
     return _features(spark, sf_dir).select("page_id", "paragraph_count", "longest_paragraph", "first_paragraph")
