@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 from itertools import count
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,37 +51,142 @@ def link_findings(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return findings(met, rules, ["src", "dst"]).dropDuplicates(["src", "dst", "check"])
 
 
+class _Seen:
+    """Nodes met so far, as written parts that rounds append to; many parts are written as one, so plans stay short however long a path is."""
+
+    def __init__(self, first: DataFrame, most: int = 12):
+        self.parts, self.most = [first], most
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.most:
+            self.parts = [saved(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
+def _links(edges: DataFrame, *more: Column) -> DataFrame:
+    """Each (src, dst) once, without links to itself, written and dealt by src: rounds join frontiers to it."""
+    return saved(edges.filter("src <> dst").groupBy("src", "dst").agg(*(more or [F.lit(1).alias("one")])).repartition("src"))
+
+
 def depths(edges: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
     """Fewest links from the start pages to each page, up to `limit` if one is given. edges: src, dst; start: node. Each round joins the
     new frontier alone, and is written to the checkpoint folder."""
-    edges = edges.select("src", "dst").distinct()
-    seen = frontier = saved(start.select("node", F.lit(0).alias("depth")).distinct())
-    return _spread(edges, seen, frontier, 1, limit)
+    first = saved(start.select("node", F.lit(0).alias("depth")).distinct())
+    return _spread(_links(edges), _Seen(first), first, 1, limit).all()
 
 
-def _spread(edges: DataFrame, seen: DataFrame, frontier: DataFrame, first: int, limit: int | None) -> DataFrame:
+def _spread(edges: DataFrame, seen: _Seen, frontier: DataFrame, first: int, limit: int | None) -> _Seen:
     for depth in count(first) if limit is None else range(first, limit + 1):
         reached = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = saved(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = saved(reached.join(seen.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = saved(seen.union(frontier))
+        seen.add(frontier)
     return seen
 
 
+class Crawl(NamedTuple):
+    """pages: node, depth, rank (from 1, as they are fetched); limit_reached: something was left to fetch."""
+
+    pages: DataFrame
+    limit_reached: bool
+
+
+def _in_order(rows: DataFrame, order: list, base: int) -> tuple[DataFrame, int]:
+    """rows, written, with `at`: numbers that grow in this order from `base` on, with gaps, and the first number after them. No row moves to a single task for it."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    out = saved(sorted_rows.withColumn("at", F.monotonically_increasing_id() + base))
+    last = out.agg(F.max("at")).first()[0]
+    return out, base if last is None else last + 1
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place in this order, from 1: rows are counted by part, so only as many sums as there are parts meet."""
+    placed, _ = _in_order(rows, order, 0)
+    part = F.shiftright("at", 33)
+    sums = placed.groupBy(part.alias("part")).agg(F.count("*").alias("c"))
+    before = sums.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
+    met = placed.withColumn("part", part).join(F.broadcast(before), "part")
+    return met.withColumn(name, F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "before", "at")
+
+
+def crawl_order(edges: DataFrame, start: DataFrame, sitemap: DataFrame, fetched: DataFrame | None = None, limit: int | None = None) -> Crawl:
+    """A crawl as a queue has it: pages in the order in which links tell of them, up to `limit` pages.
+
+    edges: src, dst, pos (the link's place in its page); start and sitemap: node; fetched: node, final (where it led), ok. What stands first in the queue is
+    fetched first: links come behind all that were told before, those of one page by pos, then by address. What fails (no row, or not ok) has
+    no links and counts for nothing; without `fetched` all succeed. A page whose address another one led to before is not fetched again. When nothing is left, the
+    sitemap's addresses that were not met start a second phase, by address, at depth -1; what they tell of has depth 0 and on.
+
+    A round takes all of one depth: its order is the parent's place, then the link's. Rounds end with the page that meets the limit, so their number and
+    size follow the limit, not the graph. Repeated links and rows count once; an empty start leaves the sitemap's phase."""
+    links = _links(edges, F.min("pos").alias("pos"))
+    asked = fetched.select("node", "final", "ok").dropDuplicates(["node"]) if fetched is not None else None
+    base, have = 0, 0
+    queued: _Seen | None = None
+    out: list[DataFrame] = []
+    finals: list[DataFrame] = []
+    for depth, first in ((0, start), (-1, sitemap)):
+        rows = first.select("node").distinct().filter("node is not null")
+        if queued is not None:
+            rows = rows.join(queued.all(), "node", "left_anti")
+            rows = rows.join(reduce(DataFrame.unionByName, finals), "node", "left_anti") if finals else rows
+        order = [F.col("node")]
+        while True:
+            level, base = _in_order(rows, order, base)
+            if queued is None:
+                queued = _Seen(level.select("node"))
+            elif not level.isEmpty():
+                queued.add(level.select("node"))
+            if level.isEmpty():
+                break
+            if asked is not None:
+                tried = level.join(asked, "node", "left").withColumns({"ok": F.coalesce("ok", F.lit(False)), "final": F.coalesce("final", "node")})
+                led = tried.filter("ok and final <> node").groupBy(F.col("final").alias("to")).agg(F.min("at").alias("since"))
+                tried = saved(tried.join(led, F.col("node") == F.col("to"), "left").filter("since is null or since > at").drop("to", "since"))
+            else:
+                tried = level.withColumns({"ok": F.lit(True), "final": F.col("node")})
+            good = tried.filter("ok")
+            n = good.count()
+            over = limit is not None and have + n >= limit
+            if over:
+                cut = good.orderBy("at").limit(limit - have).agg(F.max("at")).first()[0]
+                reached = not tried.filter(F.col("at") > cut).isEmpty()
+                good = good.filter(F.col("at") <= cut)
+            have += n
+            out.append(good.select("node", F.lit(depth).alias("depth"), "at"))
+            if asked is not None:
+                finals.append(saved(good.filter("final <> node").select(F.col("final").alias("node")).distinct()))
+                if len(finals) > 12:
+                    finals = [saved(reduce(DataFrame.unionByName, finals))]
+            told = good.select(F.col("node").alias("src"), F.col("at").alias("parent")).join(links, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("parent", "pos")).alias("by"))
+            told = told.join(queued.all(), "node", "left_anti")
+            told = told.join(reduce(DataFrame.unionByName, finals), "node", "left_anti") if finals else told
+            if over:
+                met = reduce(DataFrame.unionByName, [queued.all(), *finals])
+                reached = reached or not told.isEmpty() or not sitemap.select("node").join(met, "node", "left_anti").isEmpty()
+                return Crawl(numbered(reduce(DataFrame.unionByName, out), [F.col("at")], "rank"), reached)
+            rows, order, depth = told, [F.col("by.parent"), F.col("by.pos"), F.col("node")], depth + 1
+    pages = reduce(DataFrame.unionByName, out) if out else start.select("node", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("at")).limit(0)
+    return Crawl(numbered(pages, [F.col("at")], "rank"), False)
+
+
 def crawl(edges: DataFrame, start: DataFrame, sitemap: DataFrame, pages: int | None = None) -> DataFrame:
-    """node, depth of both phases of a crawl: what links reach from start (node), then, from the addresses of the sitemap (node) that were not reached,
-    which have depth -1, what their links reach, at depth 0 and on. With `pages`, that many are kept: those of the first phase, by depth, come before the others."""
-    edges = edges.select("src", "dst").distinct()
-    first = depths(edges, start)
-    left = saved(sitemap.select("node").distinct().join(first.select("node"), "node", "left_anti").withColumn("depth", F.lit(-1)))
-    every = first
-    if not left.isEmpty():
-        every = _spread(edges, saved(first.union(left)), left, 0, None)
-    if pages is None:
-        return every
-    phase = every.join(first.select("node", F.lit(0).alias("phase")), "node", "left").withColumn("phase", F.coalesce("phase", F.lit(1)))
-    return phase.orderBy("phase", "depth", "node").limit(pages).select("node", "depth")
+    """node, depth of both phases of a crawl of at most `pages` pages, all of which can be fetched. Without pos in edges (src, dst), links of one page come by address."""
+    if pages is not None:
+        placed = edges if "pos" in edges.columns else edges.withColumn("pos", F.lit(0))
+        return crawl_order(placed, start, sitemap, None, pages).pages.select("node", "depth")
+    links = _links(edges)
+    first = saved(start.select("node", F.lit(0).alias("depth")).distinct())
+    seen = _spread(links, _Seen(first), first, 1, None)
+    left = saved(sitemap.select("node").distinct().join(seen.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(-1)))
+    if left.isEmpty():
+        return seen.all()
+    seen.add(left)
+    return _spread(links, seen, left, 0, None).all()
 
 
 def in_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extract
-from ..sources.tables import table
+from ..operators import extract, site
+from ..sources.tables import derived, table
 from .queries import _PATH, query
 
 # What is put into pages' head and article; {} is the page's id.
@@ -48,3 +48,42 @@ def q_link_labels(spark, sf_dir):
     """Links told by a label or by the texts of their images, besides those of the page itself."""
     links = extract.anchors(_marked_up(spark, sf_dir), keys=("page_id",))
     return links.filter(F.col("target").rlike("^[^/]*//[^/]*/(l[0-9]+|m)$") & F.col("text").rlike("^(The label|one > [0-9]+ two)$")).select("page_id", "target", F.col("text").alias("link_text"))
+
+
+# A crawl of which some addresses fail and some lead two further. Rows of a round: node, depth, r (its place in the queue), f (fetched).
+_OK, _FINAL, _POS = "({0} % 29 <> 11)", "(case when {0} % 17 = 5 then {0} + 2 else {0} end)", "({0} * 37 % 101)"
+
+
+def _round(name: str, met: str) -> str:
+    return f"""select node, depth, r, ok and coalesce(len(list_filter(led, lambda x: x.f = node and x.r < r)), 0) = 0 from (select *, list({{'f': {_FINAL.format('node')}, 'r': r}}) filter (ok and {_FINAL.format('node')} <> node) over () led from (
+      select node, depth, base + row_number() over (order by told) r, {_OK.format('node')} ok from (
+        select e.dst node, min(w.depth) + 1 depth, min({{'p': w.r, 'o': {_POS.format('e.dst')}, 'n': e.dst}}) told, any_value(m.base) base from {name} w join site_edges e on e.src = w.node, (select max(r) base from recurring.{name}) m
+        where w.f and e.src <> e.dst and e.dst not in (select node from recurring.{name}) and e.dst not in (select {_FINAL.format('node')} from recurring.{name} where f){met} group by e.dst)))"""
+
+
+_QUEUE = f"""with recursive q(node, depth, r, f) using key (node) as (select 0::bigint, 0, 0::bigint, true union {_round('q', '')}),
+  y as (select node from q union select {_FINAL.format('node')} from q where f),
+  c(node, depth, r, f) using key (node) as (select page_id, -1, row_number() over (order by page_id), {_OK.format('page_id')} and not ((page_id - 2) % 17 = 5 and {_OK.format('(page_id - 2)')} and page_id - 2 in (select page_id from site_pages where in_sitemap and page_id not in (select node from y)))
+    from (select distinct page_id from site_pages where in_sitemap and page_id not in (select node from y)) union {_round('c', ' and e.dst not in (select node from y)')}),
+  o as (select node, depth::int depth, row_number() over (order by phase, r) "rank" from (select node, depth, r, f, 0 phase from q union all select node, depth, r, f, 1 from c) where f)"""
+
+
+def _queue(spark, sf_dir, limit=None):
+    edges = derived(spark, sf_dir, "site_edges").select("src", "dst", (F.col("dst") * 37 % 101).alias("pos"))
+    pages = derived(spark, sf_dir, "site_pages").select(F.col("page_id").alias("node"), "in_sitemap")
+    i = F.col("node")
+    fetched = pages.select("node", F.when(i % 17 == 5, i + 2).otherwise(i).alias("final"), (i % 29 != 11).alias("ok"))
+    return site.crawl_order(edges, spark.range(1).select(F.col("id").alias("node")), pages.filter("in_sitemap").select("node"), fetched, limit)
+
+
+@query(f'{_QUEUE} select node, depth, "rank" from o', "site_pages", "site_edges")
+def q_crawl_order(spark, sf_dir):
+    """Every page in the order in which a queue has it."""
+    return _queue(spark, sf_dir).pages
+
+
+@query(f'{_QUEUE} select node, depth, "rank", (select count(*) from o) > 60 limit_reached from o where "rank" <= 60', "site_pages", "site_edges")
+def q_crawl_limit(spark, sf_dir):
+    """A crawl of 60 pages, its limit being the feature."""
+    crawled = _queue(spark, sf_dir, 60)
+    return crawled.pages.withColumn("limit_reached", F.lit(crawled.limit_reached))

@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..operators import extract, findings, identity, market, performance, site, visibility
 from ..sources import files, payloads
 from ..sources.tables import derived, table
-from .queries import _EFF, _IMP, _KEY, _MERGED, _candidates, query
+from .queries import _EFF, _IMP, _KEY, _MERGED, REACHED, _candidates, query
 
 # Answers of a provider, made of the derived relations: every seventh call failed, every ninth task did.
 _CALL = "case when {0} % 7 = 3 then 40501 else 20000 end"
@@ -213,28 +213,23 @@ def q_ranked_items(spark, sf_dir):
 
 
 # The crawl.
-_DEPTHS = "with recursive b as (select 0::bigint node, 0 depth union select dst, depth + 1 from b join site_edges on src = node where depth < 24 and dst % 9 <> 4), f as (select node, min(depth) depth from b group by node), " + (
-    "z as (select distinct page_id node from site_pages where in_sitemap and page_id not in (select node from f)), c as (select node, -1 depth from z union select dst, depth + 1 from c join site_edges on src = node where depth < 24 and dst % 9 <> 4), e as (select * from f union all select node, min(depth) from c where node not in (select node from f) group by node)"
+_DEPTHS = f"with recursive {REACHED.replace('where dst', 'where dst % 9 <> 4 and dst')}, " + (
+    "z as (select distinct page_id node from site_pages where in_sitemap and page_id not in (select node from b)), "
+    "c(node, depth) using key (node) as (select node, -1 from z union select dst, min(depth) + 1 from c join site_edges on src = node where dst % 9 <> 4 and dst not in (select node from recurring.c) and dst not in (select node from b) group by dst)"
 )
 
 
-def _crawled(spark, sf_dir, pages=None):
+def _crawled(spark, sf_dir):
     edges = derived(spark, sf_dir, "site_edges").filter("dst % 9 <> 4")
     sitemap = derived(spark, sf_dir, "site_pages").filter("in_sitemap").select(F.col("page_id").alias("node"))
-    return site.crawl(edges, spark.range(1).select(F.col("id").alias("node")), sitemap, pages)
+    return site.crawl(edges, spark.range(1).select(F.col("id").alias("node")), sitemap)
 
 
-@query(f"{_DEPTHS} select node, depth::int depth from e", "site_pages", "site_edges")
+@query(f"{_DEPTHS} select node, depth::int depth from b union all select node, depth from c", "site_pages", "site_edges")
 def q_crawl_depths(spark, sf_dir):
     return _crawled(spark, sf_dir)
 
 
-@query(f"{_DEPTHS} select node, depth::int depth from e order by node not in (select node from f), depth, node limit 60", "site_pages", "site_edges")
-def q_crawl_limit(spark, sf_dir):
-    """A crawl of 60 pages, its limit being the feature."""
-    return _crawled(spark, sf_dir, 60)
-
-
 @query("""select page_id, case when status_code not between 200 and 299 then 'HTTP ' || status_code when content_type not like '%html%' then 'non-HTML response' when noindex then 'noindex directive' when canonical_id <> page_id then 'canonicalised to another URL' end reason,
   status_code between 200 and 299 and page_id % 2 = 0 as_file from site_pages""", "site_pages")
 def q_indexability(spark, sf_dir):

@@ -228,16 +228,19 @@ def q_broken_links(spark, sf_dir):
     return site.link_findings(derived(spark, sf_dir, "site_edges"), targets).select("src", "dst", "check", "status")
 
 
-@query("with recursive b as (select 0::bigint node, 0 depth union select dst, depth + 1 from b join site_edges on src = node where depth < 24) select node, min(depth)::int depth from b group by node", "site_edges")
+# Each page once, at the round that reaches it: the recursion ends when a round reaches none.
+REACHED = "b(node, depth) using key (node) as (select 0::bigint, 0 union select dst, min(depth) + 1 from b join site_edges on src = node where dst not in (select node from recurring.b) group by dst)"
+
+
+@query(f"with recursive {REACHED} select node, depth::int depth from b", "site_edges")
 def q_bfs_depth(spark, sf_dir):
     start = spark.range(1).select(F.col("id").alias("node"))
     return site.depths(derived(spark, sf_dir, "site_edges"), start)
 
 
 @query(
-    """with recursive b as (select 0::bigint node, 0 depth union select dst, depth + 1 from b join site_edges on src = node where depth < 24), d as (select node, min(depth) depth from b group by node),
-    i as (select dst, count(*) n from site_edges group by dst),
-    x as (select page_id, coalesce(depth, -1) depth, coalesce(n, 0) inlinks, in_sitemap, indexable, contains(content_type, 'html') html, status_code, redirects from site_pages left join d on node = page_id left join i on dst = page_id)
+    f"""with recursive {REACHED}, i as (select dst, count(*) n from site_edges group by dst),
+    x as (select page_id, coalesce(depth, -1) depth, coalesce(n, 0) inlinks, in_sitemap, indexable, contains(content_type, 'html') html, status_code, redirects from site_pages left join b on node = page_id left join i on dst = page_id)
     select page_id, 'Sitemap-only page' "check" from x where depth < 0 and in_sitemap and indexable and html union all select page_id, 'Deep page' from x where depth > 3 and indexable and html
     union all select page_id, 'No internal inlinks' from x where depth > 0 and inlinks = 0 and indexable and html union all select page_id, 'Non-success URL in sitemap' from x where in_sitemap and status_code not between 200 and 299
     union all select page_id, 'Non-indexable URL in sitemap' from x where in_sitemap and status_code between 200 and 299 and not indexable union all select page_id, 'Redirecting URL in sitemap' from x where in_sitemap and redirects > 0""",
