@@ -196,4 +196,4 @@ def test_workflow_finds_what_the_rules_say(spark):
     out = audit.audit(spark, {"pages": pages, "responses": responses, "sitemap": pages.select(F.col("url").alias("loc"))}, "website", 50, "https://x.example/")
     found = {(r.url.split("example")[1], r.check) for r in out["findings"].collect()}
     assert {("/", "Broken internal link"), ("/", "Empty internal anchor"), ("/", "Duplicate title"), ("/a", "Duplicate title"), ("/gone.html", "Non-success response"), ("/lone", "Sitemap-only page"), ("/gone.html", "Non-success URL in sitemap")} <= found
-    assert {r.url.split("example")[1]: r.depth for r in out["pages"].collect()} == {"/": 0, "/a": 1, "/gone.html": 1, "/lone": -1}
+    assert {r.url.split("example")[1]: r.depth for r in out["crawled"].collect()} == {"/": 0, "/a": 1, "/gone.html": 1, "/lone": -1}

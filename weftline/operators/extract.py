@@ -127,7 +127,7 @@ def anchors(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         )
 
     rows = marked(pages.select(*keys, "url", "html"), F.coalesce("html", F.lit("")))
-    rows = rows.withColumn("__spans", spans("a", unless_closed=BLOCKS)).select(*keys, "url", F.posexplode(F.transform("__spans", read)).alias("pos", "a"))
+    rows = rows.withColumn("__spans", spans("a", unless_closed=("p", *BLOCKS))).select(*keys, "url", F.posexplode(F.transform("__spans", read)).alias("pos", "a"))
     rows = rows.filter(is_followed(F.col("a.href")))
     alts = F.array_join(_nonempty(F.transform("a.images", lambda t: clean_text(value(attributes(t), "alt")))), " ")
     label = F.coalesce(F.nullif(F.col("a.label"), F.lit("")), F.nullif(F.col("a.text"), F.lit("")), alts)

@@ -10,6 +10,87 @@ from ..functions.text import has_directive, is_article_type, is_html, priority_w
 
 FINDING = ("category", "check", "status", "priority", "evidence")
 
+# What to do about the finding of each check.
+FIXES = {
+    "Non-success response": "Return a successful response or link directly to the final valid URL.",
+    "Redirect chain": "Replace multi-hop redirects with one direct redirect.",
+    "Missing title": "Add one unique, descriptive title in the document head.",
+    "Multiple titles": "Keep one title element in the document head.",
+    "Long title": "Shorten the title if its important wording may be truncated.",
+    "Short title": "Make the title more descriptive without padding it.",
+    "Missing meta description": "Add a useful summary for search-result snippets.",
+    "Multiple meta descriptions": "Keep one meta description.",
+    "Long meta description": "Put the most useful information first and remove unnecessary wording.",
+    "Short meta description": "Use the available snippet to explain the page clearly.",
+    "Missing H1": "Add one clear main heading.",
+    "Multiple H1s": "Use one clear main heading unless the document structure genuinely requires more.",
+    "Skipped heading level": "Keep heading levels in a logical hierarchy.",
+    "Missing canonical": "Add one absolute canonical for important indexable pages.",
+    "Multiple canonicals": "Declare one consistent canonical.",
+    "Nofollow directive": "Remove nofollow if crawlers should follow links on this page.",
+    "Missing viewport": "Add a responsive viewport meta tag.",
+    "Missing page language": "Set the html lang attribute.",
+    "Images missing alt attribute": "Add descriptive alt text or an empty alt attribute for decorative images.",
+    "Invalid JSON-LD": "Fix JSON syntax, then validate rich-result eligibility separately.",
+    "Missing main landmark": "Wrap the primary content in a semantic main element.",
+    "Very little visible text": "Review whether the page provides enough unique value for its purpose.",
+    "Long page has no subheadings": "Break long content into descriptive sections that help readers scan and understand it.",
+    "Very long paragraph": "Split the paragraph where the subject changes so the content is easier to scan.",
+    "Article author not evident": "Show a real author or responsible organisation when authorship helps readers assess the content.",
+    "Article date not evident": "Show a published or updated date when freshness matters to the topic.",
+    "Long article has no external sources": "Review factual claims and link to useful primary sources where external evidence is appropriate.",
+    "Mixed HTTP resource": "Load every resource and link target over HTTPS.",
+    "Fetch failed": "Make the URL publicly reachable and return a valid response.",
+    "Blocked by robots.txt": "Allow Googlebot to crawl the page if it should appear in search.",
+    "Sitemap-only page": "Add a relevant internal link or remove the URL from the sitemap.",
+    "Deep page": "Link important pages closer to the homepage.",
+    "No internal inlinks": "Link to the page from a relevant indexable page.",
+    "Non-success URL in sitemap": "Keep only successful canonical URLs in XML sitemaps.",
+    "Non-indexable URL in sitemap": "Keep only canonical indexable URLs in XML sitemaps.",
+    "Redirecting URL in sitemap": "Replace it with the final canonical URL.",
+    "Canonical points to non-indexable URL": "Point the canonical to a successful indexable URL.",
+    "URL parameters": "Confirm parameter URLs are intentional and controlled.",
+    "Uppercase URL": "Use a consistent lowercase URL format.",
+    "Underscore in URL": "Prefer readable hyphen-separated words for new URLs.",
+    "Long URL": "Shorten the URL where this can be done safely.",
+    "Broken internal link": "Update or remove the broken link.",
+    "Internal link redirects": "Link directly to the final canonical URL.",
+    "Nofollow internal link": "Remove nofollow unless there is a specific reason to prevent normal crawling.",
+    "Empty internal anchor": "Give linked images alt text or add descriptive anchor text.",
+    "Duplicate title": "Make each indexable page distinct or consolidate duplicates.",
+    "Duplicate meta description": "Make each indexable page distinct or consolidate duplicates.",
+    "Duplicate H1": "Make each indexable page distinct or consolidate duplicates.",
+    "Exact duplicate content": "Make each indexable page distinct or consolidate duplicates.",
+    "Near-duplicate content": "Consolidate the pages or make their purpose and content genuinely distinct.",
+    "Hreflang target not crawled": "Use a successful canonical URL and ensure it is crawlable.",
+    "Invalid hreflang target": "Point hreflang to a successful indexable canonical URL.",
+    "Missing hreflang return link": "Add a reciprocal hreflang reference.",
+    "Robots.txt unavailable": "Return a valid robots.txt or an intentional 404 without blocking crawlers.",
+    "No XML sitemap found": "Add an XML sitemap when it would help search engines discover canonical URLs.",
+    "Sitemap error": "Return valid XML sitemap files.",
+    "Broken resource or external link": "Update or remove the failing URL.",
+    "Large image": "Compress and resize the image, then serve a modern format where practical.",
+    "Slow lab LCP": "Reduce server delay, render-blocking work, and time needed to load and paint the largest visible element.",
+    "High lab CLS": "Reserve space for images and dynamic elements, and avoid inserting content above existing content.",
+    "High lab TBT": "Reduce JavaScript execution and split long main-thread tasks.",
+    "Slow lab TTFB": "Improve server response time, caching, redirects, and edge delivery.",
+    "Heavy page transfer": "Compress and remove unnecessary scripts, styles, images, fonts, and third-party resources.",
+    "Large JavaScript transfer": "Remove unused JavaScript, split bundles, and defer code that is not needed for initial rendering.",
+    "Excessive page requests": "Remove unnecessary resources and consolidate requests where it improves loading.",
+    "Large rendered DOM": "Simplify deeply nested or repeated markup and render nonessential interface elements only when needed.",
+    "Rendered images missing dimensions": "Set explicit width and height or a stable aspect ratio so image loading does not shift content.",
+    "Offscreen images not lazy-loaded": "Lazy-load below-the-fold images while loading the likely LCP image eagerly.",
+    "Business status": "Confirm the listing status and correct it if the business is operating.",
+    "Missing primary category": "Choose the most specific primary business category.",
+    "Missing address": "Add the correct address or service area.",
+    "Missing phone": "Add a customer contact number.",
+    "Missing website": "Link the canonical business website.",
+    "Missing hours": "Add current regular opening hours.",
+    "No reviews": "Invite genuine customers to leave reviews.",
+    "No photos": "Add representative business, team, and service photos.",
+    "Business identity mismatch": "Confirm the selected Place ID and link the profile to the audited business website.",
+}
+
 
 def rule(category: str, check: str, status: str, priority, when: Column, evidence=None) -> Column:
     """A finding where `when` holds, else null."""
@@ -156,9 +237,16 @@ def identity_findings(verified: DataFrame) -> DataFrame:
     return findings(verified, rules, ["place_id"])
 
 
+def with_fixes(found: DataFrame) -> DataFrame:
+    """Findings with fix, what to do about their check; '' for others."""
+    table = F.create_map(*[F.lit(x) for pair in FIXES.items() for x in pair])
+    return found.withColumn("fix", F.coalesce(F.element_at(table, F.col("check")), F.lit("")))
+
+
 def issue_groups(found: DataFrame) -> DataFrame:
-    """Findings by priority, category and check: how many, and the url of the first; in order of weight. found: FINDING, url."""
-    groups = found.groupBy("priority", "category", "check").agg(F.count("*").alias("n"), F.min("url").alias("example"))
+    """Findings by priority, category, check and fix: how many, and address and evidence of the first in order of findings; in order of weight. found: FINDING, url."""
+    said = F.trim(F.concat_ws(" ", "url", "evidence"))
+    groups = with_fixes(found).groupBy("priority", "category", "check", "fix").agg(F.count("*").alias("n"), F.min_by(said, F.struct("url", "evidence")).alias("example"))
     return groups.orderBy(priority_weight(F.col("priority")), "category", "check")
 
 

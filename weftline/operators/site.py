@@ -89,23 +89,22 @@ def _spread(edges: DataFrame, seen: _Seen, frontier: DataFrame, first: int, limi
 
 
 class Crawl(NamedTuple):
-    """pages: node, depth, rank (from 1, as they are fetched); limit_reached: something was left to fetch."""
+    """pages: node, depth, rank (from 1, as they are fetched); failed: node of what was tried in vain; limit_reached: something was left to fetch."""
 
     pages: DataFrame
+    failed: DataFrame
     limit_reached: bool
 
 
-def _in_order(rows: DataFrame, order: list, base: int) -> tuple[DataFrame, int]:
-    """rows, written, with `at`: numbers that grow in this order from `base` on, with gaps, and the first number after them. No row moves to a single task for it."""
+def _in_order(rows: DataFrame, order: list, base: int) -> DataFrame:
+    """rows, written, with `at`: numbers that grow in this order from `base` on, with gaps. No row moves to a single task for it."""
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    out = saved(sorted_rows.withColumn("at", F.monotonically_increasing_id() + base))
-    last = out.agg(F.max("at")).first()[0]
-    return out, base if last is None else last + 1
+    return saved(sorted_rows.withColumn("at", F.monotonically_increasing_id() + base))
 
 
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     """rows with their place in this order, from 1: rows are counted by part, so only as many sums as there are parts meet."""
-    placed, _ = _in_order(rows, order, 0)
+    placed = _in_order(rows, order, 0)
     part = F.shiftright("at", 33)
     sums = placed.groupBy(part.alias("part")).agg(F.count("*").alias("c"))
     before = sums.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
@@ -128,6 +127,7 @@ def crawl_order(edges: DataFrame, start: DataFrame, sitemap: DataFrame, fetched:
     base, have = 0, 0
     queued: _Seen | None = None
     out: list[DataFrame] = []
+    lost: list[DataFrame] = []
     finals: list[DataFrame] = []
     for depth, first in ((0, start), (-1, sitemap)):
         rows = first.select("node").distinct().filter("node is not null")
@@ -136,29 +136,33 @@ def crawl_order(edges: DataFrame, start: DataFrame, sitemap: DataFrame, fetched:
             rows = rows.join(reduce(DataFrame.unionByName, finals), "node", "left_anti") if finals else rows
         order = [F.col("node")]
         while True:
-            level, base = _in_order(rows, order, base)
+            if asked is not None:
+                rows = rows.join(asked, "node", "left").withColumns({"ok": F.coalesce("ok", F.lit(False)), "final": F.coalesce("final", "node")})
+            else:
+                rows = rows.withColumns({"ok": F.lit(True), "final": F.col("node")})
+            tried = _in_order(rows, order, base)
+            size, last, n, led_on = tried.agg(F.count("*"), F.max("at"), F.count_if("ok"), F.count_if(F.col("ok") & (F.col("final") != F.col("node")))).first()
             if queued is None:
-                queued = _Seen(level.select("node"))
-            elif not level.isEmpty():
-                queued.add(level.select("node"))
-            if level.isEmpty():
+                queued = _Seen(tried.select("node"))
+            elif size:
+                queued.add(tried.select("node"))
+            if not size:
                 break
-            if asked is not None:
-                tried = level.join(asked, "node", "left").withColumns({"ok": F.coalesce("ok", F.lit(False)), "final": F.coalesce("final", "node")})
+            base = last + 1
+            if led_on:
                 led = tried.filter("ok and final <> node").groupBy(F.col("final").alias("to")).agg(F.min("at").alias("since"))
                 tried = saved(tried.join(led, F.col("node") == F.col("to"), "left").filter("since is null or since > at").drop("to", "since"))
-            else:
-                tried = level.withColumns({"ok": F.lit(True), "final": F.col("node")})
+                n = tried.filter("ok").count()
             good = tried.filter("ok")
-            n = good.count()
             over = limit is not None and have + n >= limit
             if over:
                 cut = good.orderBy("at").limit(limit - have).agg(F.max("at")).first()[0]
                 reached = not tried.filter(F.col("at") > cut).isEmpty()
-                good = good.filter(F.col("at") <= cut)
+                good, tried = good.filter(F.col("at") <= cut), tried.filter(F.col("at") <= cut)
             have += n
+            lost.append(tried.filter("not ok").select("node"))
             out.append(good.select("node", F.lit(depth).alias("depth"), "at"))
-            if asked is not None:
+            if led_on:
                 finals.append(saved(good.filter("final <> node").select(F.col("final").alias("node")).distinct()))
                 if len(finals) > 12:
                     finals = [saved(reduce(DataFrame.unionByName, finals))]
@@ -168,10 +172,11 @@ def crawl_order(edges: DataFrame, start: DataFrame, sitemap: DataFrame, fetched:
             if over:
                 met = reduce(DataFrame.unionByName, [queued.all(), *finals])
                 reached = reached or not told.isEmpty() or not sitemap.select("node").join(met, "node", "left_anti").isEmpty()
-                return Crawl(numbered(reduce(DataFrame.unionByName, out), [F.col("at")], "rank"), reached)
+                return Crawl(numbered(reduce(DataFrame.unionByName, out), [F.col("at")], "rank"), reduce(DataFrame.unionByName, lost), reached)
             rows, order, depth = told, [F.col("by.parent"), F.col("by.pos"), F.col("node")], depth + 1
-    pages = reduce(DataFrame.unionByName, out) if out else start.select("node", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("at")).limit(0)
-    return Crawl(numbered(pages, [F.col("at")], "rank"), False)
+    none = start.select("node", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("at")).limit(0)
+    pages = reduce(DataFrame.unionByName, out) if out else none
+    return Crawl(numbered(pages, [F.col("at")], "rank"), reduce(DataFrame.unionByName, lost) if lost else none.select("node"), False)
 
 
 def crawl(edges: DataFrame, start: DataFrame, sitemap: DataFrame, pages: int | None = None) -> DataFrame:
@@ -302,7 +307,7 @@ def sitemap_rules() -> list[Column]:
         rule("links", "Deep page", "warn", "low", (c("depth") > 3) & good, c("depth")),
         rule("links", "No internal inlinks", "warn", "medium", (c("depth") > 0) & (c("inlinks") == 0) & good),
         rule("sitemap", "Non-success URL in sitemap", "fail", "high", c("in_sitemap") & ~c("status_code").between(200, 299), c("status_code")),
-        rule("sitemap", "Non-indexable URL in sitemap", "fail", "high", c("in_sitemap") & c("status_code").between(200, 299) & ~c("indexable")),
+        rule("sitemap", "Non-indexable URL in sitemap", "fail", "high", c("in_sitemap") & ~c("indexable")),
         rule("sitemap", "Redirecting URL in sitemap", "fail", "high", c("in_sitemap_as_listed") & (c("redirects") > 0), c("redirects")),
     ]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import audit
 from ..operators import extract, site
 from ..sources.tables import derived, table
 from .queries import _PATH, query
@@ -87,3 +88,85 @@ def q_crawl_limit(spark, sf_dir):
     """A crawl of 60 pages, its limit being the feature."""
     crawled = _queue(spark, sf_dir, 60)
     return crawled.pages.withColumn("limit_reached", F.lit(crawled.limit_reached))
+
+
+# A whole site made of the derived relations: page i is /s<i % 8>/<i>; some fail, some forbid, some are no HTML.
+_HOST = "https://w.example"
+
+
+def _address(i):
+    return F.concat(F.lit(f"{_HOST}/s"), (i % 8).cast("string"), F.lit("/"), i.cast("string"))
+
+
+def _site_tables(spark, sf_dir):
+    i = F.col("page_id")
+    said = i.cast("string")
+
+    def joined(rows, key, of):
+        return rows.groupBy(F.col(key).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("dst", of.alias("said")))).alias("l")).select("page_id", F.array_join(F.transform("l", lambda x: x["said"]), "").alias("l"))
+
+    edges, other = derived(spark, sf_dir, "site_edges"), derived(spark, sf_dir, "hreflang")
+    # Links of every fifth page are never closed.
+    tag = F.concat(F.lit('<a title="a > b" href="'), _address(F.col("dst")), F.when(F.col("nofollow"), '" rel="x nofollow">').otherwise('">'), F.col("anchor"), F.when(F.col("src") % 5 == 2, "").otherwise("</a>"))
+    links = joined(edges, "src", tag).withColumnRenamed("l", "links")
+    alternates = joined(other, "src", F.concat(F.lit('<link rel="alternate" hreflang="'), F.col("language"), F.lit('" href="'), _address(F.col("dst")), F.lit('">'))).withColumnRenamed("l", "alternates")
+    rows = derived(spark, sf_dir, "site_pages").join(links, "page_id", "left").join(alternates, "page_id", "left")
+    group = F.floor(i / 60).cast("string")
+    words = F.when(i % 20 == 7, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.concat(F.lit("c"), group, F.lit("k"), k.cast("string"))), " ")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("w"), said, F.lit("n"), k.cast("string"))), " "))
+    html = F.concat(
+        F.lit("<html lang=en><head><title>Page "), F.floor(i / 2).cast("string"), F.lit(" of a site that is made of a table</title><meta name=viewport content=x>"),
+        F.when(i % 7 != 3, F.concat(F.lit('<meta name="description" content="What page '), said, F.lit(' says: a text of fair length > seventy characters, and not above the bound.">'))).otherwise(""),
+        F.when(i % 43 != 20, F.concat(F.lit("<link rel='x canonical' href='"), _address(F.col("canonical_id")), F.lit("'>"))).otherwise(""), F.coalesce("alternates", F.lit("")),
+        F.lit("</head><body><main><h1>Heading "), said, F.lit("</h1><div>"), words, F.lit("</div>"), F.coalesce("links", F.lit("")), F.lit('<p><img src="/r/'), (i % 50).cast("string"), F.when(i % 6 == 1, '.png">').otherwise('.png" alt="x > y">'),
+        F.when(i % 9 == 2, F.concat(F.lit('</p><a href="tel:+44 20 '), (7000000 + i * 13).cast("string"), F.lit('">call</a>'))).otherwise(""), F.lit("</main></body></html>"),
+    )
+    url = _address(i)
+    pages = rows.select(url.alias("url"), html.alias("html"))
+    responses = rows.select(url.alias("url"), url.alias("final_url"), "status_code", "content_type", "redirects", F.when(F.col("noindex"), "noindex").alias("x_robots"), F.lit("").alias("link_header"), F.when(i % 31 == 9, "timeout").alias("error"))
+    k = i % 50
+    used = table(spark, sf_dir, "pages").select(k.alias("k")).distinct()
+    resources = used.select(F.concat(F.lit(f"{_HOST}/r/"), F.col("k").cast("string"), F.lit(".png")).alias("url"), F.when(F.col("k") % 9 == 4, 404).otherwise(200).alias("status"), F.lit("image/png").alias("type"), (F.col("k") * 20000).alias("size"))
+    metrics = {c: F.lit(0.0) for c in ("cls", "tbt", "ttfb")} | {c: F.lit(0).cast("long") for c in ("bytes", "js_bytes", "requests", "dom_nodes", "images_without_size", "images_not_lazy")}
+    samples = rows.select(url.alias("url"), (2000 + i * 7 % 1100).cast("double").alias("lcp"), *[c.alias(n) for n, c in metrics.items()])
+    s = F.col("s_suppkey")
+    errors = table(spark, sf_dir, "supplier").filter(s % 4 == 0).select(F.concat(F.lit("https://s"), s.cast("string"), F.lit(".example/sitemap.xml returned 404")).alias("error"), (s % 8 / 4 + 1).cast("int").alias("sources"))
+    profiles = derived(spark, sf_dir, "profiles").withColumn("hours", F.when(F.col("has_hours"), F.array(F.lit("x"))))
+    robots = table(spark, sf_dir, "region").agg(F.lit("w.example").alias("site"), F.lit("User-agent: *\nDisallow: /s7/7\n").alias("body"), F.lit(503).alias("status"))
+    return {"pages": pages, "responses": responses, "sitemap": rows.filter("in_sitemap").select(url.alias("loc")), "sitemap_errors": errors, "robots": robots, "resources": resources, "perf_samples": samples, "profiles": profiles}
+
+
+_SITE = """with recursive w as (select page_id i, status_code st, redirects re, contains(content_type, 'html') html, noindex, in_sitemap ls, page_id % 31 <> 9 up, not ('/s' || page_id % 8 || '/' || page_id like '/s7/7%') free,
+    case when contains(content_type, 'html') then status_code between 200 and 299 and not noindex and (page_id % 43 = 20 or canonical_id = page_id) else status_code between 200 and 299 and not noindex end good from site_pages),
+  l as (select distinct src, dst, nofollow, anchor from site_edges join w on i = src where html and up),
+  q(i, depth, f) using key (i) as (select i, 0, up from w where i = 0 union select dst, min(depth) + 1, any_value(up) from q join l on l.src = q.i join w on w.i = l.dst where q.f and dst not in (select i from recurring.q) group by dst),
+  c(i, depth, f) using key (i) as (select i, -1, up from w where ls and i not in (select i from q) union select dst, min(depth) + 1, any_value(up) from c join l on l.src = c.i join w on w.i = l.dst where c.f and dst not in (select i from recurring.c) and dst not in (select i from q) group by dst),
+  t as (select * from q union all select * from c), n as (select dst, count(distinct src) n from l join t on t.i = src where f group by dst),
+  k as (select w.*, depth, good and free ok, coalesce(n, 0) inl from t join w using (i) left join n on dst = w.i where f),
+  m as (select l.*, b.st, b.re from l join k a on a.i = src join k b on b.i = dst),
+  h as (select g.src, g.dst, b.i is not null seen, b.st, b.ok, exists (select 1 from hreflang r join k x on x.i = r.src and x.html where r.src = g.dst and r.dst = g.src) ret from hreflang g join k a on a.i = g.src and a.html left join k b on b.i = g.dst),
+  r as (select distinct i % 50 k from k where html),
+  v as (select i % 8 s, count(*) n, arg_min(i, {'d': case when depth < 0 then 2147483647 else depth end, 'u': '/s' || i % 8 || '/' || i}) i from k where ok and html and st between 200 and 299 group by 1 order by n desc, 's' || s limit 6),
+  p as (select distinct regexp_replace('+44 20 ' || (7000000 + i * 13), '[^0-9]', '', 'g') d from k where html and i % 9 = 2),
+  b as (select case when website <> '' then 'mismatch' when phone = '' then 'unverified' when regexp_replace(phone, '[^0-9]', '', 'g') in (select d from p) then 'matched' when (select count(*) from p) > 0 then 'mismatch' else 'unverified' end s from profiles),
+  x as (select unnest([case when st not between 200 and 299 then 'Non-success response' end, case when re > 1 then 'Redirect chain' end, case when html and i % 7 = 3 then 'Missing meta description' end, case when html and i % 43 = 20 then 'Missing canonical' end,
+    case when html and i % 6 = 1 then 'Images missing alt attribute' end, case when not free then 'Blocked by robots.txt' end, case when depth < 0 and ls and ok and html then 'Sitemap-only page' end, case when depth > 3 and ok and html then 'Deep page' end,
+    case when depth > 0 and inl = 0 and ok and html then 'No internal inlinks' end, case when ls and st not between 200 and 299 then 'Non-success URL in sitemap' end, case when ls and not ok then 'Non-indexable URL in sitemap' end, case when ls and re > 0 then 'Redirecting URL in sitemap' end,
+    case when ok and html and count(*) filter (ok and html) over (partition by i // 2) > 1 then 'Duplicate title' end]) c from k
+    union all select 'Fetch failed' from t where not f
+    union all select case when st >= 400 then 'Broken internal link' else 'Internal link redirects' end from (select distinct src, dst, st, re from m) where st >= 400 or re > 0
+    union all select 'Nofollow internal link' from (select distinct src, dst from m where nofollow) union all select 'Empty internal anchor' from (select distinct src, dst from m where anchor = '')
+    union all select 'Near-duplicate content' from k a join k b on a.i < b.i and a.i // 60 = b.i // 60 where a.i % 20 = 7 and b.i % 20 = 7 and a.ok and a.html and b.ok and b.html
+    union all select unnest([case when not seen then 'Hreflang target not crawled' when st <> 200 or not ok then 'Invalid hreflang target' end, case when seen and not ret then 'Missing hreflang return link' end]) from h
+    union all select 'Robots.txt unavailable' union all select case when s_suppkey % 8 = 0 then 'No XML sitemap found' else 'Sitemap error' end from supplier where s_suppkey % 4 = 0
+    union all select unnest([case when k % 9 = 4 then 'Broken resource or external link' end, case when k * 20000 > 512000 then 'Large image' end]) from r
+    union all select 'Slow lab LCP' from v where 2000 + i * 7 % 1100 > 2500
+    union all select unnest([case when business_status <> 'OPERATIONAL' then 'Business status' end, case when category = '' then 'Missing primary category' end, case when coalesce(address, '') = '' then 'Missing address' end, case when phone = '' then 'Missing phone' end, case when website = '' then 'Missing website' end,
+      case when not has_hours then 'Missing hours' end, case when reviews = 0 then 'No reviews' end, case when photos = 0 then 'No photos' end]) from profiles
+    union all select 'Business identity mismatch' from b where s = 'mismatch')"""
+
+
+@query(f'{_SITE} select c "check", count(*) n from x where c is not null group by c', "site_pages", "site_edges", "hreflang", "profiles")
+def q_workflow(spark, sf_dir):
+    """The whole audit of a site as browsers see it: how often each check was found. A run is of 5,000 pages at most."""
+    out = audit.audit(spark, _site_tables(spark, sf_dir), "all", 5000, f"{_HOST}/s0/0")
+    return out["findings"].groupBy("check").agg(F.count("*").alias("n"))

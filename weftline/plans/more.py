@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import audit
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import extract, findings, identity, market, performance, site, visibility
@@ -467,17 +466,3 @@ def q_small_helpers(spark, sf_dir):
         F.when(F.length(fp) == 64, "Y").alias("fp"), market.search_place(F.when(i % 4 == 0, 1.0).otherwise(0.0), F.when(i % 4 == 0, i / 8).otherwise(0.0), F.lit("London")).alias("place"), checks.alias("checks"),
         files.report_name(F.lit("2026-01-02 03:04:05.006").cast("timestamp"), F.lit("https://www.H.example/x")).alias("name"),
     )
-
-
-@query("select 'website' step, count(*) rows from (select unnest(['pages', 'links', 'findings'])) union all select 'profile', 1")
-def q_workflow(spark, sf_dir):
-    """The audit's entry over the pages of the table: which results each workflow gives."""
-    pages = table(spark, sf_dir, "pages").select("url", "html").dropDuplicates(["url"])
-    responses = pages.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.lit(0).alias("redirects"), F.lit("").alias("x_robots"), F.lit("").alias("link_header"))
-    first = pages.agg(F.min("url")).first()[0] or ""
-    out = audit.audit(spark, {"pages": pages, "responses": responses, "sitemap": pages.select(F.col("url").alias("loc"))}, "website", 5000, first)
-    profile = audit.audit(spark, {"profiles": derived(spark, sf_dir, "profiles").withColumn("hours", F.array(F.lit("x")))}, "profile")
-    said = [("website", len(out)), ("profile", len(profile))]
-    return spark.createDataFrame(said, "step string, rows long")
-
-

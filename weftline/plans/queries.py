@@ -104,7 +104,7 @@ def q_page_language(spark, sf_dir):
 @query(
     f"""with h as (select page_id, url, {_PATH} w, {_ODD} o from pages), p as (select page_id, url, w, coalesce(regexp_replace(h, '{_HIDDEN}', '', 'g'), '') s from (select page_id, url, w, case page_id % 3 when 1 then replace(o, 'href="/', 'href="') when 2 then replace(o, 'href="/', 'href="../') else o end h from h)),
     a as (select page_id, w, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) o, unnest(regexp_split_to_array(s, '(?i)<a\\s')[2:]) a from p), g as (select *, regexp_extract(a, '^{_REST}>') g from a),
-    b as (select page_id, o, case when w = '' then '/' else regexp_extract(w, '^.*/', 0) end d, {_strip(f"case when regexp_matches(a, '(?i)</a\\s*>') then regexp_replace(a[len(g) + 1:], '(?is)</a\\s*>.*$', '') else regexp_replace(a[len(g) + 1:], '(?is)</?(?:{'|'.join(markup.BLOCKS)})(?:[\\s/>]).*$', '') end", '')} t, trim(regexp_extract(g, '(?is)href\\s*=\\s*"([^"]*)"', 1)) r from g),
+    b as (select page_id, o, case when w = '' then '/' else regexp_extract(w, '^.*/', 0) end d, {_strip(f"case when regexp_matches(a, '(?i)</a\\s*>') then regexp_replace(a[len(g) + 1:], '(?is)</a\\s*>.*$', '') else regexp_replace(a[len(g) + 1:], '(?is)</?(?:p|{'|'.join(markup.BLOCKS)})(?:[\\s/>]).*$', '') end", '')} t, trim(regexp_extract(g, '(?is)href\\s*=\\s*"([^"]*)"', 1)) r from g),
     c as (select page_id, o, t, case when r like '/%' then r when r like '../%' then regexp_replace(d, '[^/]+/$', '') || r[4:] else d || r end r from b where r <> '' and r not like '#%' and not regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*:'))
     select page_id, o || r target, t link_text, true internal, false nofollow, regexp_matches(lower(t || ' ' || o || r), '{"|".join(T.BOOKING)}') booking from c"""
 )
@@ -166,11 +166,11 @@ def q_page_findings(spark, sf_dir):
 
 
 @query(
-    f"""{_ODD_PAGES}, {_FOUND} select x.p priority, x.c "check", count(*) n, min(url) example from c where x is not null group by 1, 2""",
+    f"""{_ODD_PAGES}, {_FOUND} select x.p priority, x.c "check", case x.c {' '.join(f"when '{k}' then '{v}'" for k, v in findings.FIXES.items())} end fix, count(*) n, trim(arg_min(url || ' ' || x.e, {{'u': url, 'e': x.e}})) example from c where x is not null group by 1, 2""",
     "site_pages",
 )
 def q_issue_groups(spark, sf_dir):
-    return findings.issue_groups(_page_findings(spark, sf_dir)).select("priority", "check", "n", "example")
+    return findings.issue_groups(_page_findings(spark, sf_dir)).select("priority", "check", "fix", "n", "example")
 
 
 @query(
@@ -243,7 +243,7 @@ def q_bfs_depth(spark, sf_dir):
     x as (select page_id, coalesce(depth, -1) depth, coalesce(n, 0) inlinks, in_sitemap, indexable, contains(content_type, 'html') html, status_code, redirects from site_pages left join b on node = page_id left join i on dst = page_id)
     select page_id, 'Sitemap-only page' "check" from x where depth < 0 and in_sitemap and indexable and html union all select page_id, 'Deep page' from x where depth > 3 and indexable and html
     union all select page_id, 'No internal inlinks' from x where depth > 0 and inlinks = 0 and indexable and html union all select page_id, 'Non-success URL in sitemap' from x where in_sitemap and status_code not between 200 and 299
-    union all select page_id, 'Non-indexable URL in sitemap' from x where in_sitemap and status_code between 200 and 299 and not indexable union all select page_id, 'Redirecting URL in sitemap' from x where in_sitemap and redirects > 0""",
+    union all select page_id, 'Non-indexable URL in sitemap' from x where in_sitemap and not indexable union all select page_id, 'Redirecting URL in sitemap' from x where in_sitemap and redirects > 0""",
     "site_pages",
     "site_edges",
 )

@@ -54,12 +54,12 @@ def organic(payloads: DataFrame, target: str, *keys: str) -> DataFrame:
 
 
 def maps(payloads: DataFrame, place_id: str, *keys: str) -> DataFrame:
-    """keys, position, place_id, name, category, address, domain, url, latitude, longitude, rating, reviews, is_target of the map items of each answer.
-    The position is the rank in its group, else the absolute one."""
-    rows = answers(payloads, MAPS).select(*keys, F.explode(F.filter(F.col("result")[0]["items"], lambda i: i["type"] == "maps_search")).alias("i"))
+    """keys, ord, position, place_id, name, category, address, domain, url, latitude, longitude, rating, reviews, is_target of the map items of each answer.
+    The position is the rank in its group, else the absolute one; ord is the item's place, from 0."""
+    rows = answers(payloads, MAPS).select(*keys, F.posexplode(F.filter(F.col("result")[0]["items"], lambda i: i["type"] == "maps_search")).alias("ord", "i"))
     position = F.when(F.coalesce("i.rank_group", F.lit(0)) != 0, F.col("i.rank_group")).otherwise(F.coalesce("i.rank_absolute", F.lit(0)))
     return rows.select(
-        *keys, position.alias("position"), "i.place_id", F.col("i.title").alias("name"), "i.category", "i.address", "i.domain", "i.url", "i.latitude", "i.longitude",
+        *keys, "ord", position.alias("position"), "i.place_id", F.col("i.title").alias("name"), "i.category", "i.address", "i.domain", "i.url", "i.latitude", "i.longitude",
         F.coalesce("i.rating.value", F.lit(0.0)).alias("rating"), F.coalesce("i.rating.votes_count", F.lit(0)).alias("reviews"), F.coalesce(F.col("i.place_id") == place_id, F.lit(False)).alias("is_target"),
     )
 
