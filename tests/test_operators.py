@@ -31,7 +31,7 @@ def test_links(spark):
 
 
 def test_metadata(spark):
-    m = page(spark).select(extract.metadata(F.col("html")).alias("m")).first().m
+    m = extract.features(page(spark)).first().metadata
     assert (m.blocks, m.invalid, m.schema_types, m.author) == (1, 0, ["Article"], "Ann Lee")
 
 

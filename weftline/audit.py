@@ -67,13 +67,13 @@ def _facts(o: Options, pages: DataFrame, responses: DataFrame) -> DataFrame:
     none = F.lit("")
     got = pages.join(responses.filter("error is null") if "error" in responses.columns else responses, "url").withColumnRenamed("url", "asked").withColumn("url", F.coalesce("final_url", "asked"))
     got = got.withColumns({"html": F.when(is_html(F.coalesce("content_type", none)), F.col("html")), "x_robots": F.coalesce("x_robots", none)})
-    facts = extract.features(got).withColumn("__m", extract.metadata(F.col("html"))).withColumns({
-        "schema_types": F.col("__m.schema_types"), "invalid_structured": F.col("__m.invalid"), "structured_blocks": F.col("__m.blocks"),
-        "author": F.coalesce(F.nullif("meta_author", none), F.nullif("__m.author", none), none),
-        "published": F.coalesce(F.nullif("published", none), F.nullif("__m.published", none), none),
-        "modified": F.coalesce(F.nullif("modified", none), F.nullif("__m.modified", none), none),
+    facts = extract.features(got).withColumns({
+        "schema_types": F.col("metadata.schema_types"), "invalid_structured": F.col("metadata.invalid"), "structured_blocks": F.col("metadata.blocks"),
+        "author": F.coalesce(F.nullif("meta_author", none), F.nullif("metadata.author", none), none),
+        "published": F.coalesce(F.nullif("published", none), F.nullif("metadata.published", none), none),
+        "modified": F.coalesce(F.nullif("modified", none), F.nullif("metadata.modified", none), none),
         "canonical": extract.canonical(F.col("canonicals"), F.col("link_header")),
-    }).drop("__m")
+    }).drop("metadata")
     html = is_html(F.coalesce("content_type", none))
     reason = findings.indexability(F.col("status_code"), F.col("content_type"), F.col("robots"), F.col("x_robots"), F.col("canonical"), F.col("final_url"))
     reason = F.when(html, reason).when(~findings.other_indexability(F.col("status_code"), F.col("x_robots")), "non-HTML response is not indexable")

@@ -1,20 +1,14 @@
-"""Columns of a page from its HTML: patterns on the JVM, and one Arrow function for what needs a tree."""
+"""Columns of a page from the tokens of its markup."""
 
 from __future__ import annotations
 
-import html as entities
-import json
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import clean_text, has_token, is_booking, tokenize
 from ..functions.urls import crawl_url, host_key, is_followed, resolve
 from .markup import BLOCKS, TOKEN, attributes, decoded, elements, has, inside, let, marked, shown_text, spans, value
+from .structured import with_structured
 
 #: Largest page that is read.
 PAGE_BYTES = 5 << 20
@@ -53,9 +47,9 @@ def features(pages: DataFrame) -> DataFrame:
     """pages (url, html, more if wanted) with one column per extracted fact; null html and one of more than PAGE_BYTES, which the crawl refuses, count as empty.
 
     References of canonicals, hreflang and resources are resolved against url. Of descriptions and titles the first that says something counts, of
-    robots, authors and dates the last."""
+    robots, authors and dates the last. metadata holds what structured data, times and author marks say, apart from meta elements."""
     rows = marked(pages, F.coalesce(F.when(F.octet_length("html") <= PAGE_BYTES, F.col("html")), F.lit("")))
-    rows = rows.withColumns({"__els": elements(*READ), "__t": F.lower(shown_text())})
+    rows = with_structured(rows).withColumns({"__els": elements(*READ), "__t": F.lower(shown_text())})
     rows = rows.withColumns({"__paragraphs": F.transform(spans("p", ends=BLOCKS), inside), "__headings": F.transform(spans("h1", "h2", "h3", "h4", "h5", "h6"), lambda x: F.struct(x["name"].alias("name"), inside(x).alias("text")))})
     rows = rows.withColumn("__paragraphs", F.filter(F.transform("__paragraphs", lambda x: F.struct(x.alias("text"), F.size(tokenize(x)).alias("words"))), lambda x: x["words"] > 0))
     url = F.col("url")
@@ -134,101 +128,3 @@ def anchors(pages: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     rows = rows.withColumn("target", resolve(F.col("url"), F.col("a.href"))).withColumn("text", label).filter(F.col("target").rlike("(?i)^https?://") & ~F.contains(F.col("target"), F.lit("/cdn-cgi/l/email-protection")))
     internal = host_key(F.col("target")) == host_key(F.col("url"))
     return rows.select(*keys, "url", "pos", F.when(internal, crawl_url(F.col("target"))).otherwise(F.col("target")).alias("target"), "text", internal.alias("internal"), has_token(F.col("a.rel"), "nofollow").alias("nofollow"), is_booking(F.col("text"), F.col("target")).alias("booking"))
-
-
-class _Metadata(HTMLParser):
-    """JSON-LD blocks, <time> by role and article, and author marks."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.ld, self.blocks, self.open, self.times, self.now, self.author, self.naming = None, [], [], [], None, "", None
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag == "script":
-            self.ld = [] if a.get("type", "").strip().lower() == "application/ld+json" else None
-        if tag == "article":
-            self.open.append(tag)
-        if tag == "time":
-            said = f"{a.get('class', '')} {a.get('itemprop', '')}".lower()
-            self.now = [a.get("datetime", "").strip(), said, bool(self.open), []]
-        if self.naming is None and not self.author and ("author" in a.get("rel", "").lower().split() or "author" in a.get("itemprop", "").lower().split()):
-            self.naming = (tag, [])
-
-    def handle_endtag(self, tag):
-        if tag == "script" and self.ld is not None:
-            self.blocks.append("".join(self.ld))
-            self.ld = None
-        if tag == "article" and self.open:
-            self.open.pop()
-        if tag == "time" and self.now:
-            value = self.now[0] or " ".join("".join(self.now[3]).split())
-            self.times.append((value, self.now[1], self.now[2]))
-            self.now = None
-        if self.naming and self.naming[0] == tag:
-            self.author, self.naming = " ".join("".join(self.naming[1]).split()), None
-
-    def handle_data(self, data):
-        if self.ld is not None:
-            self.ld.append(data)
-            return
-        if self.now:
-            self.now[3].append(data)
-        if self.naming:
-            self.naming[1].append(data)
-
-
-def _text(value) -> str:
-    return " ".join(str(value).split()) if isinstance(value, str) else ""
-
-
-def _name(value) -> str:
-    if isinstance(value, list):
-        return next((n for n in map(_name, value) if n), "")
-    return _text(value.get("name")) if isinstance(value, dict) else _text(value)
-
-
-def _walk(value, out: dict) -> None:
-    """Types of all objects below; the first author and dates in the order of keys."""
-    if isinstance(value, list):
-        for x in value:
-            _walk(x, out)
-    elif isinstance(value, dict):
-        for kind in value.get("@type") if isinstance(value.get("@type"), list) else [value.get("@type")]:
-            if _text(kind):
-                out["types"].add(_text(kind))
-        for key, name, read in (("author", "author", _name), ("datePublished", "published", _text), ("dateModified", "modified", _text)):
-            if not out[name] and key in value:
-                out[name] = read(value[key])
-        for key in sorted(value):
-            if key != "@type":
-                _walk(value[key], out)
-
-
-METADATA = T.StructType([T.StructField(n, t) for n, t in (("blocks", T.IntegerType()), ("invalid", T.IntegerType()), ("schema_types", T.ArrayType(T.StringType())), ("author", T.StringType()), ("published", T.StringType()), ("modified", T.StringType()))])
-
-
-@pandas_udf(METADATA)
-def _metadata(source: pd.Series) -> pd.DataFrame:
-    rows = []
-    for s in source:
-        parser, out, bad = _Metadata(), {"types": set(), "author": "", "published": "", "modified": ""}, 0
-        parser.feed(s or "")
-        parser.close()
-        for block in parser.blocks:
-            try:
-                _walk(json.loads(entities.unescape(block) if "&quot;" in block else block), out)
-            except ValueError:
-                bad += 1
-        for value, said, inside in parser.times:
-            if value and not out["modified"] and ("modified" in said or "updated" in said):
-                out["modified"] = value
-            elif value and not out["published"] and ("published" in said or inside):
-                out["published"] = value
-        rows.append((len(parser.blocks), bad, sorted(out["types"]), out["author"] or parser.author, out["published"], out["modified"]))
-    return pd.DataFrame(rows, columns=["blocks", "invalid", "schema_types", "author", "published", "modified"])
-
-
-def metadata(source) -> Column:
-    """Struct of structured data and dates: recursive JSON and ancestors need a tree, so this one is an Arrow function."""
-    return _metadata(source)

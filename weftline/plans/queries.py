@@ -547,7 +547,8 @@ def _marked(spark, sf_dir):
     good = F.concat(F.lit('{"@graph":[{"@type":["Article","T'), (F.col("page_id") % 3).cast("string"), F.lit('"],"author":[{"name":""},{"name":"Ann  '), i, F.lit('"}],"datePublished":"2026-01-'), i, F.lit('"},{"@type":"Organization"}]}'))
     block = F.concat(F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 4 == 3, "{broken").otherwise(good), F.lit("</script>"))
     time = F.when(F.col("page_id") % 5 == 1, F.concat(F.lit('<time itemprop="dateModified" datetime="m'), i, F.lit('">March</time>'))).when(F.col("page_id") % 5 == 2, F.concat(F.lit("<article><time>t"), i, F.lit("</time></article>"))).otherwise("<time>5 May</time>")
-    return table(spark, sf_dir, "pages").select("page_id", extract.metadata(F.concat(block, F.lit("<script>var x</script>"), F.when(F.col("page_id") % 2 == 0, block).otherwise(""), time)).alias("m"))
+    html = F.concat(block, F.lit("<script>var x</script>"), F.when(F.col("page_id") % 2 == 0, block).otherwise(""), time)
+    return extract.features(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))).select("page_id", F.col("metadata").alias("m"))
 
 
 @query(
