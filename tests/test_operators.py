@@ -178,9 +178,22 @@ def test_sitemaps_unzip(spark):
     assert got == {u: "https://x.example/?a=1&b=2" for u, *_ in rows[:3]}
 
 
-def test_sitemap_walk_stops_at_its_limit(spark):
-    docs = spark.createDataFrame([(f"s{i}", f"<sitemapindex><loc>s{i + 1}</loc><loc>s{i + 2}</loc></sitemapindex>" if i < 60 else "<urlset><loc>p</loc></urlset>") for i in range(70)], "url string, body string")
+def test_sitemaps_are_read_as_xml(spark):
+    """Prefixes, comments, character data and both kinds in one document; what is no XML tells nothing and is an error."""
+    bodies = [
+        '<s:urlset xmlns:s="u"><!-- <s:url><s:loc>no</s:loc></s:url> --><s:url><s:loc> a?x=1&amp;y=2 </s:loc><i:image xmlns:i="v"><i:loc>img</i:loc></i:image></s:url><s:url><s:loc><![CDATA[b/<c>]]></s:loc></s:url></s:urlset>',
+        "<x><url><loc>p</loc></url><url><lastmod>1</lastmod></url><sitemap><loc>q</loc></sitemap></x>", "<urlset><url><loc>cut</loc></url><url><lo", "not xml", "", None, "<urlset/>", "<urlset><url><loc>" + "y" * files.SITEMAP_BYTES + "</loc></url></urlset>",
+    ]
+    docs = spark.createDataFrame([(f"d{i}", b) for i, b in enumerate(bodies)], "url string, body string")
+    assert {tuple(r) for r in files.sitemap_urls(docs).collect()} == {("d0", "page", "a?x=1&y=2"), ("d0", "page", "b/<c>"), ("d1", "page", "p"), ("d1", "sitemap", "q")}
+    read = spark.createDataFrame([("s", f"d{i}") for i in range(9)], "site string, url string")
+    assert {r.url: r.sources for r in files.sitemap_errors(read, docs).collect()} == {f"d{i}": 9 for i in (2, 3, 4, 5, 7, 8)}
+
+
+def test_sitemap_walk_is_a_queue(spark):
+    docs = spark.createDataFrame([(f"s{i}", f"<sitemapindex><sitemap><loc>s{i + 2}</loc></sitemap><sitemap><loc>s{i + 1}</loc></sitemap></sitemapindex>" if i < 60 else "<urlset><url><loc>p</loc></url></urlset>") for i in range(70)], "url string, body string")
     read, pages = files.sitemap_walk(docs, spark.createDataFrame([("a", "s0"), ("b", "s60")], "site string, url string"), 25)
+    assert [r.url for r in read.filter("site = 'a'").orderBy("place").collect()][:6] == ["s0", "s2", "s1", "s4", "s3", "s6"]
     assert read.filter("site = 'a'").count() == 25 and [r.loc for r in pages.collect()] == ["p"]
 
 

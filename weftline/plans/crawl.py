@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import audit
 from ..operators import extract, site
+from ..sources import files
 from ..sources.tables import derived, table
 from .queries import _PATH, query
 
@@ -170,3 +171,28 @@ def q_workflow(spark, sf_dir):
     """The whole audit of a site as browsers see it: how often each check was found. A run is of 5,000 pages at most."""
     out = audit.audit(spark, _site_tables(spark, sf_dir), "all", 5000, f"{_HOST}/s0/0")
     return out["findings"].groupBy("check").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with recursive d as (select page_id % 5 s, page_id // 5 j, page_id % 11 <> 5 good from pages), w(s, j) using key (s, j) as (select distinct page_id % 5, 0::bigint from pages union select w.s, w.j * 2 + k from w join d on d.s = w.s and d.j = w.j, range(1, 3) t(k) where good),
+    r as (select *, row_number() over (partition by s order by j) + case when s = 3 then 1 else 0 end place from w union all select distinct page_id % 5, -1, 1 from pages where page_id % 5 = 3)
+    select 's' || s site, 'https://s' || s || '.example/' || case when s = 4 and j = 0 then 'sitemap.xml' when j < 0 then 'none.xml' else j || '.xml' end url, place::int place, coalesce(good, false) read, coalesce(good, false)::int pages from r left join d using (s, j) where place <= 25"""
+)
+def q_sitemap_walk(spark, sf_dir):
+    """Five sites whose sitemaps name two others each, in order, with prefixes, comments and character data; some are cut off, some are not there. Robots files list the first of them, or none."""
+    i = F.col("page_id")
+    j, s = F.floor(i / 5), (i % 5).cast("string")
+    host = F.concat(F.lit("https://s"), s, F.lit(".example"))
+
+    def at(k):
+        return F.concat(host, F.lit("/"), k.cast("string"), F.lit(".xml"))
+
+    body = F.concat(F.lit('<?xml version="1.0"?><m:index xmlns:m="x"><!-- <m:sitemap><m:loc>no</m:loc></m:sitemap> --><m:sitemap><m:loc> '), at(j * 2 + 1), F.lit(" </m:loc></m:sitemap><m:sitemap><m:loc><![CDATA["), at(j * 2 + 2), F.lit("]]></m:loc></m:sitemap><m:url><m:loc>https://p/?a=1&amp;b="), i.cast("string"), F.lit("</m:loc></m:url>"), F.when(i % 11 == 5, "<m:sitemap><m:lo").otherwise("</m:index>"))
+    pages = table(spark, sf_dir, "pages")
+    documents = pages.select(F.when((i % 5 == 4) & (j == 0), F.concat(host, F.lit("/sitemap.xml"))).otherwise(at(j)).alias("url"), body.alias("body"))
+    robots = F.when(i % 5 == 3, F.concat(F.lit("User-agent: *\nSITEMAP: "), host, F.lit("/none.xml # gone\r\nSitemap:"), at(F.lit(0)), F.lit("\n"))).when(i % 5 != 4, F.concat(F.lit("Sitemap: "), at(F.lit(0))))
+    starts = files.sitemap_sources(pages.select(F.concat(F.lit("s"), s).alias("site"), host.alias("origin"), robots.alias("body")).distinct())
+    read, locations = files.sitemap_walk(documents, starts)
+    lost = files.sitemap_errors(read, documents).select("site", "url", F.lit(False).alias("read"))
+    told = files.sitemap_urls(documents).filter("kind = 'page'").join(locations.select("loc").distinct(), "loc", "left_semi").groupBy(F.col("source").alias("url")).agg(F.count("*").cast("int").alias("pages"))
+    return read.join(lost, ["site", "url"], "left").join(told, "url", "left").select("site", "url", "place", F.coalesce("read", F.lit(True)).alias("read"), F.coalesce("pages", F.lit(0)).alias("pages"))

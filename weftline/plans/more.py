@@ -293,23 +293,6 @@ def q_resource_targets(spark, sf_dir):
     return site.resource_targets(rows, start, True).withColumn("external", F.lit(True)).unionByName(site.resource_targets(both, start).withColumn("external", F.lit(False)))
 
 
-@query(
-    """with recursive d as (select page_id, 'https://s/' || page_id || '.xml' url, page_id % 11 = 5 failed from pages), l as (select 'https://s/' || page_id || '.xml' src, 'https://s/' || (page_id * 2 + k) || '.xml' dst from pages, range(1, 3) t(k) where page_id % 11 <> 5),
-    w as (select 'https://s/0.xml' url, 0 r union select dst, r + 1 from w join l on src = w.url where r < 3), f as (select url, min(r) r from w group by url)
-    select f.url, f.r::int round, coalesce(p.n, 0) pages from f left join (select url, case when failed then 0 else 1 end n from d) p using (url)"""
-)
-def q_sitemap_walk(spark, sf_dir):
-    """Sitemaps that name two others each, read for a site of three rounds at most: the documents beyond are not there."""
-    i = F.col("page_id").cast("string")
-    n = F.col("page_id")
-    docs = table(spark, sf_dir, "pages")
-    nested = docs.filter("page_id < 7").select(F.concat(F.lit("https://s/"), i, F.lit(".xml")).alias("url"), F.when(n % 11 != 5, F.concat(F.lit("<sitemapindex><sitemap><loc> https://s/"), (n * 2 + 1).cast("string"), F.lit(".xml</loc></sitemap><sitemap><loc>https://s/"), (n * 2 + 2).cast("string"), F.lit(".xml</loc></sitemap></sitemapindex>"))).alias("body"))
-    leaf = docs.select(F.concat(F.lit("https://p/"), i).alias("loc"), F.concat(F.lit("https://s/"), i, F.lit(".xml")).alias("source"), "page_id")
-    read, _ = files.sitemap_walk(nested, spark.range(1).select(F.lit("s").alias("site"), F.lit("https://s/0.xml").alias("url")))
-    met = read.join(leaf, F.col("url") == F.col("source"), "left")
-    return met.select("url", F.col("round").cast("int").alias("round"), F.when(F.col("page_id").isNull() | (F.col("page_id") % 11 == 5), 0).otherwise(1).cast("long").alias("pages"))
-
-
 @query("""select user_id, count(*) n, sum(event_id % 1000)::bigint bytes, max(epoch_us(ts)) lcp from events where event_id % 3 <> 0 group by user_id""")
 def q_finished_requests(spark, sf_dir):
     """Each event is a response; two of three end, and twice, of which the first counts."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..operators.extract import decoded
-
 RANKED = T.StructType([T.StructField("keyword", T.StringType()), T.StructField("search_volume", T.IntegerType()), T.StructField("cpc", T.DoubleType()), T.StructField("position", T.IntegerType()), T.StructField("url", T.StringType())])
 PLACE = T.StructType(
     [
@@ -52,34 +51,72 @@ def _gunzipped(body: pd.Series) -> pd.Series:
     return body.map(one, na_action="ignore")
 
 
-def sitemap_urls(documents: DataFrame) -> DataFrame:
-    """Locations of sitemap texts (url, body): source, kind (page or sitemap), loc; each once for its source, limited to 10 MiB as they are read."""
+_XML = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>, _bad string"
+
+
+def _parsed(documents: DataFrame) -> DataFrame:
+    """documents (url, body) with xml: what the XML reader makes of the body; null where there is none or it is cut off at its limit."""
     body = F.when(F.octet_length("body") <= SITEMAP_BYTES, F.col("body"))
-    nested = body.rlike(r"(?i)<sitemapindex\b")
-    loc = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<loc\b[^>]*>\s*(.*?)\s*</loc>"), F.lit(1)), decoded)))
-    rows = documents.select(F.col("url").alias("source"), F.when(nested, "sitemap").otherwise("page").alias("kind"), loc.alias("loc"))
+    return documents.withColumn("xml", F.from_xml(body, _XML, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}))
+
+
+def _locations(documents: DataFrame) -> DataFrame:
+    """source, kind, pos, loc of well-formed documents."""
+    kinds = [F.transform(F.coalesce(f"xml.{c}", F.array().cast("array<struct<loc:string>>")), lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("pos"), F.trim(F.regexp_replace(x["loc"], r"^\s+|\s+$", "")).alias("loc"))) for c, k in (("url", "page"), ("sitemap", "sitemap"))]  # noqa: B023
+    rows = _parsed(documents).filter("xml is not null and xml._bad is null").select(F.col("url").alias("source"), F.inline(F.concat(*kinds)))
     return rows.filter("loc <> ''")
 
 
+def sitemap_urls(documents: DataFrame) -> DataFrame:
+    """Locations of sitemap texts (url, body): source, kind (page or sitemap), loc; each once for its source. Documents are read as XML, whatever prefixes, comments
+    or character data they have; what is no XML, or longer than 10 MiB, gives none."""
+    return _locations(documents).select("source", "kind", "loc").distinct()
+
+
+def sitemap_sources(files: DataFrame) -> DataFrame:
+    """site, url, pos of the sitemaps that a site begins with: those its robots file lists, in order, else /sitemap.xml. files: site, origin (scheme and host), body (null: no robots file)."""
+    lines = F.filter(F.split(F.coalesce("body", F.lit("")), r"\r?\n"), lambda x: x.rlike(r"(?i)^\s*sitemap\s*:\s*\S"))
+    listed = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "#.*$", ""), r"(?i)^\s*sitemap\s*:", "")))
+    first = F.array(F.concat(F.regexp_replace("origin", "/+$", ""), F.lit("/sitemap.xml")))
+    return files.select("site", F.posexplode(F.when(F.size(listed) > 0, listed).otherwise(first)).alias("pos", "url")).select("site", "url", "pos")
+
+
+def sitemap_errors(read: DataFrame, documents: DataFrame) -> DataFrame:
+    """site, url, error of the sources (site, url) that could not be read, and sources, how many their site has. documents: url, body, status if known."""
+    status = F.col("status").cast("string") if "status" in documents.columns else F.lit("no response")
+    told = _parsed(documents).select(F.col("url").alias("__url"), F.col("body").isNotNull().alias("__got"), F.coalesce(F.col("xml").isNull() | F.col("xml._bad").isNotNull(), F.lit(False)).alias("__bad"), status.alias("__status"))
+    met = read.join(told, F.col("url") == F.col("__url"), "left")
+    error = F.when(~F.coalesce("__got", F.lit(False)), F.concat(F.col("url"), F.lit(" returned "), F.coalesce("__status", F.lit("no response")))).when(F.col("__bad"), F.concat(F.col("url"), F.lit(": no well-formed XML")))
+    counted = read.groupBy(F.col("site").alias("__site")).agg(F.count("*").cast("int").alias("sources"))
+    return met.withColumn("error", error).filter("error is not null").join(counted, F.col("site") == F.col("__site")).select("site", "url", "error", "sources")
+
+
 def sitemap_walk(documents: DataFrame, start: DataFrame, limit: int = SITEMAPS) -> tuple[DataFrame, DataFrame]:
-    """(sources with the round in which they were read, distinct page locations) of the sitemaps that can be reached from start (site, url).
+    """(sources: site, url, round, place from 1; distinct page locations: site, loc) of the sitemaps that can be reached from start (site, url, pos if they have an order).
 
-    documents: url, body (null where the fetch failed). Each round reads the documents that the last one named and that were not read, as long as a
-    site has fewer than `limit`; of a round that goes beyond it those with smaller addresses are read. One join a round."""
+    documents: url, body (null where the fetch failed). A site's sitemaps stand in a queue: those of an index come behind all that were named before, in
+    its order. Each round reads what the last one named, as long as a site has fewer than `limit`. One join a round."""
     from ..operators.site import saved
 
-    found = saved(sitemap_urls(documents.filter("body is not null")))
-    todo = saved(start.select("site", "url").distinct().withColumn("round", F.lit(0)))
-    read = todo.limit(0)
-    step = 0
-    while not todo.isEmpty():
-        used = read.groupBy(F.col("site").alias("__site")).agg(F.count("*").alias("__used"))
-        place = F.row_number().over(Window.partitionBy("site").orderBy("url"))
-        taken = todo.join(used, F.col("site") == F.col("__site"), "left").withColumn("__place", place).filter(F.col("__place") + F.coalesce("__used", F.lit(0)) <= limit).select("site", "url", "round")
-        read = saved(read.union(taken))
-        step += 1
-        named = read.filter(F.col("round") == step - 1).join(found.filter("kind = 'sitemap'"), F.col("url") == F.col("source")).select("site", F.col("loc").alias("url")).distinct()
-        todo = saved(named.join(read.select("site", "url"), ["site", "url"], "left_anti").withColumn("round", F.lit(step)))
+    found = saved(_locations(documents.filter("body is not null")))
+    nested = found.filter("kind = 'sitemap'").groupBy("source", F.col("loc").alias("named")).agg(F.min("pos").alias("pos"))
+    by = F.struct(F.lit(0).alias("parent"), (F.col("pos") if "pos" in start.columns else F.lit(0)).cast("int").alias("pos"))
+    todo = start.groupBy("site", "url").agg(F.min(by).alias("by"))
+    read = None
+    for step in count():
+        place = F.row_number().over(Window.partitionBy("site").orderBy("by", "url"))
+        if read is not None:
+            used = read.groupBy(F.col("site").alias("__site")).agg(F.count("*").alias("__used"))
+            todo = todo.join(used, F.col("site") == F.col("__site"), "left").drop("__site")
+        else:
+            todo = todo.withColumn("__used", F.lit(0))
+        taken = todo.withColumn("place", (place + F.coalesce("__used", F.lit(0))).cast("int")).filter(F.col("place") <= limit).select("site", "url", F.lit(step).alias("round"), "place")
+        taken = saved(taken)
+        if step and taken.isEmpty():
+            break
+        read = taken if read is None else saved(read.unionByName(taken))
+        named = taken.join(nested, F.col("url") == F.col("source")).groupBy("site", F.col("named").alias("url")).agg(F.min(F.struct(F.col("place").alias("parent"), "pos")).alias("by"))
+        todo = named.join(read.select("site", "url"), ["site", "url"], "left_anti")
     pages = read.join(found.filter("kind = 'page'"), F.col("url") == F.col("source")).select("site", "loc").distinct()
     return read, pages
 
