@@ -18,10 +18,18 @@ RAW = ("script", "style", "textarea", "title", "iframe")
 SKIPPED = frozenset("noscript template svg select button object canvas audio video".split())
 BOXES = frozenset("body div article section main nav header footer aside form ul ol dl table blockquote figure center details fieldset menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset("mi mn mo mrow ms mspace msqrt mroot mfrac msub msup msubsup mtext munder mover munderover mtable mtr mtd mstyle semantics annotation merror mpadded mphantom".split())
-#: Elements, roles, and words of class and id whose content is no article.
+#: Elements and roles whose content is no article.
 OFF_TAGS = frozenset("nav footer aside form menu dialog".split())
 OFF_ROLES = frozenset("navigation complementary contentinfo search dialog alertdialog alert menu menubar toolbar".split())
-OFF_WORDS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe subscription signup share sharing social comment comments disqus reply replies respond discussion related recommended recommendations widget login search pagination pager toolbar skip".split())
+#: Words of class and id that say what is no article: those that say so beside any other words,
+UNIQUE = frozenset("navbar breadcrumb breadcrumbs sidebar footer gdpr disqus commentlist newsletter pagination advertisement advertisements sponsored".split())
+#: those that do beside words of layout,
+STRONG = frozenset("ad ads advert adverts promo promotions nav menu cookie banner popup modal overlay subscribe signup share sharing comment comments replies recommended recommendations widget login pager toolbar".split())
+#: and those that are as well names of an article's parts, which they are where a heading and sentences follow.
+WEAK = frozenset("advertising sponsor promotion navigation cookies consent notice notices alert subscription social reply respond discussion related search skip".split())
+OFF_WORDS = UNIQUE | STRONG | WEAK
+#: Words of layout. Beside others a mark is a name: related-work, social-science, ad-hoc.
+HELPERS = frozenset("box bar list lists item items link links post posts article articles section container wrapper wrap area block blocks button buttons icon icons media story stories content contents inner outer body head title heading text top bottom left right main site page header group row col column columns field form input label unit slot zone space holder panel card cards module region view feed thread board forum count message messages info new more also you may like most popular recent latest trending read see tag tags author meta div ul li the my by to for us follow wrapper primary secondary global local mobile desktop sticky fixed floating inline notes".split())
 #: A class that begins with one of these tells how a container is laid out, not what it holds: has-sidebar, no-comments.
 ABOUT = frozenset("has have no not non with without is hide show hides shows hidden enable enabled disable disabled open opened closed single page post entry layout theme js two one left right full".split())
 HEAD_WORDS = frozenset(["header", "masthead"])
@@ -31,8 +39,8 @@ DEEPER = 0.6
 SHARE = 0.02
 #: Characters that the paths of all hosts may have to be broadcast.
 BROADCAST_CHARS = 16_000_000
-#: A page keeps at least this share of its good text, or boilerplate marks are taken back, if what they hide has so many characters or a heading.
-KEPT, PLENTY = 0.1, 250
+#: Characters of a block of sentences, and the most of it that may be links.
+SENTENCES, LINKED = 80, 0.3
 #: Containers inside each other; deeper ones count as part of the last.
 DEPTH = 200
 _CONTENT = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
@@ -42,11 +50,13 @@ _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
 class Box:
-    __slots__ = ("tag", "path", "marked", "off", "head", "up", "kids", "good", "size", "heads")
+    """A container. marked: 2 if its marks say it is no article, 1 if they may; around: these are marks that may stand around a whole page."""
 
-    def __init__(self, tag, path, marked, head, up):
-        self.tag, self.path, self.marked, self.head, self.up, self.kids, self.good, self.size, self.heads = tag, path, marked, head, up, [], 0.0, 0.0, 0
-        self.off = marked or up is not None and up.off
+    __slots__ = ("tag", "path", "marked", "around", "off", "head", "up", "kids", "good", "prose", "heads")
+
+    def __init__(self, tag, path, marked, around, head, up):
+        self.tag, self.path, self.marked, self.around, self.head, self.up, self.kids, self.good, self.prose, self.heads = tag, path, marked, around, head, up, [], 0.0, 0, 0
+        self.off = False
         if up is not None:
             up.kids.append(self)
 
@@ -59,18 +69,71 @@ def _marks(said: str):
             yield words
 
 
-def _box(tag: str, attrs: str, up: Box) -> Box:
-    found = {}
-    for m in _ATTR.finditer(attrs) if attrs else ():
+def _told(said: str) -> int:
+    """What classes or ids say: 2 no article, 1 perhaps none, 0 nothing."""
+    worst = 0
+    for words in _marks(said):
+        off = [w for w in words if w in OFF_WORDS]
+        if not off:
+            continue
+        if UNIQUE.intersection(off):
+            return 2
+        if all(w in OFF_WORDS or w in HELPERS or len(w) < 3 for w in words):
+            if len(off) > 1 or off[0] in STRONG:
+                return 2
+            worst = 1
+    return worst
+
+
+def _read(attrs: str) -> dict:
+    found: dict = {}
+    for m in _ATTR.finditer(attrs):
         found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return found
+
+
+def _unseen(found: dict) -> bool:
+    style = found.get("style", "").replace(" ", "").lower()
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
+def _hides(tag: str, attrs: str) -> bool:
+    """Do the attributes of an element that is no container say that it is no part of the article? A heading's id is its name, and a part of a line may be called anything but an advert or the like."""
+    found = _read(attrs)
+    if _unseen(found) or found.get("role", "").lower() in OFF_ROLES:
+        return True
+    if len(tag) == 2 and tag[0] == "h" or tag in INLINE:
+        return _told(found.get("class", "")) == 2
+    told = max(_told(found.get("class", "")), _told(found.get("id", "")))
+    return told == 2 or told == 1 and "discussion" not in f"{found.get('class', '')} {found.get('id', '')}".lower()
+
+
+def _box(tag: str, attrs: str, up: Box) -> Box:
+    found = _read(attrs) if attrs else {}
     classes, name = found.get("class", ""), found.get("id", "")
-    words = {w for said in (classes, name) for ws in _marks(said) for w in ws}
     mark = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(classes.lower().split())) or ("#" + re.sub(r"\d+", "0", name.lower()) if name else "")
-    style = found.get("style", "").replace(" ", "").lower()
-    unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style
-    marked = (tag in OFF_TAGS or found.get("role", "").lower() in OFF_ROLES or unseen or bool(words & OFF_WORDS)) and tag != "body"
-    head = up.head or tag == "header" or found.get("role", "").lower() == "banner" or bool(words & HEAD_WORDS)
-    return Box(tag, f"{up.path}/{tag}{mark}" if up.path else tag + mark, marked, head, up)
+    role = found.get("role", "").lower()
+    told = max(_told(classes), _told(name)) if attrs else 0
+    unseen = bool(found) and _unseen(found)
+    marked = 0 if tag == "body" and not unseen else 2 if tag in OFF_TAGS or role in OFF_ROLES or unseen else told
+    words = {w for said in (classes, name) for ws in _marks(said) for w in ws} if attrs else set()
+    around = unseen or tag in ("form", "dialog") or role in ("dialog", "alertdialog") or bool(words & {"modal", "popup", "overlay", "widget"})
+    head = up.head or tag == "header" or role == "banner" or bool(words & HEAD_WORDS)
+    return Box(tag, f"{up.path}/{tag}{mark}" if up.path else tag + mark, marked, around, head, up)
+
+
+def _unclosed(source: str, tag: str) -> set[int]:
+    """Where those elements of this name begin that nothing closes: no end tag, or, where they do not stand in each other, another one first."""
+    open_, out = [], set()
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", source, re.I):
+        if m[1]:
+            if open_:
+                open_.pop()
+        else:
+            if tag not in ("svg", "object", "template") and open_:
+                out.add(open_.pop())
+            open_.append(m.start())
+    return out.union(open_)
 
 
 def scan(source: str):
@@ -135,15 +198,17 @@ def scan(source: str):
                 missing.add(tag)
 
 
-def read_page(source: str, seen: frozenset = frozenset()) -> tuple[Box, list[tuple[Box, str, float, bool]]]:
+def read_page(source: str) -> tuple[Box, list[tuple[Box, str, float, bool]]]:
     """(root, blocks): a block is its container, its text, the share of it in links, and if it is a heading. A forgiving
     scan: raw elements and comments go, unknown end tags are passed over, an end tag closes what is open inside it. What stands in
-    SKIPPED elements goes too, unless that is more than the rest of the page (an element that was never closed): then its tags alone do."""
-    root = box = Box("", "", False, False, None)
+    SKIPPED elements goes too, however long; of those that are never closed their tags alone do. An element that is no container but marked as no
+    article is a container of its own, up to its end tag or the next block of its kind; inside a line, what it holds is passed over."""
+    root = box = Box("", "", 0, False, False, None)
     blocks, text, linked, depth, heading, in_head = [], [], 0, 0, False, False
-    at, inside, nested, hidden, shown = 0, "", 0, dict.fromkeys(SKIPPED, 0), 0
-    last: dict = {}
-    level, flat = 0, Counter()
+    at, inside, nested = 0, "", 0
+    mute, muted = "", 0
+    unclosed: dict = {}
+    level, flat, odd = 0, Counter(), []
 
     def close():
         nonlocal text, linked
@@ -153,47 +218,63 @@ def read_page(source: str, seen: frozenset = frozenset()) -> tuple[Box, list[tup
         text, linked = [], 0
 
     def add(piece):
-        nonlocal linked, shown
-        if inside:
-            hidden[inside] += len(piece.strip())
-        elif not in_head:
+        nonlocal linked
+        if not inside and not in_head and not muted:
             text.append(piece)
-            shown += len(piece.strip())
             if depth:
                 linked += len(piece.strip())
 
+    def leave(to):
+        """Goes up to a container that is open."""
+        nonlocal box, level
+        while box is not to:
+            if odd and odd[-1] is box:
+                odd.pop()
+            box, level = box.up, level - 1
+
     for start, end_at, tag, end, attrs in scan(source):
         if start > at:
             add(source[at:start])
         at = end_at
         if not tag:
             continue
-        if tag in SKIPPED and tag not in seen:
+        if tag in SKIPPED:
             if inside == tag:
-                nested += -1 if end else 0 if tag in ("button", "select") else 1
+                nested += -1 if end else 1
                 inside = inside if nested else ""
             elif not inside and not end and not attrs.endswith("/"):
-                if tag not in last:
-                    last[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", source, re.I)), default=-1)
-                if last[tag] >= at:
+                if tag not in unclosed:
+                    unclosed[tag] = _unclosed(source, tag)
+                if start not in unclosed[tag]:
                     inside, nested = tag, 1
             continue
-        if inside or tag in seen:
+        if inside:
             continue
         if tag == "a":
             depth = max(0, depth - 1) if end else depth + 1
         if tag in INLINE:
+            if muted and tag == mute:
+                muted += -1 if end else 1
+            elif not muted and not end and attrs and _hides(tag, attrs):
+                mute, muted = tag, 1
             continue
         close()
+        muted = 0  # what is never closed in a line ends with it
+        block = tag in BOXES or "-" in tag
+        if odd and odd[-1] is box and (tag == box.tag or not end and (box.tag == "p" or len(box.tag) == 2 and box.tag[0] == "h" and box.tag != "hr") or {tag, box.tag} <= {"td", "th", "tr"} or {tag, box.tag} <= {"dt", "dd"}):
+            leave(box.up)
         if tag == "head":
             in_head = not end
         elif tag == "body" and not end:
             in_head = False
+        if not block and not end and attrs and level < DEPTH and _hides(tag, attrs):
+            box, level = Box(tag, f"{box.path}/{tag}", 2, False, box.head, box), level + 1
+            odd.append(box)
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             heading = not end
             if heading:
                 box.heads += 1
-        elif tag in BOXES or "-" in tag:
+        elif block:
             heading = False
             if not end:
                 if attrs.endswith("/") and tag not in BOXES:
@@ -205,28 +286,15 @@ def read_page(source: str, seen: frozenset = frozenset()) -> tuple[Box, list[tup
             elif flat[tag]:
                 flat[tag] -= 1
             else:
-                b, up = box, 0
+                b = box
                 while b is not None and b.tag != tag:
-                    b, up = b.up, up + 1
+                    b = b.up
                 if b is not None and b.up is not None:
-                    box, level = b.up, level - up - 1
+                    leave(b.up)
     if at < len(source):
         add(source[at:])
     close()
-    over = frozenset(t for t, n in hidden.items() if n > max(shown, PLENTY))
-    return read_page(source, seen | over) if over else (root, blocks)
-
-
-def _good(blocks: list) -> None:
-    """Sums up each container's good text: what links and boilerplate leave, a short block counting less."""
-    for box, text, linked, _ in blocks:
-        good = len(text) * (1 - linked) * min(1.0, len(text) / 40)
-        b, kept = box, not box.off
-        while b is not None:
-            b.size += good
-            if kept:
-                b.good += good
-            b = b.up
+    return root, blocks
 
 
 def _every(root: Box) -> list:
@@ -238,48 +306,79 @@ def _every(root: Box) -> list:
     return out
 
 
+def _good(boxes: list, blocks: list) -> None:
+    """Sums up each container's good text: what links and boilerplate leave, a short block counting less; and its sentences: long blocks that are no links."""
+    for b in boxes:
+        b.good, b.prose, b.off = 0.0, 0, b.marked == 2 or b.up is not None and b.up.off
+    for box, text, linked, heading in blocks:
+        if not box.off:
+            good = len(text) * (1 - linked) * min(1.0, len(text) / 40)
+            prose = len(text) if len(text) >= SENTENCES and linked < LINKED and not heading and not box.head else 0
+            b = box
+            while b is not None:
+                b.good, b.prose, b = b.good + good, b.prose + prose, b.up
+
+
 def settle(root: Box, blocks: list) -> None:
-    """Takes back boilerplate marks that leave next to nothing of the page, as of a form or a dialog around all of it."""
+    """Decides which marks count. A name that an article's part may have is no mark where the container has a heading and sentences of its own. Where nothing
+    but what is marked has sentences, or a heading outside headers, marks that may stand around a whole page (a form, a dialog) are taken back from those that have."""
     boxes = _every(root)
-    while True:
-        for b in boxes:
-            b.good = b.size = 0.0
-            b.off = b.marked or b.up is not None and b.up.off
-        _good(blocks)
-        if not root.size or root.good >= KEPT * root.size:
-            return
-        heads = {id(b): b.heads + (b.tag in ("article", "main")) for b in boxes}
-        for b in reversed(boxes[1:]):  # children stand behind their parents
-            heads[id(b.up)] += heads[id(b)]
-        outer = [b for b in boxes if b.marked and not (b.up is not None and b.up.off) and b.size > KEPT * root.size and (heads[id(b)] or b.size >= PLENTY)]
+    weak = [b for b in boxes if b.marked == 1]
+    for b in weak:
+        b.marked = 0
+    heads = {id(b): b.heads for b in boxes}
+    for b in reversed(boxes[1:]):  # children stand behind their parents
+        heads[id(b.up)] += heads[id(b)]
+    _good(boxes, blocks)
+    for b in weak:
+        if not (heads[id(b)] and b.prose):
+            b.marked = 2
+    if weak:
+        _good(boxes, blocks)
+    while not root.prose and not any(heading and not box.off and not box.head for box, _, _, heading in blocks):
+        outer = [b for b in boxes if b.marked == 2 and b.around and not (b.up is not None and b.up.off) and (heads[id(b)] or any(k.tag in ("article", "main") for k in _every(b)))]
         if not outer:
             return
-        # Whatever hides nearly all must go; it is one inside the other. Else the largest.
-        for b in [b for b in boxes if b.marked and b.size > (1 - KEPT) * root.size and (heads[id(b)] or b.size >= PLENTY)] or [max(outer, key=lambda b: b.size)]:
-            b.marked = False
+        for b in outer:
+            b.marked = 0
+        _good(boxes, blocks)
 
 
 def judge(root: Box, blocks: list) -> tuple[str, float]:
-    """(path of the best container, its share of the page's good text). From the top, the child that holds most good text is
-    entered for as long as one does."""
+    """(path of the best container, its share of the page's good text). From the top, an article or main element is entered, else the child that
+    holds all sentences; where there are none, the child with most good text, for as long as one has most of it."""
     settle(root, blocks)
     total = root.good
     if not total:
         return "", 0.0
     best = root
     while True:
-        kid = max(best.kids, key=lambda k: k.good, default=None)
         named = [k for k in best.kids if k.tag in ("article", "main") and k.good > 0.2 * best.good]
-        kid = max(named, key=lambda k: k.good) if named else kid
-        if kid is None or kid.good < (0.2 if named else DEEPER) * best.good:
+        kid = max(named or best.kids, key=lambda k: (k.prose, k.good), default=None)
+        if kid is None or not named and (kid.prose < best.prose or not best.prose and kid.good < DEEPER * best.good):
             return best.path, best.good / total
         best = kid
         if kid.tag == "article":
             return best.path, best.good / total
 
 
+def _within(path: str, outer: str) -> bool:
+    return path == outer or not outer or path.startswith(outer + "/")
+
+
+def _common(a: str, b: str) -> str:
+    """The path that both begin with."""
+    out = []
+    for x, y in zip(a.split("/"), b.split("/")):
+        if x != y:
+            break
+        out.append(x)
+    return "/".join(out)
+
+
 def main_text(source: str | None, paths: list[str] | None) -> tuple[str, str]:
-    """(text, path) by the first of `paths` that holds good text here, else by the page's own best container."""
+    """(text, path) by the first of `paths` that holds good text here, or by the page's own best container, if that holds it or no path does. Where the two are
+    parts of one article or main element, that is read, so nothing of the article is left out; so is the page's own container if it holds the path's and is not the whole body."""
     if not source:
         return "", ""
     root, blocks = read_page(source)
@@ -295,13 +394,20 @@ def main_text(source: str | None, paths: list[str] | None) -> tuple[str, str]:
                 out.append(text)
         return out
 
-    boxes = {}
+    # Good text by path, and whether it stands in an article or main element.
+    boxes: dict = {}
     for b in _every(root):
         boxes[b.path] = boxes.get(b.path, 0) + b.good
-    for path in [p for p in paths or [] if boxes.get(p, 0) >= 0.5 * boxes.get(own, 0)] + [own]:
-        if boxes.get(path, 0) > 0 or path == own:
+    for path in paths or []:
+        if boxes.get(path, 0) <= 0:
+            continue
+        if _within(own, path):
             return " ".join(under(path)), path
-    return "", ""
+        shared = own if _within(path, own) else _common(own, path)
+        if any(step.split(".")[0].split("#")[0] in ("article", "main") for step in shared.split("/")) or shared == own and "/" in own:
+            return " ".join(under(shared)), shared  # the article goes on beside the host's container
+        return " ".join(under(path)), path
+    return " ".join(under(own)), own
 
 
 def _votes(batches):
@@ -338,8 +444,8 @@ def winners(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path for each row of pages (page_id, url, html).
 
-    Pages score their containers and vote; a page is then read by the first of its host's winning paths that holds half
-    as much good text here as its own best container, else by that. Blocks of the container keep page order, without
+    Pages score their containers and vote; a page is then read by the first of its host's winning paths (those with SHARE of its votes) that holds good text
+    here, unless its article goes on outside of that. Blocks of the container keep page order, without
     boilerplate parts; character references are decoded and white space is one space.
 
     Null or empty html: empty text. Null url or one without a host: the page decides alone. Repeated rows: each is read
