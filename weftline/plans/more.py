@@ -25,14 +25,22 @@ def _answer(rows, key: str, result):
     return rows.select(key, F.to_json(F.struct(F.when(k % 7 == 3, 40501).otherwise(20000).alias("status_code"), F.lit("said").alias("status_message"), F.array(task).alias("tasks"))).alias("payload"))
 
 
+def _searches(spark, sf_dir):
+    """Each keyword and point is a search of its own."""
+    return derived(spark, sf_dir, "grid_results").withColumn("kw", F.col("kw") * 9 + F.col("pt"))
+
+
+_SEARCHES = "(select kw * 9 + pt kw, place, position from grid_results)"
+
+
 def _organic_payloads(spark, sf_dir):
-    grid = derived(spark, sf_dir, "grid_results").filter("pt = 0")
+    grid = _searches(spark, sf_dir)
     item = F.struct("position", F.when(F.col("place") % 3 == 0, "paid").otherwise("organic").alias("type"), F.col("position").alias("rank_absolute"), F.concat(F.when(F.col("place") % 2 == 0, "WWW.Biz").otherwise("biz"), (F.col("place") % 5).cast("string"), F.lit(".example")).alias("domain"), F.concat(F.lit("https://biz.example/"), F.col("place").cast("string")).alias("url"))
     return _answer(grid, "kw", F.array(F.struct(F.array_sort(F.collect_list(item)).alias("items"))))
 
 
 _ORGANIC = f"""o as (select kw, coalesce(min(position) filter (place % 3 <> 0 and place % 5 = 2), 0)::int position, coalesce(arg_min('https://biz.example/' || place, position) filter (place % 3 <> 0 and place % 5 = 2), '') url
-  from grid_results where pt = 0 group by kw having not {_FAILED.format('kw')})"""
+  from {_SEARCHES} group by kw having not {_FAILED.format('kw')})"""
 
 
 @query(f"with {_ORGANIC} select * from o", "grid_results")
@@ -41,7 +49,7 @@ def q_organic_rank(spark, sf_dir):
 
 
 def _map_payloads(spark, sf_dir):
-    grid = derived(spark, sf_dir, "grid_results").filter("pt = 1")
+    grid = _searches(spark, sf_dir)
     p, place = F.col("position"), F.col("place")
     rating = F.when(place % 4 > 0, F.struct((place % 50 / 10).alias("value"), place.alias("votes_count")))
     item = F.struct(p, F.when(p % 5 == 0, "maps_paid_item").otherwise("maps_search").alias("type"), F.when(p % 2 == 0, p).otherwise(0).alias("rank_group"), (p + 1).alias("rank_absolute"), place.cast("string").alias("place_id"), F.concat(F.lit("Biz "), place.cast("string")).alias("title"), rating.alias("rating"))
@@ -49,7 +57,7 @@ def _map_payloads(spark, sf_dir):
 
 
 _MAPS = f"""mp as (select kw, case when position % 2 = 0 then position else position + 1 end::int position, place::varchar place_id, 'Biz ' || place "name", case when place % 4 > 0 then place % 50 / 10 else 0 end rating, case when place % 4 > 0 then place else 0 end::int reviews, place % 40 = 7 is_target
-  from grid_results where pt = 1 and position % 5 <> 0 and not {_FAILED.format('kw')})"""
+  from {_SEARCHES} where position % 5 <> 0 and not {_FAILED.format('kw')})"""
 
 
 @query(f"with {_MAPS} select kw, position, place_id, \"name\", rating, reviews, place_id = '7' is_target from mp", "grid_results")
@@ -57,7 +65,7 @@ def q_map_results(spark, sf_dir):
     return payloads.maps(_map_payloads(spark, sf_dir), "7", "kw").select("kw", "position", "place_id", "name", "rating", "reviews", "is_target")
 
 
-@query(f"select count(*) calls, sum(case when k % 7 = 3 then 0 else k % 5 / 8 end) \"cost\", count(*) filter ({_FAILED.format('k')}) failed from (select distinct kw k from grid_results where pt = 1)", "grid_results")
+@query(f"select count(*) calls, sum(case when k % 7 = 3 then 0 else k % 5 / 8 end) \"cost\", count(*) filter ({_FAILED.format('k')}) failed from (select distinct kw k from {_SEARCHES})", "grid_results")
 def q_provider_totals(spark, sf_dir):
     return payloads.totals(payloads.answers(_map_payloads(spark, sf_dir), payloads.MAPS))
 
@@ -85,14 +93,14 @@ def q_backlink_summary(spark, sf_dir):
 def _pages_seen(spark, sf_dir):
     """Pages at addresses that candidates name."""
     i = F.col("p_partkey")
-    return table(spark, sf_dir, "part").filter(i % 3 == 0).select(
+    return table(spark, sf_dir, "part").select(
         F.when(i % 2 == 0, F.concat(F.lit("https://site.example/p/"), (i % 70).cast("string"))).otherwise(F.concat(F.lit("https://SITE.example/t/"), (i % 90).cast("string"), F.lit("/?q=1"))).alias("url"),
         F.when(i % 4 == 0, F.concat(F.lit("https://site.example/p/"), (i % 33).cast("string"))).otherwise("").alias("final_url"), i.alias("pos"), F.col("p_name").alias("title"), (i % 5 == 0).alias("booking"), (i % 7 == 0).alias("phone"), (i % 2 == 0).alias("priority_page"),
     )
 
 
 _SEEN = """ps as (select p_partkey pos, p_name title, p_partkey % 5 = 0 booking, p_partkey % 7 = 0 phone, p_partkey % 2 = 0 prio, case when p_partkey % 2 = 0 then 'https://site.example/p/' || p_partkey % 70 else 'https://SITE.example/t/' || p_partkey % 90 || '/?q=1' end url,
-    case when p_partkey % 2 = 0 then 'https://site.example/p/' || p_partkey % 70 else 'https://site.example/t/' || p_partkey % 90 end k1, case when p_partkey % 4 = 0 then 'https://site.example/p/' || p_partkey % 33 end k2 from part where p_partkey % 3 = 0),
+    case when p_partkey % 2 = 0 then 'https://site.example/p/' || p_partkey % 70 else 'https://site.example/t/' || p_partkey % 90 end k1, case when p_partkey % 4 = 0 then 'https://site.example/p/' || p_partkey % 33 end k2 from part),
   px as (select k, arg_max(url, (pos, w)) url, arg_max(title, (pos, w)) title, arg_max(booking, (pos, w)) booking, arg_max(phone, (pos, w)) phone from (select *, k1 k, 0 w from ps union all select *, k2, 1 from ps) where k is not null group by k),
   pp as (select k, arg_max(url, (pos, w)) url from (select *, k1 k, 0 w from ps where prio union all select *, k2, 1 from ps where prio) where k is not null group by k)"""
 _OPPS = f"""{_MERGED}, {_SEEN}, fo as (select keyword, case when search_volume % 5 = 0 then 0 else search_volume % 90 + 1 end::int position, case when search_volume % 5 = 0 then '' else 'https://site.example/p/' || search_volume % 70 end url from m where search_volume % 4 <> 1),
@@ -173,13 +181,13 @@ def q_report_counts(spark, sf_dir):
 
 
 @query(
-    f"""with m0 as (select * replace (regexp_replace(keyword, '#[0-9]+', '') as keyword) from candidates where source = 'current-ranking' or ord % 2 = 1), {_MERGED.replace("from candidates", "from m0")}, f as (select m.*, (select min(ord) from m0 c where c.keyword = m.keyword) ord from m),
+    f"""with m0 as (select * replace (regexp_replace(keyword, '#[0-9]+', '') as keyword) from candidates), {_MERGED.replace("from candidates", "from m0")}, f as (select m.*, (select min(ord) from m0 c where c.keyword = m.keyword) ord from m),
     g as (select *, case when source = 'current-ranking' then 0 else 1 end l, coalesce({_KEY.format('target_url')}, {_KEY.format('url')}, 'keyword:' || keyword) key from f where search_volume >= 1 and not regexp_matches(keyword, '^({"|".join(T.INFORMATIONAL)}) ')),
     h as (select *, row_number() over (partition by key order by l, ord) rn from g), i as (select * from h where rn = 1 order by l, ord limit 5) select keyword from i where search_volume % 3 <> 0""",
     "candidates",
 )
 def q_grid_choice(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).filter("source = 'current-ranking' or ord % 2 = 1").withColumn("keyword", F.regexp_replace("keyword", "#[0-9]+", ""))
+    rows = _candidates(spark, sf_dir).withColumn("keyword", F.regexp_replace("keyword", "#[0-9]+", ""))
     merged = market.merge(rows)
     return visibility.select_grids(merged.filter("source = 'current-ranking'"), merged.filter("source <> 'current-ranking'"), (), merged.filter("search_volume % 3 <> 0")).select("keyword")
 
@@ -383,11 +391,11 @@ def q_label_usage(spark, sf_dir):
     return visibility.usage_totals(table(spark, sf_dir, "orders").select((k % 100).alias("prompt_tokens"), (k % 30).alias("completion_tokens"), (k % 8 / 8).alias("cost"), F.when(k % 50 == 1, "failed").alias("error")))
 
 
-@query("""with s as (select p_partkey % 6 pos, unnest(['b c', 'k' || p_partkey % 4]) k, unnest([0, 1]) "at" from part where p_partkey % 2 = 0 and p_partkey < 500) select k keyword, min(pos)::bigint pos, arg_min("at", (pos, "at"))::int "at" from s group by k""")
+@query("""with s as (select p_partkey % 6 pos, unnest(['b c', 'k' || p_partkey % 4]) k, unnest([0, 1]) "at" from part where p_partkey % 2 = 0) select k keyword, min(pos)::bigint pos, arg_min("at", (pos, "at"))::int "at" from s group by k""")
 def q_keyword_seeds(spark, sf_dir):
     i = F.col("p_partkey")
     seeds = F.array(F.lit(" B  c"), F.concat(F.lit("K"), (i % 4).cast("string")), F.lit("b C "), F.lit(""))
-    rows = table(spark, sf_dir, "part").filter("p_partkey < 500").select((i % 6).alias("pos"), (i % 2 == 0).alias("priority_page"), visibility.normalized_keywords(seeds).alias("keyword_seeds"))
+    rows = table(spark, sf_dir, "part").select((i % 6).alias("pos"), (i % 2 == 0).alias("priority_page"), visibility.normalized_keywords(seeds).alias("keyword_seeds"))
     return visibility.distinct_seeds(rows)
 
 
@@ -398,14 +406,19 @@ def q_audited_hosts(spark, sf_dir):
     return identity.audited_hosts(F.lit("https://www.start.example/x"), pages)
 
 
-@query("""with h as (select s_suppkey % 25 site, min('biz' || ((s_suppkey * 3) % 20) || '.example') h from supplier where s_suppkey % 2 = 0 group by 1), x as (select place_id, site, regexp_replace(lower(regexp_extract(website, '^https?://([^/]*)', 1)), '^www\\.', '') host from profiles where website <> ''),
-  g as (select distinct s_suppkey % 25 site, 'biz' || ((s_suppkey * 3) % 20) || '.example' host from supplier where s_suppkey % 2 = 0)
-  select place_id, 'high' priority, 'website host ' || x.host || ' differs from audited host ' || coalesce(h.h, '') evidence from x left join h using (site) where not exists (select 1 from g where g.site = x.site and (g.host = x.host or x.host like '%.' || g.host or g.host like '%.' || x.host))""", "profiles")
+@query("""with h as (select s_suppkey % 25 site, min('biz' || ((s_suppkey * 3) % 20) || '.example') h from supplier where s_suppkey % 2 = 0 group by 1),
+  x as (select place_id, site, phone, case when website <> '' then regexp_replace(lower(regexp_extract(website, '^https?://([^/]*)', 1)), '^www\\.', '') end host, regexp_replace(phone, '[^0-9]', '', 'g') d from profiles),
+  g as (select distinct s_suppkey % 25 site, 'biz' || ((s_suppkey * 3) % 20) || '.example' host from supplier where s_suppkey % 2 = 0), f as (select distinct s_suppkey % 25 site, '020' || (7000000 + s_suppkey * 13) d from supplier where s_suppkey % 3 <> 1),
+  n as (select site, count(*) n from f group by site)
+  select place_id, 'high' priority, case when host is not null then 'website host ' || x.host || ' differs from audited host ' || coalesce(h.h, '') else 'phone ' || phone || ' differs from ' || n || ' public website phone numbers' end evidence
+  from x left join h using (site) left join n on n.site = x.site where case when host is not null then not exists (select 1 from g where g.site = x.site and (g.host = x.host or x.host like '%.' || g.host or g.host like '%.' || x.host))
+    else phone <> '' and n > 0 and not exists (select 1 from f where f.site = x.site and right(f.d, 9) = right(x.d, 9)) end""", "profiles")
 def q_identity_findings(spark, sf_dir):
+    """By host where a profile names one, else by phone."""
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
     hosts = s.filter(k % 2 == 0).select((k % 25).alias("site"), F.concat(F.lit("biz"), ((k * 3) % 20).cast("string"), F.lit(".example")).alias("host"))
-    phones = s.limit(0).select(k.alias("site"), F.lit("").alias("phone"))
-    profiles = derived(spark, sf_dir, "profiles").filter("website <> ''").select("place_id", "site", "website", "phone")
+    phones = s.filter(k % 3 != 1).select((k % 25).alias("site"), F.concat(F.lit("020 "), (7000000 + k * 13).cast("string")).alias("phone"))
+    profiles = derived(spark, sf_dir, "profiles").select("place_id", "site", "website", "phone")
     return findings.identity_findings(identity.verify(profiles, hosts, phones)).select("place_id", "priority", "evidence")
 
 
