@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.urls import comparable_page, is_excluded_page
+from .site import saved
 
 CANDIDATE = ("keyword", "url", "target_url", "position", "search_volume", "cpc", "explicit", "source", "relevance", "ord")
 # Page types that don't earn keywords, and those that sell.
@@ -99,13 +102,33 @@ def shortlist(candidates: DataFrame, limit: int) -> DataFrame:
 
 def assign_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """keyword, target_url: the page that shares most of a keyword's terms, ties to the smaller url; none without a shared term.
-    candidates: keyword, target_url (kept if set); pages: url, title, h1, seeds. Terms meet in a join, so no pair of keyword and page is made without one."""
+    candidates: keyword, target_url (kept if set); pages: url, title, h1, seeds.
+
+    A keyword's terms are tried from the rarest on, a round for each: pages that have the term are scored by all of the keyword's terms. A page that has
+    none of the terms tried shares at most those left, so a keyword is done once its best page shares more; and of pages that have nothing but the last,
+    most frequent term, the first is known beforehand. So a term that all pages have meets no keyword, and few rows meet at all."""
     words = F.array_distinct(F.flatten(F.array(T.keyword_terms(F.col("url")), T.keyword_terms(F.col("title")), T.keyword_terms(F.array_join("h1", " ")), T.keyword_terms(F.array_join("seeds", " ")))))
-    on_page = pages.select(F.col("url").alias("page"), F.explode(words).alias("term"))
+    sets = saved(pages.select(F.col("url").alias("page"), words.alias("has")).groupBy("page").agg(F.array_distinct(F.flatten(F.collect_list("has"))).alias("has")))
+    on_page = sets.select("page", F.explode("has").alias("term"))
+    frequency = on_page.groupBy("term").agg(F.count("*").alias("n"), F.min("page").alias("first"))
     asked = candidates.select("keyword", "target_url").distinct()
-    wanted = asked.filter("target_url = ''").select("keyword", F.explode(T.keyword_terms(F.col("keyword"))).alias("term"))
-    scores = wanted.join(on_page, "term").groupBy("keyword", "page").agg(F.count("*").alias("score"))
-    best = scores.groupBy("keyword").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("page"))).alias("best"))
+    wanted = asked.filter("target_url = ''").select("keyword", F.explode(T.keyword_terms(F.col("keyword"))).alias("term")).distinct()
+    # A keyword's terms that some page has, rare ones first.
+    todo = wanted.join(frequency, "term").groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct("n", "term", "first"))).alias("terms"))
+    none = F.lit(None).cast("struct<s:int,page:string>")
+    todo = saved(todo.select("keyword", F.transform("terms", lambda t: t["term"]).alias("terms"), F.struct(F.lit(-1).alias("s"), F.element_at("terms", -1)["first"].alias("page")).alias("rest"), none.alias("best")))
+    done = todo.limit(0)
+    for k in count(1):
+        left = F.size("terms") - k
+        met = todo.filter(left >= 1).select("keyword", "terms", F.get("terms", F.lit(k - 1)).alias("term")).join(on_page, "term").select("keyword", "terms", "page")
+        scores = met.join(sets, "page").groupBy("keyword").agg(F.min(F.struct((-F.size(F.array_intersect("terms", "has"))).alias("s"), F.col("page"))).alias("found"))
+        todo = saved(todo.join(scores, "keyword", "left").withColumn("best", F.least("best", "found")).drop("found"))
+        over = (left <= 1) | (F.coalesce(-F.col("best.s"), F.lit(0)) > left)
+        done = done.unionByName(todo.filter(over))
+        todo = todo.filter(~over)
+        if todo.isEmpty():
+            break
+    best = done.select("keyword", F.least("best", "rest").alias("best"))
     return asked.join(best, "keyword", "left").select("keyword", F.coalesce(F.nullif("target_url", F.lit("")), "best.page", F.lit("")).alias("target_url"))
 
 

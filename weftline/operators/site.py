@@ -9,25 +9,29 @@ from functools import reduce
 from itertools import count
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..functions.urls import crawl_url, host_key
 from .findings import chain, findings, rule
 
-def saved(df: DataFrame) -> DataFrame:
-    """Writes df to spark.checkpoint.dir and reads it back, so loops keep a short lineage and lost executors cost little. Where that is
-    unset a local run has a folder of its own; on a cluster it would leave parts on single machines, so it is an error there."""
-    spark = df.sparkSession
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir. Where that is unset a local run has a folder of its own; on a cluster it would leave parts on single machines, so it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/weftline-checkpoints"
-    path = f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Writes df to a path of scratch and reads it back, so loops keep a short lineage and lost executors cost little."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def inlinks(pages: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import audit
-from ..operators import extract, site
+from ..operators import extract, site, store
 from ..sources import files
 from ..sources.tables import derived, table
 from .queries import _PATH, query
@@ -196,3 +196,16 @@ def q_sitemap_walk(spark, sf_dir):
     lost = files.sitemap_errors(read, documents).select("site", "url", F.lit(False).alias("read"))
     told = files.sitemap_urls(documents).filter("kind = 'page'").join(locations.select("loc").distinct(), "loc", "left_semi").groupBy(F.col("source").alias("url")).agg(F.count("*").cast("int").alias("pages"))
     return read.join(lost, ["site", "url"], "left").join(told, "url", "left").select("site", "url", "place", F.coalesce("read", F.lit(True)).alias("read"), F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+@query("select c_custkey k, case when c_custkey % 9 = 4 then 2 else 1 end::int v, case when c_custkey % 9 = 4 then c_name || ' moved' else c_name end x from customer union all select c_custkey + 100000000, 1, c_name from customer where c_custkey % 50 = 0")
+def q_merged_store(spark, sf_dir):
+    """A kept table after a merge of changed, outdated and new rows into it."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("v"), F.col("c_name").alias("x"))
+    path = site.scratch(spark)
+    store.merge(c, path, ["k"], "v", 8)
+    changed = c.filter("k % 9 = 4").withColumns({"v": F.lit(2), "x": F.concat("x", F.lit(" moved"))})
+    outdated = c.filter("k % 9 = 5").withColumns({"v": F.lit(0), "x": F.lit("old")})
+    fresh = c.filter("k % 50 = 0").withColumn("k", F.col("k") + 100_000_000)
+    store.merge(changed.unionByName(outdated).unionByName(fresh), path, ["k"], "v", 8)
+    return store.stored(spark, path)
