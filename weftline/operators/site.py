@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -269,26 +270,54 @@ def duplicates(pages: DataFrame, field: Column, key: str = "key") -> DataFrame:
     return rows.join(shared, "value").select(key, "value", "n")
 
 
+#: Sets of one token and size that meet in one tile at most, and groups beyond that which are broadcast.
+TILE, CROWDED = 2000, 100_000
+
+
+def _meeting(prefix: DataFrame, least: float) -> DataFrame:
+    """set_a, set_b of sets that share a token of their prefixes and may be similar by size and place. prefix: set, size, pos, token.
+
+    Sizes are dealt into classes that grow by 1 / least, so a set meets its own class and the next. A token and class with more than TILE sets is cut
+    into tiles: each pair meets in one of them, and none is larger than TILE sets a side."""
+    cell = F.floor(F.log(F.col("size").cast("double")) / -math.log(least) + 1e-9).cast("int")
+    rows = prefix.withColumn("cell", cell)
+    crowded = rows.groupBy("token", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("token", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    crowded = saved(crowded)
+    crowded = F.broadcast(crowded) if crowded.count() <= CROWDED else crowded
+
+    def side(p, df, tile):
+        df = df.join(crowded, ["token", "cell"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        df = df.withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int")).withColumn("tile", F.explode(tile))
+        return df.select(*[F.col(c).alias(f"{c}_{p}") for c in ("set", "size", "pos", "token", "cell", "tile")])
+
+    others = F.sequence(F.lit(0), F.col("tiles") - 1)
+    x = side("a", rows.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1))), F.transform(others, lambda j: F.col("chunk") * F.col("tiles") + j))
+    y = side("b", rows, F.transform(others, lambda i: i * F.col("tiles") + F.col("chunk")))
+    smaller = F.struct("size_a", "set_a") < F.struct("size_b", "set_b")
+    fits = F.col("size_a") >= F.lit(least) * F.col("size_b") - 1e-9
+    # What both can still share from this token on, against what they must.
+    enough = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    met = x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("tile_a") == F.col("tile_b")) & smaller & fits & enough)
+    return met.select("set_a", "set_b").distinct()
+
+
 def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
     """Pairs (left, right, similarity) of rows (key, tokens: distinct, hash) with other hashes and a token-set Jaccard of `least` or more.
 
     Prefix filtering: tokens are ordered from rare to frequent, and two sets that similar share one of their first
-    n - ceil(least * n) + 1. So only those are joined, rare ones first, together with a length filter; full
+    n - ceil(least * n) + 1. So only those are joined, rare ones first, with filters by size and by the tokens' places; full
     sets confirm. Tokens are told by 64-bit hashes, which move and compare as numbers. Rows with equal token sets are one side of the join: their copies come back by a join on the set."""
     hashed = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))))
     name = F.concat(F.hex(F.xxhash64("tokens")), F.hex(F.xxhash64(F.lit(1), "tokens")))
     sets = saved(rows.select("key", "hash", hashed.alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", name))
-    nodes = sets.groupBy("set").agg(F.first("tokens").alias("tokens"))
+    nodes = saved(sets.groupBy("set").agg(F.first("tokens").alias("tokens")))
     frequency = nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
     ranked = nodes.select("set", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(frequency, "token")
     ordered = ranked.groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("list"))
     keep = F.col("size") - F.ceil(F.round(F.lit(least) * F.col("size"), 6)) + 1
-    prefix = saved(ordered.select("set", "size", F.explode(F.slice("list", F.lit(1), keep.cast("int"))).alias("x")).select("set", "size", F.col("x.token").alias("token")))
-    a, b = (prefix.select(*[F.col(c).alias(f"{c}_{s}") for c in prefix.columns]) for s in "ab")
-    fits = (F.col("size_a") >= F.lit(least) * F.col("size_b") - 1e-9) & (F.col("size_b") >= F.lit(least) * F.col("size_a") - 1e-9)
-    found = a.join(b, (F.col("token_a") == F.col("token_b")) & (F.col("set_a") < F.col("set_b")) & fits).select("set_a", "set_b").distinct()
-    full = nodes.select("set", "tokens")
-    both = found.join(full.select(F.col("set").alias("set_a"), F.col("tokens").alias("ta")), "set_a").join(full.select(F.col("set").alias("set_b"), F.col("tokens").alias("tb")), "set_b")
+    prefix = saved(ordered.select("set", "size", F.posexplode(F.slice("list", F.lit(1), keep.cast("int"))).alias("pos", "x")).select("set", "size", "pos", F.col("x.token").alias("token")))
+    found = _meeting(prefix, least)
+    both = found.join(nodes.select(F.col("set").alias("set_a"), F.col("tokens").alias("ta")), "set_a").join(nodes.select(F.col("set").alias("set_b"), F.col("tokens").alias("tb")), "set_b")
     common = F.size(F.array_intersect("ta", "tb"))
     close = both.withColumn("similarity", common / (F.size("ta") + F.size("tb") - common)).filter(F.col("similarity") >= least).select("set_a", "set_b", "similarity")
     # Copies with one hash are one group: groups are paired, and keys come back last.
