@@ -8,6 +8,7 @@ from .. import audit
 from ..operators import extract, site, store
 from ..sources import files
 from ..sources.tables import derived, table
+from ..streaming import lab
 from .queries import _PATH, query
 
 # What is put into pages' head and article; {} is the page's id.
@@ -209,3 +210,21 @@ def q_merged_store(spark, sf_dir):
     fresh = c.filter("k % 50 = 0").withColumn("k", F.col("k") + 100_000_000)
     store.merge(changed.unionByName(outdated).unionByName(fresh), path, ["k"], "v", 8)
     return store.stored(spark, path)
+
+
+@query("select user_id, count(*) n, sum(event_id % 1000)::bigint bytes from events where event_id % 3 <> 0 group by user_id")
+def q_streamed_requests(spark, sf_dir):
+    """The events as a stream of responses, of which two of three end, and twice; as the batch operator tells them."""
+    path = f"{sf_dir}/events.parquet*"  # a pattern, as a stream reads folders or patterns
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(path)
+    at, i = F.col("ts").cast("timestamp"), F.col("event_id")
+    later = F.timestamp_micros(F.unix_micros(at) + F.col("k"))
+    # 0: the response; 1 and 6 microseconds later: its ends.
+    told = e.select(F.col("user_id").alias("page"), i.alias("request"), at.alias("ts"), F.explode(F.when(i % 3 != 0, F.array(F.lit(0), F.lit(1), F.lit(6))).otherwise(F.array(F.lit(0)))).alias("k"), "event_type")
+    first = F.col("k") == 0
+    events = told.select("page", "request", later.alias("at"), (~first).alias("ended"), F.when(first, "https://a/").alias("url"), F.when(first, F.col("event_type")).alias("type"), F.when(~first, F.col("request") % 1000 + 0.4).alias("bytes"))
+    out, state = site.scratch(spark), site.scratch(spark)
+    run = lab.finished_requests(events, "0 seconds").writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    done = spark.read.schema("page long, request long, url string, type string, bytes long").parquet(out)
+    return done.groupBy(F.col("page").alias("user_id")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
