@@ -13,6 +13,8 @@ from .common import saved
 
 #: Vectors of a shard, at most about, and at least while there are fewer shards than cores; queries of a block. They bound what one task holds.
 SHARD, LEAST, QUERIES, LEAF = 32768, 2048, 512, 256
+#: Vectors that queries meet first, to know a score that others reach; any would do, as results are exact whatever they are.
+SAMPLE = 1024
 _LONG = 2**63
 
 
@@ -118,6 +120,27 @@ def _searcher(k: int):
     return run
 
 
+def _floors(sample: list, k: int):
+    """For each query the kth best score among the sampled vectors of its length, the query's own row left out: others reach it. Null where they are too few."""
+    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {len(r["q"]) for r in sample}:
+        some = [r for r in sample if len(r["q"]) == dim]
+        by_dim[dim] = np.array([r["q"] for r in some], float), np.array([r["row"] for r in some])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row, q in zip(batch.column("row").to_pylist(), batch.column("q")):
+                own = np.array(q.values.to_numpy(zero_copy_only=False), float)
+                points, rows = by_dim.get(len(own), (np.empty((0, len(own))), np.empty(0, int)))
+                p, x = _exact(points[rows != row], own[None])
+                best = sorted((p @ x[0]).tolist(), reverse=True)[:k]
+                out.append(min(int(best[-1]), _LONG - 1) if len(best) == k and best[-1] >= -_LONG else None)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.int64())], ["row", "floor"])
+
+    return run
+
+
 def quantized(embeddings: DataFrame) -> DataFrame:
     """row, vec_id, q: floor(256 x) of each component, as a double, which holds it exactly. Null ids and vectors null, empty or with null or
     non-finite components take no part."""
@@ -133,8 +156,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     inner product of quantized vectors, ties to the smaller vec_id.
 
     Vectors are dealt by a hash of the row to shards of about SHARD, each of which gets a KD-tree in one task; the queries come to the
-    shard and stream by in blocks, so vectors move once and a task's memory doesn't grow. A first pass over one shard gives each
-    query a kth score, which the others start from; the shards' best meet in a last top-k by query.
+    shard and stream by in blocks, so vectors move once and a task's memory doesn't grow. Where the queries lie, SAMPLE vectors give each
+    a kth score, which every shard starts from; the shards' best meet in a last top-k by query.
 
     Vectors of other lengths never meet. Ids divisible by `every` include 0 and negative ones. Repeated rows: each is a candidate, and a
     query of its own if its id is divisible; only the query's own row is left out. Scores are exact; those beyond a long
@@ -153,10 +176,9 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         both = both.repartition(max(1, to - first + 1), "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
         return both.mapInArrow(_searcher(k), "of long, vec_id long, score long")
 
-    found = saved(meet(dealt.filter("shard = 0"), asked.withColumn("floor", F.lit(None).cast("long")), 0, 0), "first")
-    if shards > 1:
-        floors = found.groupBy(F.col("of").alias("its")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        found = found.union(meet(dealt.filter("shard > 0"), asked.join(floors, F.col("row") == F.col("its"), "left"), 1, shards - 1))
+    sample = vectors.select("row", "q").limit(SAMPLE).collect()
+    floors = asked.select("row", "q").mapInArrow(_floors(sample, k), "row long, floor long").withColumnRenamed("row", "its")
+    found = meet(dealt, asked.join(floors, F.col("row") == F.col("its"), "left"), 0, shards - 1)
     rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k)
     return best.join(asked.select(F.col("row").alias("its"), F.col("vec_id").alias("query_id")), F.col("of") == F.col("its")).select("query_id", "rank", "vec_id", "score")
