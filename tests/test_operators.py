@@ -210,3 +210,23 @@ def test_workflow_finds_what_the_rules_say(spark):
     found = {(r.url.split("example")[1], r.check) for r in out["findings"].collect()}
     assert {("/", "Broken internal link"), ("/", "Empty internal anchor"), ("/", "Duplicate title"), ("/a", "Duplicate title"), ("/gone.html", "Non-success response"), ("/lone", "Sitemap-only page"), ("/gone.html", "Non-success URL in sitemap")} <= found
     assert {r.url.split("example")[1]: r.depth for r in out["crawled"].collect()} == {"/": 0, "/a": 1, "/gone.html": 1, "/lone": -1}
+
+
+def test_caps_of_what_is_read(spark):
+    """A robots file is read up to its bound; a page beyond its own is a failed fetch."""
+    from weftline import audit
+
+    body = "User-agent: *\nDisallow: /a\n" + "#" * site.ROBOTS_BYTES + "\nDisallow: /b\n"
+    rules = site.robots_rules(spark.createDataFrame([("s", body)], "site string, body string"))
+    assert [r.path for r in rules.collect()] == ["/a"]
+    pages = spark.createDataFrame([("https://x.example/", "<title>T</title><a href=big>B</a>"), ("https://x.example/big", "x" * (extract.PAGE_BYTES + 1))], "url string, html string")
+    responses = pages.select("url", F.col("url").alias("final_url"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.lit(0).alias("redirects"), F.lit("").alias("x_robots"), F.lit("").alias("link_header"))
+    out = audit.audit(spark, {"pages": pages, "responses": responses}, "website", 50, "https://x.example/")
+    assert [(r.url, r.evidence, r.fix) for r in out["findings"].filter("check = 'Fetch failed'").collect()] == [("https://x.example/big", "page exceeds 5242880 bytes", findings.FIXES["Fetch failed"])]
+    assert [r.url for r in out["pages"].collect()] == ["https://x.example/"]
+    told = [(findings_weight(r.priority), r.check, r.url) for r in out["findings"].collect()]
+    assert told == sorted(told) and {r.check for r in out["issues"].collect()} == {t[1] for t in told}
+
+
+def findings_weight(priority):
+    return ("high", "medium", "low").index(priority)

@@ -62,10 +62,16 @@ def _told(found: DataFrame) -> DataFrame:
     return found.select("url", *findings.FINDING)
 
 
+def _fetched(pages: DataFrame, responses: DataFrame) -> DataFrame:
+    """Pages whose fetch did not fail: without an error, and of no more bytes than are read."""
+    got = pages.join(responses.filter("error is null") if "error" in responses.columns else responses, "url")
+    return got.filter(F.coalesce(F.octet_length("html"), F.lit(0)) <= extract.PAGE_BYTES)
+
+
 def _facts(o: Options, pages: DataFrame, responses: DataFrame) -> DataFrame:
     """Pages that were fetched with what their markup says, read against the address that they were found at. Markup of other content is not read."""
     none = F.lit("")
-    got = pages.join(responses.filter("error is null") if "error" in responses.columns else responses, "url").withColumnRenamed("url", "asked").withColumn("url", F.coalesce("final_url", "asked"))
+    got = _fetched(pages, responses).withColumnRenamed("url", "asked").withColumn("url", F.coalesce("final_url", "asked"))
     got = got.withColumns({"html": F.when(is_html(F.coalesce("content_type", none)), F.col("html")), "x_robots": F.coalesce("x_robots", none)})
     facts = extract.features(got).withColumns({
         "schema_types": F.col("metadata.schema_types"), "invalid_structured": F.col("metadata.invalid"), "structured_blocks": F.col("metadata.blocks"),
@@ -83,7 +89,7 @@ def _facts(o: Options, pages: DataFrame, responses: DataFrame) -> DataFrame:
 
 def _links(o: Options, pages: DataFrame, responses: DataFrame) -> DataFrame:
     """Links of fetched pages with the address that was asked for as `page`."""
-    got = pages.join(responses.filter("error is null") if "error" in responses.columns else responses, "url").filter(is_html(F.coalesce("content_type", F.lit(""))))
+    got = _fetched(pages, responses).filter(is_html(F.coalesce("content_type", F.lit(""))))
     return extract.anchors(got.select(F.col("url").alias("page"), F.coalesce("final_url", "url").alias("url"), "html"), keys=("page",))
 
 
@@ -133,10 +139,11 @@ def _page_findings(o: Options, crawled: DataFrame) -> DataFrame:
     return found.unionByName(findings.findings(crawled.filter("html_page"), findings.url_rules(F.col("url")), ["url"]))
 
 
-def _fetch_findings(o: Options, crawl: DataFrame, crawled: DataFrame, responses: DataFrame) -> DataFrame:
+def _fetch_findings(o: Options, crawl: DataFrame, crawled: DataFrame, responses: DataFrame, pages: DataFrame) -> DataFrame:
     """Checks 29 and 30."""
-    error = F.col("error") if "error" in responses.columns else F.lit("")
-    why = responses.select(crawl_url(F.col("url")).alias("node"), error.alias("error")).dropDuplicates(["node"])
+    error = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
+    large = F.when(F.octet_length("html") > extract.PAGE_BYTES, f"page exceeds {extract.PAGE_BYTES} bytes")
+    why = responses.join(pages.select("url", large.alias("large")), "url", "left").select(crawl_url(F.col("url")).alias("node"), F.coalesce(error, "large").alias("error")).dropDuplicates(["node"])
     lost = crawl.filter("rank is null").select("node").join(why, "node", "left").select(F.col("node").alias("url"), F.coalesce("error", F.lit("no response")).alias("error"), F.lit("").alias("path"), F.lit(True).alias("robots_allowed"))
     rows = lost.unionByName(crawled.select("url", F.lit(None).cast("string").alias("error"), path_of(F.col("url")).alias("path"), "robots_allowed"))
     return _told(findings.findings(rows, site.crawl_rules(), ["url"]))
@@ -238,7 +245,7 @@ GRAPH = {
     "crawled": Step(("facts", "crawl", "links", "sitemap?", "robots?"), _crawled, True),
     "addresses": Step(("crawled",), _addresses, True),
     "page_findings": Step(("crawled",), _page_findings),
-    "fetch_findings": Step(("crawl", "crawled", "responses"), _fetch_findings),
+    "fetch_findings": Step(("crawl", "crawled", "responses", "pages"), _fetch_findings),
     "structure_findings": Step(("crawled",), _structure_findings),
     "link_findings": Step(("crawled", "addresses", "links"), _link_findings),
     "canonical_findings": Step(("crawled", "addresses"), _canonical_findings),
@@ -295,6 +302,8 @@ def audit(spark: SparkSession, tables: dict[str, DataFrame], steps: str = "all",
     found = [_told(out.pop(name)) for name in list(out) if name.endswith("_findings")]
     if found:
         every = reduce(DataFrame.unionByName, found)
+        if "crawled" in out:
+            out["pages"] = out["crawled"].orderBy("url")
         out["findings"] = findings.ordered(findings.with_fixes(every))
         out["issues"] = findings.issue_groups(every)
     if {"crawled", "findings"} <= out.keys():

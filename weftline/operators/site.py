@@ -373,10 +373,15 @@ def summary(pages: DataFrame, edges: DataFrame, found: DataFrame) -> DataFrame:
     return p.join(F.broadcast(e), how="cross").join(F.broadcast(f), how="cross")  # one row each
 
 
+#: Bytes of a robots file that are read.
+ROBOTS_BYTES = 1 << 20
+
+
 def robots_rules(files: DataFrame) -> DataFrame:
     """Lines of robots files (site, body) as rules: site, grp, agents, pos, allow, path. A user-agent line after rules opens a
-    group; comments and lines without a value go."""
-    lines = files.select("site", F.posexplode(F.split("body", r"\r?\n")).alias("line", "raw")).withColumn("raw", F.trim(F.regexp_replace("raw", "#.*$", ""))).filter(F.contains("raw", F.lit(":")))
+    group; comments and lines without a value go. Of a file its first ROBOTS_BYTES are read."""
+    body = F.when(F.octet_length("body") > ROBOTS_BYTES, F.decode(F.substring(F.encode("body", "UTF-8"), 1, ROBOTS_BYTES), "UTF-8")).otherwise(F.col("body"))
+    lines = files.select("site", F.posexplode(F.split(body, r"\r?\n")).alias("line", "raw")).withColumn("raw", F.trim(F.regexp_replace("raw", "#.*$", ""))).filter(F.contains("raw", F.lit(":")))
     lines = lines.select("site", "line", F.lower(F.trim(F.regexp_extract("raw", "^([^:]*):", 1))).alias("field"), F.trim(F.regexp_extract("raw", "^[^:]*:(.*)$", 1)).alias("value"))
     told = lines.filter("field = 'user-agent' or field in ('allow', 'disallow') and value <> ''")
     by = Window.partitionBy("site").orderBy("line")

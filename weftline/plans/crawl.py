@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import audit
-from ..operators import extract, site, store
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import extract, market, site, store
 from ..sources import files
 from ..sources.tables import derived, table
 from ..streaming import lab
-from .queries import _PATH, query
+from .queries import _PATH, _candidates, _terms_sql, query
 
 # What is put into pages' head and article; {} is the page's id.
 _HEAD = (
@@ -228,3 +230,51 @@ def q_streamed_requests(spark, sf_dir):
     run.awaitTermination()
     done = spark.read.schema("page long, request long, url string, type string, bytes long").parquet(out)
     return done.groupBy(F.col("page").alias("user_id")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+# What a site's pages speak of, and the ideas for keywords that do.
+_CONTEXT_PAGES = """cp as (select 'https://h.example/' || case when p_partkey % 7 = 0 then 'Blog/' else 'shop/' end || replace(lower(p_type), ' ', '-') url, p_name title, p_brand h1, case p_partkey % 5 when 0 then 'blog' when 1 then 'product' end page_type, p_partkey % 3 <> 0 good from part)"""
+_CONTEXT = f"""{_CONTEXT_PAGES}, ct as (select distinct term from (select unnest(list_concat({_terms_sql('url')}, {_terms_sql('title')}, {_terms_sql('h1')})) term from cp where good and coalesce(page_type, '') <> 'blog' and url not like '%/Blog/%' union all select unnest({_terms_sql("'Steel Tubes'")})) where term not in ('polished', 'town', 'brass'))"""
+
+
+def _context(spark, sf_dir):
+    i = F.col("p_partkey")
+    url = F.concat(F.lit("https://h.example/"), F.when(i % 7 == 0, "Blog/").otherwise("shop/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")))
+    kind = F.when(i % 5 == 0, "blog").when(i % 5 == 1, "product")
+    pages = table(spark, sf_dir, "part").select(url.alias("url"), F.col("p_name").alias("title"), F.array("p_brand").alias("h1"), kind.alias("page_type"), (i % 3 != 0).alias("indexable"))
+    return market.context_terms(pages, "Steel Tubes", "Polished Town, Brass")
+
+
+@query(f"with {_CONTEXT} select term from ct")
+def q_context_terms(spark, sf_dir):
+    return _context(spark, sf_dir)
+
+
+@query(
+    f"""with {_CONTEXT}, k as (select ord, case when ord % 11 = 4 then 'how ' else '' end || keyword || case when ord % 13 = 5 then ' citys' else '' end keyword, search_volume, case when ord % 4 = 0 then 0 else cpc end cpc from candidates)
+    select keyword, search_volume, cpc, ord relevance from k where search_volume >= 1 and not regexp_matches(keyword, '^({"|".join(T.INFORMATIONAL)}) ') and not regexp_matches(keyword, '(^|\\s)\\S+[^aeiou\\s]ys(\\s|$)') and not contains(regexp_replace(keyword, '[^a-z0-9]', '', 'g'), 'brand13')
+    and (cpc > 0 or contains(keyword, 'green') or contains(keyword, 'near me')) and len(list_intersect(list_transform(regexp_extract_all(keyword, '[a-z]+'), lambda x: case when length(x) > 5 and x like '%s' then x[:-2] else x end), (select list(term) from ct))) > 0""",
+    "candidates",
+)
+def q_site_candidates(spark, sf_dir):
+    """Ideas with a question, a misspelled plural, a brand, no price, or nothing of the site's context go."""
+    i = F.col("ord")
+    rows = _candidates(spark, sf_dir)
+    items = rows.select(F.concat(F.when(i % 11 == 4, "How  ").otherwise(" "), F.upper("keyword"), F.when(i % 13 == 5, " citys").otherwise("")).alias("keyword"), "search_volume", F.when(i % 4 == 0, 0.0).otherwise(F.col("cpc")).alias("cpc"), "ord")
+    return market.site_candidates(items, _context(spark, sf_dir), "green", ("brand13", "")).select("keyword", "search_volume", "cpc", "relevance")
+
+
+@query(
+    """select p_partkey, case when length(p_name) > 12 then p_name[1:11] || '...' else p_name end dotted, p_name[1:12] cut, regexp_matches(w, '(^|\\s)\\S+[^aeiou\\s]ys(\\s|$)') misspelled, regexp_matches(lower(u), '/blog/|/news/|/privacy|/terms|/cookie|/about|/team|/contact') excluded, 'Land ' || p_partkey % 3 country, list_transform(string_split(p_name, ' ')[1:2], lambda x: x[1:3])::varchar[] parts
+    from (select *, lower(p_name) || case p_partkey % 4 when 0 then ' citys' when 1 then ' boys' when 2 then ' bys' else '' end w, '/' || ['a', 'Blog/', 'blog', 'my/news/x', 'privacy-policy', 'b/Terms', 'teams', 'contact?x=/blog/'][p_partkey % 8 + 1] u from part)"""
+)
+def q_text_helpers(spark, sf_dir):
+    """Texts cut with and without dots, plurals, pages that earn no keywords, countries."""
+    i = F.col("p_partkey")
+    words = F.concat(F.lower("p_name"), F.when(i % 4 == 0, " citys").when(i % 4 == 1, " boys").when(i % 4 == 2, " bys").otherwise(""))
+    paths = F.array(*[F.lit(x) for x in ("a", "Blog/", "blog", "my/news/x", "privacy-policy", "b/Terms", "teams", "contact?x=/blog/")])
+    url = F.concat(F.lit("https://h.example/"), F.get(paths, (i % 8).cast("int")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", T.truncate(F.col("p_name"), 12, dots=True).alias("dotted"), T.truncate(F.col("p_name"), 12).alias("cut"), T.is_misspelled_plural(words).alias("misspelled"), U.is_excluded_page(url).alias("excluded"),
+        T.country_of(F.concat(F.lit("Town, County , Land "), (i % 3).cast("string"))).alias("country"), T.truncate_all(F.split("p_name", " "), 2, 3).alias("parts"),
+    )
