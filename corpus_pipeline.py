@@ -40,6 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes after the stages before it, each over all that its predecessor kept; every stage but the last is written and read again.
+
+    Null ids and texts stay until the mix, which takes no words from a null text; empty texts are no one's copies. Repeated rows are near copies of each other, of which one
+    stays. Ties within stages go to the smaller id. Texts of any length are read whole. An empty table gives no rows. Columns of documents other than doc_id, text, source and n_chars pass as they
+    are, whatever their names, and the mix adds size, source_size, target, copies and taken."""
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

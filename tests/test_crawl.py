@@ -92,3 +92,13 @@ def test_parts_are_written_as_one(spark):
     start = spark.createDataFrame([(0,)], "node long")
     assert sorted(tuple(r) for r in site.depths(edges, start).collect()) == [(i, i) for i in range(21)]
     assert site.depths(edges, start, 2).agg(F.max("depth")).first()[0] == 2
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    kept = site.saved(spark.range(3))
+    folder = Path(kept.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert folder.is_dir()
+    site.forget(spark)
+    assert not folder.exists() and site._MADE == []

@@ -18,6 +18,10 @@ from ..functions.urls import crawl_url, host_key
 from .findings import chain, findings, rule
 
 
+#: Paths that scratch gave out and forget has not deleted.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir. Where that is unset a local run has a folder of its own; on a cluster it would leave parts on single machines, so it is an error there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +29,15 @@ def scratch(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"{tempfile.gettempdir()}/weftline-checkpoints"
-    return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    _MADE.append(path := f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}")
+    return path
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what was written to scratch by this driver, once the results that were made from it have been written or are not wanted."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame) -> DataFrame:
