@@ -45,6 +45,13 @@ def test_texts_beyond_a_chunk(count, library):
     assert [count(text)] == library([text])
 
 
+def test_new_words_of_a_text_are_counted_together(count, library):
+    """Words that only hold other white space, special strings, and words that grow or shrink in their normal form stand among others."""
+    texts = ["one \u00a0\u0085 two", "a\u0085b \u0085 c", "x <|endoftext|>y z", "\u0130stanbul A\u030angstr\u00f6m e\u0301e \ufb01x q\x1cr", "\u3000 \u2003w", "m n m n m"]
+    assert [count(t) for t in texts] == library(texts)
+    assert [count(t) for t in [" ".join(texts), *texts]] == library([" ".join(texts), *texts])
+
+
 def test_full_tables_change_nothing(monkeypatch, library):
     monkeypatch.setattr(tokens, "KNOWN", 3)
     count = tokens.counter(open(PATH, encoding="utf-8").read())

@@ -108,15 +108,30 @@ def counter(spec: str) -> Callable[[str], int]:
             n = pieces.put(piece, merged([s for s in said if s is not None], pairs))
         return n
 
+    def normal(text: str) -> str:
+        return bare.normalizer.normalize_str(text) if bare.normalizer else text
+
+    def cut(text: str) -> list[tuple[str, tuple[int, int]]]:
+        return bare.pre_tokenizer.pre_tokenize_str(text) if bare.pre_tokenizer else [(text, (0, len(text)))]
+
     def of_word(word: str) -> int:
         between = special.split(word) if special else [word]
-        n = len(between) - 1
-        for part in between:
-            if part:
-                normal = bare.normalizer.normalize_str(part) if bare.normalizer else part
-                cut = bare.pre_tokenizer.pre_tokenize_str(normal) if bare.pre_tokenizer else [(normal, None)]
-                n += sum([of_piece(piece) for piece, _ in cut if piece])
-        return words.put(word, n)
+        return len(between) - 1 + sum([of_piece(piece) for part in between if part for piece, _ in cut(normal(part)) if piece])
+
+    def of_words(some: list[str]) -> list[int]:
+        """Counts of new words, all at once: as they hold no space and no special string, each is one word of the normal line as well."""
+        line = " ".join(some)
+        plain = (line.isascii() or line.split() == some) and not (special and special.search(line))
+        forms = (line := normal(line)).split(" ") if plain else []
+        if len(forms) != len(some):
+            return [of_word(w) for w in some]
+        out, k, end = [0] * len(some), 0, len(forms[0])
+        for piece, (at, _) in cut(line):
+            while at >= end:
+                k += 1
+                end += len(forms[k]) + 1
+            out[k] += of_piece(piece)
+        return out
 
     word, space = re.compile(WORD), re.compile(SPACE)
 
@@ -125,9 +140,15 @@ def counter(spec: str) -> Callable[[str], int]:
         while at < len(text):
             ends = space.search(text, at + CHUNK)
             to = ends.start() if ends else len(text)
+            new: dict[str, int] = {}
             for w in word.findall(text, at, to):
                 n = words.get(w)
-                total += of_word(w) if n is None else n
+                if n is None:
+                    new[w] = new.get(w, 0) + 1
+                else:
+                    total += n
+            for (w, times), n in zip(new.items(), of_words(list(new)) if new else ()):
+                total += times * words.put(w, n)
             at = to
         return total
 
