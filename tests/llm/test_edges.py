@@ -82,3 +82,15 @@ def test_nulls_keep_their_place(spark):
     scored = {r.doc_id: r for r in scoring.score(docs(spark)).collect()}
     assert scored[1].n_tokens == scored[2].n_tokens == 1 and scored[4].n_tokens == 30_001
     assert scored[1].score < 0 and not scored[None].held_out
+
+
+def test_leaks_of_odd_rows(spark):
+    """Null ids, repeated rows, very long texts and ties with hits: one row for each id and text, at the first of equal places."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(None, item, "a"), (1, item, "a"), (1, item, "a"), (2, LONG + item, None), (3, item.upper(), "b"), (4, f"{item}. {item}", "b"), (5, item.replace("gamma", "x").replace("theta", "y"), "b"), (6, "alpha beta gamma", "b")]
+    for bench_rows in ([(1, item), (2, item), (None, "")],):
+        got = decontaminate.leaks(docs(spark, rows), bench(spark, bench_rows)).collect()
+        told = sorted((str(r.doc_id), r.item_id, r.doc_start, r.n_same) for r in got)
+        assert told == sorted((d, i, at, n) for d, at, n in [("None", 0, 10), ("1", 0, 10), ("2", 30_000, 10), ("3", 0, 10), ("4", 0, 10), ("5", 0, 8)] for i in (1, 2))
+    kept = {r.doc_id for r in decontaminate.clean(docs(spark, rows), bench(spark, [(1, item)])).collect()}
+    assert kept == {6}

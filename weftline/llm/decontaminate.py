@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, fresh, saved, small
 
-#: The SQL twin's masks of one span: 1: the token counts, 0: it may be any. They miss copies that TRIPLES find.
-MASKS = ("1101101101", "1011011011", "1110010111")
-#: All ways in which three of five tokens in a row can agree. An item of four tokens or more parts into blocks of 5 to 9 (or is one of 4);
+#: 1: the token counts, 0: it may be any. All ways in which three of five tokens in a row can agree. An item of four tokens or more parts into blocks of 5 to 9 (or is one of 4);
 #: if LEAST of its tokens agree, so does that share of some block, and then three of five in a row: no such pair is missed.
 TRIPLES = ("111", "1101", "1011", "11001", "10101", "10011")
 #: Items too short for a triple are tried by each of their tokens.

@@ -86,17 +86,21 @@ def op3_benchmark_decontamination(spark, sf_dir):
 
 
 def _op3_sql():
-    span = len(decontaminate.MASKS[0])
-    keys = ", ".join(f"'{k}:' || concat_ws(' ', " + ", ".join(f"w[p + {i + 1}]" for i, c in enumerate(m) if c == "1") + ")" for k, m in enumerate(decontaminate.MASKS))
+    """The same masks at every place, items of few tokens by single ones; each alignment that they tell is compared once."""
+
+    def keys(masks):
+        return ", ".join(f"'{k}:' || concat_ws(' ', " + ", ".join(f"w[p + {i + 1}]" for i, c in enumerate(m) if c == "1") + ")" for k, m in enumerate(masks))
+
     words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    brief, whole = keys(decontaminate.SINGLE), keys(decontaminate.TRIPLES)
     return rf"""
 with d as (select row_number() over () id, doc_id, {words} w from documents),
 b as (select item_id, {words} w from benchmark),
-dp as (select id, w, unnest(range(0, len(w) - {span - 1})) p from d where len(w) >= {span}),
-bp as (select item_id, w, unnest(range(0, len(w) - {span - 1})) p from b where len(w) >= {span}),
-dk as (select id, p, unnest([{keys}]) k from dp),
-bk as (select item_id, p, unnest([{keys}]) k from bp),
-h as (select distinct dk.id, bk.item_id, dk.p - bk.p s from dk join bk using (k)),
+bp as (select item_id, w, unnest(range(0, len(w))) p from b),
+bk as (select item_id, p, 's' s, unnest([{brief}]) k from bp where len(w) < {decontaminate.SHORT} union all select item_id, p, 't', unnest([{whole}]) from bp where len(w) >= {decontaminate.SHORT}),
+dp as (select id, w, unnest(range(0, len(w))) p from d),
+dk as (select id, p, 't' s, unnest([{whole}]) k from dp union all select id, p, 's', unnest([{brief}]) from dp),
+h as (select distinct dk.id, bk.item_id, dk.p - bk.p s from dk join bk using (s, k)),
 a as (select h.id, h.item_id, h.s, len(b.w) n_item, len(list_filter(range(0, len(b.w)), lambda j: h.s + j >= 0 and coalesce(d.w[h.s + j + 1] = b.w[j + 1], false))) n_same
   from h join d using (id) join b using (item_id)),
 r as (select *, row_number() over (partition by id, item_id order by n_same desc, s) rn from a where n_same >= {decontaminate.LEAST} * n_item)
