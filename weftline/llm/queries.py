@@ -51,6 +51,19 @@ def op6_suffix_dedup(spark, sf_dir):
     return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
 
 
+_OP6_SQL = """
+with d as (select row_number() over (order by doc_id nulls first) r, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+p as (select r, unnest(range(0, len(x) // 2 - 99)) i, x from d where len(x) >= 200),
+g as (select r, i, md5(substr(x, 2 * i + 1, 200)) h from p),
+f as (select h, min({'r': r, 'i': i}) least from g group by h having count(*) > 1),
+c as (select r, i, case when i <= lag(i) over (partition by r order by i) + 100 then 0 else 1 end opens from g join f using (h) where {'r': r, 'i': i} <> least),
+n as (select r, i, sum(opens) over (partition by r order by i) run from c),
+s as (select r, run, min(i) b, max(i) + 100 e from n group by r, run),
+k as (select r, run, b, e, coalesce(lag(e) over (partition by r order by run), 0) before, row_number() over (partition by r order by run desc) = 1 ends from s),
+t as (select k.r, sum(e - b) gone, count(*) runs, string_agg(substr(x, 2 * before + 1, 2 * (b - before)) || case when ends then substr(x, 2 * e + 1) else '' end, '' order by run) kept from k join d using (r) group by k.r)
+select doc_id, (len(x) // 2)::bigint n_bytes, coalesce(gone, 0)::bigint n_removed, coalesce(runs, 0)::bigint n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256 from d left join t using (r)"""
+
+
 def op2_secret_scans(spark, sf_dir):
     spans = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("__spans", lambda s: s["kind"] < len(secrets.BASE))
@@ -232,4 +245,4 @@ select doc_id, size::bigint size, source_size, target, (size * (whole + case whe
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_secret_scans, op3_benchmark_decontamination, op4_exact_topk, op5_minhash_near_dedup, op6_suffix_dedup, op7_toxicity, op8_license_scans, op9_lm_scoring, op10_source_mixing, op11_vector_codes, op12_merkle_manifest, op13_token_counts)}
-SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op8_license_scans": _op8_sql(), "op10_source_mixing": _op10_sql(), "op11_vector_codes": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
+SQL = {"op2_secret_scans": _op2_sql(), "op3_benchmark_decontamination": _op3_sql(), "op4_exact_topk": _OP4_SQL, "op5_minhash_near_dedup": _OP5_SQL, "op6_suffix_dedup": _OP6_SQL, "op8_license_scans": _op8_sql(), "op10_source_mixing": _op10_sql(), "op11_vector_codes": _op11_sql(), "op12_merkle_manifest": _op12_sql()}
