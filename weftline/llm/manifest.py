@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import PER_FILE, saved, small
 
 #: Nodes that become one, as the contract has it.
 ARITY = 3
@@ -19,8 +19,8 @@ HEIGHT = 7
 SIZE = ARITY**HEIGHT
 #: Levels of each subtree that the traversal stacks.
 STEP = 2
-#: Rows of (part of the sorted table, source) that may be broadcast, of which the source may be long.
-LOOKED_UP = 100_000
+#: Bytes of a table that may be broadcast, told by its rows' own lengths.
+BROADCAST_BYTES = 16_000_000
 PATH = "array<struct<left:string,right:string>>"
 FIELDS = ("doc_id", "source", "lang", "n_chars")
 
@@ -170,6 +170,16 @@ def _proofs(key: pa.DataType):
     return run
 
 
+def _sized(df: DataFrame, size: Column) -> DataFrame:
+    """df as a broadcast side if its rows, each of `size` bytes, are few enough, else as it is for a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def _path_size(path: str) -> Column:
+    """Bytes of a row with a path, of which each level has two digests at most, and a few numbers."""
+    return F.size(path) * 160 + 100
+
+
 def _dealt(nodes: DataFrame) -> DataFrame:
     """nodes (grp, idx, n) with the key of their block; blocks of small groups share a key, by where the groups begin, so that no
     key has more than two blocks' rows and there are few keys however many groups there are."""
@@ -189,7 +199,7 @@ def _climbed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         return saved(own.drop("block"), "paths"), done
     above, roots = _climbed(more)
     upper = above.select("grp", F.col("idx").alias("block"), F.col("path").alias("rest"))
-    joined = own.join(small(upper, LOOKED_UP), ["grp", "block"], "left")
+    joined = own.join(_sized(upper, _path_size("rest")), ["grp", "block"], "left")
     return saved(joined.select("grp", "idx", F.concat("path", F.coalesce("rest", F.array().cast(PATH))).alias("path")), "paths"), done.unionByName(roots)
 
 
@@ -230,12 +240,12 @@ def manifest(docs: DataFrame, seen: Column | None = None) -> DataFrame:
     # Equal rows may be many; their places in the files tell them apart, so that no part of the order is theirs alone.
     leaves = leaves.withColumn("row", F.monotonically_increasing_id())
     table = _placed(leaves, "ordered", F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("row")).drop("row")
-    runs = saved(table.groupBy(F.expr(PART).alias("part"), "source").agg(F.count("*").alias("c"), F.min(F.expr(ROW)).alias("lo")), "runs", rows=LOOKED_UP)
+    runs = saved(table.groupBy(F.expr(PART).alias("part"), "source").agg(F.count("*").alias("c"), F.min(F.expr(ROW)).alias("lo")), "runs", rows=PER_FILE)
     of = Window.partitionBy("source")
     runs = runs.join(small(_starts(runs)), "part")
     runs = runs.select("part", F.col("source").alias("of"), "before", F.min(F.expr("before + lo")).over(of).alias("grp"), F.sum("c").over(of).alias("n"))
-    runs = saved(runs, "runs", rows=LOOKED_UP)
-    met = table.withColumn("p", F.expr(PART)).join(small(runs, LOOKED_UP), (F.col("p") == F.col("part")) & F.col("source").eqNullSafe(F.col("of")))
+    runs = saved(runs, "runs", rows=PER_FILE)
+    met = table.withColumn("p", F.expr(PART)).join(_sized(runs, F.coalesce(F.octet_length("of"), F.lit(0)) + 48), (F.col("p") == F.col("part")) & F.col("source").eqNullSafe(F.col("of")))
     nodes = met.select("doc_id", "digest", "seen", "grp", "n", F.expr(f"before + ({ROW}) - grp").alias("idx"))
     tops = saved(_dealt(nodes.select("grp", "idx", "n", "digest")).groupBy("deal", "block").applyInArrow(_tops, "grp long, idx long, n long, digest binary"), "tops")
     above, subroots = _climbed(tops.filter("n > 1"))
@@ -249,13 +259,13 @@ def manifest(docs: DataFrame, seen: Column | None = None) -> DataFrame:
     empty = F.array().cast(PATH)
     if total > 1:
         ends, root = _climbed(sources.select("grp", "idx", "n", "digest"))
-        sources = sources.join(small(ends.select("idx", "path"), LOOKED_UP), "idx")
+        sources = sources.join(_sized(ends.select("idx", "path"), _path_size("path")), "idx")
     else:
         sources, root = sources.withColumn("path", empty), sources
     sources = sources.select("source", F.hex("digest").alias("subroot"), F.col("path").alias("last"))
     rest = above.select("grp", "idx", "path")
     sizes = runs.select(F.col("grp").alias("source"), F.col("n").alias("leaves")).distinct()
-    upper = tops.select("grp", "idx").join(rest, ["grp", "idx"], "left").join(small(sources, LOOKED_UP), F.col("grp") == F.col("source")).drop("source").join(small(sizes, LOOKED_UP), F.col("grp") == F.col("source")).drop("source")
+    upper = tops.select("grp", "idx").join(rest, ["grp", "idx"], "left").join(_sized(sources, _path_size("last")), F.col("grp") == F.col("source")).drop("source").join(small(sizes), F.col("grp") == F.col("source")).drop("source")
     upper = upper.select("grp", F.expr(f"idx * {SIZE}").alias("idx"), F.col("leaves").alias("n"), F.lower("subroot").alias("subroot"), F.concat(F.coalesce("path", empty), "last").alias("path"), F.col("idx").alias("top"))
     upper = _dealt(upper).withColumn("idx", F.col("top")).drop("top")
     kind = docs.select("doc_id").schema["doc_id"].dataType
