@@ -43,15 +43,31 @@ def _metas(key: str, *names: str) -> Column:
     return F.transform(wanted, lambda x: clean_text(value(x["attributes"], "content")))
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """pages (url, html, more if wanted) with one column per extracted fact; null html and one of more than PAGE_BYTES, which the crawl refuses, count as empty.
+#: Facts that come from elements' attributes.
+FROM_ELEMENTS = ("language", "descriptions", "description", "robots", "meta_author", "published", "modified", "has_viewport", "canonicals", "hreflang", "resources", "image_count", "images_missing_alt", "images_empty_alt", "phone_links")
+
+
+def features(pages: DataFrame, *wanted: str) -> DataFrame:
+    """pages (url, html, more if wanted) with one column per extracted fact, all of them or those of the given names; null html and one of more than PAGE_BYTES, which the crawl refuses, count as empty.
 
     References of canonicals, hreflang and resources are resolved against url. Of descriptions and titles the first that says something counts, of
     robots, authors and dates the last. metadata holds what structured data, times and author marks say, apart from meta elements."""
+
+    def asked(*names):
+        return not wanted or any(n in wanted for n in names)
+
     rows = marked(pages, F.coalesce(F.when(F.octet_length("html") <= PAGE_BYTES, F.col("html")), F.lit("")))
-    rows = with_structured(rows).withColumns({"__els": elements(*READ), "__t": F.lower(shown_text())})
-    rows = rows.withColumns({"__paragraphs": F.transform(spans("p", ends=BLOCKS), inside), "__headings": F.transform(spans("h1", "h2", "h3", "h4", "h5", "h6"), lambda x: F.struct(x["name"].alias("name"), inside(x).alias("text")))})
-    rows = rows.withColumn("__paragraphs", F.filter(F.transform("__paragraphs", lambda x: F.struct(x.alias("text"), F.size(tokenize(x)).alias("words"))), lambda x: x["words"] > 0))
+    if asked("metadata"):
+        rows = with_structured(rows)
+    if asked(*FROM_ELEMENTS):
+        rows = rows.withColumn("__els", elements(*READ))
+    if asked("tokens", "word_count", "content_hash"):
+        rows = rows.withColumn("__t", F.lower(shown_text()))
+    if asked("paragraph_count", "longest_paragraph", "first_paragraph"):
+        rows = rows.withColumn("__paragraphs", F.transform(spans("p", ends=BLOCKS), inside))
+        rows = rows.withColumn("__paragraphs", F.filter(F.transform("__paragraphs", lambda x: F.struct(x.alias("text"), F.size(tokenize(x)).alias("words"))), lambda x: x["words"] > 0))
+    if asked("h1", "h2", "heading_levels"):
+        rows = rows.withColumn("__headings", F.transform(spans("h1", "h2", "h3", "h4", "h5", "h6"), lambda x: F.struct(x["name"].alias("name"), inside(x).alias("text"))))
     url = F.col("url")
 
     def headed(name):
@@ -60,42 +76,54 @@ def features(pages: DataFrame) -> DataFrame:
     def linked(*rels):
         return F.filter(_named("link"), lambda x: F.arrays_overlap(F.split(F.lower(F.trim(value(x["attributes"], "rel"))), r"\s+"), F.array(*[F.lit(r) for r in rels])))
 
-    fetched = F.filter("__els", lambda x: x["name"].isin("img", "script", "source", "iframe", "video", "audio") | ((x["name"] == "link") & F.arrays_overlap(F.split(F.lower(F.trim(value(x["attributes"], "rel"))), r"\s+"), F.array(*[F.lit(r) for r in ("stylesheet", "preload", "modulepreload")]))))
-    sources = F.transform(F.transform(fetched, lambda x: F.when(x["name"] == "link", value(x["attributes"], "href")).otherwise(value(x["attributes"], "src"))), lambda x: resolve(url, x))
-    named = F.transform(linked("alternate"), lambda x: F.struct(F.lower(value(x["attributes"], "hreflang")).alias("language"), value(x["attributes"], "href").alias("href")))
-    hreflang = F.transform(F.filter(named, lambda x: x["language"] != ""), lambda x: F.struct(x["language"].alias("language"), resolve(url, x["href"]).alias("url")))
-    images = _named("img")
-    phones = F.transform(F.filter(_named("a"), lambda x: F.lower(F.trim(value(x["attributes"], "href"))).startswith("tel:")), lambda x: F.trim(F.regexp_replace(F.trim(value(x["attributes"], "href")), "(?i)^tel:", "")))
-    return rows.withColumns(
-        {
-            "language": F.trim(_last(F.transform(_named("html"), lambda x: value(x["attributes"], "lang")))),
-            "titles": F.transform(spans("title"), inside),
-            "h1": headed("h1"),
-            "h2": headed("h2"),
-            "heading_levels": F.transform("__headings", lambda x: F.substring(x["name"], 2, 1).cast("int")),
-            "descriptions": _metas("name", "description"),
-            "robots": _last(_metas("name", "robots")),
-            "meta_author": _last(_metas("name", "author")),
-            "published": _last(_metas("property", "article:published_time", "og:published_time")),
-            "modified": _last(_metas("property", "article:modified_time", "og:updated_time")),
-            "has_viewport": F.size(_metas("name", "viewport")) > 0,
-            "has_main": F.array_contains("__names", "main"),
-            "has_article": F.array_contains("__names", "article"),
-            "canonicals": F.array_distinct(_nonempty(F.transform(F.transform(linked("canonical"), lambda x: value(x["attributes"], "href")), lambda x: resolve(url, x)))),
-            "hreflang": F.filter(hreflang, lambda x: x["url"].isNotNull()),
-            "resources": F.array_distinct(_nonempty(sources)),
-            "image_count": F.size(images),
-            "images_missing_alt": F.size(F.filter(images, lambda x: ~has(x["attributes"], "alt"))),
-            "images_empty_alt": F.size(F.filter(images, lambda x: has(x["attributes"], "alt") & (F.trim(value(x["attributes"], "alt")) == ""))),
-            "phone_links": F.array_distinct(_nonempty(phones)),
-            "paragraph_count": F.size("__paragraphs"),
-            "longest_paragraph": F.coalesce(F.array_max(F.transform("__paragraphs", lambda x: x["words"])), F.lit(0)),
-            "first_paragraph": _first(F.transform(F.filter("__paragraphs", lambda x: x["words"] >= 5), lambda x: x["text"])),
-            "tokens": tokenize(F.col("__t")),
-            "word_count": F.size(tokenize(F.col("__t"))),
-            "content_hash": F.sha2("__t", 256),
-        }
-    ).withColumns({"title": _first(F.col("titles")), "description": _first(F.col("descriptions"))}).drop("__source", "__tags", "__texts", "__names", "__els", "__t", "__paragraphs", "__headings")
+    def fetched():
+        return F.filter("__els", lambda x: x["name"].isin("img", "script", "source", "iframe", "video", "audio") | ((x["name"] == "link") & F.arrays_overlap(F.split(F.lower(F.trim(value(x["attributes"], "rel"))), r"\s+"), F.array(*[F.lit(r) for r in ("stylesheet", "preload", "modulepreload")]))))
+
+    def sources():
+        return F.transform(F.transform(fetched(), lambda x: F.when(x["name"] == "link", value(x["attributes"], "href")).otherwise(value(x["attributes"], "src"))), lambda x: resolve(url, x))
+
+    def hreflang():
+        named = F.transform(linked("alternate"), lambda x: F.struct(F.lower(value(x["attributes"], "hreflang")).alias("language"), value(x["attributes"], "href").alias("href")))
+        return F.transform(F.filter(named, lambda x: x["language"] != ""), lambda x: F.struct(x["language"].alias("language"), resolve(url, x["href"]).alias("url")))
+
+    def images():
+        return _named("img")
+
+    def phones():
+        return F.transform(F.filter(_named("a"), lambda x: F.lower(F.trim(value(x["attributes"], "href"))).startswith("tel:")), lambda x: F.trim(F.regexp_replace(F.trim(value(x["attributes"], "href")), "(?i)^tel:", "")))
+
+    facts = {
+        "language": lambda: F.trim(_last(F.transform(_named("html"), lambda x: value(x["attributes"], "lang")))),
+        "titles": lambda: F.transform(spans("title"), inside),
+        "h1": lambda: headed("h1"),
+        "h2": lambda: headed("h2"),
+        "heading_levels": lambda: F.transform("__headings", lambda x: F.substring(x["name"], 2, 1).cast("int")),
+        "descriptions": lambda: _metas("name", "description"),
+        "robots": lambda: _last(_metas("name", "robots")),
+        "meta_author": lambda: _last(_metas("name", "author")),
+        "published": lambda: _last(_metas("property", "article:published_time", "og:published_time")),
+        "modified": lambda: _last(_metas("property", "article:modified_time", "og:updated_time")),
+        "has_viewport": lambda: F.size(_metas("name", "viewport")) > 0,
+        "has_main": lambda: F.array_contains("__names", "main"),
+        "has_article": lambda: F.array_contains("__names", "article"),
+        "canonicals": lambda: F.array_distinct(_nonempty(F.transform(F.transform(linked("canonical"), lambda x: value(x["attributes"], "href")), lambda x: resolve(url, x)))),
+        "hreflang": lambda: F.filter(hreflang(), lambda x: x["url"].isNotNull()),
+        "resources": lambda: F.array_distinct(_nonempty(sources())),
+        "image_count": lambda: F.size(images()),
+        "images_missing_alt": lambda: F.size(F.filter(images(), lambda x: ~has(x["attributes"], "alt"))),
+        "images_empty_alt": lambda: F.size(F.filter(images(), lambda x: has(x["attributes"], "alt") & (F.trim(value(x["attributes"], "alt")) == ""))),
+        "phone_links": lambda: F.array_distinct(_nonempty(phones())),
+        "paragraph_count": lambda: F.size("__paragraphs"),
+        "longest_paragraph": lambda: F.coalesce(F.array_max(F.transform("__paragraphs", lambda x: x["words"])), F.lit(0)),
+        "first_paragraph": lambda: _first(F.transform(F.filter("__paragraphs", lambda x: x["words"] >= 5), lambda x: x["text"])),
+        "tokens": lambda: tokenize(F.col("__t")),
+        "word_count": lambda: F.size(tokenize(F.col("__t"))),
+        "content_hash": lambda: F.sha2("__t", 256),
+        "title": lambda: _first(F.transform(spans("title"), inside)),
+        "description": lambda: _first(_metas("name", "description")),
+    }
+    rows = rows.withColumns({name: made() for name, made in facts.items() if asked(name)})
+    return rows.drop("__source", "__tags", "__texts", "__names", "__els", "__t", "__paragraphs", "__headings")
 
 
 def header_canonicals(header) -> Column:

@@ -73,8 +73,8 @@ _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
-def _features(spark, sf_dir):
-    return extract.features(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+def _features(spark, sf_dir, *wanted):
+    return extract.features(table(spark, sf_dir, "pages").select("page_id", "url", "html"), *wanted)
 
 
 def _odd_pages(spark, sf_dir):
@@ -87,18 +87,18 @@ def _odd_pages(spark, sf_dir):
 
 @query(f"{_PAGES}, t as (select page_id, lower({_strip('s')}) t from p) select page_id, len({_TOKENS.format('t')})::int word_count, sha256(t) content_hash from t")
 def q_page_text_stats(spark, sf_dir):
-    return _features(spark, sf_dir).select("page_id", "word_count", "content_hash")
+    return _features(spark, sf_dir, "word_count", "content_hash").select("page_id", "word_count", "content_hash")
 
 
 @query(f"""{_PAGES} select page_id, coalesce({_full(_inner('title'))}[1], '') title, array_to_string({_full(_inner('h1'))}, '|') h1, array_to_string(regexp_extract_all(s, '(?i)<h([1-6])\\b', 1), ',') heading_levels from p""")
 def q_page_titles_h1(spark, sf_dir):
     levels = F.array_join(F.transform("heading_levels", lambda x: x.cast("string")), ",")
-    return _features(spark, sf_dir).select("page_id", "title", F.array_join("h1", "|").alias("h1"), levels.alias("heading_levels"))
+    return _features(spark, sf_dir, "title", "h1", "heading_levels").select("page_id", "title", F.array_join("h1", "|").alias("h1"), levels.alias("heading_levels"))
 
 
 @query(f"""{_PAGES} select trim(regexp_extract(regexp_extract(s, '(?is)<html\\b[^>]*>', 0), '(?is)\\slang\\s*=\\s*"([^"]*)"', 1)) page_language, count(*) n from p group by 1""")
 def q_page_language(spark, sf_dir):
-    return _features(spark, sf_dir).groupBy(F.col("language").alias("page_language")).agg(F.count("*").alias("n"))
+    return _features(spark, sf_dir, "language").groupBy(F.col("language").alias("page_language")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -178,7 +178,7 @@ def q_issue_groups(spark, sf_dir):
     coalesce(list_filter(a, lambda x: len({_TOKENS.format('x')}) >= 5)[1], '') first_paragraph from x"""
 )
 def q_paragraph_stats(spark, sf_dir):
-    return _features(spark, sf_dir).select("page_id", "paragraph_count", "longest_paragraph", "first_paragraph")
+    return _features(spark, sf_dir, "paragraph_count", "longest_paragraph", "first_paragraph").select("page_id", "paragraph_count", "longest_paragraph", "first_paragraph")
 
 
 @query("""with p as (select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) t from pages), d as (select t, count(*) n from p where t <> '' group by t having count(*) > 1) select page_id, p.t value, n from p join d on d.t = p.t""")
@@ -207,7 +207,7 @@ def q_near_duplicate_docs(spark, sf_dir):
 
 @query(f"{_PAGES}, y as (select page_id k, lower({_strip('s')}) t from p), z as (select k, sha256(t) h, {_TOKENS.format('t')} w from y), r as (select k, h, list_distinct(w) a, len(w) nw from z){_NEAR}")
 def q_near_duplicate_pages(spark, sf_dir):
-    pages = _features(spark, sf_dir).filter("word_count >= 100")
+    pages = _features(spark, sf_dir, "word_count", "content_hash", "tokens").filter("word_count >= 100")
     return site.near_duplicates(pages.select(F.col("page_id").alias("key"), F.col("content_hash").alias("hash"), F.array_distinct("tokens").alias("tokens")))
 
 
@@ -548,7 +548,7 @@ def _marked(spark, sf_dir):
     block = F.concat(F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 4 == 3, "{broken").otherwise(good), F.lit("</script>"))
     time = F.when(F.col("page_id") % 5 == 1, F.concat(F.lit('<time itemprop="dateModified" datetime="m'), i, F.lit('">March</time>'))).when(F.col("page_id") % 5 == 2, F.concat(F.lit("<article><time>t"), i, F.lit("</time></article>"))).otherwise("<time>5 May</time>")
     html = F.concat(block, F.lit("<script>var x</script>"), F.when(F.col("page_id") % 2 == 0, block).otherwise(""), time)
-    return extract.features(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))).select("page_id", F.col("metadata").alias("m"))
+    return extract.features(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), "metadata").select("page_id", F.col("metadata").alias("m"))
 
 
 @query(
