@@ -105,6 +105,20 @@ def test_repeats(spark, monkeypatch, crowd, piece):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def test_repeats_of_rows_without_an_id_of_their_own(spark):
+    """Rows with null or repeated ids are documents each: null first, then by id, rows of one id as they are read."""
+    rng = random.Random(5)
+
+    def text(n):
+        return " ".join(rng.choice(["lorem", "ipsum", "Ünder", str(rng.randrange(500))]) for _ in range(n))
+
+    a, b, c = text(60), text(70), text(40)
+    rows = [(7, a), (None, b), (7, a), (3, text(20) + b + text(9)), (7, c), (None, text(5) + b), (3, "short"), (3, "short"), (-4, a + c), (None, None), (7, text(3) + c + text(2)), (3, text(90) + "z" * 130)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    assert sorted((str(r.doc_id), *tuple(r)[1:5]) for r in got) == sorted((str(r[0]), *t) for r, t in zip(rows, brute_repeats([t for _, t in rows])))
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 70)
     monkeypatch.setattr(topk, "QUERIES", 3)
