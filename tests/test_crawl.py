@@ -102,3 +102,21 @@ def test_intermediate_tables_can_be_deleted(spark):
     assert folder.is_dir()
     site.forget(spark)
     assert not folder.exists() and site._MADE == []
+
+
+def test_the_audit_of_the_whole_site_has_no_limit(spark, monkeypatch):
+    from conftest import DATA
+
+    from weftline import audit
+    from weftline.plans.queries import QUERIES
+
+    class Crawled(Exception):
+        pass
+
+    def crawl_order(edges, start, sitemap, fetched, limit):
+        raise Crawled(limit)
+
+    monkeypatch.setattr(site, "crawl_order", crawl_order)
+    with pytest.raises(Crawled) as found:
+        QUERIES["q_workflow"](spark, DATA)
+    assert found.value.args == (None,) and audit.checked_options(limit=None)["limit"] is None
