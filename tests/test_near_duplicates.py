@@ -47,3 +47,16 @@ def test_no_tile_is_larger_than_its_bound(spark, monkeypatch):
     prefix = spark.range(100).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("set"), F.lit(8).alias("size"), F.lit(0).alias("pos"), F.lit(7).cast("long").alias("token"))
     met = site._meeting(prefix, 0.9)
     assert met.count() == 100 * 99 // 2
+
+
+def test_token_lists_do_not_stay_on_disk(spark):
+    """What holds whole sets is deleted once the pairs are confirmed, and no pair carries a set."""
+    from pathlib import Path
+
+    root, words = Path(spark.conf.get("spark.checkpoint.dir")), [f"w{k}" for k in range(400)]
+    rows = [(i, str(i), words[i % 5 :] + [f"x{i}"]) for i in range(60)]
+    before = set(root.iterdir())
+    df = spark.createDataFrame(rows, "key int, hash string, tokens array<string>")
+    assert site.near_duplicates(df).count() == 60 * 59 // 2
+    left = [spark.read.parquet(str(p)).columns for p in set(root.iterdir()) - before if any(p.glob("*.parquet"))]
+    assert left and not any("tokens" in columns for columns in left)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import re
 import tempfile
@@ -10,6 +11,8 @@ from functools import reduce
 from itertools import count
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +43,30 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession):
+    """Shuffle files of the queries that run in it go when these end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what saved wrote as df, once nothing that is still to be read is made of it."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Writes df to a path of scratch and reads it back, so loops keep a short lineage and lost executors cost little."""
+    """Writes df to a path of scratch and reads it back, so loops keep a short lineage and lost executors cost little. The write's own shuffle files go when it ends."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    with _cleaned(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -282,12 +305,13 @@ def duplicates(pages: DataFrame, field: Column, key: str = "key") -> DataFrame:
     return rows.join(shared, "value").select(key, "value", "n")
 
 
-#: Sets of one token and size that meet in one tile at most, and groups beyond that which are broadcast.
-TILE, CROWDED = 2000, 100_000
+#: Sets of one token and size that meet in one tile at most, groups beyond that which are broadcast, and most frequent tokens that are ranked.
+TILE, CROWDED, RANKED = 2000, 100_000, 1 << 18
 
 
 def _meeting(prefix: DataFrame, least: float) -> DataFrame:
-    """set_a, set_b of sets that share a token of their prefixes and may be similar by size and place. prefix: set, size, pos, token.
+    """set_a, set_b of sets that share a token of their prefixes and may be similar by size and place, and the tile (token, cell, tile) in which they
+    meet, the least of several. prefix: set, size, pos, token.
 
     Sizes are dealt into classes that grow by 1 / least, so a set meets its own class and the next. A token and class with more than TILE sets is cut
     into tiles: each pair meets in one of them, and none is larger than TILE sets a side."""
@@ -310,7 +334,73 @@ def _meeting(prefix: DataFrame, least: float) -> DataFrame:
     # What both can still share from this token on, against what they must.
     enough = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")) - 1e-6
     met = x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("tile_a") == F.col("tile_b")) & smaller & fits & enough)
-    return met.select("set_a", "set_b").distinct()
+    return met.groupBy("set_a", "set_b").agg(F.min(F.struct(*[F.col(f"{c}_a").alias(c) for c in _TILE])).alias("at")).select("at.*", "set_a", "set_b")
+
+
+_TILE = ("token", "cell", "tile")
+
+
+def _prefixes(nodes: DataFrame, least: float) -> DataFrame:
+    """set, size, pos, token of the first tokens of each set (set, tokens), rare ones first: the RANKED most frequent come last, by how many sets hold them, and the others, by hash, first.
+
+    Any order that all sets share will do; this one needs no token to move, but for sums by token."""
+    spark = nodes.sparkSession
+    counted = saved(nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter("f > 1"))
+    have, bound = 0, 1 << 62
+    for row in sorted(counted.groupBy(F.floor(F.log2("f")).alias("e")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        have += row["n"]
+        if have > RANKED:
+            break
+        bound = 1 << row["e"]
+    ranked = counted.filter(F.col("f") >= bound).toPandas().sort_values("token")
+    dropped(counted)
+    sent = spark.sparkContext.broadcast((ranked["token"].to_numpy(np.int64), ranked["f"].to_numpy(np.int64)))
+
+    def cut(batches):
+        names, f = sent.value
+        for batch in batches:
+            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token, of = batch.column(1).flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(names, token), max(0, len(names) - 1))
+            order = np.lexsort((token, np.where(names[at] == token, f[at], 0) if len(names) else token, of))
+            pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            kept = pos < (size - np.ceil(np.round(least * size, 6)) + 1)[of]
+            of, pos, token = of[kept], pos[kept], token[order][kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(size[of].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(token)], ["set", "size", "pos", "token"])
+
+    return nodes.select("set", "tokens").mapInArrow(cut, "set binary, size int, pos int, token long")
+
+
+def _confirmed(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """set_a, set_b, similarity of the pairs found whose full sets have a Jaccard of `least` or more.
+
+    A set goes to each tile in which it has a pair to confirm, once, however many pairs there are; a tile's sets come before its pairs, and are held while it is read."""
+    sets = found.select(*_TILE, F.explode(F.array("set_a", "set_b")).alias("set_a")).distinct().join(nodes.select(F.col("set").alias("set_a"), "tokens"), "set_a")
+    rows = sets.select(*_TILE, "set_a", F.lit(None).cast("binary").alias("set_b"), "tokens").unionByName(found.withColumn("tokens", F.lit(None).cast("array<long>")))
+
+    def compared(batches):
+        tile, held = None, {}
+        for batch in batches:
+            parts, out = [batch.column(k).to_pylist() for k in range(5)], []
+            tokens = batch.column(5)
+            for i, (*at, a, b) in enumerate(zip(*parts)):
+                if at != tile:
+                    tile, held = at, {}
+                if b is None:
+                    held[a] = tokens[i].values.to_numpy()
+                    continue
+                x, y = held[a], held[b]
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                similarity = common / (len(x) + len(y) - common)
+                if similarity >= least:
+                    out.append((a, b, similarity))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.float64()))], ["set_a", "set_b", "similarity"])
+
+    dealt = rows.repartition(*_TILE).sortWithinPartitions(*_TILE, F.col("set_b").asc_nulls_first())
+    return dealt.mapInArrow(compared, "set_a binary, set_b binary, similarity double")
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
@@ -320,26 +410,28 @@ def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
     n - ceil(least * n) + 1. So only those are joined, rare ones first, with filters by size and by the tokens' places; full
     sets confirm. Tokens are told by 64-bit hashes, which move and compare as numbers. Rows with equal token sets are one side of the join: their copies come back by a join on the set."""
     hashed = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))))
-    name = F.concat(F.hex(F.xxhash64("tokens")), F.hex(F.xxhash64(F.lit(1), "tokens")))
-    sets = saved(rows.select("key", "hash", hashed.alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", name))
-    nodes = saved(sets.groupBy("set").agg(F.first("tokens").alias("tokens")))
-    frequency = nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
-    ranked = nodes.select("set", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(frequency, "token")
-    ordered = ranked.groupBy("set", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("list"))
-    keep = F.col("size") - F.ceil(F.round(F.lit(least) * F.col("size"), 6)) + 1
-    prefix = saved(ordered.select("set", "size", F.posexplode(F.slice("list", F.lit(1), keep.cast("int"))).alias("pos", "x")).select("set", "size", "pos", F.col("x.token").alias("token")))
-    found = _meeting(prefix, least)
-    both = found.join(nodes.select(F.col("set").alias("set_a"), F.col("tokens").alias("ta")), "set_a").join(nodes.select(F.col("set").alias("set_b"), F.col("tokens").alias("tb")), "set_b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    close = both.withColumn("similarity", common / (F.size("ta") + F.size("tb") - common)).filter(F.col("similarity") >= least).select("set_a", "set_b", "similarity")
+    name = F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("tokens"), F.xxhash64(F.lit(1), "tokens"))]))
+    read = saved(rows.select("key", "hash", hashed.alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", name))
+    sets = saved(read.select("key", "hash", "set"))
+    nodes = saved(read.groupBy("set").agg(F.first("tokens").alias("tokens")))
+    dropped(read)
+    prefix = saved(_prefixes(nodes, least))
+    found = saved(_meeting(prefix, least))
+    dropped(prefix)
+    close = saved(_confirmed(found, nodes, least))
+    dropped(nodes)
+    dropped(found)
     # Copies with one hash are one group: groups are paired, and keys come back last.
     groups = sets.select("set", "hash").distinct()
     x, y = (groups.select(F.col("set").alias(f"set_{p}"), F.col("hash").alias(f"hash_{p}")) for p in "xy")
     apart = close.join(x, F.col("set_a") == F.col("set_x")).join(y, F.col("set_b") == F.col("set_y")).filter("hash_x <> hash_y")
     same = x.join(y, (F.col("set_x") == F.col("set_y")) & (F.col("hash_x") < F.col("hash_y"))).withColumn("similarity", F.lit(1.0))
     pairs = apart.select("set_x", "hash_x", "set_y", "hash_y", "similarity").unionByName(same)
-    one, two = (sets.select(F.col("key").alias(f"key_{p}"), F.col("set").alias(f"of_{p}"), F.col("hash").alias(f"its_{p}")) for p in "xy")
-    told = pairs.join(one, (F.col("set_x") == F.col("of_x")) & (F.col("hash_x") == F.col("its_x"))).join(two, (F.col("set_y") == F.col("of_y")) & (F.col("hash_y") == F.col("its_y")))
+    # A group is told by 128 bits, which move less than its set and hash.
+    named = {p: F.unhex(F.md5(F.concat(f"set_{p}", F.col(f"hash_{p}").cast("string").cast("binary")))).alias(f"group_{p}") for p in "xy"}
+    pairs = pairs.select(*named.values(), "similarity")
+    one, two = (sets.select(F.col("key").alias(f"key_{p}"), F.col("set").alias(f"set_{p}"), F.col("hash").alias(f"hash_{p}")).select(f"key_{p}", named[p]) for p in "xy")
+    told = pairs.join(one, "group_x").join(two, "group_y")
     return told.select(F.least("key_x", "key_y").alias("left"), F.greatest("key_x", "key_y").alias("right"), "similarity")
 
 
