@@ -73,3 +73,15 @@ def test_clashing_columns_and_no_vocabulary(spark):
     assert got == [("1", 0, 0, False), ("1", 0, 0, False), ("None", 3, 2, True)]
     with pytest.raises(ValueError):
         tokens.counter('{"model": {"type": "WordPiece"}, "added_tokens": []}')
+
+
+def test_tasks_of_a_worker_share_what_they_remember(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(tokens, "counter", lambda s: made.append(s) or len)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["abc", None]), pa.array([3, 0])], ["doc_id", "text", "n_bytes"])
+    for run in ("a", "a", "a", "b"):
+        assert [b.column("n_tokens").to_pylist() for b in tokens._counted("spec", run)([batch, batch])] == [[3, 0], [3, 0]]
+    assert made == ["spec", "spec"]
+    tokens._kept.cache_clear()

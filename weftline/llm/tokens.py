@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD
 
-#: Words and pieces whose counts a task remembers, and the longest one that it does: two tables of each, at most some 150 MB.
-KNOWN, LONGEST = 1 << 18, 64
+#: Words and pieces whose counts a worker remembers, and the longest one that it does: two tables of each, at most some 300 MB.
+KNOWN, LONGEST = 1 << 19, 64
 LIMIT = 2048
 #: Characters of a text that are parted into words at once, up to the next white space.
 CHUNK = 1 << 16
@@ -82,7 +84,7 @@ def counter(spec: str) -> Callable[[str], int]:
     words are used; its merges are applied here.
 
     White space parts words under these files' rules and no normal form reaches across it, so a word's count does not depend on its
-    surroundings, and common words are counted once a task."""
+    surroundings, and common words are counted once a worker."""
     from tokenizers import Tokenizer
 
     parts = json.loads(spec)
@@ -100,12 +102,16 @@ def counter(spec: str) -> Callable[[str], int]:
     added = [t["content"] for t in parts["added_tokens"]]
     special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
     words, pieces = _Known(), _Known()
+    single, last = {c: i for c, i in ids.items() if len(c) == 1}, {c[: len(c) - len(end)]: i for c, i in ids.items() if len(c) == len(end) + 1 and c.endswith(end)}
 
     def of_piece(piece: str) -> int:
         n = pieces.get(piece)
         if n is None:
-            said = [ids.get(c) for c in piece[:-1]] + [ids.get(piece[-1] + end)]
-            n = pieces.put(piece, merged([s for s in said if s is not None], pairs))
+            said = list(map(single.get, piece))
+            said[-1] = last.get(piece[-1])
+            if None in said:
+                said = [s for s in said if s is not None]
+            n = pieces.put(piece, merged(said, pairs))
         return n
 
     def normal(text: str) -> str:
@@ -130,7 +136,8 @@ def counter(spec: str) -> Callable[[str], int]:
             while at >= end:
                 k += 1
                 end += len(forms[k]) + 1
-            out[k] += of_piece(piece)
+            n = pieces.new.get(piece)
+            out[k] += of_piece(piece) if n is None else n
         return out
 
     word, space = re.compile(WORD), re.compile(SPACE)
@@ -140,26 +147,35 @@ def counter(spec: str) -> Callable[[str], int]:
         while at < len(text):
             ends = space.search(text, at + CHUNK)
             to = ends.start() if ends else len(text)
-            new: dict[str, int] = {}
-            for w in word.findall(text, at, to):
-                n = words.get(w)
-                if n is None:
-                    new[w] = new.get(w, 0) + 1
-                else:
-                    total += n
-            for (w, times), n in zip(new.items(), of_words(list(new)) if new else ()):
-                total += times * words.put(w, n)
+            found = word.findall(text, at, to)
+            counts = list(map(words.new.get, found))
+            if None in counts:
+                new: dict[str, int] = {}
+                for i in [i for i, n in enumerate(counts) if n is None]:
+                    w, counts[i] = found[i], words.get(found[i])
+                    if counts[i] is None:
+                        new[w] = new.get(w, 0) + 1
+                        counts[i] = 0
+                for (w, times), n in zip(new.items(), of_words(list(new)) if new else ()):
+                    total += times * words.put(w, n)
+            total += sum(counts)
             at = to
         return total
 
     return of_text
 
 
-def _counted(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+@lru_cache(maxsize=1)
+def _kept(spec: str, run: str) -> Callable[[str], int]:
+    """The counter of this Python worker, with what it remembers: tasks of one run (any name) that follow each other there share it; another run starts anew."""
+    return counter(spec)
+
+
+def _counted(spec: str, run_id: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         count = None
         for batch in batches:
-            count = count or counter(spec)
+            count = count or _kept(spec, run_id)
             n = pa.array([count(t.as_py() or "") for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
@@ -176,4 +192,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     spec = Path(vocabulary).read_text(encoding="utf-8")
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_counted(spec), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(_counted(spec, uuid.uuid4().hex), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
