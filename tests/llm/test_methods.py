@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -665,3 +666,16 @@ def test_odd_labels_change_nothing(spark):
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     odd = labels.union(labels.filter("toxic = 1")).union(labels.filter("toxic = 1").withColumn("toxic", F.lit(0))).union(labels.limit(5).withColumn("toxic", F.lit(None).cast("int"))).union(labels.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
     assert toxicity.train(docs, odd) == toxicity.train(docs, labels)
+
+
+def test_weights_are_learned_on_all_keys(spark, monkeypatch):
+    """What the shares have seen adds up to all decisions of all keys, also where there are many shares."""
+    monkeypatch.setattr(scoring, "FIT", 40)
+    rng, root = random.Random(8), Path(spark.conf.get("spark.checkpoint.dir"))
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 6))) for _ in range(60)) for _ in range(12)]
+    before = set(root.iterdir())
+    code = scoring.train(frame(spark, texts).withColumn("held_out", F.lit(False)))[2]
+    rows = [r for p in set(root.iterdir()) - before if "-weights-" in p.name for r in spark.read.parquet(str(p)).collect()]
+    counts = Counter(k for t in texts for k in scoring.keys([w.encode() for w in t.split()]))
+    want = sum(min(n, 64) * int(code.length[list(k[1:])].sum()) for k, n in counts.items())
+    assert len(rows) > 3 and [np.frombuffer(r["mass"]).reshape(2, -1) for r in rows] and np.sum([np.frombuffer(r["mass"]).reshape(2, -1).sum(axis=1) for r in rows], axis=0).tolist() == [want, want]
