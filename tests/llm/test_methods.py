@@ -679,3 +679,47 @@ def test_weights_are_learned_on_all_keys(spark, monkeypatch):
     counts = Counter(k for t in texts for k in scoring.keys([w.encode() for w in t.split()]))
     want = sum(min(n, 64) * int(code.length[list(k[1:])].sum()) for k, n in counts.items())
     assert len(rows) > 3 and [np.frombuffer(r["mass"]).reshape(2, -1) for r in rows] and np.sum([np.frombuffer(r["mass"]).reshape(2, -1).sum(axis=1) for r in rows], axis=0).tolist() == [want, want]
+
+
+@pytest.mark.parametrize("contexts", [1 << 11, 3])
+def test_keys_that_begin_alike_share_what_tells_them(monkeypatch, contexts):
+    """Words with a few stems: places in tables are worked out once for each byte behind a beginning, and each key's decisions are those that it has by plain counts."""
+    monkeypatch.setattr(scoring, "CONTEXTS", contexts, raising=False)
+    rng, looked, slots = random.Random(21), [], scoring.slots
+    stems = ["".join(rng.choices("abcdé", k=rng.randrange(4, 9))) for _ in range(20)]
+    of_keys = sorted({(rng.choice(stems) + "".join(rng.choices("xyé", k=rng.randrange(4)))).encode() + rng.choice([b" ", b"\n"]) for _ in range(900)} | {"é".encode() * 400 + b" "})
+    n = np.array([float(rng.randrange(1, 90)) for _ in of_keys])
+    code = scoring.Code(np.bincount(np.frombuffer(b"".join(of_keys), np.uint8), minlength=256))
+    tables = list(np.random.RandomState(4).randint(1, 60, (3, 1 << 16, 2)).astype(np.float32))
+    monkeypatch.setattr(scoring, "slots", lambda back, of, *a: looked.append(len(of)) or slots(back, of, *a))
+    features, gates, key = scoring.told(of_keys, n, code, tables, [(scoring.LEAD, scoring.lead_table(of_keys, n, code))], own=True)
+    assert 3 * sum(looked) < len(key)
+    counts = Counter()
+    each = []
+    for k, v in zip(of_keys, n):
+        x, _, place, back = scoring.laid([k])
+        _, of, node, bit = code.spread(x)
+        each.append([(k[: of[d]], int(node[d]), int(bit[d])) for d in range(len(of)) if of[d]])
+        for c in each[-1]:
+            counts[c] += v
+    want = [(counts[c], counts[c[0], c[1], 1 - c[2]]) for cs in each for c in cs]
+    assert key.tolist() == [i for i, cs in enumerate(each) for _ in cs]
+    assert features[-1] == pytest.approx([math.log((s - 0.6) / (o + 0.4)) for s, o in want], rel=1e-5, abs=1e-6)
+    assert gates[0].tolist() == [min(7, int(math.log2(s + o))) for s, o in want] and gates[1].tolist() == [min(7, len(c[0])) for cs in each for c in cs]
+
+
+def test_learned_takes_plain_steps():
+    """Two mixers and two passes against a loop over decisions."""
+    rng = np.random.RandomState(6)
+    f, gates, n = rng.normal(0.5, 1.0, (3, 1300)), rng.randint(0, scoring.GATES, (2, 1300)), rng.randint(1, 90, 1300).astype(float)
+    order = np.random.RandomState(7).permutation(1300)
+    for got, gate in zip(scoring.learned(f.astype(np.float32), list(gates), n, passes=2), gates):
+        w, seen = np.full((scoring.GATES, 3), scoring.BEGIN), np.full((scoring.GATES, 3), 1e-3)
+        for k in range(2):
+            for at in range(0, 1300, scoring.STEP):
+                grad = np.zeros(w.shape)
+                for d in order[at : at + scoring.STEP]:
+                    grad[gate[d]] += min(n[d], 64) / (1 + math.exp(w[gate[d]] @ f[:, d])) * f[:, d]
+                seen += grad**2
+                w += scoring.RATE / (1 + k) * grad / np.sqrt(seen)
+        assert got == pytest.approx(w, abs=1e-4)
