@@ -60,3 +60,31 @@ def test_token_lists_do_not_stay_on_disk(spark):
     assert site.near_duplicates(df).count() == 60 * 59 // 2
     left = [spark.read.parquet(str(p)).columns for p in set(root.iterdir()) - before if any(p.glob("*.parquet"))]
     assert left and not any("tokens" in columns for columns in left)
+
+
+def test_unlike_sets_do_not_move_whole(spark, monkeypatch):
+    """Sets that share rare tokens and little else are told apart by their marks, and whole sets are written once."""
+    pairs, written, confirmed, saved = [], [], site._confirmed, site.saved
+    monkeypatch.setattr(site, "_confirmed", lambda found, *a: pairs.append(found.count()) or confirmed(found, *a))
+    monkeypatch.setattr(site, "saved", lambda df, *a, **b: written.append(df.columns) or saved(df, *a, **b))
+    rows = [(i, str(i), [f"rare{k}" for k in range(15)] + [f"{i}-{k}" for k in range(85)]) for i in range(20)]
+    rows += [(i, str(i), [f"alike{k}" for k in range(99)] + [f"x{i}"]) for i in range(20, 23)]
+    df = spark.createDataFrame(rows, "key long, hash string, tokens array<string>")
+    assert {(r.left, r.right) for r in site.near_duplicates(df).collect()} == {(20, 21), (20, 22), (21, 22)}
+    assert pairs == [3]
+    assert sum("tokens" in columns for columns in written) == 1
+
+
+@pytest.mark.parametrize("crowded", [100_000, 0])
+def test_large_sets_with_marks_of_different_lengths(spark, monkeypatch, crowded):
+    """Marks double in number at 1024 and 2048 tokens; pairs at the threshold across these sizes stay, and so do those met by tokens that are not broadcast."""
+    monkeypatch.setattr(site, "CROWDED", crowded)
+    monkeypatch.setattr(site, "TILE", 4)
+    rng, rows = random.Random(5), []
+    for i, size in enumerate([980, 1000, 1020, 1024, 1030, 1100, 1130, 2000, 2040, 2060, 2200] * 2):
+        rows.append((i, [f"w{k}" for k in range(size - 30)] + [f"y{rng.randrange(90)}" for _ in range(30)], i))
+    rows.append((len(rows), [f"w{k}" for k in range(900)] + [f"z{k}" for k in range(100)], -1))
+    rows.append((len(rows), [f"w{k}" for k in range(900)], -2))
+    df = spark.createDataFrame([(a, sorted(set(x)), h) for a, x, h in rows], "key long, tokens array<string>, hash long")
+    got = {(r.left, r.right, round(r.similarity, 9)) for r in site.near_duplicates(df).collect()}
+    assert got == plain(rows, 0.9) and len(got) > 50

@@ -62,11 +62,11 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, **options) -> DataFrame:
     """Writes df to a path of scratch and reads it back, so loops keep a short lineage and lost executors cost little. The write's own shuffle files go when it ends."""
     path = scratch(df.sparkSession)
     with _cleaned(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -305,47 +305,59 @@ def duplicates(pages: DataFrame, field: Column, key: str = "key") -> DataFrame:
     return rows.join(shared, "value").select(key, "value", "n")
 
 
-#: Sets of one token and size that meet in one tile at most, groups beyond that which are broadcast, and most frequent tokens that are ranked.
+#: Sets of one token and size that meet in one tile at most, tokens beyond that and sets to confirm which are broadcast, and most frequent tokens that are ranked.
 TILE, CROWDED, RANKED = 2000, 100_000, 1 << 18
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has CROWDED rows at most."""
+    return F.broadcast(df) if df.count() <= CROWDED else df
+
+
 def _meeting(prefix: DataFrame, least: float) -> DataFrame:
     """set_a, set_b of sets that share a token of their prefixes and may be similar by size and place, and the tile (token, cell, tile) in which they
-    meet, the least of several. prefix: set, size, pos, token.
-
-    Sizes are dealt into classes that grow by 1 / least, so a set meets its own class and the next. A token and class with more than TILE sets is cut
-    into tiles: each pair meets in one of them, and none is larger than TILE sets a side."""
-    cell = F.floor(F.log(F.col("size").cast("double")) / -math.log(least) + 1e-9).cast("int")
-    rows = prefix.withColumn("cell", cell)
-    crowded = rows.groupBy("token", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("token", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    crowded = saved(crowded)
-    crowded = F.broadcast(crowded) if crowded.count() <= CROWDED else crowded
+    meet, the least of several. prefix: set, size, pos, token and, if known, prev, the token before it in the prefix.
+
+    A token with more than TILE sets is cut: sizes are dealt into classes that grow by 1 / least, so a set meets its own class and the next, and a class with
+    more than TILE sets into tiles: each pair meets in one of them, and none is larger than TILE sets a side. Two sets that share the token before as well
+    have met there, so they are not told again: pairs come once for each run of tokens that stand together in both, not for each token."""
+    prev = F.col("prev") if "prev" in prefix.columns else F.lit(None).cast("long")
+    rows = prefix.withColumn("prev", prev).withColumn("class", F.floor(F.log(F.col("size").cast("double")) / -math.log(least) + 1e-9).cast("int"))
+    most = _sent(saved(rows.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("token")))
+    crowded = _sent(saved(rows.join(most, "token").groupBy("token", "class").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))))
+    # A class that a token's rows reach from the one below may have none of its own; it meets nothing.
+    reached = F.when(F.col("tiles").isNull(), F.array(F.lit(-1))).otherwise(F.array("class", F.col("class") + 1))
 
     def side(p, df, tile):
-        df = df.join(crowded, ["token", "cell"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         df = df.withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("tiles")).cast("int")).withColumn("tile", F.explode(tile))
-        return df.select(*[F.col(c).alias(f"{c}_{p}") for c in ("set", "size", "pos", "token", "cell", "tile")])
+        return df.select(*[F.col(c).alias(f"{c}_{p}") for c in ("set", "size", "pos", "token", "prev", "cell", "tile")])
 
+    met_by = rows.join(crowded, ["token", "class"], "left")
+    tiles = crowded.select("token", F.col("class").alias("cell"), F.col("tiles").alias("into"))
     others = F.sequence(F.lit(0), F.col("tiles") - 1)
-    x = side("a", rows.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1))), F.transform(others, lambda j: F.col("chunk") * F.col("tiles") + j))
-    y = side("b", rows, F.transform(others, lambda i: i * F.col("tiles") + F.col("chunk")))
+    x = met_by.withColumn("cell", F.explode(reached)).join(tiles, ["token", "cell"], "left").filter("tiles is null or into is not null").withColumn("tiles", F.coalesce("into", F.lit(1)))
+    x = side("a", x, F.transform(others, lambda j: F.col("chunk") * F.col("tiles") + j))
+    y = met_by.withColumn("cell", F.when(F.col("tiles").isNull(), -1).otherwise(F.col("class"))).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    y = side("b", y, F.transform(others, lambda i: i * F.col("tiles") + F.col("chunk")))
     smaller = F.struct("size_a", "set_a") < F.struct("size_b", "set_b")
     fits = F.col("size_a") >= F.lit(least) * F.col("size_b") - 1e-9
     # What both can still share from this token on, against what they must.
     enough = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    met = x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("tile_a") == F.col("tile_b")) & smaller & fits & enough)
+    first = F.coalesce(F.col("prev_a") != F.col("prev_b"), F.lit(True))
+    met = x.join(y, (F.col("token_a") == F.col("token_b")) & (F.col("cell_a") == F.col("cell_b")) & (F.col("tile_a") == F.col("tile_b")) & smaller & fits & enough & first)
     return met.groupBy("set_a", "set_b").agg(F.min(F.struct(*[F.col(f"{c}_a").alias(c) for c in _TILE])).alias("at")).select("at.*", "set_a", "set_b")
 
 
 _TILE = ("token", "cell", "tile")
 
 
-def _prefixes(nodes: DataFrame, least: float) -> DataFrame:
-    """set, size, pos, token of the first tokens of each set (set, tokens), rare ones first: the RANKED most frequent come last, by how many sets hold them, and the others, by hash, first.
+def _heads(read: DataFrame, least: float) -> DataFrame:
+    """node, set, size, marks, prefix of each set of read (row, set, tokens), told by its least row. prefix: its first tokens, rare ones first: the RANKED most
+    frequent come last, by how many rows hold them, and the others, by hash, first. marks: for each residue of the hashes, if an odd number of the set's tokens has it.
 
-    Any order that all sets share will do; this one needs no token to move, but for sums by token."""
-    spark = nodes.sparkSession
-    counted = saved(nodes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter("f > 1"))
+    Any order that all sets share will do; this one needs no token to move, but for sums by token. Copies become one set by their heads, about a tenth of the tokens."""
+    spark = read.sparkSession
+    counted = saved(read.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f")).filter("f > 1"))
     have, bound = 0, 1 << 62
     for row in sorted(counted.groupBy(F.floor(F.log2("f")).alias("e")).agg(F.count("*").alias("n")).collect(), reverse=True):
         have += row["n"]
@@ -359,24 +371,52 @@ def _prefixes(nodes: DataFrame, least: float) -> DataFrame:
     def cut(batches):
         names, f = sent.value
         for batch in batches:
-            size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            token, of = batch.column(1).flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            size = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            token, of = batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            # As many marks as half the tokens, 512 at least, so that they tell unlike sets apart.
+            width = np.maximum(512, 1 << np.ceil(np.log2(np.maximum(size, 2) / 2)).astype(np.int64))
+            start = np.concatenate([[0], np.cumsum(width)])
+            odd = np.packbits((np.bincount(start[of] + (token & (width - 1)[of]), minlength=start[-1]) & 1).astype(np.uint8))
             at = np.minimum(np.searchsorted(names, token), max(0, len(names) - 1))
             order = np.lexsort((token, np.where(names[at] == token, f[at], 0) if len(names) else token, of))
             pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
             kept = pos < (size - np.ceil(np.round(least * size, 6)) + 1)[of]
-            of, pos, token = of[kept], pos[kept], token[order][kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(size[of].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(token)], ["set", "size", "pos", "token"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of[kept], minlength=len(size)))])
+            marks = [odd[a:b].tobytes() for a, b in zip(start[:-1] // 8, start[1:] // 8)]
+            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token[order][kept]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size.astype(np.int32)), pa.array(marks, pa.binary()), prefix], ["node", "set", "size", "marks", "prefix"])
+
+    each = read.select("row", "set", "tokens").mapInArrow(cut, "node long, set binary, size int, marks binary, prefix array<long>")
+    return each.groupBy("set").agg(F.min(F.struct("node", "size", "marks", "prefix")).alias("head")).select("head.*", "set")
+
+
+def _likely(met: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """The pairs met whose marks allow for a Jaccard of `least`: each mark that differs is a token at least that one of the sets alone has."""
+    told = [heads.select(F.col("node").alias(f"set_{p}"), F.col("size").alias(f"size_{p}"), F.col("marks").alias(f"marks_{p}")) for p in "ab"]
+    rows = met.join(told[0], "set_a").join(told[1], "set_b").select(*_TILE, "set_a", "set_b", "size_a", "size_b", "marks_a", "marks_b")
+
+    def folded(marks, width):
+        bits = np.frombuffer(marks, np.uint8)
+        return np.bitwise_xor.reduce(bits.reshape(-1, width), axis=0)
+
+    def kept(batches):
+        for batch in batches:
+            most = (1 - least) / (1 + least) * (batch.column(5).to_numpy() + batch.column(6).to_numpy()) + 1e-6
+            x, y = batch.column(7).to_pylist(), batch.column(8).to_pylist()
+            width = [min(len(a), len(b)) for a, b in zip(x, y)]
+            apart = [np.bitwise_count(folded(a, n) ^ folded(b, n)).sum() for a, b, n in zip(x, y, width)]
+            yield batch.select([0, 1, 2, 3, 4]).filter(pa.array(np.array(apart, np.int64) <= most))
 
-    return nodes.select("set", "tokens").mapInArrow(cut, "set binary, size int, pos int, token long")
+    return rows.mapInArrow(kept, met.select(*_TILE, "set_a", "set_b").schema)
 
 
 def _confirmed(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """set_a, set_b, similarity of the pairs found whose full sets have a Jaccard of `least` or more.
+    """set_a, set_b, similarity of the pairs found whose full sets (nodes: set, tokens) have a Jaccard of `least` or more.
 
     A set goes to each tile in which it has a pair to confirm, once, however many pairs there are; a tile's sets come before its pairs, and are held while it is read."""
-    sets = found.select(*_TILE, F.explode(F.array("set_a", "set_b")).alias("set_a")).distinct().join(nodes.select(F.col("set").alias("set_a"), "tokens"), "set_a")
-    rows = sets.select(*_TILE, "set_a", F.lit(None).cast("binary").alias("set_b"), "tokens").unionByName(found.withColumn("tokens", F.lit(None).cast("array<long>")))
+    wanted = _sent(saved(found.select(*_TILE, F.explode(F.array("set_a", "set_b")).alias("set_a")).distinct()))
+    sets = nodes.select(F.col("set").alias("set_a"), "tokens").join(wanted, "set_a")
+    rows = sets.select(*_TILE, "set_a", F.lit(None).cast("long").alias("set_b"), "tokens").unionByName(found.withColumn("tokens", F.lit(None).cast("array<long>")))
 
     def compared(batches):
         tile, held = None, {}
@@ -397,41 +437,43 @@ def _confirmed(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 if similarity >= least:
                     out.append((a, b, similarity))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.float64()))], ["set_a", "set_b", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["set_a", "set_b", "similarity"])
 
     dealt = rows.repartition(*_TILE).sortWithinPartitions(*_TILE, F.col("set_b").asc_nulls_first())
-    return dealt.mapInArrow(compared, "set_a binary, set_b binary, similarity double")
+    return dealt.mapInArrow(compared, "set_a long, set_b long, similarity double")
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.9) -> DataFrame:
     """Pairs (left, right, similarity) of rows (key, tokens: distinct, hash) with other hashes and a token-set Jaccard of `least` or more.
 
     Prefix filtering: tokens are ordered from rare to frequent, and two sets that similar share one of their first
-    n - ceil(least * n) + 1. So only those are joined, rare ones first, with filters by size and by the tokens' places; full
+    n - ceil(least * n) + 1. So only those are joined, rare ones first, with filters by size, by the tokens' places and by marks of the whole sets; full
     sets confirm. Tokens are told by 64-bit hashes, which move and compare as numbers. Rows with equal token sets are one side of the join: their copies come back by a join on the set."""
     hashed = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))))
     name = F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64("tokens"), F.xxhash64(F.lit(1), "tokens"))]))
-    read = saved(rows.select("key", "hash", hashed.alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", name))
-    sets = saved(read.select("key", "hash", "set"))
-    nodes = saved(read.groupBy("set").agg(F.first("tokens").alias("tokens")))
+    read = rows.select("key", "hash", hashed.alias("tokens")).filter(F.size("tokens") > 0).withColumn("set", name).withColumn("row", F.monotonically_increasing_id())
+    # A dictionary of this size holds a file's tokens, so that each takes a few bits.
+    read = saved(read, **{"parquet.dictionary.page.size": 1 << 23})
+    heads = saved(_heads(read, least))
+    # Sets and hashes are told by their least row.
+    texts = read.groupBy("hash").agg(F.min("row").alias("text"))
+    sets = saved(read.select("key", "hash", "set").join(heads.select("set", "node"), "set").join(texts, "hash").select("key", "node", "text"))
+    placed = F.inline(F.transform("prefix", lambda t, i: F.struct(i.alias("pos"), t.alias("token"), F.get("prefix", i - 1).alias("prev"))))
+    met = saved(_meeting(heads.select(F.col("node").alias("set"), "size", placed), least))
+    found = saved(_likely(met, heads, least))
+    dropped(met)
+    dropped(heads)
+    close = saved(_confirmed(found, read.select(F.col("row").alias("set"), "tokens"), least))
     dropped(read)
-    prefix = saved(_prefixes(nodes, least))
-    found = saved(_meeting(prefix, least))
-    dropped(prefix)
-    close = saved(_confirmed(found, nodes, least))
-    dropped(nodes)
     dropped(found)
     # Copies with one hash are one group: groups are paired, and keys come back last.
-    groups = sets.select("set", "hash").distinct()
-    x, y = (groups.select(F.col("set").alias(f"set_{p}"), F.col("hash").alias(f"hash_{p}")) for p in "xy")
-    apart = close.join(x, F.col("set_a") == F.col("set_x")).join(y, F.col("set_b") == F.col("set_y")).filter("hash_x <> hash_y")
-    same = x.join(y, (F.col("set_x") == F.col("set_y")) & (F.col("hash_x") < F.col("hash_y"))).withColumn("similarity", F.lit(1.0))
-    pairs = apart.select("set_x", "hash_x", "set_y", "hash_y", "similarity").unionByName(same)
-    # A group is told by 128 bits, which move less than its set and hash.
-    named = {p: F.unhex(F.md5(F.concat(f"set_{p}", F.col(f"hash_{p}").cast("string").cast("binary")))).alias(f"group_{p}") for p in "xy"}
-    pairs = pairs.select(*named.values(), "similarity")
-    one, two = (sets.select(F.col("key").alias(f"key_{p}"), F.col("set").alias(f"set_{p}"), F.col("hash").alias(f"hash_{p}")).select(f"key_{p}", named[p]) for p in "xy")
-    told = pairs.join(one, "group_x").join(two, "group_y")
+    groups = sets.select("node", "text").distinct()
+    x, y = (groups.select(F.col("node").alias(f"node_{p}"), F.col("text").alias(f"text_{p}")) for p in "xy")
+    apart = close.join(x, F.col("set_a") == F.col("node_x")).join(y, F.col("set_b") == F.col("node_y")).filter("text_x <> text_y")
+    same = x.join(y, (F.col("node_x") == F.col("node_y")) & (F.col("text_x") < F.col("text_y"))).withColumn("similarity", F.lit(1.0))
+    pairs = apart.select("node_x", "text_x", "node_y", "text_y", "similarity").unionByName(same)
+    one, two = (sets.select(F.col("key").alias(f"key_{p}"), F.col("node").alias(f"node_{p}"), F.col("text").alias(f"text_{p}")) for p in "xy")
+    told = pairs.join(one, ["node_x", "text_x"]).join(two, ["node_y", "text_y"])
     return told.select(F.least("key_x", "key_y").alias("left"), F.greatest("key_x", "key_y").alias("right"), "similarity")
 
 
